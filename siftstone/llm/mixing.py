@@ -7,7 +7,8 @@
 3. A source's documents are put in a seeded order, dealt out over ranges of that order (shards). A quota is
    spent on whole passes over the source, then on the first blocks of the seeded order: shards before the
    cut are taken whole, the one at the cut in part, the others not. A document is taken whole or not, by the
-   middle of its words, so a source misses its quota by half a document at most.
+   middle of its words, so a source misses its quota by half a document at most; then the one document that
+   comes nearest to closing this gap changes sides.
 
 Nulls: a null text has no words and takes none; a null source is a source of its own and comes last; null ids
 share one place in the order, as repeated ids do. Empty tables give empty results; extra columns pass through `mix`.
@@ -87,7 +88,7 @@ def with_quotas(sources: DataFrame, block_words: int) -> DataFrame:
 
 
 def shard_quotas(sizes: DataFrame, sources: DataFrame, block_words: int, range_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(sources with passes and cut: a document is taken passes times, once more if its order hash is <= cut;
+    """(sources with passes and cut: a document is taken passes times, once more if its order hash is <= cut, but for swap;
     quotas of each source and shard: words, words_before, rest, blocks)."""
     rows = sources.agg(F.sum("n_docs").alias("n")).first()["n"] or 0
     n_ranges = max(1, math.ceil(rows / range_rows))
@@ -110,7 +111,16 @@ def shard_quotas(sizes: DataFrame, sources: DataFrame, block_words: int, range_r
     own = F.sum("size").over(Window.partitionBy("source", "shard", "h"))
     partly = at_edge.withColumn("middle", upto - own / 2).filter("middle < rest").groupBy("source").agg(F.max("h").alias("cut"))
     cuts = materialize(whole.unionByName(partly).groupBy("source").agg(F.max("cut").alias("cut")), "cuts")
-    return materialize(lookup_join(plan, cuts, "source"), "mix"), quotas
+    return _swapped(sizes, materialize(lookup_join(plan, cuts, "source"), "cut-plan")), quotas
+
+
+def _swapped(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds swap: the order hash of the one document per source whose change of side leaves the smallest gap to the quota."""
+    groups = materialize(lookup_join(sizes.groupBy("source", "h").agg(F.sum("size").alias("size")), plan.select("source", "rest", "cut"), "source").withColumn("__in", F.coalesce(F.col("h") <= F.col("cut"), F.lit(False))), "groups")
+    gaps = materialize(groups.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("__in"), F.col("size")).otherwise(0))).alias("gap")), "gaps")
+    left = F.abs(F.col("gap") + F.when(F.col("__in"), F.col("size")).otherwise(-F.col("size")))
+    best = lookup_join(groups.filter("rest > 0"), gaps, "source").withColumn("__left", left).filter("__left < abs(gap)").groupBy("source").agg(F.min_by("h", F.struct("__left", "h")).alias("swap"))
+    return materialize(lookup_join(plan, materialize(best, "swaps"), "source"), "mix")
 
 
 def plan_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = SEED, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -123,11 +133,12 @@ def plan_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, epoch
 
 
 def _copies():
-    return F.col("__passes") + F.when(F.col("__h") <= F.col("__cut"), 1).otherwise(0)
+    first = F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False))
+    return F.col("__passes") + (first != F.coalesce(F.col("__h") == F.col("__swap"), F.lit(False))).cast("int")
 
 
 def _with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    side = sources.select("source", F.col("passes").alias("__passes"), F.col("cut").alias("__cut"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    side = sources.select("source", F.col("passes").alias("__passes"), F.col("cut").alias("__cut"), F.col("swap").alias("__swap"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     return lookup_join(rows, side, "source")
 
 

@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftstone.llm import mixing, sharding
+from siftstone.llm import mixing, quality_rules, sharding, url_graph
 from siftstone.llm.common import read_table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op1_quality_rules(spark, sf_dir):
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_sharding(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op6_url_filters(spark, sf_dir):
+    return url_graph.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
+        "op6_url_filters": op6_url_filters,
         "op7_mixing": op7_mixing,
     }
 
