@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from siftstone.llm import mixing, quality_rules, sharding, url_graph
+from siftstone.llm import chunk_bpe, mixing, quality_rules, repair_ids, sharding, url_graph
 from siftstone.llm.common import read_table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -27,12 +27,23 @@ def op7_mixing(spark, sf_dir):
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("text")
+
+
+def op10_token_files(spark, sf_dir):
+    return repair_ids.token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
         "op6_url_filters": op6_url_filters,
         "op7_mixing": op7_mixing,
+        "op9_bpe": op9_bpe,
+        "op10_token_files": op10_token_files,
     }
 
 
