@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siftstone.llm import chunk_bpe, mixing, quality_rules, repair_ids, sharding, url_graph
+from siftstone.llm import chunk_bpe, html_blocks, mixing, pii, quality_rules, repair_ids, sharding, url_graph
 from siftstone.llm.common import read_table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -19,6 +19,10 @@ def op2_sharding(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op4_pii(spark, sf_dir):
+    return pii.anonymize(read_table(spark, sf_dir, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
+
+
 def op6_url_filters(spark, sf_dir):
     return url_graph.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -27,6 +31,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark, sf_dir):
+    return html_blocks.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return chunk_bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("text")
@@ -40,8 +48,10 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
+        "op4_pii": op4_pii,
         "op6_url_filters": op6_url_filters,
         "op7_mixing": op7_mixing,
+        "op8_html": op8_html,
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
     }
