@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siftstone.llm import chunk_bpe, html_blocks, mixing, pii, quality_rules, repair_ids, sharding, url_graph
+from siftstone.llm import chunk_bpe, html_blocks, mixing, pii, quality_rules, repair_ids, setsketch_dedup, sharding, url_graph
 from siftstone.llm.common import read_table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -23,6 +23,10 @@ def op4_pii(spark, sf_dir):
     return pii.anonymize(read_table(spark, sf_dir, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
 
 
+def op5_minhash(spark, sf_dir):
+    return setsketch_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), setsketch_dedup.Shingles(words=2))
+
+
 def op6_url_filters(spark, sf_dir):
     return url_graph.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,6 +53,7 @@ def queries():
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
         "op4_pii": op4_pii,
+        "op5_minhash": op5_minhash,
         "op6_url_filters": op6_url_filters,
         "op7_mixing": op7_mixing,
         "op8_html": op8_html,
