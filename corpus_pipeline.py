@@ -1,9 +1,50 @@
-"""Corpus preparation: stages applied one after the other to documents."""
-STAGES = []
+"""Corpus preparation: stages applied one after the other to the table documents.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows that go on, with the columns of documents; the last adds
+the encoding. run() applies them in one plan each; a caller that writes each stage's result and rereads it gets
+the same rows.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from siftstone.llm import chunk_bpe, mixing, pii, quality_rules, setsketch_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, and whose host does."""
+    return quality_rules.filtered(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, on shingles of five words."""
+    return setsketch_dedup.deduplicated(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets replaced by surrogates."""
+    return pii.anonymize(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids and digests of ids and decoded text."""
+    return chunk_bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("near-duplicates", near_dedup), ("personal data", private), ("source mix", mixture), ("bpe encoding", encoded)]
+
+#: Surrogates, hashes and ids can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
