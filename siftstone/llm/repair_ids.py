@@ -2,7 +2,7 @@
 
 Documents are range-partitioned in ascending order of doc_id, encoded by a byte-level BPE, and cut into shards of
 whole documents. In a shard the most frequent neighbouring ids are replaced by nonterminals, round after round:
-each round counts all pairs, takes frequent ones that can't overlap each other, and replaces every occurrence.
+each round counts the pairs, takes frequent ones that can't overlap each other, and replaces every occurrence.
 A shard file holds the rules, the length of each nonterminal's expansion, the compressed sequence and the
 documents' ids and lengths. With the expansion lengths any range of tokens is decoded without the rest.
 
@@ -20,6 +20,7 @@ import functools
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,129 +29,333 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.chunk_bpe import TRAILING, load
 from siftstone.llm.common import arrow_batches, is_small, shared_dir
+from siftstone.llm.hashing import U, range_hashes, slices
 
 MAGIC = b"RPG1"
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 #: Pairs found less often in a shard's round are left; rounds end when no pair is as frequent, or at the last one.
-MIN_COUNT, ROUNDS, RULES_PER_ROUND = 16, 8, 4096
-PIECES_KEPT = 600_000
+MIN_COUNT, ROUNDS, RULES_PER_ROUND = 12, 4, 4096
+#: Ids are below; nonterminals begin here.
+FIRST_FREE = 1 << 16
+BIN_BITS = 18
+BINS = 1 << BIN_BITS
+#: Words of the table, and of a generation of the memo behind it.
+WORDS_KEPT, STEMS_KEPT, PIECES_KEPT = 2_500_000, 300_000, 50_000
 #: A space inside a run of white space may belong to another pre-token than the one after it.
 UNSAFE = re.compile(r"\s (?!\S)")
+UNSAFE_LINE = re.compile(r"\n\s|\s\n")
+CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _byte_alphabet() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 itself, others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
 class Pieces(dict):
-    """piece -> ids as 16-bit bytes. A piece is a space and what follows up to the next one."""
+    """word -> ids of the lead (a space, or nothing) and the word, as 16-bit bytes. After a line feed a word has no lead.
 
-    def __init__(self, path: str) -> None:
+    Two generations bound the memo: what is in use moves to the newer.
+    """
+
+    def __init__(self, path: str, lead: str = " ") -> None:
         super().__init__()
-        self.tokenizer = load(path)
-
-    def __missing__(self, piece: str) -> bytes:
-        body = piece.rstrip(TRAILING)
-        if body and body != piece and body[-1] < "ɐ" and body[-1].isalpha():
-            found = self[body] + self._own(piece[len(body):])
-        else:
-            found = self._own(piece)
+        self.tokenizer, self.lead = load(path), lead
+        self.tokenize, self.alphabet = self.tokenizer.model.tokenize, _byte_alphabet()
+        self.shown = "".join([self.alphabet[b] for b in lead.encode()])
+        self.older: dict[str, bytes] = {}
+        self.short: dict[str, bytes] = {}
+        self.bare = Pieces(path, "") if lead else self
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            body = word.rstrip(TRAILING)
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):  # letters are one pre-token, the run after them another
+                if body == word:
+                    raw = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
+                    found = b"".join([t.id.to_bytes(2, "little") for t in self.tokenize(self.shown + raw)])
+                else:
+                    found = self[body] + self.encode_short(word[len(body):])
+            elif word[:1] == "\n" and self.lead:
+                found = self.encode_short("\n") + (self.bare[word[1:]] if len(word) > 1 else b"")
+            else:
+                found = self.encode_short(self.lead + word)
         if len(self) >= PIECES_KEPT:
+            self.older = dict(self)
             self.clear()
-        self[piece] = found
+        self[word] = found
         return found
 
-    def _own(self, piece: str) -> bytes:
-        if (known := self.get(piece)) is not None:
-            return known
-        self[piece] = found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+    def encode_short(self, text: str) -> bytes:
+        found = self.short.get(text)
+        if found is None:
+            if len(self.short) >= 20_000:
+                self.short.clear()
+            self.short[text] = found = self.encode_whole(text)
         return found
 
+    def encode_whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text. A text is cut before each space, where pre-tokens begin; where that isn't sure, it isn't cut."""
-        if ("  " in text or "\n " in text or not text.isascii() or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text) and UNSAFE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + x] for x in rest])
+        """Ids of a whole text. A text is cut before each space and single line feed, where pre-tokens begin; where that isn't sure, it isn't cut."""
+        odd = not text.isascii() or any([c in text for c in CONTROLS])
+        if ("  " in text or "\n " in text or odd) and UNSAFE.search(text):
+            return self.encode_whole(text)
+        if "\n" in text and not ("\n\n" in text or "\n " in text or " \n" in text or odd and UNSAFE_LINE.search(text)):
+            text = text.replace("\n", " \n")
+        first, space, rest = text.partition(" ")
+        own = self.encode_short(first)
+        return own + b"".join(map(self.__getitem__, rest.split(" "))) if space else own
+
+
+class WordTable:
+    """Ids of whole batches of texts: words (each with the space or line feed before it) are hashed together and looked
+    up in an open-addressing table; only new ones are encoded. 64-bit hashes stand for words. A full table is emptied.
+    """
+
+    SLOTS = 22
+
+    def __init__(self, path: str) -> None:
+        self.pieces = Pieces(path)
+        self.stems: dict[str, bytes] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys = np.zeros(1 << self.SLOTS, U)
+        self.place = np.zeros(1 << self.SLOTS, np.int32)
+        self.flat, self.starts, self.n, self.used = np.empty(5 * WORDS_KEPT, np.uint16), np.zeros(WORDS_KEPT + 1, np.int32), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for new ones."""
+        slot = (hashes >> U(64 - self.SLOTS)).astype(np.int64)
+        out = np.where(self.keys[slot] == hashes, self.place[slot], -1)
+        left = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
+        step = 0
+        while len(left):
+            step += 1
+            at = (slot[left] + step) & ((1 << self.SLOTS) - 1)
+            held = self.keys[at]
+            hit = held == hashes[left]
+            out[left[hit]] = self.place[at[hit]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> bool:
+        """Put in distinct new words. False, and nothing put in, if they would overfill the table."""
+        sizes = np.array([len(x) // 2 for x in ids], np.int64)
+        if self.n + len(ids) > WORDS_KEPT or self.used + sizes.sum() > len(self.flat):
+            return False
+        ends = self.used + np.cumsum(sizes)
+        self.flat[self.used : self.used + sizes.sum()] = np.frombuffer(b"".join(ids), "<u2")
+        self.starts[self.n + 1 : self.n + len(ids) + 1] = ends
+        number = np.arange(self.n, self.n + len(ids), dtype=np.int32)
+        self.n, self.used = self.n + len(ids), self.used + int(sizes.sum())
+        slot, left = (hashes >> U(64 - self.SLOTS)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            at = slot[left] & ((1 << self.SLOTS) - 1)
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[left[free]]  # of several for one slot the last stays
+            put = free & (self.keys[at] == hashes[left])
+            self.place[at[put]] = number[left[put]]
+            left = left[~put]
+            slot[left] += 1
+        return True
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, as 16-bit bytes; of nulls none."""
+        texts = texts.cast(pa.large_string())
+        out: list[bytes] = [b""] * len(texts)
+        if not len(texts) or texts.buffers()[2] is None:
+            return out
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)
+        for at, to in slices(offsets):
+            self._slice(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], out, at)
+        return out
+
+    def _slice(self, data: np.ndarray, bounds: np.ndarray, out: list[bytes], first: int) -> None:
+        if not len(data):
+            return
+        gap = _GAP[data]
+        # texts with any white space but single spaces and line feeds between words go the slower way
+        odd = _ODD[data]
+        wide = np.flatnonzero(_LEAD[data[:-1]])
+        odd[wide] |= _WIDE[(data[wide].astype(np.int64) << 8) | data[wide + 1]]
+        odd[1:] |= gap[1:] & gap[:-1]
+        full = bounds[:-1] < bounds[1:]
+        odd[bounds[:-1][full]] |= gap[bounds[:-1][full]]
+        odd[bounds[1:][full] - 1] |= gap[bounds[1:][full] - 1]
+        strange = np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds]) > 0
+
+        cut = gap.copy()
+        cut[bounds[:-1][full]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        hashes = range_hashes(data, starts, ends) | U(1)  # 0 marks an empty slot
+        places = self.find(hashes)
+        edges = np.searchsorted(starts, bounds)
+        plain = ~np.repeat(strange[full], np.diff(edges)[full])
+        new = np.flatnonzero((places < 0) & plain)
+        if len(new):
+            unique, index = np.unique(hashes[new], return_index=True)
+            raw = data.tobytes()
+            first_at, last_at = starts[new[index]].tolist(), ends[new[index]].tolist()
+            found = self._ids([raw[s:e].decode() for s, e in zip(first_at, last_at, strict=True)])
+            if not self.add(unique, found):
+                self.reset()
+                if len(unique) == len(np.unique(hashes[plain])):  # more words in one slice than the table holds
+                    return self._slow(data, bounds, out, first)
+                return self._slice(data, bounds, out, first)
+            places = self.find(hashes)
+        places[~plain] = 0
+        from_, sizes = self.starts[places].astype(np.int64), (self.starts[places + 1] - self.starts[places]).astype(np.int64)
+        sizes[~plain] = 0
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(from_ - total[:-1], sizes) + np.arange(total[-1])].tobytes()
+        ranges = 2 * total[edges]
+        for i in range(len(bounds) - 1):
+            out[first + i] = ids[ranges[i] : ranges[i + 1]] if not strange[i] else self.pieces.encode(bytes(data[bounds[i] : bounds[i + 1]]).decode())
+
+    def _slow(self, data: np.ndarray, bounds: np.ndarray, out: list[bytes], first: int) -> None:
+        for i in range(len(bounds) - 1):
+            if bounds[i] < bounds[i + 1]:
+                out[first + i] = self.pieces.encode(bytes(data[bounds[i] : bounds[i + 1]]).decode())
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of new words, each with what leads it. Stems are kept a while, for their forms with other punctuation."""
+        out, stems, pieces = [], self.stems, self.pieces
+        if len(stems) > STEMS_KEPT:
+            stems.clear()
+        for word in words:
+            body = word.rstrip(TRAILING)
+            stem = body[1:]
+            if body[:1] == " " and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                own = stems.get(stem)
+                if own is None:
+                    raw = stem if stem.isascii() else "".join([pieces.alphabet[b] for b in stem.encode()])
+                    stems[stem] = own = array("H", [t.id for t in pieces.tokenize("\u0120" + raw)]).tobytes()
+                out.append(own if len(body) == len(word) else own + pieces.encode_short(word[len(body):]))
+            elif word[0] == " ":
+                out.append(pieces.encode_short(word))
+            else:
+                out.append(pieces[word] if word[0] == "\n" else pieces.encode_short(word))
+        return out
+
+
+_GAP = np.zeros(256, bool)
+_GAP[[10, 32]] = True
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: First two bytes of all other white space in UTF-8.
+_WIDE = np.zeros(1 << 16, bool)
+_WIDE[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 @functools.cache
-def pieces(path: str) -> Pieces:
+def words(path: str) -> WordTable:
     if load(path).get_vocab_size(with_added_tokens=True) > 1 << 16:
         raise ValueError("ids must fit into 16 bits")
-    return Pieces(path)
-
-
-def _chosen(keys: np.ndarray, base: np.uint64, limit: int) -> np.ndarray:
-    """Sorted keys of frequent pairs none of whose last ids is another's first."""
-    bins = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-    heavy = np.bincount(bins.astype(np.int64), minlength=1 << 20) >= MIN_COUNT
-    values, counts = np.unique(keys[heavy[bins]], return_counts=True)
-    values, counts = values[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
-    order = np.argsort(-counts, kind="stable")[: 4 * limit]
-    firsts, lasts, out = set(), set(), []
-    for key in values[order].tolist():
-        a, b = divmod(key, int(base))
-        if a in lasts or b in firsts or (a == b and (a in firsts or b in lasts)):
-            continue
-        firsts.add(a)
-        lasts.add(b)
-        out.append(key)
-        if len(out) == limit:
-            break
-    return np.sort(np.array(out, np.uint64))
+    return WordTable(path)
 
 
-def compress(ids: np.ndarray, first_free: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, rules as pairs, expansion lengths). Nonterminal k of rules is first_free + k."""
-    seq, rules = ids.astype(np.uint32), []
-    size = first_free
+def _chosen(keys: np.ndarray, bins: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bins, keys) of frequent pairs none of whose last ids is another's first.
+
+    Pairs are counted by bin; a bin stands for one of its pairs. An id that is both a first and a last one keeps the
+    role in which it is more frequent.
+    """
+    held = np.zeros(BINS, np.uint64)
+    held[bins] = keys
+    counts = np.bincount(bins[held[bins] == keys], minlength=BINS)
+    best = np.flatnonzero(counts >= MIN_COUNT)
+    if len(best) > RULES_PER_ROUND:
+        best = np.sort(best[np.argpartition(-counts[best], RULES_PER_ROUND)[:RULES_PER_ROUND]])
+    a, b = (held[best] // np.uint64(base)).astype(np.int64), (held[best] % np.uint64(base)).astype(np.int64)
+    first, last = np.bincount(a, counts[best], base), np.bincount(b, counts[best], base)
+    ok = (first[a] >= last[a]) & (first[b] < last[b])
+    return best[ok], held[best[ok]]
+
+
+def compress(ids: np.ndarray, first_free: int = FIRST_FREE) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sequence, rules by round as pairs). Nonterminals are numbered from first_free on; a round's rules use earlier symbols only."""
+    seq, rounds, size = ids.astype(np.uint32), [], first_free
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        base = np.uint64(size)
-        keys = seq[:-1].astype(np.uint64) * base + seq[1:]
-        best = _chosen(keys, base, RULES_PER_ROUND)
+        keys = seq[:-1].astype(np.uint64)
+        keys *= np.uint64(size)
+        keys += seq[1:]
+        bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+        where, best = _chosen(keys, bins, size)
         if not len(best):
             break
-        at = np.searchsorted(best, keys)
-        at[at == len(best)] = 0
-        hit = best[at] == keys
-        # equal neighbours (aaa) overlap themselves: every second hit of a run counts
-        twin = hit & (seq[:-1] == seq[1:])
-        if twin.any():
-            where = np.flatnonzero(twin)
-            start = np.concatenate([[True], np.diff(where) > 1])
-            odd = (where - where[start][np.cumsum(start) - 1]) % 2 == 1
-            hit[where[odd]] = False
-        where = np.flatnonzero(hit)
-        seq[where] = (size + at[where]).astype(np.uint32)
+        symbol, wanted = np.zeros(BINS, np.uint32), np.zeros(BINS, np.uint64)
+        symbol[where] = np.arange(size, size + len(best), dtype=np.uint32)
+        wanted[where] = best
+        new = symbol[bins]
+        hits = np.flatnonzero(new)
+        hits = hits[wanted[bins[hits]] == keys[hits]]
+        seq[hits] = new[hits]
         keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
+        keep[hits + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([best // base, best % base], 1).astype(np.uint32))
+        rounds.append(np.stack([best // np.uint64(size), best % np.uint64(size)], 1).astype(np.uint32))
         size += len(best)
-    table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    lengths = np.ones(size, np.uint32)
-    for k, pair in enumerate(table.tolist()):
-        lengths[first_free + k] = lengths[pair[0]] + lengths[pair[1]]
-    return seq, table, lengths[first_free:]
+    return seq, rounds
+
+
+def expansion_lengths(rounds: list[np.ndarray], first_free: int = FIRST_FREE) -> np.ndarray:
+    """Tokens that each symbol stands for."""
+    lengths = np.ones(first_free + sum(map(len, rounds)), np.uint32)
+    at = first_free
+    for pairs in rounds:
+        lengths[at : at + len(pairs)] = lengths[pairs[:, 0]] + lengths[pairs[:, 1]]
+        at += len(pairs)
+    return lengths
+
+
+def expand(symbols: np.ndarray, rounds: list[np.ndarray], first_free: int = FIRST_FREE) -> np.ndarray:
+    at = first_free + sum(map(len, rounds))
+    for pairs in reversed(rounds):
+        at -= len(pairs)
+        rule = symbols >= at
+        if rule.any():
+            ends = np.cumsum(1 + rule)
+            out = np.empty(ends[-1], np.uint32)
+            left, right = pairs[symbols[rule] - at].T
+            out[ends[~rule] - 1] = symbols[~rule]
+            out[ends[rule] - 2], out[ends[rule] - 1] = left, right
+            symbols = out
+    return symbols
 
 
 def pack(doc_ids: list[int | None], doc_tokens: list[bytes]) -> bytes:
-    """A shard file. Header, documents' ids and lengths, rules, expansion lengths, sequence of 24-bit symbols."""
+    """A shard file: header, documents' ids and lengths, rules by round, expansion lengths of rules, sequence of 24-bit symbols."""
     n_tokens = np.array([len(x) // 2 for x in doc_tokens], "<u4")
-    seq, rules, lengths = compress(np.frombuffer(b"".join(doc_tokens), "<u2"))
+    seq, rounds = compress(np.frombuffer(b"".join(doc_tokens), "<u2"))
+    lengths = expansion_lengths(rounds)[FIRST_FREE:]
     null = np.array([x is None for x in doc_ids], np.uint8)
     symbols = seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    head = MAGIC + struct.pack("<III", len(doc_ids), len(rules), len(seq))
-    return b"".join([head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), n_tokens.tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), np.ascontiguousarray(symbols).tobytes()])
+    head = MAGIC + struct.pack(f"<III{len(rounds)}I", len(doc_ids), len(seq), len(rounds), *map(len, rounds))
+    rules = b"".join([x.astype("<u4").tobytes() for x in rounds])
+    return b"".join([head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), n_tokens.tobytes(), rules, lengths.astype("<u4").tobytes(), np.ascontiguousarray(symbols).tobytes()])
 
 
 class Shard:
     """Random access to a shard file."""
 
-    def __init__(self, payload: bytes, first_free: int = 1 << 16) -> None:
+    def __init__(self, payload: bytes) -> None:
         if payload[:4] != MAGIC:
             raise ValueError("not a shard file")
-        docs, rules, symbols = struct.unpack_from("<III", payload, 4)
-        at, self.first_free = 16, first_free
+        docs, symbols, n_rounds = struct.unpack_from("<III", payload, 4)
+        sizes = struct.unpack_from(f"<{n_rounds}I", payload, 16)
+        at = 16 + 4 * n_rounds
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -159,46 +364,26 @@ class Shard:
             return out
 
         ids, null = take("<i8", docs), take("u1", docs)
-        self.doc_ids = [None if z else int(x) for x, z in zip(ids, null, strict=True)]
+        self.doc_ids = [None if z else x for x, z in zip(ids.tolist(), null.tolist(), strict=True)]
         self.n_tokens = take("<u4", docs).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n_tokens)])
-        self.rules, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
+        self.rounds = [take("<u4", 2 * n).reshape(-1, 2) for n in sizes]
+        self.lengths = np.concatenate([np.ones(FIRST_FREE, np.uint32), take("<u4", sum(sizes))])
         packed = np.zeros((symbols, 4), np.uint8)
         packed[:, :3] = take("u1", 3 * symbols).reshape(-1, 3)
         self.seq = packed.view("<u4").reshape(-1)
-        widths = self.widths(self.seq)
-        self.ends = np.cumsum(widths)
-        #: Expansions of all nonterminals, one after the other.
-        self.at = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
-        flat = np.empty(self.at[-1], np.uint32)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            s, e = self.at[k], self.at[k + 1]
-            middle = s + (1 if a < first_free else self.lengths[a - first_free])
-            flat[s:middle] = a if a < first_free else flat[self.at[a - first_free] : self.at[a - first_free + 1]]
-            flat[middle:e] = b if b < first_free else flat[self.at[b - first_free] : self.at[b - first_free + 1]]
-        self.flat = flat
-
-    def widths(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.first_free
-        out[rule] = self.lengths[symbols[rule] - self.first_free]
-        return out
+        self.ends = np.cumsum(self.lengths[self.seq], dtype=np.int64)
+
+    def all_tokens(self) -> np.ndarray:
+        return expand(self.seq, self.rounds)
 
     def tokens(self, start: int, end: int) -> np.ndarray:
-        """Tokens start..end of the shard, expanding only the symbols that cover them."""
+        """Tokens start..end of the shard, expanding only the symbols that cover them, found by the lengths of expansions."""
         if end <= start:
             return np.empty(0, np.uint32)
         i, j = int(np.searchsorted(self.ends, start, "right")), int(np.searchsorted(self.ends, end, "left")) + 1
-        symbols = self.seq[i:j]
-        widths = self.widths(symbols)
-        heads = np.cumsum(widths) - widths
-        out = np.repeat(symbols, widths)
-        rule = out >= self.first_free
-        if rule.any():
-            within = np.arange(len(out)) - np.repeat(heads, widths)
-            out[rule] = self.flat[self.at[out[rule] - self.first_free] + within[rule]]
         skipped = start - (int(self.ends[i - 1]) if i else 0)
-        return out[skipped : skipped + end - start]
+        return expand(self.seq[i:j], self.rounds)[skipped : skipped + end - start]
 
     def document(self, k: int) -> np.ndarray:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
@@ -216,14 +401,14 @@ def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 0, shard_tok
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        memo, ids, tokens, size, seq, part = pieces(path), [], [], 0, 0, None
+        table, ids, tokens, size, seq, part = words(path), [], [], 0, 0, None
 
         def shard():
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([pack(ids, tokens)], pa.binary())})
 
         for batch in batches:
-            for doc_id, text, part in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                own = (memo.encode(text) if text else b"") + end
+            for doc_id, own, part in zip(batch.column("doc_id").to_pylist(), table.batch(batch.column("text")), batch.column("part").to_pylist(), strict=True):
+                own += end
                 ids.append(doc_id)
                 tokens.append(own)
                 size += len(own) // 2
@@ -253,7 +438,7 @@ def read_shards(spark, path: str) -> DataFrame:
         for batch in batches:
             for base, payload in zip(batch.column("base").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 shard = Shard(payload)
-                whole = shard.tokens(0, int(shard.starts[-1])).astype("<u4")
+                whole = shard.all_tokens().astype("<u4")
                 crcs = [zlib.crc32(whole[s:e].tobytes()) for s, e in zip(shard.starts[:-1], shard.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids, pa.int64()), "start": pa.array(base + shard.starts[:-1], pa.int64()), "n_tokens": pa.array(shard.n_tokens, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 

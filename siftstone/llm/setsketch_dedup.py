@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_batches, is_small, materialize
 from siftstone.llm.components import components
+from siftstone.llm.hashing import U, mix, range_hashes, slices
 
 #: Registers, registers in a band, base of the scale, rate and highest register value.
 REGISTERS, BAND, BASE, RATE, TOP = 64, 4, 1.001, 20.0, 65_535
@@ -38,7 +39,6 @@ BANDS = REGISTERS // BAND
 BLOCK = 256
 #: A pair is dropped if a similarity of the threshold or more is e**SLACK times less likely than the best one.
 SLACK = 10.0
-U = np.uint64
 
 
 @dataclass(frozen=True)
@@ -51,31 +51,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_P = 0x9E3779B97F4A7C15
 _MULTIPLIERS = np.random.default_rng(55).integers(1, 2**63, REGISTERS, dtype=np.uint64) | U(1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, U), np.cumprod(np.full(n, base, U))])
-
-
-class _Powers:
-    up = down = np.ones(1, U)
-
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) <= n:
-            cls.up, cls.down = _powers(_P, n), _powers(pow(_P, -1, 2**64), n)
-        return cls.up, cls.down
-
-
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words of each text) of UTF-8 texts that end at bounds[1:] in data."""
     data = _LOWER[data]
@@ -85,9 +63,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     inside = ~gap
     starts = np.flatnonzero(inside & (np.concatenate([[True], gap[:-1]]) | edge[:-1]))
     ends = np.flatnonzero(inside & (np.concatenate([gap[1:], [True]]) | edge[1:])) + 1
-    up, down = _Powers.to(len(data))
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTES[data] * up[: len(data)])])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)), np.diff(np.searchsorted(starts, bounds))
+    return range_hashes(data, starts, ends), np.diff(np.searchsorted(starts, bounds))
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -97,9 +73,7 @@ def shingle_sets(texts: pa.Array, k: int):
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
+    for at, to in slices(offsets):
         bounds = offsets[at : to + 1] - offsets[at]
         if bounds[-1]:
             words, counts = word_hashes(data[offsets[at] : offsets[to]], bounds)
@@ -116,7 +90,6 @@ def shingle_sets(texts: pa.Array, k: int):
                     for w in words[s + 1 : s + n]:
                         whole = mix(whole * U(0xA24BAED4963EE407) + w)
                     yield at + row, whole + U(n)
-        at = to
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -132,7 +105,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     packed = np.ascontiguousarray(registers).view("<u8").reshape(len(registers), BANDS)
-    return mix(packed + np.arange(1, BANDS + 1, dtype=U) * U(_P)).view(np.int64)
+    return mix(packed + np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def plausible(greater: np.ndarray, less: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, threshold: float) -> np.ndarray:
