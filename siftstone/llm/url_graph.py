@@ -53,7 +53,7 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return links.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 50) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 60) -> DataFrame:
     """host, trust, distrust. seeds: host, trust0, distrust0. Each round is two joins at host level and ends in a table."""
     out = edges.groupBy("src").agg(F.sum("links").alias("__out"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("__in"))
