@@ -87,7 +87,7 @@ def rule_rescan_counts(spark, sf_dir):
 def gate_verdicts(spark, sf_dir):
     f = files(spark, sf_dir)
     each = [F.struct(F.lit(name).alias("gate"), gates.verdict(gates.parse(script), F.col("content"), F.col("path")).alias("v")) for name, script in GATES]
-    return f.select("path", F.explode(F.array(*each)).alias("x")).select("path", "x.gate", "x.v.passed", "x.v.failed_at", "x.v.reason")
+    return f.select("path", F.explode(F.array(*each)).alias("x")).select("path", "x.gate", "x.v.passed", F.coalesce("x.v.failed_at", F.lit(0)).alias("failed_at"), "x.v.reason")
 
 
 def gate_verdict_metadata(spark, sf_dir):
@@ -95,7 +95,7 @@ def gate_verdict_metadata(spark, sf_dir):
     v = gate_verdicts(spark, sf_dir)
     reasons = v.filter("reason is not null").groupBy("gate", "reason").agg(F.min("path").alias("p"))
     merged = reasons.groupBy("gate").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "reason"))), lambda x: x["reason"]).alias("reasons"))
-    return v.groupBy("gate").agg(F.count_if("passed").alias("passed"), F.min("failed_at").alias("first_failed")).join(merged, "gate", "left").select("gate", "passed", "first_failed", F.array_join("reasons", "; ").alias("reasons"))
+    return v.groupBy("gate").agg(F.count_if("passed").alias("passed"), F.min(F.nullif("failed_at", F.lit(0))).alias("first_failed")).join(merged, "gate", "left").select("gate", "passed", "first_failed", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def gate_project_observation(spark, sf_dir):
@@ -228,7 +228,7 @@ m AS (SELECT path, 1 AS rule_seq FROM paths WHERE regexp_matches('/' || path, 's
   UNION ALL SELECT path, 'mixed', CASE WHEN NOT regexp_matches(path, '^src1.*/en/.*$') THEN 1 WHEN NOT regexp_matches(content, 'the', 'i') THEN 2 WHEN regexp_matches(content, 'token') THEN 3 END, NULL FROM files
   UNION ALL SELECT path, 'logic', CASE WHEN ((regexp_matches(content, 'stupid') OR regexp_matches(content, 'idiot')) AND NOT regexp_matches(content, 'Apache')) OR NOT regexp_matches(content, 'e') THEN NULL ELSE 1 END, NULL FROM files
   UNION ALL SELECT path, 'name', CASE WHEN string_split(path, '/')[3] = '7.txt' THEN NULL ELSE 1 END, NULL FROM files
-), verdicts AS (SELECT path, gate, failed_at IS NULL AS passed, CAST(failed_at AS INTEGER) AS failed_at,
+), verdicts AS (SELECT path, gate, failed_at IS NULL AS passed, CAST(coalesce(failed_at, 0) AS INTEGER) AS failed_at,
   CASE gate WHEN 'plain' THEN reason WHEN 'mixed' THEN CASE WHEN failed_at IS NOT NULL THEN 'out of scope' END WHEN 'logic' THEN CASE WHEN failed_at IS NOT NULL THEN 'condition does not hold' END ELSE CASE WHEN failed_at IS NOT NULL THEN 'file has another name' END END AS reason FROM v)"""
     )
     covered = """(regexp_matches(lower(platform), '^en$') AND rule = 'symbols') OR (rule = 'address literal' AND lower(path) = 'src1/en/21.txt') OR (category = 'contact' AND regexp_matches(path, '/de/', 'i')) OR regexp_matches(code, 'license|licence', 'i') OR (rule = 'insult' AND line = 3)"""
@@ -239,7 +239,7 @@ reviewed AS (SELECT key, n, CASE WHEN platform = 'fr' THEN 'false_positive' WHEN
         "rule_line_matches": f"WITH {HITS} SELECT path, rule_seq, CAST(line AS INTEGER) AS line, pass_no FROM hits",
         "rule_rescan_counts": f"WITH {HITS} SELECT rule, count(*) FILTER (pass_no = 0) AS cased, count(*) FILTER (pass_no = 1) AS added FROM hits GROUP BY rule",
         "gate_verdicts": f"WITH {verdicts} SELECT * FROM verdicts",
-        "gate_verdict_metadata": f"WITH {verdicts}, r AS (SELECT gate, reason, min(path) AS p FROM verdicts WHERE reason IS NOT NULL GROUP BY gate, reason), t AS (SELECT gate, string_agg(reason, '; ' ORDER BY p) AS reasons FROM r GROUP BY gate) SELECT v.gate, count(*) FILTER (passed) AS passed, min(failed_at) AS first_failed, any_value(reasons) AS reasons FROM verdicts v LEFT JOIN t ON v.gate = t.gate GROUP BY v.gate",
+        "gate_verdict_metadata": f"WITH {verdicts}, r AS (SELECT gate, reason, min(path) AS p FROM verdicts WHERE reason IS NOT NULL GROUP BY gate, reason), t AS (SELECT gate, string_agg(reason, '; ' ORDER BY p) AS reasons FROM r GROUP BY gate) SELECT v.gate, count(*) FILTER (passed) AS passed, min(nullif(failed_at, 0)) AS first_failed, any_value(reasons) AS reasons FROM verdicts v LEFT JOIN t ON v.gate = t.gate GROUP BY v.gate",
         "gate_project_observation": f"""WITH {FILES}, entries AS (SELECT DISTINCT e FROM (SELECT path AS e FROM files UNION ALL SELECT source || '/' || lang FROM documents UNION ALL SELECT source FROM documents)),
 t AS (SELECT 'french' AS label, e FROM entries WHERE regexp_matches(e, '^.*1/fr$') UNION ALL SELECT '*9.txt', e FROM entries WHERE regexp_matches(e, '^.*9\\.txt$') UNION ALL SELECT 'tens', e FROM entries WHERE regexp_matches(e, '^src0/.*/1.\\.txt$')),
 k AS (SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY e) AS i FROM t) SELECT label, count(*) AS n, string_agg(e, ',' ORDER BY e) FILTER (i <= 8) AS entries FROM k GROUP BY label""",
