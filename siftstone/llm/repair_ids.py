@@ -105,11 +105,16 @@ class Pieces(dict):
         odd = not text.isascii() or any([c in text for c in CONTROLS])
         if ("  " in text or "\n " in text or odd) and UNSAFE.search(text):
             return self.encode_whole(text)
-        if "\n" in text and not ("\n\n" in text or "\n " in text or " \n" in text or odd and UNSAFE_LINE.search(text)):
+        if single := "\n" in text and not ("\n\n" in text or "\n " in text or " \n" in text or odd and UNSAFE_LINE.search(text)):
             text = text.replace("\n", " \n")
         first, space, rest = text.partition(" ")
         own = self.encode_short(first)
-        return own + b"".join(map(self.__getitem__, rest.split(" "))) if space else own
+        if not space:
+            return own
+        words = rest.split(" ")
+        if not single and " \n" in text:  # a line feed after a space belongs to the white space before it
+            return own + b"".join([self.encode_short(" " + w) if w[:1] == "\n" else self[w] for w in words])
+        return own + b"".join(map(self.__getitem__, words))
 
 
 class WordTable:
@@ -268,7 +273,7 @@ def _chosen(keys: np.ndarray, bins: np.ndarray, base: int) -> tuple[np.ndarray,
     """(bins, keys) of frequent pairs none of whose last ids is another's first.
 
     Pairs are counted by bin; a bin stands for one of its pairs. An id that is both a first and a last one keeps the
-    role in which it is more frequent.
+    role in which it is more frequent, at a tie the one of its most frequent pair.
     """
     held = np.zeros(BINS, np.uint64)
     held[bins] = keys
@@ -276,9 +281,15 @@ def _chosen(keys: np.ndarray, bins: np.ndarray, base: int) -> tuple[np.ndarray,
     best = np.flatnonzero(counts >= MIN_COUNT)
     if len(best) > RULES_PER_ROUND:
         best = np.sort(best[np.argpartition(-counts[best], RULES_PER_ROUND)[:RULES_PER_ROUND]])
-    a, b = (held[best] // np.uint64(base)).astype(np.int64), (held[best] % np.uint64(base)).astype(np.int64)
-    first, last = np.bincount(a, counts[best], base), np.bincount(b, counts[best], base)
-    ok = (first[a] >= last[a]) & (first[b] < last[b])
+    order = np.argsort(-counts[best], kind="stable")
+    a, b = (held[best[order]] // np.uint64(base)).astype(np.int64), (held[best[order]] % np.uint64(base)).astype(np.int64)
+    as_first, as_last = np.bincount(a, counts[best[order]], base), np.bincount(b, counts[best[order]], base)
+    rank = np.arange(len(best))[::-1]
+    top_first, top_last = np.full(base, len(best)), np.full(base, len(best))
+    top_first[a[::-1]], top_last[b[::-1]] = rank, rank  # the best rank of each id in either role
+    first = (as_first > as_last) | ((as_first == as_last) & (top_first < top_last))
+    last = (as_last > as_first) | ((as_first == as_last) & (top_last < top_first))
+    ok = np.sort(order[first[a] & last[b]])
     return best[ok], held[best[ok]]
 
 
