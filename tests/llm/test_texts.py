@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from siftstone.llm import chunk_bpe, html_blocks, pii, repair_ids
+from siftstone.llm import chunk_bpe, html_blocks, pii, repair_ids, word_table
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -43,13 +43,15 @@ def test_bpe(spark):
     assert chunk_bpe.encode_texts(df.limit(0), WORDS).count() == 0
 
 
-def test_chunks_are_reused_and_small_caches_hold(monkeypatch):
-    monkeypatch.setattr(chunk_bpe, "WORDS_KEPT", 20)
+@pytest.mark.parametrize("kept", [3, 60, 5000])
+def test_chunks_are_reused_and_small_tables_hold(monkeypatch, kept):
+    monkeypatch.setattr(word_table, "WORDS_KEPT", kept)
     monkeypatch.setattr(chunk_bpe, "CHUNKS_KEPT", 5)
     codec, tokenizer, t = chunk_bpe.ChunkCodec(WORDS), Tokenizer.from_file(WORDS), texts()
-    for (ids, _), x in zip(codec.batch(pa.array(t, pa.string())), t, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(x or "", add_special_tokens=False).ids
-    assert len(codec.chunks) <= 5
+    for _ in range(2):
+        for ids, x in zip(codec.batch(pa.array(t, pa.string())), t, strict=True):
+            assert ids.tolist() == tokenizer.encode(x or "", add_special_tokens=False).ids
+            assert codec.decode(ids) == tokenizer.decode(ids.tolist(), skip_special_tokens=False)
     raw = " ".join(f"w{i * i}" for i in range(3000)).encode()
     cuts = lambda b: {b[max(0, k - 16) : k] for k in (np.flatnonzero(chunk_bpe.cut_flags(np.frombuffer(b, np.uint8))) + 1).tolist() if k > 16}
     a, b = cuts(raw), cuts(b"other start " + raw)
@@ -76,15 +78,14 @@ def test_token_files(spark):
     assert repair_ids.token_files(df.limit(0), BYTES).count() == 0
 
 
-def test_word_table(monkeypatch):
+@pytest.mark.parametrize("kept", [3, 60, 5000])
+def test_shard_encoder(monkeypatch, kept):
+    monkeypatch.setattr(word_table, "WORDS_KEPT", kept)
     tokenizer, t = Tokenizer.from_file(BYTES), texts()
     want = [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in t]
-    assert repair_ids.WordTable(BYTES).batch(pa.array(t, pa.string())) == want
-    monkeypatch.setattr(repair_ids, "WORDS_KEPT", 60)
-    small = repair_ids.WordTable(BYTES)
-    assert small.batch(pa.array(t, pa.string())) == want and small.batch(pa.array(t, pa.string()).slice(7)) == want[7:]
-    pieces = repair_ids.Pieces(BYTES)
-    assert [pieces.encode(x or "") for x in t] == want
+    encoder = repair_ids.ShardEncoder(BYTES)
+    assert encoder.batch(pa.array(t, pa.string())) == want and encoder.batch(pa.array(t, pa.string()).slice(7)) == want[7:]
+    assert [encoder.odd_text(x or "") for x in t] == want
 
 
 @pytest.mark.parametrize("kind", ["random", "same", "runs", "empty", "one", "phrases"])
