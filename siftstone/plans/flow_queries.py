@@ -277,6 +277,7 @@ x AS (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_i
         "flow_stats": f"WITH {fl} SELECT count(*) AS flows, count(*) FILTER (status = 'O') AS partial, count(*) FILTER (status = 'F' AND risk > 40) AS high, count(DISTINCT file) AS files, count(DISTINCT sink) AS sinks FROM f",
         "summary_merge": "SELECT o_custkey AS alias, 'sink' AS kind, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey UNION ALL SELECT o_custkey, 'return', count(DISTINCT o_orderpriority[1]) FROM orders GROUP BY o_custkey",
         "extract_functions": "SELECT path, name, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", params FROM (VALUES ('a.py', 'handle', 1, 5, 'request,n'), ('a.py', 'other', 7, 8, ''), ('b.js', 'send', 1, 5, 'req'), ('c.txt', '<file>', 1, 2, ''), ('d.txt', '<file>', 1, 1, '')) AS t(path, name, s, e, params)",
+        "extract_calls": "SELECT path, CAST(line AS INTEGER) AS line, name, CAST(args AS INTEGER) AS args FROM (VALUES ('a.py', 3, 'run', 1), ('a.py', 4, 'clean', 1), ('a.py', 5, 'run', 1), ('a.py', 8, 'run', 1), ('b.js', 4, 'exec', 2), ('c.txt', 2, 'exec', 2), ('c.txt', 2, 'fmt', 2)) AS t(path, line, name, args)",
         "trace_flows": "SELECT * FROM (VALUES ('a.py', 'handle', 'run', 3, 'q'), ('b.js', 'send', 'exec', 4, 'w'), ('c.txt', '<file>', 'exec', 2, 'x')) AS t(path, function, sink, line, variable)",
         "streaming_scan": f"{H} SELECT rule_seq, pass_no, count(*) AS n FROM hits GROUP BY rule_seq, pass_no",
         "streaming_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
