@@ -1,16 +1,16 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash over the last 16 bytes cuts texts where its low bits are zero, so that passages which documents
-share are cut alike. A chunk is encoded once per worker and then found by its content. White space is a hard
-boundary of the tokenizer (no normaliser rule, pre-token or merge reaches across it), so a chunk is kept as the
-words within it, which are final, and the loose ends before its first and after its last boundary. At each join
-the two ends are encoded again together, growing over chunks until a boundary stands on both sides: there the
-repaired ids agree exactly with those of the whole text.
+A rolling hash over the last 16 bytes cuts texts where its high bits are zero, so that passages which documents
+share are cut alike. A chunk whose content was seen before, in any document of the worker, takes over the ids of the words
+within it; only words of new chunks are looked up or encoded. White space is a hard boundary of the
+tokenizer (no normaliser rule, pre-token or merge reaches across it), so words within a chunk are final, while
+those at its ends may go on in the next chunk: at each join the loose ends are encoded again together, as
+one word from boundary to boundary, where the repaired ids agree exactly with those of the whole text.
 
-The memos of words and chunks are bounded and dropped when full; texts are taken whole, whatever their length.
+The memos of words and chunks are bounded; texts are taken whole, whatever their length.
 
 Nulls: a null text is an empty one, with no ids. Repeated rows give repeated results. Special tokens in a text are
-recognised, as the library does by default. Empty tables give empty results.
+recognised, as the library does by default. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,56 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siftstone.llm.common import arrow_batches
+from siftstone.llm.hashing import U, range_hashes, slices
+from siftstone.llm.word_table import Encoder, WordTable
 
 WINDOW = 16
 #: Mean bytes of a chunk, a power of two.
 CHUNK = 256
-WORDS_KEPT, CHUNKS_KEPT = 400_000, 40_000
-#: Runs of these after a letter are pre-tokens of their own.
-TRAILING = ".,!?;:%*&#$"
-
-
-@functools.cache
-def load(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
-class Words(dict):
-    """word -> (ids as bytes, decoded text); fills itself."""
-
-    def __init__(self, path: str) -> None:
-        super().__init__()
-        self.tokenizer = load(path)
-        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
-
-    def decode(self, ids) -> str:
-        """As the library without a decoder: tokens joined by spaces."""
-        return " ".join([self.tokens[i] for i in ids])
-
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        body = word.rstrip(TRAILING)
-        if body and body != word and body[-1] < "ɐ" and body[-1].isalpha():
-            a, b = self[body], self._own(word[len(body):])
-            found = (a[0] + b[0], f"{a[1]} {b[1]}")
-        else:
-            found = self._own(word)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = found
-        return found
-
-    def _own(self, word: str) -> tuple[bytes, str]:
-        if (known := self.get(word)) is not None:
-            return known
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = found = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-        return found
+CHUNKS_KEPT = 20_000
+_GAP = np.zeros(256, bool)
+_GAP[[10, 32]] = True
 
 
 def _gear() -> np.ndarray:
@@ -99,70 +58,81 @@ def cut_flags(data: np.ndarray) -> np.ndarray:
 
 class ChunkCodec:
     def __init__(self, path: str) -> None:
-        self.words = Words(path)
-        self.chunks: dict[bytes, tuple] = {}
-
-    def _chunk(self, raw: bytes) -> tuple:
-        """(head, ids, decoded, tail), or (text, None, None, None) if it has no boundary."""
-        known = self.chunks.get(raw)
-        if known is None:
-            parts = raw.decode().replace("\n", " ").split(" ")
-            if len(parts) == 1:
-                known = (parts[0], None, None, None)
-            else:
-                words = self.words
-                inner = [words[w] for w in parts[1:-1] if w]
-                known = (parts[0], b"".join([x[0] for x in inner]), [x[1] for x in inner if x[1]], parts[-1])
-            if len(self.chunks) >= CHUNKS_KEPT:
-                self.chunks.clear()
-            self.chunks[raw] = known
-        return known
-
-    def encode(self, raw: bytes, cuts: list[int]) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, decoded text) of a UTF-8 text; cuts: where chunks end, within it."""
-        ids: list[bytes] = []
-        decoded: list[str] = []
-        loose, at = "", 0
-
-        def repair(word: str) -> None:
-            if word:
-                a, b = self.words[word]
-                ids.append(a)
-                if b:
-                    decoded.append(b)
-
-        for end in (*cuts, len(raw)):
-            head, inner, text, tail = self._chunk(raw[at:end])
-            at = end
-            if inner is None:
-                loose += head
-                continue
-            repair(loose + head)
-            ids.append(inner)
-            decoded += text
-            loose = tail
-        repair(loose)
-        return b"".join(ids), " ".join(decoded)
+        encoder = Encoder(path, lower=True)
+        self.table = WordTable(lambda words: [encoder.piece(w) for w in words])
+        vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.tokens = [encoder.tokenizer.id_to_token(i) or "" for i in range(vocabulary)]
+        self.chunks: dict[int, np.ndarray] = {}
+        self.generation = self.table.generation
+
+    def decode(self, ids: np.ndarray) -> str:
+        """As the library without a decoder: tokens joined by spaces."""
+        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
     def batch(self, texts: pa.Array):
-        """Yields (ids, decoded) of each text of an Arrow array; nulls as empty texts."""
+        """Yields the ids (16-bit) of each text of an Arrow array; nulls as empty texts."""
         texts = texts.cast(pa.large_string())
-        if not len(texts):
+        empty = np.empty(0, np.uint16)
+        if not len(texts) or texts.buffers()[2] is None:
+            yield from [empty] * len(texts)
             return
-        buffers = texts.buffers()
-        offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(buffers[2], np.uint8)[: offsets[-1]] if buffers[2] is not None else np.empty(0, np.uint8)
-        flags = np.flatnonzero(cut_flags(data)) + 1 if len(data) else np.empty(0, np.int64)
-        valid = texts.is_valid().to_pylist()
-        view = memoryview(data)
-        lows = np.searchsorted(flags, offsets[:-1] + WINDOW)
-        highs = np.searchsorted(flags, offsets[1:])
-        for i in range(len(texts)):
-            s, e = int(offsets[i]), int(offsets[i + 1])
-            if not valid[i] or s == e:
-                yield b"", ""
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)
+        for at, to in slices(offsets):
+            ids, edges = self.encode(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield ids[s:e]
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of UTF-8 texts that end at bounds[1:] in data, where each text's ids begin and the last one's end)."""
+        if not len(data):
+            return np.empty(0, np.uint16), np.zeros(len(bounds), np.int64)
+        gap = _GAP[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[bounds] = True
+        starts = np.flatnonzero(~gap & (np.concatenate([[True], gap[:-1]]) | edge[:-1]))
+        ends = np.flatnonzero(~gap & (np.concatenate([gap[1:], [True]]) | edge[1:])) + 1
+        texts = np.searchsorted(starts, bounds)
+
+        # chunks end at cuts, not near a text's start, where the window holds another text, and at texts' ends
+        cuts = np.flatnonzero(cut_flags(data)) + 1
+        text = np.searchsorted(bounds, cuts, "right") - 1
+        cuts = cuts[(cuts < len(data)) & (cuts - bounds[text] >= WINDOW)]
+        low = np.unique(np.concatenate([bounds[:-1][bounds[:-1] < bounds[1:]], cuts]))
+        high = np.append(low[1:], len(data))
+        hashes = range_hashes(data, np.concatenate([starts, low]), np.concatenate([ends, high])) | U(1)
+        words, chunks = hashes[: len(starts)], hashes[len(starts) :].tolist()
+        own = np.searchsorted(low, starts, "right") - 1
+        inner = (starts > low[own]) & (ends < high[own])
+        # the inner words of a chunk follow each other
+        first = np.searchsorted(starts, low, "right")
+        count = np.bincount(own[inner], minlength=len(low))
+
+        if self.generation != self.table.generation or len(self.chunks) > CHUNKS_KEPT:
+            self.chunks, self.generation = {}, self.table.generation
+        known, seen, reused = self.chunks, {}, []
+        need = ~inner
+        for c, (h, f, n) in enumerate(zip(chunks, first.tolist(), count.tolist(), strict=True)):
+            if not n:
+                continue
+            if h in seen and seen[h][1] == n:
+                reused.append((f, n, seen[h][0], None))
+            elif h in known and len(known[h]) == n:
+                reused.append((f, n, -1, known[h]))
             else:
-                yield self.encode(bytes(view[s:e]), (flags[lows[i] : highs[i]] - s).tolist() if highs[i] > lows[i] else [])
+                seen[h] = (f, n)
+                need[f : f + n] = True
+        places = np.full(len(starts), -1, np.int64)
+        places[need] = self.table.places(data, words[need], starts[need], ends[need])
+        if self.generation != self.table.generation:  # the table was emptied: what was reused is void
+            places = self.table.places(data, words, starts, ends)
+            self.chunks, self.generation = {}, self.table.generation
+        else:
+            for f, n, source, held in reused:
+                places[f : f + n] = places[source : source + n] if held is None else held
+            for h, (f, n) in seen.items():
+                known[h] = places[f : f + n].astype(np.int32)
+        return self.table.gather(places, texts)
 
 
 @functools.cache
@@ -183,16 +153,18 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool =
     def run(batches):
         own = codec(path)
         for batch in batches:
-            ids, shas, decoded_shas = [], [], []
-            for raw, decoded in own.batch(batch.column(text)):
-                ids.append(raw)
-                shas.append(hashlib.sha256(raw).hexdigest())
-                decoded_shas.append(hashlib.sha256(decoded.encode()).hexdigest())
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            lengths, ids, shas, decoded_shas = [], [], [], []
+            for found in own.batch(batch.column(text)):
+                lengths.append(len(found))
+                if with_ids:
+                    ids.append(found)
+                shas.append(hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
+                decoded_shas.append(hashlib.sha256(own.decode(found).encode()).hexdigest())
+            lengths = np.array(lengths, np.int64)
             columns = [batch.column(c) for c in out] + [pa.array(lengths)]
             if with_ids:
                 starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([*ids, np.empty(0, np.uint16)]).astype(np.int32))))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string())], names=[*out, *added])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in out]

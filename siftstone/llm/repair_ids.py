@@ -20,16 +20,15 @@ import functools
 import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.chunk_bpe import TRAILING, load
 from siftstone.llm.common import arrow_batches, is_small, shared_dir
 from siftstone.llm.hashing import U, range_hashes, slices
+from siftstone.llm.word_table import Encoder, WordTable
 
 MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 18
@@ -39,154 +38,53 @@ MIN_COUNT, ROUNDS, RULES_PER_ROUND = 12, 4, 4096
 FIRST_FREE = 1 << 16
 BIN_BITS = 18
 BINS = 1 << BIN_BITS
-#: Words of the table, and of a generation of the memo behind it.
-WORDS_KEPT, STEMS_KEPT, PIECES_KEPT = 2_500_000, 300_000, 50_000
-#: A space inside a run of white space may belong to another pre-token than the one after it.
-UNSAFE = re.compile(r"\s (?!\S)")
-UNSAFE_LINE = re.compile(r"\n\s|\s\n")
-CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: A single space between characters that aren't white space: a pre-token ends before it and one begins with it.
+ODD_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def _byte_alphabet() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 itself, others from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
-class Pieces(dict):
-    """word -> ids of the lead (a space, or nothing) and the word, as 16-bit bytes. After a line feed a word has no lead.
-
-    Two generations bound the memo: what is in use moves to the newer.
-    """
+_GAP = np.zeros(256, bool)
+_GAP[[10, 32]] = True
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: First two bytes of all other white space in UTF-8.
+_WIDE = np.zeros(1 << 16, bool)
+_WIDE[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
-    def __init__(self, path: str, lead: str = " ") -> None:
-        super().__init__()
-        self.tokenizer, self.lead = load(path), lead
-        self.tokenize, self.alphabet = self.tokenizer.model.tokenize, _byte_alphabet()
-        self.shown = "".join([self.alphabet[b] for b in lead.encode()])
-        self.older: dict[str, bytes] = {}
-        self.short: dict[str, bytes] = {}
-        self.bare = Pieces(path, "") if lead else self
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            body = word.rstrip(TRAILING)
-            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):  # letters are one pre-token, the run after them another
-                if body == word:
-                    raw = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
-                    found = b"".join([t.id.to_bytes(2, "little") for t in self.tokenize(self.shown + raw)])
-                else:
-                    found = self[body] + self.encode_short(word[len(body):])
-            elif word[:1] == "\n" and self.lead:
-                found = self.encode_short("\n") + (self.bare[word[1:]] if len(word) > 1 else b"")
-            else:
-                found = self.encode_short(self.lead + word)
-        if len(self) >= PIECES_KEPT:
-            self.older = dict(self)
-            self.clear()
-        self[word] = found
-        return found
-
-    def encode_short(self, text: str) -> bytes:
-        found = self.short.get(text)
-        if found is None:
-            if len(self.short) >= 20_000:
-                self.short.clear()
-            self.short[text] = found = self.encode_whole(text)
-        return found
-
-    def encode_whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text. A text is cut before each space and single line feed, where pre-tokens begin; where that isn't sure, it isn't cut."""
-        odd = not text.isascii() or any([c in text for c in CONTROLS])
-        if ("  " in text or "\n " in text or odd) and UNSAFE.search(text):
-            return self.encode_whole(text)
-        if single := "\n" in text and not ("\n\n" in text or "\n " in text or " \n" in text or odd and UNSAFE_LINE.search(text)):
-            text = text.replace("\n", " \n")
-        first, space, rest = text.partition(" ")
-        own = self.encode_short(first)
-        if not space:
-            return own
-        words = rest.split(" ")
-        if not single and " \n" in text:  # a line feed after a space belongs to the white space before it
-            return own + b"".join([self.encode_short(" " + w) if w[:1] == "\n" else self[w] for w in words])
-        return own + b"".join(map(self.__getitem__, words))
-
-
-class WordTable:
-    """Ids of whole batches of texts: words (each with the space or line feed before it) are hashed together and looked
-    up in an open-addressing table; only new ones are encoded. 64-bit hashes stand for words. A full table is emptied.
-    """
 
-    SLOTS = 22
+class ShardEncoder:
+    """Ids of whole batches of texts. Words are found with the space or line feed before them, where pre-tokens begin."""
 
     def __init__(self, path: str) -> None:
-        self.pieces = Pieces(path)
-        self.stems: dict[str, bytes] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.keys = np.zeros(1 << self.SLOTS, U)
-        self.place = np.zeros(1 << self.SLOTS, np.int32)
-        self.flat, self.starts, self.n, self.used = np.empty(5 * WORDS_KEPT, np.uint16), np.zeros(WORDS_KEPT + 1, np.int32), 0, 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each word, -1 for new ones."""
-        slot = (hashes >> U(64 - self.SLOTS)).astype(np.int64)
-        out = np.where(self.keys[slot] == hashes, self.place[slot], -1)
-        left = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
-        step = 0
-        while len(left):
-            step += 1
-            at = (slot[left] + step) & ((1 << self.SLOTS) - 1)
-            held = self.keys[at]
-            hit = held == hashes[left]
-            out[left[hit]] = self.place[at[hit]]
-            left = left[~hit & (held != 0)]
-        return out
+        self.encoder = Encoder(path, lower=False)
+        self.table = WordTable(lambda words: [self._word(w) for w in words])
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> bool:
-        """Put in distinct new words. False, and nothing put in, if they would overfill the table."""
-        sizes = np.array([len(x) // 2 for x in ids], np.int64)
-        if self.n + len(ids) > WORDS_KEPT or self.used + sizes.sum() > len(self.flat):
-            return False
-        ends = self.used + np.cumsum(sizes)
-        self.flat[self.used : self.used + sizes.sum()] = np.frombuffer(b"".join(ids), "<u2")
-        self.starts[self.n + 1 : self.n + len(ids) + 1] = ends
-        number = np.arange(self.n, self.n + len(ids), dtype=np.int32)
-        self.n, self.used = self.n + len(ids), self.used + int(sizes.sum())
-        slot, left = (hashes >> U(64 - self.SLOTS)).astype(np.int64), np.arange(len(hashes))
-        while len(left):
-            at = slot[left] & ((1 << self.SLOTS) - 1)
-            free = self.keys[at] == 0
-            self.keys[at[free]] = hashes[left[free]]  # of several for one slot the last stays
-            put = free & (self.keys[at] == hashes[left])
-            self.place[at[put]] = number[left[put]]
-            left = left[~put]
-            slot[left] += 1
-        return True
+    def _word(self, word: str) -> bytes:
+        """A space, line feed or nothing, and a word."""
+        if word[:1] == " ":
+            return self.encoder.piece(word[1:], " ") if len(word) > 1 else self.encoder.kept(word)
+        if word[:1] == "\n":
+            return self.encoder.kept("\n") + (self.encoder.piece(word[1:]) if len(word) > 1 else b"")
+        return self.encoder.piece(word)
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text, as 16-bit bytes; of nulls none."""
         texts = texts.cast(pa.large_string())
-        out: list[bytes] = [b""] * len(texts)
+        out: list[bytes] = []
         if not len(texts) or texts.buffers()[2] is None:
-            return out
+            return [b""] * len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], np.uint8)
         for at, to in slices(offsets):
-            self._slice(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], out, at)
+            out += self._slice(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         return out
 
-    def _slice(self, data: np.ndarray, bounds: np.ndarray, out: list[bytes], first: int) -> None:
+    def _slice(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         if not len(data):
-            return
+            return [b""] * (len(bounds) - 1)
         gap = _GAP[data]
-        # texts with any white space but single spaces and line feeds between words go the slower way
+        # texts with any white space but single spaces and line feeds between words are encoded whole
         odd = _ODD[data]
         wide = np.flatnonzero(_LEAD[data[:-1]])
         odd[wide] |= _WIDE[(data[wide].astype(np.int64) << 8) | data[wide + 1]]
@@ -196,77 +94,31 @@ class WordTable:
         odd[bounds[1:][full] - 1] |= gap[bounds[1:][full] - 1]
         strange = np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds]) > 0
 
-        cut = gap.copy()
+        cut = gap
         cut[bounds[:-1][full]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        hashes = range_hashes(data, starts, ends) | U(1)  # 0 marks an empty slot
-        places = self.find(hashes)
         edges = np.searchsorted(starts, bounds)
-        plain = ~np.repeat(strange[full], np.diff(edges)[full])
-        new = np.flatnonzero((places < 0) & plain)
-        if len(new):
-            unique, index = np.unique(hashes[new], return_index=True)
-            raw = data.tobytes()
-            first_at, last_at = starts[new[index]].tolist(), ends[new[index]].tolist()
-            found = self._ids([raw[s:e].decode() for s, e in zip(first_at, last_at, strict=True)])
-            if not self.add(unique, found):
-                self.reset()
-                if len(unique) == len(np.unique(hashes[plain])):  # more words in one slice than the table holds
-                    return self._slow(data, bounds, out, first)
-                return self._slice(data, bounds, out, first)
-            places = self.find(hashes)
-        places[~plain] = 0
-        from_, sizes = self.starts[places].astype(np.int64), (self.starts[places + 1] - self.starts[places]).astype(np.int64)
-        sizes[~plain] = 0
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(from_ - total[:-1], sizes) + np.arange(total[-1])].tobytes()
-        ranges = 2 * total[edges]
-        for i in range(len(bounds) - 1):
-            out[first + i] = ids[ranges[i] : ranges[i + 1]] if not strange[i] else self.pieces.encode(bytes(data[bounds[i] : bounds[i + 1]]).decode())
-
-    def _slow(self, data: np.ndarray, bounds: np.ndarray, out: list[bytes], first: int) -> None:
-        for i in range(len(bounds) - 1):
-            if bounds[i] < bounds[i + 1]:
-                out[first + i] = self.pieces.encode(bytes(data[bounds[i] : bounds[i + 1]]).decode())
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of new words, each with what leads it. Stems are kept a while, for their forms with other punctuation."""
-        out, stems, pieces = [], self.stems, self.pieces
-        if len(stems) > STEMS_KEPT:
-            stems.clear()
-        for word in words:
-            body = word.rstrip(TRAILING)
-            stem = body[1:]
-            if body[:1] == " " and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                own = stems.get(stem)
-                if own is None:
-                    raw = stem if stem.isascii() else "".join([pieces.alphabet[b] for b in stem.encode()])
-                    stems[stem] = own = array("H", [t.id for t in pieces.tokenize("\u0120" + raw)]).tobytes()
-                out.append(own if len(body) == len(word) else own + pieces.encode_short(word[len(body):]))
-            elif word[0] == " ":
-                out.append(pieces.encode_short(word))
-            else:
-                out.append(pieces[word] if word[0] == "\n" else pieces.encode_short(word))
+        plain = ~np.repeat(strange, np.diff(edges))
+        hashes = range_hashes(data, starts, ends) | U(1)
+        places = np.full(len(starts), -1, np.int64)
+        places[plain] = self.table.places(data, hashes[plain], starts[plain], ends[plain])
+        ids, at = self.table.gather(places, edges)
+        raw, at = ids.tobytes(), (2 * at).tolist()
+        out = [raw[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+        for i in np.flatnonzero(strange).tolist():
+            out[i] = self.odd_text(bytes(data[bounds[i] : bounds[i + 1]]).decode())
         return out
 
-
-_GAP = np.zeros(256, bool)
-_GAP[[10, 32]] = True
-_ODD = np.zeros(256, bool)
-_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
-#: First two bytes of all other white space in UTF-8.
-_WIDE = np.zeros(1 << 16, bool)
-_WIDE[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
-_LEAD = np.zeros(256, bool)
-_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+    def odd_text(self, text: str) -> bytes:
+        """Ids of a text with other white space: cut before spaces that words follow and that no white space precedes."""
+        parts = ODD_CUT.split(text)
+        return b"".join([self.encoder.kept(p) if len(p) < 40 else self.encoder.whole(p) for p in parts])
 
 
 @functools.cache
-def words(path: str) -> WordTable:
-    if load(path).get_vocab_size(with_added_tokens=True) > 1 << 16:
-        raise ValueError("ids must fit into 16 bits")
-    return WordTable(path)
+def words(path: str) -> ShardEncoder:
+    return ShardEncoder(path)
 
 
 def _chosen(keys: np.ndarray, bins: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
