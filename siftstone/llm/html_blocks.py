@@ -20,7 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftstone.llm.common import arrow_batches
+from siftstone.llm.common import arrow_batches, released
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -132,7 +132,7 @@ def blocks(page: str) -> list[tuple[str, bool, float, str]]:
                         break
                 links = 0 if name in BLOCK else links
                 tag = "body"
-        elif name in BLOCK or "class" in raw or "id" in raw or "role" in raw or "hidden" in raw or "style" in raw:
+        elif name in BLOCK or opened[name] or "class" in raw or "id" in raw or "role" in raw or "hidden" in raw or "style" in raw:
             if name in ("p", "li", "option", "dt", "dd") and stack and stack[-1][0] == name:
                 gone, out, in_main = stack.pop()
                 opened[gone] -= 1
@@ -206,4 +206,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(released(run), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from siftstone.llm import chunk_bpe, html_blocks, pii, repair_ids, word_table
+from siftstone.llm import chunk_bpe, html_blocks, pii, repair_ids
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -45,7 +45,7 @@ def test_bpe(spark):
 
 @pytest.mark.parametrize("kept", [3, 60, 5000])
 def test_chunks_are_reused_and_small_tables_hold(monkeypatch, kept):
-    monkeypatch.setattr(word_table, "WORDS_KEPT", kept)
+    monkeypatch.setattr(chunk_bpe, "WORDS_KEPT", kept)
     monkeypatch.setattr(chunk_bpe, "CHUNKS_KEPT", 5)
     codec, tokenizer, t = chunk_bpe.ChunkCodec(WORDS), Tokenizer.from_file(WORDS), texts()
     for _ in range(2):
@@ -80,7 +80,7 @@ def test_token_files(spark):
 
 @pytest.mark.parametrize("kept", [3, 60, 5000])
 def test_shard_encoder(monkeypatch, kept):
-    monkeypatch.setattr(word_table, "WORDS_KEPT", kept)
+    monkeypatch.setattr(repair_ids, "WORDS_KEPT", kept)
     tokenizer, t = Tokenizer.from_file(BYTES), texts()
     want = [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in t]
     encoder = repair_ids.ShardEncoder(BYTES)
@@ -123,6 +123,7 @@ def test_html():
     assert html_blocks.main_text("<article><p>a > b < c</p></article>") == "a > b < c"
     assert html_blocks.main_text('<article><p title="a>b">x</p><p title="bad>y</p></article>').startswith("x")
     assert html_blocks.main_text("<article>" + "<p>w</p>" * 30_000 + "</article>").count("w") == 30_000
+    assert html_blocks.main_text('<article><p>a <span class="ad">x <span>y</span> z</span> b</p><span id="q">c</span></article>') == "a b\n\nc"
     long = "the man and the dog of a house that is in the town was with it on a day as it had to be there for all " * 2
     page = f"<body><div><a href=a>x</a> <a href=b>y</a></div><h2>Head</h2><p>{long}</p><p>Short.</p><p>{long}</p><div><a href=c>more links here</a></div></body>"
     assert html_blocks.main_text(page) == f"Head\n\n{long.strip()}\n\nShort.\n\n{long.strip()}"
