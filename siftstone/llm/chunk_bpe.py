@@ -15,21 +15,20 @@ recognised, as the library does by default. Empty tables give empty results. Oth
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftstone.llm.common import arrow_batches
+from siftstone.llm.common import arrow_batches, released
 from siftstone.llm.hashing import U, range_hashes, slices
 from siftstone.llm.word_table import Encoder, WordTable
 
 WINDOW = 16
 #: Mean bytes of a chunk, a power of two.
 CHUNK = 256
-CHUNKS_KEPT = 20_000
+CHUNKS_KEPT, WORDS_KEPT = 20_000, 600_000
 _GAP = np.zeros(256, bool)
 _GAP[[10, 32]] = True
 
@@ -59,7 +58,7 @@ def cut_flags(data: np.ndarray) -> np.ndarray:
 class ChunkCodec:
     def __init__(self, path: str) -> None:
         encoder = Encoder(path, lower=True)
-        self.table = WordTable(lambda words: [encoder.piece(w) for w in words])
+        self.table = WordTable(lambda words: [encoder.piece(w) for w in words], WORDS_KEPT)
         vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [encoder.tokenizer.id_to_token(i) or "" for i in range(vocabulary)]
         self.chunks: dict[int, np.ndarray] = {}
@@ -135,11 +134,6 @@ class ChunkCodec:
         return self.table.gather(places, texts)
 
 
-@functools.cache
-def codec(path: str) -> ChunkCodec:
-    return ChunkCodec(path)
-
-
 def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
     """df with n_tokens, ids (array<int>, if with_ids), ids_sha256 and decoded_sha256, replacing columns of these names.
 
@@ -151,7 +145,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool =
     arrow_batches(df.sparkSession)
 
     def run(batches):
-        own = codec(path)
+        own = ChunkCodec(path)  # for the task only
         for batch in batches:
             lengths, ids, shas, decoded_shas = [], [], [], []
             for found in own.batch(batch.column(text)):
@@ -169,4 +163,4 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", with_ids: bool =
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in out]
     schema = ", ".join([*fields, "n_tokens bigint", *["ids array<int>"] * with_ids, "ids_sha256 string", "decoded_sha256 string"])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)

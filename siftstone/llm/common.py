@@ -76,3 +76,29 @@ def count_words(text: Column) -> Column:
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of few rows, so that a batch of long texts stays small in the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def released(run):
+    """run for mapInArrow, giving its freed memory back when a task ends: workers live on and serve other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

@@ -40,7 +40,7 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 20):
+def slices(offsets: np.ndarray, size: int = 1 << 18):
     """(first, past last) rows of runs of texts of about `size` bytes together, one text at least."""
     at, n = 0, len(offsets) - 1
     while at < n:

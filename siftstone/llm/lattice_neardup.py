@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, materialize
+from siftstone.llm.common import arrow_batches, materialize, released
 from siftstone.llm.components import components
 from siftstone.llm.hashing import U, mix
 from siftstone.llm.setsketch_dedup import _groups
@@ -174,7 +174,7 @@ def normalised(df: DataFrame, vector: str, key: str) -> DataFrame:
                 dims.append(None if unit is None else len(unit))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.binary()), pa.array(units, pa.binary()), pa.array(dims, pa.int32())], names=["node", "digest", "unit", "dim"])
 
-    return df.select(F.col(key).cast("long").alias("node"), F.col(vector).alias("v")).mapInArrow(run, "node bigint, digest binary, unit binary, dim int")
+    return df.select(F.col(key).cast("long").alias("node"), F.col(vector).alias("v")).mapInArrow(released(run), "node bigint, digest binary, unit binary, dim int")
 
 
 def _units(column, kind=np.float64) -> np.ndarray:
@@ -219,7 +219,7 @@ def meeting_edges(classes: DataFrame, dim: int, vectors: int, threshold: float)
                 cells = lattice.cells(_units(part.column("unit"))).reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), n_cells))), pa.array(cells), pa.concat_arrays([member] * part.num_rows)], names=["node", "cell", "member"])
 
-    stands = materialize(classes.select("node", "unit").mapInArrow(hash_, "node bigint, cell bigint, member boolean"), "cells")
+    stands = materialize(classes.select("node", "unit").mapInArrow(released(hash_), "node bigint, cell bigint, member boolean"), "cells")
     # probes of cells that no vector calls its own meet nobody
     owned = stands.filter("member").select("cell").distinct()
     units = _in_units(stands.join(owned, "cell", "left_semi"), "cell", "node")
@@ -229,7 +229,7 @@ def meeting_edges(classes: DataFrame, dim: int, vectors: int, threshold: float)
             small = [np.frombuffer(x, np.float64).astype(np.float32).tobytes() for x in batch.column("unit").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(small, pa.binary())], names=["node", "unit"])
 
-    vectors_ = classes.select("node", "unit").mapInArrow(narrow, "node bigint, unit binary")
+    vectors_ = classes.select("node", "unit").mapInArrow(released(narrow), "node bigint, unit binary")
 
     def compare(batches):
         for group in _groups(batches, ["cell", "i", "j"]):
@@ -259,7 +259,7 @@ def meeting_edges(classes: DataFrame, dim: int, vectors: int, threshold: float)
                 a, b, c = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(c)})
 
-    return _sorted(units.join(vectors_, "node"), "cell").mapInArrow(compare, "a bigint, b bigint, sure boolean")
+    return _sorted(units.join(vectors_, "node"), "cell").mapInArrow(released(compare), "a bigint, b bigint, sure boolean")
 
 
 def confirmed(edges: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -271,7 +271,7 @@ def confirmed(edges: DataFrame, classes: DataFrame, threshold: float) -> DataFra
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = (classes.select(F.col("node").alias(n), F.col("unit").alias(v)) for n, v in (("a", "x"), ("b", "y")))
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def link_counts(classes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
@@ -295,7 +295,7 @@ def link_counts(classes: DataFrame, parts: DataFrame, threshold: float) -> DataF
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digest, pa.binary()), "links": pa.array(links)})
 
     units = _in_units(members, "component", "digest").select("component", "i", "j", "block", "digest", "size", "unit")
-    return _sorted(units, "component").mapInArrow(count, "digest binary, links bigint").groupBy("digest").agg(F.sum("links").alias("links"))
+    return _sorted(units, "component").mapInArrow(released(count), "digest binary, links bigint").groupBy("digest").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id") -> DataFrame:

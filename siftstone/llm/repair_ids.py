@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, is_small, shared_dir
+from siftstone.llm.common import arrow_batches, is_small, released, shared_dir
 from siftstone.llm.hashing import U, range_hashes, slices
 from siftstone.llm.word_table import Encoder, WordTable
 
@@ -38,6 +38,8 @@ MIN_COUNT, ROUNDS, RULES_PER_ROUND = 12, 4, 4096
 FIRST_FREE = 1 << 16
 BIN_BITS = 18
 BINS = 1 << BIN_BITS
+#: Words of the table of a worker.
+WORDS_KEPT = 2_000_000
 #: A single space between characters that aren't white space: a pre-token ends before it and one begins with it.
 ODD_CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -58,7 +60,7 @@ class ShardEncoder:
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(path, lower=False)
-        self.table = WordTable(lambda words: [self._word(w) for w in words])
+        self.table = WordTable(lambda words: [self._word(w) for w in words], WORDS_KEPT)
 
     def _word(self, word: str) -> bytes:
         """A space, line feed or nothing, and a word."""
@@ -281,7 +283,7 @@ def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 0, shard_tok
         if ids:
             yield shard()
 
-    ordered.mapInArrow(run, "part int, seq int, n_docs bigint, n_tokens bigint, payload binary").write.parquet(to)
+    ordered.mapInArrow(released(run), "part int, seq int, n_docs bigint, n_tokens bigint, payload binary").write.parquet(to)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -305,7 +307,7 @@ def read_shards(spark, path: str) -> DataFrame:
                 crcs = [zlib.crc32(whole[s:e].tobytes()) for s, e in zip(shard.starts[:-1], shard.starts[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids, pa.int64()), "start": pa.array(base + shard.starts[:-1], pa.int64()), "n_tokens": pa.array(shard.n_tokens, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return files.join(bases, ["part", "seq"]).select("base", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.join(bases, ["part", "seq"]).select("base", "payload").mapInArrow(released(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, path: str, label: str = "tokens") -> DataFrame:

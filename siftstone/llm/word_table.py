@@ -13,7 +13,7 @@ import numpy as np
 
 from siftstone.llm.hashing import U
 
-WORDS_KEPT, STEMS_KEPT = 1_200_000, 100_000
+STEMS_KEPT = 60_000
 #: Runs of these after a letter are pre-tokens of their own.
 TRAILING = ".,!?;:%*&#$"
 
@@ -86,10 +86,10 @@ class Encoder:
 
 
 class WordTable:
-    def __init__(self, encode) -> None:
-        """encode: list of words (as they stand in the text) -> list of their ids as 16-bit bytes."""
-        self.encode, self.generation = encode, 0
-        self.reset(WORDS_KEPT)
+    def __init__(self, encode, words: int) -> None:
+        """encode: list of words (as they stand in the text) -> list of their ids as 16-bit bytes. words: how many are kept."""
+        self.encode, self.words, self.generation = encode, words, 0
+        self.reset(words)
 
     def reset(self, words: int) -> None:
         self.generation += 1
@@ -142,7 +142,7 @@ class WordTable:
             return out
         unique, index = np.unique(hashes[new], return_index=True)
         if self.n + len(unique) > self.most:
-            self.reset(max(WORDS_KEPT, 2 * len(np.unique(hashes))))
+            self.reset(max(self.words, 2 * len(np.unique(hashes))))
             return self.places(data, hashes, starts, ends)
         raw = data.tobytes()
         first, last = starts[new[index]].tolist(), ends[new[index]].tolist()
