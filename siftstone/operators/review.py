@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import norm_path, norm_text
@@ -17,7 +17,7 @@ def normalised_entries(entries: DataFrame) -> DataFrame:
     return entries.select(norm_text(F.col("platform")).alias("s_platform"), norm_text(F.col("rule")).alias("s_rule"), norm_text(F.col("category")).alias("s_category"), norm_path(F.col("file")).alias("s_file"), F.col("line").alias("s_line"), F.coalesce("path_regex", F.lit("")).alias("s_path_regex"), F.coalesce("code_regex", F.lit("")).alias("s_code_regex"))
 
 
-def _covers() -> F.Column:
+def _covers() -> Column:
     any_or = lambda s, f: (F.col(s) == "") | (F.col(s) == f)
     return (
         any_or("s_platform", norm_text(F.col("platform"))) & any_or("s_rule", norm_text(F.col("rule"))) & any_or("s_category", norm_text(F.col("category"))) & any_or("s_file", norm_path(F.col("path")))
@@ -26,11 +26,27 @@ def _covers() -> F.Column:
     )
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+
+
 def _split(hits: DataFrame, entries: DataFrame, how: str) -> DataFrame:
-    """Entries that name a rule meet hits by it; the others (any rule) are few and go to every task, if counted to be so."""
+    """Few entries go to every task. Of many, those that name a rule or a file meet hits by equality of it; only the rest,
+    which name neither, are broadcast, and must be few."""
     e = normalised_entries(entries)
-    side = F.broadcast(e) if entries.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else e
-    return hits.join(side, _covers(), how)
+    if _few(entries):
+        return hits.join(F.broadcast(e), _covers(), how)
+    by_rule, by_file = e.filter("s_rule <> ''"), e.filter("s_rule = '' and s_file <> ''")
+    rest = e.filter("s_rule = '' and s_file = ''")
+    if not _few(rest):
+        raise ValueError("too many suppression entries name neither a rule nor a file")
+    ways = ((by_rule, norm_text(F.col("rule")) == F.col("s_rule")), (by_file, norm_path(F.col("path")) == F.col("s_file")), (F.broadcast(rest), F.lit(True)))
+    left, met = hits, None
+    for side, key in ways:
+        found = left.join(side, key & _covers(), "left_semi")
+        met = found if met is None else met.unionByName(found)
+        left = left.join(side, key & _covers(), "left_anti")
+    return left if how == "left_anti" else met
 
 
 def active(hits: DataFrame, entries: DataFrame) -> DataFrame:
@@ -52,7 +68,7 @@ def as_entries(base: DataFrame) -> DataFrame:
     return base.select("platform", "rule", "category", "file", "line", F.lit(None).cast("string").alias("path_regex"), F.lit(None).cast("string").alias("code_regex"))
 
 
-def normalised_status(c) -> F.Column:
+def normalised_status(c) -> Column:
     s = norm_text(c)
     return F.when(s.isin(*STATUSES), s).otherwise("pending")
 

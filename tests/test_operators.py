@@ -87,6 +87,17 @@ def test_suppression(spark):
     assert base.count() == 4 and review.active(hits, review.as_entries(base)).count() == 0
 
 
+def test_many_entries_meet_by_key(spark, monkeypatch):
+    hits = match.evidence(code(spark), RULES).withColumn("rule", F.concat(F.lit("R"), F.col("rule_seq").cast("string"))).withColumn("category", F.lit("C"))
+    entries = spark.createDataFrame([(None, "r1", None, None, 2, None, None), (None, None, None, "b.py", 1, None, None), (None, None, None, None, 3, None, None)], ENTRY)
+    few = (sorted(map(repr, review.active(hits, entries).collect())), sorted(map(repr, review.suppressed(hits, entries).collect())))
+    monkeypatch.setattr(review, "BROADCAST_ENTRIES", 1)
+    assert few == (sorted(map(repr, review.active(hits, entries).collect())), sorted(map(repr, review.suppressed(hits, entries).collect())))
+    assert (len(few[0]), len(few[1])) == (1, 3)
+    with pytest.raises(ValueError):
+        review.active(hits, entries.filter("rule is null and file is null").unionByName(entries.filter("line = 3")))
+
+
 def test_first_rule_wins(spark):
     f = spark.createDataFrame([("k1", "A", "x"), ("k2", "b", "y"), ("k3", "c", "z")], "key string, platform string, rule string")
     r = spark.createDataFrame([(2, "confirmed", "", ""), (1, "FALSE_POSITIVE", "a", ""), (3, "suppressed", "b", "y")], "seq int, status string, platform string, rule string")
