@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, is_small, materialize
+from siftstone.llm.common import arrow_batches, is_small, materialize, released
 
 KEY = b"surrogate key: give your own"
 
@@ -38,8 +38,11 @@ NUMBER = re.compile(
     rf"|(?<![\w.-])(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![\w-])"
     rf"|(?<![\w.-])(?P<card>\d(?:[ -]?\d){{12,18}})(?![\w-])"
     rf"|(?<!\w)(?P<iban>[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?!\w)"
-    rf"|(?<!\w)(?P<key>(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}|sk-[A-Za-z0-9_-]{{20,}}|xox[abprs]-[A-Za-z0-9-]{{10,}})(?!\w)"
 )
+ACCESS_KEY = re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?!\w)")
+#: What must be in a text for the patterns to be tried.
+KEY_STARTS, SECRET_WORDS, TITLE_PARTS = ("AKIA", "ASIA", "_", "sk-", "xox"), ("passw", "pwd", "secret", "token", "key"), ("Mr", "Ms", "Mis", "Mme", "Madame", "Monsieur", "Herr", "Frau", "Señor", "Sr", "Госпо", "Κ")
+DIGITS_AT = re.compile("[0-9]+")
 SECRET = re.compile(r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?=[^\s"']*\d)([A-Za-z0-9_+/=.~-]{8,})""")
 NAME = re.compile(r"(?<!\w)(Mr|Mister|Herr|Monsieur|Señor|Sr|Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Господин|Госпожа|Κύριος|Κυρία)\.? ([^\W\d_a-zß-ÿ][^\W\d_]+)(?: ([^\W\d_a-zß-ÿ][^\W\d_]+))?(?!\w)")
 FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"}
@@ -65,6 +68,18 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _numbers(text: str):
+    """Matches of NUMBER. They begin at a run of digits, or one or two characters before it, so only there it is tried."""
+    end = 0
+    for run in DIGITS_AT.finditer(text):
+        at = run.start()
+        for start in (at - 1, at - 2, at):
+            if start >= end and (m := NUMBER.match(text, start)):
+                yield m
+                end = m.end()
+                break
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -75,7 +90,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if left and right:
             found.append((left.start(), right.end(), "email"))
         at = text.find("@", at + 1)
-    for m in NUMBER.finditer(text):
+    for m in _numbers(text):
         kind, value = m.lastgroup, m.group()
         digits = "".join(filter(str.isdigit, value)) if kind in ("card", "phone") else ""
         if kind == "ip" and any(int(x) > 255 or (x[0] == "0" and x != "0") for x in value.split(".")):
@@ -87,8 +102,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if kind == "iban" and not (15 <= len(value.replace(" ", "")) <= 34 and mod97(value.replace(" ", "")) == 1):
             continue
         found.append((m.start(), m.end(), kind))
-    found += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
-    for m in NAME.finditer(text):
+    if any([x in text for x in KEY_STARTS]):
+        found += [(*m.span(), "key") for m in ACCESS_KEY.finditer(text)]
+    low = text.lower()
+    if any([x in low for x in SECRET_WORDS]):
+        found += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
+    for m in NAME.finditer(text) if any([x in text for x in TITLE_PARTS]) else ():
         gender = "f" if m[1] in FEMALE else "m"
         if m[3]:
             found.append((*m.span(2), f"given-{gender}"))
@@ -193,7 +212,7 @@ def entities(docs: DataFrame, text: str, row: str | None = None) -> DataFrame:
             found = {(r, kind, t[s:e]) for r, t in zip(rows, batch.column(text).to_pylist(), strict=True) if t for s, e, kind in find(t)}
             yield pa.RecordBatch.from_pydict(({row: pa.array([x[0] for x in found], pa.int64())} if row else {}) | {"kind": pa.array([x[1] for x in found], pa.string()), "value": pa.array([x[2] for x in found], pa.string())})
 
-    return docs.select(*[row] * bool(row), text).mapInArrow(run, f"{f'{row} bigint, ' if row else ''}kind string, value string")
+    return docs.select(*[row] * bool(row), text).mapInArrow(released(run), f"{f'{row} bigint, ' if row else ''}kind string, value string")
 
 
 def collisions(found: DataFrame, key: bytes, max_attempts: int = 24) -> DataFrame:
@@ -208,7 +227,7 @@ def collisions(found: DataFrame, key: bytes, max_attempts: int = 24) -> DataFram
                 made = [surrogate(k, v, key, attempt) for k, v in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(made, pa.string())], names=["kind", "value", "surrogate"])
 
-        return df.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string").withColumn("attempt", F.lit(attempt))
+        return df.select("kind", "value").mapInArrow(released(run), "kind string, value string, surrogate string").withColumn("attempt", F.lit(attempt))
 
     held = materialize(propose(found, 0), "surrogates")
     for attempt in range(1, max_attempts + 1):
@@ -252,4 +271,4 @@ def anonymize(docs: DataFrame, text: str = "text", key: bytes = KEY, count: str
             arrays = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(counts, pa.int64())] if count else []), names=columns + ([count] if count else []))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
