@@ -8,7 +8,8 @@ unions are maxima (sketches merge), and two sets agree in a register with about
 2. Registers are banded. In each bucket the smallest id is the leader, and each document is compared with the
    leader it shares most bands with: a star, so that a group of thousands of copies gives as many pairs, not squares.
 3. Pairs pass a joint likelihood test on their registers, then are confirmed on full sets.
-4. Buckets that still hold several components are searched whole, in units of two bounded blocks: the likelihood
+4. Buckets that still hold several components are searched whole, in units of two bounded blocks (blocks of the
+   largest component meet only blocks of the others): the likelihood
    test picks the members that may have a partner in another component; their full sets are brought to the unit
    and compared, and the unit returns the links of a spanning forest. No pair of a bucket goes unexamined.
 5. Components of all links.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, is_small, materialize
+from siftstone.llm.common import arrow_batches, is_small, materialize, released
 from siftstone.llm.components import components
 from siftstone.llm.hashing import U, mix, range_hashes, slices
 
@@ -158,7 +159,7 @@ def sketched(docs: DataFrame, shingles: Shingles) -> DataFrame:
 
     arrow_batches(docs.sparkSession, 1000)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>")
+    return slim.mapInArrow(released(run), "doc_id bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, shingles: Shingles) -> DataFrame:
@@ -174,7 +175,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingles: Shingles) -> DataFram
     nodes = materialize(nodes.select("node").distinct(), "wanted")
     side = F.broadcast(nodes) if is_small(nodes) else nodes
     wanted = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(side, "node", "left_semi")
-    return materialize(wanted.mapInArrow(run, "node bigint, hashes binary"), "sets")
+    return materialize(wanted.mapInArrow(released(run), "node bigint, hashes binary"), "sets")
 
 
 def _groups(batches, keys: list[str]):
@@ -210,8 +211,9 @@ def _open_pairs(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
     """Places of pairs of a unit that may be linked and are of different components. In a unit of two blocks only pairs across."""
     regs, n = _registers(group.column("registers")), group.column("n_shingles").to_numpy()
     label, block = group.column("label").to_numpy(), group.column("block").to_numpy()
-    single = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-    low, high = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    single = i == j
+    low, high = np.flatnonzero(block == i), np.flatnonzero(block == j)
     xs, ys = [], []
     for at in range(0, len(low), 32):  # bounded temporaries
         rows = low[at : at + 32]
@@ -246,7 +248,7 @@ def star_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, shingles:
                 ok = plausible((x > y).sum(1), (x < y).sum(1), batch.column("n_shingles").to_numpy(), batch.column("leader_n").to_numpy(), threshold)
                 yield batch.select(["node", "leader"]).filter(pa.array(ok))
 
-    pairs = materialize(best.join(nodes, "node").join(theirs, "leader").select("node", "leader", "registers", "leader_registers", "n_shingles", "leader_n").mapInArrow(test, "node bigint, leader bigint").distinct(), "pairs")
+    pairs = materialize(best.join(nodes, "node").join(theirs, "leader").select("node", "leader", "registers", "leader_registers", "n_shingles", "leader_n").mapInArrow(released(test), "node bigint, leader bigint").distinct(), "pairs")
     sets = full_sets(docs, pairs.select("node").union(pairs.select(F.col("leader").alias("node"))), shingles)
 
     def confirm(batches):
@@ -257,7 +259,7 @@ def star_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, shingles:
     arrow_batches(docs.sparkSession, 500)
     theirs = sets.select(F.col("node").alias("leader"), F.col("hashes").alias("leader_hashes"))
     both = pairs.join(sets, "node").join(theirs, "leader").select("node", "leader", "hashes", "leader_hashes")
-    return both.mapInArrow(confirm, "node bigint, leader bigint").toDF("a", "b")
+    return both.mapInArrow(released(confirm), "node bigint, leader bigint").toDF("a", "b")
 
 
 def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, shingles: Shingles) -> DataFrame | None:
@@ -265,9 +267,14 @@ def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: Da
     threshold, percent = shingles.percent / 100, shingles.percent
     labels = nodes.select("node").distinct().join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
     labelled = materialize(buckets.join(labels, "node"), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "label")
+    # members of a bucket's largest component only meet the others; so its blocks cost what the rest is large, not their square
+    parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("labels > 1")
+    mixed = mixed.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("rests"))
+    members = labelled.join(mixed, "bucket").withColumn("in_main", F.col("label") == F.col("main"))
+    members = members.withColumn("block", F.when(F.col("in_main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("rests"))).cast("int"))
+    partners = F.sequence(F.when(F.col("in_main"), F.col("mains")).otherwise(0), F.col("mains") + F.col("rests") - 1)
+    units = members.withColumn("k", F.explode(partners)).select("bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "label")
     keys = ["bucket", "i", "j"]
 
     def by_unit(df: DataFrame) -> DataFrame:
@@ -282,7 +289,7 @@ def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: Da
     columns = "bucket bigint, i int, j int, block int, node bigint, label bigint, registers binary, n_shingles bigint"
     arrow_batches(docs.sparkSession, 2000)
     wide = by_unit(units.join(nodes.select("node", "registers", "n_shingles"), "node").select(*[c.split()[0] for c in columns.split(", ")]))
-    flagged = materialize(wide.mapInArrow(screen, columns), "flagged")
+    flagged = materialize(wide.mapInArrow(released(screen), columns), "flagged")
     if flagged.isEmpty():
         return None
     sets = full_sets(docs, flagged, shingles)
@@ -311,7 +318,7 @@ def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: Da
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     arrow_batches(docs.sparkSession, 500)
-    return by_unit(flagged.join(sets, "node").select(*[c.split()[0] for c in columns.split(", ")], "hashes")).mapInArrow(confirm, "a bigint, b bigint")
+    return by_unit(flagged.join(sets, "node").select(*[c.split()[0] for c in columns.split(", ")], "hashes")).mapInArrow(released(confirm), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
