@@ -20,6 +20,7 @@ import functools
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_batches, is_small, released, shared_dir
 from siftstone.llm.hashing import U, range_hashes, slices
-from siftstone.llm.word_table import Encoder, WordTable
+from siftstone.llm.word_table import STEMS_KEPT, TRAILING, Encoder, WordTable, stem_shown
 
 MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 18
@@ -60,7 +61,25 @@ class ShardEncoder:
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(path, lower=False)
-        self.table = WordTable(lambda words: [self._word(w) for w in words], WORDS_KEPT)
+        self.table = WordTable(self._words, WORDS_KEPT)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of new words. Most are a space, letters and perhaps punctuation: these are done here, without further calls."""
+        out, encoder = [], self.encoder
+        stems, kept, model, lead, alphabet = encoder.stems, encoder.kept, encoder.model, encoder.shown_lead, encoder.alphabet
+        if len(stems) > STEMS_KEPT:
+            stems.clear()
+        for word in words:
+            body = word.rstrip(TRAILING)
+            stem = body[1:]
+            if stem.isalpha() and word[0] == " " and (stem.isascii() or max(stem) < "\u0250"):
+                own = stems.get(body)
+                if own is None:
+                    stems[body] = own = array("H", [t.id for t in model(lead + stem_shown(stem, alphabet))]).tobytes()
+                out.append(own if len(body) == len(word) else own + kept(word[len(body):]))
+            else:
+                out.append(self._word(word))
+        return out
 
     def _word(self, word: str) -> bytes:
         """A space, line feed or nothing, and a word."""

@@ -38,6 +38,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def stem_shown(stem: str, alphabet: list[str]) -> str:
+    """Letters as the vocabulary shows their bytes; ASCII ones show themselves."""
+    return stem if stem.isascii() else "".join([alphabet[b] for b in stem.encode()])
+
+
 class Encoder:
     """Ids (16-bit bytes) of short pieces. Letters are one pre-token, so the model encodes them without the pipeline around it.
 
@@ -47,6 +52,7 @@ class Encoder:
     def __init__(self, path: str, lower: bool) -> None:
         self.tokenizer, self.lower = load(path), lower
         self.model, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
+        self.shown_lead = self.alphabet[0x20]
         self.stems: dict[str, bytes] = {}
         self.short: dict[str, bytes] = {}
 
@@ -72,7 +78,7 @@ class Encoder:
             if len(self.stems) >= STEMS_KEPT:
                 self.stems.clear()
             text = (lead + stem).lower() if self.lower else lead + stem
-            shown = "".join([self.alphabet[b] for b in text.encode()]) if lead or not text.isascii() else text
+            shown = (self.shown_lead if lead else "") + stem_shown(text[len(lead):], self.alphabet)
             self.stems[key] = found = array("H", [t.id for t in self.model(shown)]).tobytes()
         return found
 
