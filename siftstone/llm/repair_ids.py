@@ -2,7 +2,8 @@
 
 Documents are range-partitioned in ascending order of doc_id, encoded by a byte-level BPE, and cut into shards of
 whole documents. In a shard the most frequent neighbouring ids are replaced by nonterminals, round after round:
-each round counts the pairs, takes frequent ones that can't overlap each other, and replaces every occurrence.
+each round takes frequent pairs that can't overlap each other, and replaces every occurrence (of overlapping ones in a
+run of equal ids every second), until no pair is frequent.
 A shard file holds the rules, the length of each nonterminal's expansion, the compressed sequence and the
 documents' ids and lengths. With the expansion lengths any range of tokens is decoded without the rest.
 
@@ -33,10 +34,14 @@ from siftstone.llm.word_table import STEMS_KEPT, TRAILING, Encoder, WordTable, s
 
 MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 18
-#: Pairs found less often in a shard's round are left; rounds end when no pair is as frequent, or at the last one.
-MIN_COUNT, ROUNDS, RULES_PER_ROUND = 12, 4, 4096
+#: Pairs found less often in a shard are left; rounds end when no pair is as frequent.
+MIN_COUNT, RULES_PER_ROUND = 12, 4096
 #: Ids are below; nonterminals begin here.
 FIRST_FREE = 1 << 16
+#: Symbols of the sequence have 24 bits.
+SYMBOL_BITS = np.uint64(24)
+SYMBOLS = 1 << 24
+SYMBOL = np.uint64(SYMBOLS - 1)
 BIN_BITS = 18
 BINS = 1 << BIN_BITS
 #: Words of the table of a worker.
@@ -142,54 +147,113 @@ def words(path: str) -> ShardEncoder:
     return ShardEncoder(path)
 
 
-def _chosen(keys: np.ndarray, bins: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bins, keys) of frequent pairs none of whose last ids is another's first.
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each is there) of sorted values."""
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
 
-    Pairs are counted by bin; a bin stands for one of its pairs. An id that is both a first and a last one keeps the
-    role in which it is more frequent, at a tie the one of its most frequent pair.
+
+def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, exact counts) of the pairs found MIN_COUNT times at least. Keys in light bins can't be among them."""
+    if len(keys) >= BINS // 8:
+        bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+        keys = keys[(np.bincount(bins, minlength=BINS) >= MIN_COUNT)[bins]]
+    values, counts = _runs(np.sort(keys))
+    often = counts >= MIN_COUNT
+    return values[often], counts[often]
+
+
+def _unequal(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of the pairs that begin at `at`, but for those of equal ids."""
+    first, last = seq[at], seq[at + 1]
+    other = first != last
+    return (first[other].astype(np.uint64) << SYMBOL_BITS) | last[other]
+
+
+def _beside(hits: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n pairs have an id among the `width` ids at each hit, each once. Hits are sorted and don't overlap."""
+    before = hits[np.concatenate([[True], np.diff(hits) > width])[: len(hits)]] - 1
+    found = np.concatenate([before, hits] + [hits + 1] * (width == 2))
+    return found[(found >= 0) & (found < n)]
+
+
+def _twins(seq: np.ndarray) -> np.ndarray:
+    """Where pairs of equal ids begin; in a run every second one, as the others overlap them."""
+    where = np.flatnonzero(seq[1:] == seq[:-1])
+    if len(where):
+        start = np.concatenate([[0], np.flatnonzero(np.diff(where) > 1) + 1])
+        within = np.arange(len(where)) - np.repeat(start, np.diff(np.append(start, len(where))))
+        where = where[within % 2 == 0]
+    return where
+
+
+def _chosen(pairs: np.ndarray, counts: np.ndarray, base: int) -> np.ndarray:
+    """Sorted frequent pairs that can't overlap each other: one at least, if there are any.
+
+    An id has one role: the first of pairs, the last of pairs, or both ids of its pair with itself. It keeps the role in which it is
+    most frequent; at a tie of first and last the one of its most frequent pair.
     """
-    held = np.zeros(BINS, np.uint64)
-    held[bins] = keys
-    counts = np.bincount(bins[held[bins] == keys], minlength=BINS)
-    best = np.flatnonzero(counts >= MIN_COUNT)
-    if len(best) > RULES_PER_ROUND:
-        best = np.sort(best[np.argpartition(-counts[best], RULES_PER_ROUND)[:RULES_PER_ROUND]])
-    order = np.argsort(-counts[best], kind="stable")
-    a, b = (held[best[order]] // np.uint64(base)).astype(np.int64), (held[best[order]] % np.uint64(base)).astype(np.int64)
-    as_first, as_last = np.bincount(a, counts[best[order]], base), np.bincount(b, counts[best[order]], base)
-    rank = np.arange(len(best))[::-1]
-    top_first, top_last = np.full(base, len(best)), np.full(base, len(best))
-    top_first[a[::-1]], top_last[b[::-1]] = rank, rank  # the best rank of each id in either role
-    first = (as_first > as_last) | ((as_first == as_last) & (top_first < top_last))
-    last = (as_last > as_first) | ((as_first == as_last) & (top_last < top_first))
-    ok = np.sort(order[first[a] & last[b]])
-    return best[ok], held[best[ok]]
+    order = np.argsort(-counts, kind="stable")[:RULES_PER_ROUND]
+    pairs, counts = pairs[order], counts[order]
+    a, b = (pairs >> SYMBOL_BITS).astype(np.int64), (pairs & SYMBOL).astype(np.int64)
+    twin = a == b
+    as_twin = np.zeros(base)
+    as_twin[a[twin]] = counts[twin]
+    as_first, as_last = np.bincount(a, counts, base) - as_twin, np.bincount(b, counts, base) - as_twin
+    both = (as_twin > 0) & (as_twin >= as_first) & (as_twin >= as_last)
+    rank = np.arange(len(pairs))
+    top_first, top_last = np.full(base, len(pairs)), np.full(base, len(pairs))
+    single = np.flatnonzero(~twin)[::-1]
+    top_first[a[single]], top_last[b[single]] = rank[single], rank[single]  # the best rank of each id in either role
+    first = ~both & ((as_first > as_last) | ((as_first == as_last) & (top_first < top_last)))
+    last = ~both & ((as_last > as_first) | ((as_first == as_last) & (top_last < top_first)))
+    return np.sort(pairs[np.where(twin, both[a], first[a] & last[b])])
 
 
 def compress(ids: np.ndarray, first_free: int = FIRST_FREE) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(sequence, rules by round as pairs). Nonterminals are numbered from first_free on; a round's rules use earlier symbols only."""
+    """(sequence, rules by round as pairs). Nonterminals are numbered from first_free on; a round's rules use earlier symbols only.
+
+    Rounds end when no pair is found MIN_COUNT times. Counts are exact: a round only takes away from the pairs of earlier symbols,
+    and all pairs with its new symbols stand beside its hits.
+    """
     seq, rounds, size = ids.astype(np.uint32), [], first_free
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1].astype(np.uint64)
-        keys *= np.uint64(size)
-        keys += seq[1:]
-        bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
-        where, best = _chosen(keys, bins, size)
-        if not len(best):
+    if len(seq) < MIN_COUNT:
+        return seq, rounds
+    pairs, counts = _frequent(_unequal(seq, np.arange(len(seq) - 1)))
+    while size < SYMBOLS:
+        equal = _twins(seq)
+        doubled, n_doubled = _frequent(seq[equal].astype(np.uint64) * np.uint64(SYMBOLS + 1))
+        if not len(pairs) + len(doubled):
             break
-        symbol, wanted = np.zeros(BINS, np.uint32), np.zeros(BINS, np.uint64)
-        symbol[where] = np.arange(size, size + len(best), dtype=np.uint32)
-        wanted[where] = best
-        new = symbol[bins]
-        hits = np.flatnonzero(new)
-        hits = hits[wanted[bins[hits]] == keys[hits]]
-        seq[hits] = new[hits]
+        best = _chosen(np.concatenate([pairs, doubled]), np.concatenate([counts, n_doubled]), size)[: SYMBOLS - size]
+        a, b = best >> SYMBOL_BITS, best & SYMBOL
+        is_first, is_last, is_both = np.zeros((3, size), bool)
+        is_first[a[a != b]], is_last[b[a != b]], is_both[a[a == b]] = True, True, True
+        hits = np.flatnonzero(is_first[seq[:-1]])
+        hits = hits[is_last[seq[hits + 1]]]
+        if len(doubled):
+            hits = np.sort(np.concatenate([hits, equal[is_both[seq[equal]]]]))
+        keys = (seq[hits].astype(np.uint64) << SYMBOL_BITS) | seq[hits + 1]
+        rule = np.searchsorted(best, keys)
+        rule[rule == len(best)] = 0
+        taken = best[rule] == keys
+        hits, rule = hits[taken], rule[taken]
+
+        gone, n_gone = _runs(np.sort(_unequal(seq, _beside(hits, 2, len(seq) - 1))))
+        if len(gone) and len(pairs):
+            at = np.searchsorted(gone, pairs)
+            at[at == len(gone)] = 0
+            counts = counts - np.where(gone[at] == pairs, n_gone[at], 0)
+
+        seq[hits] = (size + rule).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        rounds.append(np.stack([best // np.uint64(size), best % np.uint64(size)], 1).astype(np.uint32))
+        hits -= np.arange(len(hits))
+        fresh, n_fresh = _frequent(_unequal(seq, _beside(hits, 1, len(seq) - 1)))
+        often = counts >= MIN_COUNT
+        pairs, counts = np.concatenate([pairs[often], fresh]), np.concatenate([counts[often], n_fresh])
+        rounds.append(np.stack([a, b], 1).astype(np.uint32))
         size += len(best)
     return seq, rounds
 

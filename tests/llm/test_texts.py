@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -108,6 +109,31 @@ def test_grammar_round_trip(kind):
         assert lengths == shard.lengths[1 << 16 : (1 << 16) + 40].tolist()
 
 
+def left_over(seq):
+    """Pairs found MIN_COUNT times without overlaps."""
+    count, last = Counter(), {}
+    for i, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+        if last.get(pair, -2) < i - 1 or pair[0] != pair[1]:
+            count[pair] += 1
+            last[pair] = i
+    return {p: n for p, n in count.items() if n >= repair_ids.MIN_COUNT}
+
+
+@pytest.mark.parametrize("kind", ["skewed", "many", "same", "runs", "long"])
+def test_grammar_leaves_no_frequent_pair(monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    tokens = {
+        "skewed": (rng.pareto(0.6, 60_000) * 3).clip(0, 40_000).astype(int), "many": np.concatenate([np.tile(x, 13) for x in rng.integers(0, 50_000, (3000, 3))]), "same": np.full(5000, 7),
+        "runs": np.repeat(rng.integers(0, 9, 4000), rng.integers(1, 9, 4000)), "long": np.tile(rng.integers(0, 50_000, 900), 20),
+    }[kind].astype("<u2")
+    for limit in (repair_ids.RULES_PER_ROUND, 50 if kind != "many" else 500):
+        monkeypatch.setattr(repair_ids, "RULES_PER_ROUND", limit)
+        seq, rounds = repair_ids.compress(tokens)
+        assert (repair_ids.expand(seq, rounds) == tokens).all() and left_over(seq) == {}
+    if kind == "same":
+        assert len(seq) < 2 * repair_ids.MIN_COUNT + 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- <p>gone</p> --><div class="ad">Buy</div><article class="post"><header><h1>Title &amp; more</h1></header><p><b>First&nbsp;para <i>it</i>alic<br>next &copy;<p>second   one
 wraps</p><aside>See also</aside><div class="share social">Share</div><p>short</p><form><p>mail?</p></form><ul><li>item <a href="x">link</a></li></ul><table><tr><td>c1</td><td>c2</td></tr></table><p>&lt;b&gt; &#233;&#x1F600; &amp;amp;</p>
