@@ -113,7 +113,7 @@ def xref_capped(spark, sf_dir):
 
 def form_field_lookup(spark, sf_dir):
     """The first declaration of each field in its target, by whole path, then by base name."""
-    pages = page_files(spark, sf_dir).filter("file_seq < 60").select("file_seq", "path", T.basename(F.col("path")).alias("base"))
+    pages = page_files(spark, sf_dir).select("file_seq", "path", T.basename(F.col("path")).alias("base"))
     forms = small(spark, [("853", "late", 2), ("853", "early", 1), ("blog.ththan.example.net/en/960", "whole", 3), ("960", "base", 4)], "k string, v string, seq int")
     first = forms.groupBy("k").agg(F.min_by("v", "seq").alias("v"))
     return flows.first_key(pages, ["path", "base"], first, "k", "v", "file_seq").filter("v is not null").select("file_seq", "v")

@@ -24,3 +24,21 @@ def test_taint_reachability_follows_every_edge(run):
         want |= {b: depth for a, b in edges if want.get(a) == depth - 1 and b not in want}
     got = run("taint_reachability", lineitem=(rows, "l_orderkey long, l_linenumber int, l_suppkey long"), supplier=([(s,) for s in range(110)], "s_suppkey long"))
     assert {r["node"]: r["depth"] for r in got.collect()} == want and want[106] == 7 and 107 not in want
+
+
+def test_scalar_math_takes_every_order(run):
+    rows = [(o, n, 1.0 * (o % 50), 10.0 * n) for o in (1, 2999, 3000, 3001, 90_000) for n in (1, 2)]
+    got = run("scalar_math", lineitem=(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double")).collect()
+    assert sorted((r["l_orderkey"], r["l_linenumber"], r["clamped"]) for r in got) == [(o, n, min(40, max(10, o % 50))) for o, n, *_ in rows]
+
+
+def test_scalar_json_takes_every_event(run):
+    rows = [(i, 100 + i, "click", f'{{"k": {i}}}') for i in range(25)]
+    got = run("scalar_json", events=(rows, "event_id long, user_id long, event_type string, props string")).collect()
+    assert sorted((r["event_id"], r["k"], r["n"], r["total"]) for r in got) == [(i, i if i % 10 else -1, 2, 102 + i) for i in range(25)]
+
+
+def test_form_field_lookup_takes_every_page(run):
+    urls = {3: "https://a/853", 59: "https://b/x", 60: "https://b/853", 4000: "https://blog.ththan.example.net/en/960", 9000: "https://c/960"}
+    got = run("form_field_lookup", pages=([(i, u, "") for i, u in urls.items()], "page_id long, url string, html string")).collect()
+    assert {r["file_seq"]: r["v"] for r in got} == {3: "early", 60: "early", 4000: "whole", 9000: "base"}
