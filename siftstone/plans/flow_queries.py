@@ -12,14 +12,6 @@ from siftstone.plans import scan_queries as S
 from siftstone.sources.tables import files, page_files, small, table
 from siftstone.streaming import scan
 
-CODE = [
-    ("a.py", "def handle(request, n=1):\n    q = request.args\n    run(q)\n    q = clean(q)\n    run(q)\n\ndef other():\n    run('x')\n"),
-    ("b.js", "function send(req) {\n  let v = req.query;\n  let w = v + 1;\n  exec(w, \"a(b\");\n}\n"),
-    ("c.txt", "x = request.body\nexec(fmt(x, 1), [1, 2])\n"),
-    ("d.txt", ""),
-]
-
-
 def _flows(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem")
     return i.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("sink"), F.col("l_linestatus").alias("status"), F.col("l_quantity").cast("int").alias("risk"), F.col("l_linenumber").alias("line"))
@@ -200,20 +192,21 @@ def summary_merge(spark, sf_dir):
     return parts.distinct().groupBy("alias", "kind").agg(F.count("*").alias("n"))
 
 
-def _code(spark):
-    return small(spark, CODE, "path string, content string")
+def _code(spark, sf_dir):
+    """All documents and pages."""
+    return files(spark, sf_dir).select("path", "content").unionByName(page_files(spark, sf_dir).select("path", "content"))
 
 
 def extract_functions(spark, sf_dir):
-    return extract.extract_functions(_code(spark)).select("path", "name", "start", "end", F.array_join("params", ",").alias("params"))
+    return extract.extract_functions(_code(spark, sf_dir)).select("path", "name", "start", "end", F.array_join("params", ",").alias("params"))
 
 
 def extract_calls(spark, sf_dir):
-    return extract.extract_calls(_code(spark)).select("path", "line", "name", F.size("args").alias("args"))
+    return extract.extract_calls(_code(spark, sf_dir)).select("path", "line", "name", F.size("args").alias("args"))
 
 
 def trace_flows(spark, sf_dir):
-    return extract.trace_flows(_code(spark), r"request\.|req\.", {"run", "exec"}, {"clean"})
+    return extract.trace_flows(_code(spark, sf_dir), r"request\.|req\.", {"run", "exec"}, {"clean"})
 
 
 def streaming_scan(spark, sf_dir):

@@ -42,3 +42,32 @@ def test_form_field_lookup_takes_every_page(run):
     urls = {3: "https://a/853", 59: "https://b/x", 60: "https://b/853", 4000: "https://blog.ththan.example.net/en/960", 9000: "https://c/960"}
     got = run("form_field_lookup", pages=([(i, u, "") for i, u in urls.items()], "page_id long, url string, html string")).collect()
     assert {r["file_seq"]: r["v"] for r in got} == {3: "early", 60: "early", 4000: "whole", 9000: "base"}
+
+
+CODE = [
+    ("a.py", "def handle(request, n=1):\n    q = request.args\n    run(q)\n    q = clean(q)\n    run(q)\n\ndef other():\n    run('x')\n"),
+    ("b.js", "function send(req) {\n  let v = req.query;\n  let w = v + 1;\n  exec(w, \"a(b\");\n}\n"),
+    ("c.txt", "x = request.body\nexec(fmt(x, 1), [1, 2])\n"),
+    ("d.txt", ""),
+]
+
+
+@pytest.fixture
+def sources(run):
+    """The files of CODE, in turn as documents and as pages, by path."""
+    docs = [(i, t, "en", p) for i, (p, t) in enumerate(CODE) if i % 2 == 0]
+    pages = [(i, f"https://{p}", t) for i, (p, t) in enumerate(CODE) if i % 2]
+    tables = {"documents": (docs, "doc_id long, text string, lang string, source string"), "pages": (pages, "page_id long, url string, html string")}
+    return lambda name: sorted((r["path"].split("/")[0], *list(r)[1:]) for r in run(name, **tables).collect())
+
+
+def test_extraction_reads_documents_and_pages(sources):
+    assert sources("extract_functions") == [("a.py", "handle", 1, 5, "request,n"), ("a.py", "other", 7, 8, ""), ("b.js", "send", 1, 5, "req"), ("c.txt", "<file>", 1, 2, ""), ("d.txt", "<file>", 1, 1, "")]
+
+
+def test_calls_of_documents_and_pages(sources):
+    assert sources("extract_calls") == [("a.py", 3, "run", 1), ("a.py", 4, "clean", 1), ("a.py", 5, "run", 1), ("a.py", 8, "run", 1), ("b.js", 4, "exec", 2), ("c.txt", 2, "exec", 2), ("c.txt", 2, "fmt", 2)]
+
+
+def test_flows_of_documents_and_pages(sources):
+    assert sources("trace_flows") == [("a.py", "handle", "run", 3, "q"), ("b.js", "send", "exec", 4, "w"), ("c.txt", "<file>", "exec", 2, "x")]
