@@ -43,6 +43,7 @@ ACCESS_KEY = re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0
 #: What must be in a text for the patterns to be tried.
 KEY_STARTS, SECRET_WORDS, TITLE_PARTS = ("AKIA", "ASIA", "_", "sk-", "xox"), ("passw", "pwd", "secret", "token", "key"), ("Mr", "Ms", "Mis", "Mme", "Madame", "Monsieur", "Herr", "Frau", "Señor", "Sr", "Госпо", "Κ")
 DIGITS_AT = re.compile("[0-9]+")
+AFTER_CARD = re.compile(r"[\w-]")
 SECRET = re.compile(r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?=[^\s"']*\d)([A-Za-z0-9_+/=.~-]{8,})""")
 NAME = re.compile(r"(?<!\w)(Mr|Mister|Herr|Monsieur|Señor|Sr|Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Господин|Госпожа|Κύριος|Κυρία)\.? ([^\W\d_a-zß-ÿ][^\W\d_]+)(?: ([^\W\d_a-zß-ÿ][^\W\d_]+))?(?!\w)")
 FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"}
@@ -68,16 +69,70 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _card(text: str, start: int) -> tuple[int, int]:
+    """(digits, end) of the longest valid card number that begins at start and ends with a group of digits; zeros if there is none."""
+    digits, at, found = "", start, (0, 0)
+    while len(digits) < 19 and (run := DIGITS_AT.match(text, at)):
+        digits, at = digits + run[0], run.end()
+        more = text[at : at + 1] in (" ", "-") and DIGITS_AT.match(text, at + 1)
+        if 13 <= len(digits) <= 19 and (more or not AFTER_CARD.match(text, at)) and not luhn(digits):
+            found = len(digits), at
+        if not more:
+            break
+        at += 1
+    return found
+
+
+def _card_within(text: str, start: int, end: int) -> tuple[int, int]:
+    """(start, end) of the card in a match from start to end: all of it if it is valid, else the longest that begins with one of its groups."""
+    if not luhn("".join(filter(str.isdigit, text[start:end]))):
+        return start, end
+    tried = [(*_card(text, run.start()), run.start()) for run in DIGITS_AT.finditer(text, start, end)]
+    size, to, at = max(tried, key=lambda x: x[0])
+    return (at, to) if size else (0, 0)
+
+
+def _iban(value: str) -> int:
+    """How long the longest valid IBAN at the beginning of value is, up to a space or the end; 0 if there is none."""
+    end = len(value)
+    while end > 0:
+        bare = value[:end].replace(" ", "")
+        if 15 <= len(bare) <= 34 and mod97(bare) == 1:
+            return end
+        end = value.rfind(" ", 0, end)
+    return 0
+
+
+def _accepted(text: str, m: re.Match) -> tuple[int, int]:
+    """(start, end) of the entity at a match of NUMBER, zeros if it is none. Cards and IBANs may be a part of the match."""
+    kind, value = m.lastgroup, m.group()
+    if kind == "card":
+        return _card_within(text, *m.span())
+    if kind == "iban":
+        size = _iban(value)
+        return (m.start(), m.start() + size) if size else (0, 0)
+    if kind == "ip" and any(int(x) > 255 or (x[0] == "0" and x != "0") for x in value.split(".")):
+        return 0, 0
+    if kind == "phone" and not 8 <= sum(map(str.isdigit, value)) <= 15:
+        return 0, 0
+    return m.span()
+
+
 def _numbers(text: str):
-    """Matches of NUMBER. They begin at a run of digits, or one or two characters before it, so only there it is tried."""
-    end = 0
+    """(start, end, kind) of numbers. They begin at a run of digits, or one or two characters before it, so only there NUMBER is tried."""
+    end = tried = 0
     for run in DIGITS_AT.finditer(text):
         at = run.start()
         for start in (at - 1, at - 2, at):
-            if start >= end and (m := NUMBER.match(text, start)):
-                yield m
-                end = m.end()
+            if start < end or (m := NUMBER.match(text, start)) is None or (m.lastgroup == "card" and start < tried):
+                continue
+            first, to = _accepted(text, m)
+            if to:
+                yield first, to, m.lastgroup
+                end, tried = to, 0
                 break
+            if m.lastgroup == "card":
+                tried = m.end()  # no card begins before
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -90,18 +145,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if left and right:
             found.append((left.start(), right.end(), "email"))
         at = text.find("@", at + 1)
-    for m in _numbers(text):
-        kind, value = m.lastgroup, m.group()
-        digits = "".join(filter(str.isdigit, value)) if kind in ("card", "phone") else ""
-        if kind == "ip" and any(int(x) > 255 or (x[0] == "0" and x != "0") for x in value.split(".")):
-            continue
-        if kind == "card" and luhn(digits):
-            continue
-        if kind == "phone" and not 8 <= len(digits) <= 15:
-            continue
-        if kind == "iban" and not (15 <= len(value.replace(" ", "")) <= 34 and mod97(value.replace(" ", "")) == 1):
-            continue
-        found.append((m.start(), m.end(), kind))
+    found += _numbers(text)
     if any([x in text for x in KEY_STARTS]):
         found += [(*m.span(), "key") for m in ACCESS_KEY.finditer(text)]
     low = text.lower()

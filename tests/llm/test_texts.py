@@ -185,6 +185,16 @@ def test_pii_kinds():
     assert [text[s:e] for s, e, _ in pii.find(text)] == ["1a2b3c4d5e", "0cab398dc11d1a2a", "ABC123DEF456"]
 
 
+def test_pii_check_digits_beside_other_numbers():
+    spaced, iban = "4485 2757 4230 8327", "ES91 2100 0418 4502 0005 1332"
+    found = {
+        f"{CARD} 12/29": [CARD], f"{spaced} 123": [spaced], f"item 2 {spaced}": [spaced], f"12 29 {spaced} 12 29": [spaced], "2-4485-2757-4230-8327-12": ["4485-2757-4230-8327"], f"+1 {spaced}": [spaced],
+        f"{spaced} {CARD}": [spaced, CARD], f"{iban} EUR": [iban], f"{iban} EURO 2024 OK": [iban], f"AB12 {iban} 99": [iban], f"{IBAN} {CARD} 7": [IBAN, CARD], f"{CARD}-x": [], f"x{CARD} 12": [], f"{CARD}123 1": [],
+    }
+    for text, want in found.items():
+        assert [text[s:e] for s, e, _ in pii.find(text)] == want, text
+
+
 def test_pii_names():
     text = "Mrs. Anna Schmidt met Mr Schmidt and Frau Anna Schmidt; Госпожа Анна Иванова"
     spans = pii.find(text)
