@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. Pass one decides blocks: structure first (what stands in menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts or styles is out; what else stands in
-an article or main element is in), then stop-word density, length and link density. Pass two gives ambiguous
+an article or main element is in, also lists of links, and also if only class words around that element say otherwise), then stop-word density, length and link density. Pass two gives ambiguous
 short blocks the label of their nearest decided neighbours. Kept blocks, their character references decoded and
 white space made single spaces, are joined in page order by blank lines.
 
@@ -42,6 +42,10 @@ OUT_WORDS = {
     "consent", "gdpr", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer",
     "comment", "comments", "disqus", "respond", "replies", "social", "share", "sharing", "related", "recommended", "pagination", "masthead",
 }
+#: Of these, words of what may hold articles of its own: none of them is the page's.
+OTHER_ARTICLES = {"comment", "comments", "disqus", "respond", "replies", "related", "recommended", "sponsor", "sponsored", "promo", "promotion"}
+#: Why an element is out: its class words alone, which an article or main element inside it overrules, or more.
+BY_WORDS, FOR_GOOD = 1, 2
 STOP_WORDS = frozenset(
     "the of and to in is that it was for on are as with be at by this have from or an not "
     "le la les de des du un une et est en que qui dans pour pas sur au avec par ce "
@@ -56,25 +60,28 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
-def _is_out(name: str, raw: str, in_main: bool) -> bool:
+def _is_out(name: str, raw: str, in_main: bool) -> int:
+    """0, BY_WORDS or FOR_GOOD."""
     if name in OUT or (name == "header" and not in_main):
-        return True
+        return FOR_GOOD
     if not raw.strip() or name in ("html", "body"):
-        return False
+        return 0
     attrs = _attributes(raw)
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in OUT_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return FOR_GOOD
     words = TOKEN.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return name not in MAIN and any(w in OUT_WORDS or (w == "header" and not in_main) for w in words)
+    if name in MAIN or not any(w in OUT_WORDS or (w == "header" and not in_main) for w in words):
+        return 0
+    return FOR_GOOD if in_main or not OTHER_ARTICLES.isdisjoint(words) else BY_WORDS
 
 
 def blocks(page: str) -> list[tuple[str, bool, float, str]]:
     """(text, inside an article, share of its characters in links, tag) of each block that structure doesn't rule out."""
     found: list[tuple[str, bool, float, str]] = []
     # open elements: name, what was out and in an article before it
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, bool]] = []
     opened: Counter[str] = Counter()
-    out, in_main, links, tag = False, False, 0, "body"
+    out, in_main, links, tag = 0, False, 0, "body"
     parts: list[str] = []
     linked = 0
 
@@ -138,7 +145,8 @@ def blocks(page: str) -> list[tuple[str, bool, float, str]]:
                 opened[gone] -= 1
             stack.append((name, out, in_main))
             opened[name] += 1
-            out = out or _is_out(name, raw, in_main)
+            out = 0 if out == BY_WORDS and name in MAIN else out
+            out = max(out, _is_out(name, raw, in_main))
             in_main = in_main or name in MAIN or 'role="main"' in raw or "articleBody" in raw
             tag = name if name in BLOCK else tag
     flush()
@@ -152,7 +160,7 @@ def main_text(page: str | None) -> str:
     labels: list[bool | None] = []
     for text, inside, links, tag in found:
         if article:
-            labels.append(inside and not (tag == "li" and links > 0.8))
+            labels.append(inside)
             continue
         words = text.lower().split()
         stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)

@@ -155,6 +155,14 @@ def test_html():
     assert html_blocks.main_text(page) == f"Head\n\n{long.strip()}\n\nShort.\n\n{long.strip()}"
 
 
+def test_html_keeps_all_of_the_article():
+    assert html_blocks.main_text("<article><p>text</p><ul><li><a href=a>First source</a></li><li><a href=b>Second</a></li></ul><nav><ul><li><a href=c>Home</a></li></ul></nav></article>") == "text\n\nFirst source\n\nSecond"
+    for name in ("article", "main"):
+        assert html_blocks.main_text(f"<div class='layout with-sidebar'><p>side</p><{name}><p>text</p><div class=share>x</div></{name}><p>side</p></div>") == "text"
+    for around in ("<nav>", "<div hidden>", "<div class=comments>", "<div class='related menu'>", "<aside class=sidebar>", "<div class=sidebar><nav>", "<nav><div class=sidebar>"):
+        assert html_blocks.main_text(f"{around}<article><p>other</p></article>") == "", around
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (1, "u", PAGE)], "page_id long, url string, html string").selectExpr("*", "'x' AS text", "0 AS n_chars")
     got = html_blocks.extract(df).collect()
