@@ -1,16 +1,69 @@
-"""Cutting long lineages so that jobs survive lost executors."""
+"""Tables in the session's shared folder. They cut long lineages, so that jobs survive lost executors."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_roots: dict[str, str] = {}
+
+
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Without it a temporary folder, but on a local master only, whose tasks all see this machine's disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="siftstone-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_base(spark)}/siftstone-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _roots[app])
+    return _roots[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended; the shared folder is then swept by its owner
+        pass
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back. Cuts the lineage and outlives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize made and that no plan reads any more. Other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "table_path", None)
+        if path:
+            _remove(t.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables of the application: for long sessions, when no earlier result is read any more."""
+    _remove(spark, shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a temporary folder only where none is set (tests)."""
+    """A reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftstone-ck-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.operators import match
+from siftstone.plans.lineage import shared_dir
 
 
 def folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftstone-st-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
