@@ -1,62 +1,39 @@
-"""Shared plumbing of the corpus operators: tables, materialisation, checked broadcasts."""
+"""Shared plumbing of the corpus operators: tables, checked broadcasts, Arrow batches in small pieces."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.plans.lineage import materialize, release, shared_dir
+
+__all__ = ["WORD", "count_words", "is_small", "let", "lookup_join", "materialize", "pieces", "read_table", "release", "released", "shared_dir"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Lookup sides of at most this many rows are broadcast; larger ones are shuffle-joined.
-BROADCAST_ROWS = 100_000
-
-_roots: dict[str, str] = {}
+#: Lookup sides are broadcast up to this many rows and characters; larger ones are shuffle-joined.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 32 << 20
+#: Rows and bytes that a Python task works on at a time.
+PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = base or tempfile.mkdtemp(prefix="siftstone-")
-        _roots[app] = f"{base.rstrip('/')}/siftstone-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _roots[app])
-    return _roots[app]
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended; the shared folder is then swept by its owner
-        pass
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back. Cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
+    """Whether df has few rows, and these few characters in their text and binary columns. Should be materialised."""
+    wide = [F.coalesce(F.length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum(wide[1:], wide[0]) if wide else F.lit(0)
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("chars")).first()
+    return found["n"] <= rows and (found["chars"] or 0) <= chars
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join facts to a lookup with unique keys, nulls equal. lookup should be materialised.
 
-    The lookup is broadcast if it is counted to be small; otherwise both sides are shuffled, and
+    The lookup is broadcast if it is measured to be small; otherwise both sides are shuffled, and
     adaptive execution splits hot keys, as the lookup has one row for each.
     """
     renamed = lookup.withColumnRenamed(key, "__key")
@@ -73,9 +50,12 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small in the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches, rows: int = PIECE_ROWS, size: int = PIECE_BYTES):
+    """Arrow batches (Spark bounds their bytes) in slices of few rows and about `size` bytes, so that what is made of them stays small."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def released(run):

@@ -1,30 +1,36 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides blocks: structure first (what stands in menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments, scripts or styles is out; what else stands in
-an article or main element is in, also lists of links, and also if only class words around that element say otherwise), then stop-word density, length and link density. Pass two gives ambiguous
-short blocks the label of their nearest decided neighbours. Kept blocks, their character references decoded and
+A page is cut into blocks at block-level tags. What stands in menus, headers, footers, sidebars, dialogs, forms, hidden elements, scripts or
+styles, and in containers named as reader comments, is no block at all. Pass one decides blocks by length, stop-word density
+and link density: long ones with stop words are in, those mostly of links are out, the rest is ambiguous. Structure
+is a prior of this: an article or main element whose text is dense is the page's, so what stands outside it is out, and its lists of
+links are ambiguous instead of out; if its text isn't, but other text is, it counts as nothing. Blocks in containers named as adverts, notices or the
+like are out too, unless no other block can be in. Pass two gives ambiguous blocks the label of their nearest decided
+neighbours (in an article all of which are in). Kept blocks, their character references decoded and
 white space made single spaces, are joined in page order by blank lines.
 
 Nulls: a null html is an empty page and gives an empty text. Broken markup is read as far as it can be: unclosed
 tags end with their parents, stray end tags are ignored, an unclosed script hides the rest. Long pages are read
-whole in linear time. Repeated rows give repeated results; an empty table gives an empty result.
+whole in linear time. Blocks as near to a block that is in as to one that is out are in. Repeated rows give repeated results;
+an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftstone.llm.common import arrow_batches, released
+from siftstone.llm.common import pieces, released
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-TOKEN = re.compile(r"[a-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,22 +42,28 @@ BLOCK = {
     "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-#: Words of class and id values that mark what isn't the article.
-OUT_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
-    "consent", "gdpr", "notice", "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer",
-    "comment", "comments", "disqus", "respond", "replies", "social", "share", "sharing", "related", "recommended", "pagination", "masthead",
+#: A name in class or id marks a container of what isn't the article if it is made of CUES and FRAMES only.
+CUES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal",
+    "newsletter", "subscribe", "signup", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "social", "share", "sharing", "related", "recommended", "pagination", "masthead",
 }
-#: Of these, words of what may hold articles of its own: none of them is the page's.
-OTHER_ARTICLES = {"comment", "comments", "disqus", "respond", "replies", "related", "recommended", "sponsor", "sponsored", "promo", "promotion"}
-#: Why an element is out: its class words alone, which an article or main element inside it overrules, or more.
-BY_WORDS, FOR_GOOD = 1, 2
+COMMENT_CUES = {"comment", "comments", "disqus", "respond", "replies"}
+FRAMES = {
+    "area", "list", "box", "section", "wrapper", "wrap", "container", "widget", "bar", "block", "banner", "panel", "inner", "outer", "top", "bottom", "left", "right", "page", "site", "global", "primary", "secondary", "main",
+    "sticky", "fixed", "mobile", "desktop", "thread", "form", "link", "links", "button", "buttons", "icons", "item", "items", "unit", "slot", "zone", "posts", "articles", "stories", "message", "overlay", "bottom", "media", "js", "id",
+}
+#: Containers of these may hold articles of their own: none of them is the page's.
+OTHER_ARTICLES = {"related", "recommended", "sponsor", "sponsored", "promo", "promotion"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Why an element is out: its name alone (a prior), or for good.
+BY_NAME, FOR_GOOD = 1, 2
 STOP_WORDS = frozenset(
     "the of and to in is that it was for on are as with be at by this have from or an not "
     "le la les de des du un une et est en que qui dans pour pas sur au avec par ce "
     "der die das und ist von zu den mit ein eine im nicht auf für dem des sich auch es "
     "el los las y que en un una por con para se del no es al lo como".split()
 )
+#: Words of long and of short blocks; shares of links and stop words.
 LONG, SHORT = 25, 8
 MAX_LINKS, MIN_STOPS = 0.5, 0.15
 
@@ -60,8 +72,20 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
+@functools.lru_cache(maxsize=10_000)
+def cues(names: str, in_main: bool) -> frozenset[str]:
+    """The cues of names (the values of class and id) that are made of cues and frames only; in an article no header is one."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = {x.lower() for x in PART.findall(name) if not x.isdigit()}
+        marks = {x for x in parts if x in CUES or x in COMMENT_CUES or (x == "header" and not in_main)}
+        if marks and parts - marks <= FRAMES:
+            found |= marks
+    return frozenset(found)
+
+
 def _is_out(name: str, raw: str, in_main: bool) -> int:
-    """0, BY_WORDS or FOR_GOOD."""
+    """0, BY_NAME or FOR_GOOD."""
     if name in OUT or (name == "header" and not in_main):
         return FOR_GOOD
     if not raw.strip() or name in ("html", "body"):
@@ -69,38 +93,52 @@ def _is_out(name: str, raw: str, in_main: bool) -> int:
     attrs = _attributes(raw)
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in OUT_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return FOR_GOOD
-    words = TOKEN.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    if name in MAIN or not any(w in OUT_WORDS or (w == "header" and not in_main) for w in words):
+    if name in HEADINGS:
         return 0
-    return FOR_GOOD if in_main or not OTHER_ARTICLES.isdisjoint(words) else BY_WORDS
+    marks = cues(f"{attrs.get('class', '')} {attrs.get('id', '')}", in_main)
+    if not marks.isdisjoint(COMMENT_CUES):
+        return FOR_GOOD
+    if name in MAIN and not in_main:
+        return 0
+    return 0 if not marks else FOR_GOOD if not marks.isdisjoint(OTHER_ARTICLES) else BY_NAME
+
 
+class Block(NamedTuple):
+    """inside: in an article; links: share of its characters in links; named: in a container named as none of the article."""
 
-def blocks(page: str) -> list[tuple[str, bool, float, str]]:
-    """(text, inside an article, share of its characters in links, tag) of each block that structure doesn't rule out."""
-    found: list[tuple[str, bool, float, str]] = []
+    text: str
+    inside: bool
+    links: float
+    tag: str
+    named: bool
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page that structure doesn't rule out for good. Text named as none of the article is a block of its own, after what it stands in."""
+    found: list[Block] = []
     # open elements: name, what was out and in an article before it
     stack: list[tuple[str, int, bool]] = []
     opened: Counter[str] = Counter()
     out, in_main, links, tag = 0, False, 0, "body"
-    parts: list[str] = []
-    linked = 0
+    # texts and linked characters of the block, by what `out` is
+    parts: tuple[list[str], list[str]] = ([], [])
+    linked = [0, 0]
 
     def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                found.append((text, in_main, min(1.0, linked / len(text)), tag))
-            parts.clear()
-        linked = 0
+        for named in (0, BY_NAME):
+            if parts[named]:
+                text = " ".join("".join(parts[named]).split())
+                if text:
+                    found.append(Block(text, in_main, min(1.0, linked[named] / len(text)), tag, named == BY_NAME))
+                parts[named].clear()
+            linked[named] = 0
 
     def say(text: str) -> None:
-        nonlocal linked
-        if not out and text:
+        if out != FOR_GOOD and text:
             text = html.unescape(text) if "&" in text else text
-            parts.append(text)
+            parts[out].append(text)
             if links:
-                linked += len(text)
+                linked[out] += len(text)
 
     at, end = 0, len(page)
     while at < end:
@@ -139,13 +177,13 @@ def blocks(page: str) -> list[tuple[str, bool, float, str]]:
                         break
                 links = 0 if name in BLOCK else links
                 tag = "body"
-        elif name in BLOCK or opened[name] or "class" in raw or "id" in raw or "role" in raw or "hidden" in raw or "style" in raw:
+        elif name in BLOCK or name in OUT or opened[name] or "class" in raw or "id" in raw or "role" in raw or "hidden" in raw or "style" in raw:
             if name in ("p", "li", "option", "dt", "dd") and stack and stack[-1][0] == name:
                 gone, out, in_main = stack.pop()
                 opened[gone] -= 1
             stack.append((name, out, in_main))
             opened[name] += 1
-            out = 0 if out == BY_WORDS and name in MAIN else out
+            out = 0 if out == BY_NAME and name in MAIN and not in_main else out
             out = max(out, _is_out(name, raw, in_main))
             in_main = in_main or name in MAIN or 'role="main"' in raw or "articleBody" in raw
             tag = name if name in BLOCK else tag
@@ -153,32 +191,43 @@ def blocks(page: str) -> list[tuple[str, bool, float, str]]:
     return found
 
 
+def density(block: Block) -> bool | None:
+    """In, out, or ambiguous by length, link density and stop-word density."""
+    if block.links > MAX_LINKS:
+        return False
+    words = block.text.lower().split()
+    if len(words) < SHORT:
+        return None
+    if len(words) >= LONG:
+        return True
+    stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+    return True if stops >= MIN_STOPS else None
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    article = any(b[1] for b in found)
-    # True in, False out, None to be decided by neighbours
-    labels: list[bool | None] = []
-    for text, inside, links, tag in found:
-        if article:
-            labels.append(inside)
-            continue
-        words = text.lower().split()
-        stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-        if links > MAX_LINKS:
-            labels.append(False)
-        elif len(words) >= LONG:
-            labels.append(True)
-        elif len(words) >= SHORT and stops >= MIN_STOPS:
-            labels.append(True)
-        else:
-            labels.append(None)
-    if None in labels:
-        labels = _inherited(labels, [b[3] for b in found])
-    return "\n\n".join(b[0] for b, keep in zip(found, labels, strict=True) if keep)
+    labels = [density(b) for b in found]
+    inside = [b.inside and not b.named for b in found]
+    outside = [x for x, b in zip(labels, found, strict=True) if not b.inside and not b.named]
+    # an article is the page's if its text is dense, or if no other is
+    article = any(inside) and (any(x for x, i in zip(labels, inside, strict=True) if i) or not any(outside))
+    if article:
+        labels = [(x or None) if i else False for x, i in zip(labels, inside, strict=True)]
+        if True not in labels:  # short blocks alone
+            labels = inside
+    elif any(x is not False for x in outside):
+        labels = [False if b.named else x for x, b in zip(labels, found, strict=True)]
+    if article:
+        kept = [b for b, i in zip(found, inside, strict=True) if i]
+        own = _inherited([x for x, i in zip(labels, inside, strict=True) if i], [b.tag for b in kept])
+        return "\n\n".join(b.text for b, keep in zip(kept, own, strict=True) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found, _inherited(labels, [b.tag for b in found]), strict=True) if keep)
 
 
 def _inherited(labels: list[bool | None], tags: list[str]) -> list[bool]:
     """Ambiguous blocks take the label of the nearest decided one; at equal distance in wins; headings look ahead only."""
+    if None not in labels:
+        return labels  # type: ignore[return-value]
     n, far = len(labels), len(labels) + 1
     before: list[tuple[int, bool]] = []
     last: tuple[int, bool] = (-far, True)
@@ -196,7 +245,7 @@ def _inherited(labels: list[bool | None], tags: list[str]) -> list[bool]:
             out.append(x)
             continue
         (p, up), (q, down) = before[i], after[i]
-        if tags[i] in ("h1", "h2", "h3", "h4", "h5", "h6") and q < far:
+        if tags[i] in HEADINGS and q < far:
             out.append(down)
         elif up == down or i - p == q - i:
             out.append(up or down)
@@ -207,10 +256,9 @@ def _inherited(labels: list[bool | None], tags: list[str]) -> list[bool]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    arrow_batches(pages.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -10,8 +10,10 @@
    middle of its words, so a source misses its quota by half a document at most; then the one document that
    comes nearest to closing this gap changes sides.
 
-Nulls: a null text has no words and takes none; a null source is a source of its own and comes last; null ids
-share one place in the order, as repeated ids do. Empty tables give empty results; extra columns pass through `mix`.
+Nulls: a null text has no words and takes none, like any text without words: `mix` leaves it out. A null source is a source of
+its own and comes last; null ids share one place in the order, as repeated ids do (all or none of them are taken). Ties of
+quotients go to the source that ranks first, ties of the order to the smaller hash. Empty tables give empty results; extra
+columns pass through `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import count_words, lookup_join, materialize
+from siftstone.llm.common import WORD, count_words, is_small, lookup_join, materialize, release
 
 SEED = 20_231
 BLOCK_WORDS = 64
-#: Rows of a (source, range of the seeded order) group.
-RANGE_ROWS = 8192
+#: Fewest rows of a range of the seeded order. A range has about the square root of the rows, so that a hot source's ranges, and
+#: the rows of each, are both far fewer than its rows.
+RANGE_ROWS = 64
 
 
 def _order_hash(seed: int):
@@ -61,7 +64,7 @@ def with_targets(sources: DataFrame, share: float, epochs: float) -> DataFrame:
 
 def with_quotas(sources: DataFrame, block_words: int) -> DataFrame:
     """Adds blocks: seats of a source among round(sum of targets / block_words), by highest quotients, ties by rank."""
-    facts = sources.agg(F.sum("target").alias("t"), F.max("target").alias("m"), F.count_if(F.col("target") > 0).alias("n")).first()
+    facts = sources.agg(F.sum("target").alias("t"), F.max("target").alias("m"), F.count_if(F.col("target") > 0).alias("n"), F.max("rank").alias("last")).first()
     seats = round((facts["t"] or 0.0) / block_words)
     above = lambda d: F.when(F.col("target") > 0, F.greatest(F.ceil(F.col("target") / F.lit(d) + 0.5) - 1, F.lit(0))).otherwise(0).cast("long")  # noqa: E731  seats with a quotient over d
     if not seats:
@@ -81,17 +84,23 @@ def with_quotas(sources: DataFrame, block_words: int) -> DataFrame:
     sure = sources.withColumn("__sure", above(high)).withColumn("__more", above(low) - above(high))
     if n_high == seats:
         return sure.withColumn("blocks", F.col("__sure")).drop("__sure", "__more")
-    # quotients that no double separates: ties, in order of rank
-    tied = sure.filter("__more > 0").select("rank", F.explode(F.sequence(F.col("__sure") + 1, F.col("__sure") + F.col("__more"))).alias("k"), (F.col("target")).alias("t"))
-    won = tied.withColumn("place", F.row_number().over(Window.orderBy((F.col("t") / (F.col("k") - 0.5)).desc(), "rank"))).filter(F.col("place") <= seats - n_high).groupBy("rank").agg(F.count("*").alias("__won"))
-    return sure.join(won, "rank", "left").withColumn("blocks", F.col("__sure") + F.coalesce("__won", F.lit(0))).drop("__sure", "__more", "__won")
+    # quotients that no double separates are ties: the sources that rank first take the seats left. The rank where they run out
+    # is searched by aggregates, so that many equal sources meet in no task
+    left, low, below, high = seats - n_high, 0, 0, facts["last"] + 1
+    while high - low > 1:
+        tries = list(range(low + max(1, (high - low) // 32), high, max(1, (high - low) // 32)))
+        counts = sure.agg(*[F.sum(F.when(F.col("rank") < r, F.col("__more")).otherwise(0)).alias(f"c{k}") for k, r in enumerate(tries)]).first()
+        low, below = max([(low, below), *[(r, counts[k]) for k, r in enumerate(tries) if counts[k] <= left]])
+        high = min([high, *[r for k, r in enumerate(tries) if counts[k] > left]])
+    won = F.when(F.col("rank") < low, F.col("__more")).when(F.col("rank") == low, F.least(F.col("__more"), F.lit(left - below))).otherwise(0)
+    return sure.withColumn("blocks", (F.col("__sure") + won).cast("long")).drop("__sure", "__more")
 
 
 def shard_quotas(sizes: DataFrame, sources: DataFrame, block_words: int, range_rows: int) -> tuple[DataFrame, DataFrame]:
     """(sources with passes and cut: a document is taken passes times, once more if its order hash is <= cut, but for swap;
     quotas of each source and shard: words, words_before, rest, blocks)."""
     rows = sources.agg(F.sum("n_docs").alias("n")).first()["n"] or 0
-    n_ranges = max(1, math.ceil(rows / range_rows))
+    n_ranges = max(1, math.ceil(rows / max(range_rows, math.isqrt(rows))))
     spend = F.least(F.col("blocks") * F.lit(block_words), F.col("source_size") * 2)
     passes = F.when(F.col("source_size") > 0, F.floor(spend / F.col("source_size"))).otherwise(0).cast("long")
     plan = materialize(sources.withColumn("passes", passes).withColumn("rest", (spend - passes * F.col("source_size")).cast("long")), "plan")
@@ -103,8 +112,8 @@ def shard_quotas(sizes: DataFrame, sources: DataFrame, block_words: int, range_r
     quotas = materialize(lookup_join(sums.withColumn("words_before", before), plan.select("source", "rest"), "source").withColumn("blocks", F.ceil(F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("words_before"))) / F.lit(block_words)).cast("long")), "quotas")
 
     whole = quotas.filter("words_before + words <= rest").groupBy("source").agg(F.max("last_h").alias("cut"))
-    edge = quotas.filter("words_before < rest and words_before + words > rest").select(F.col("source").alias("__s"), F.col("shard").alias("__k"), "words_before", "rest")
-    edge = F.broadcast(edge) if quotas.count() <= 100_000 else edge
+    edge = materialize(quotas.filter("words_before < rest and words_before + words > rest").select(F.col("source").alias("__s"), F.col("shard").alias("__k"), "words_before", "rest"), "edge")
+    edge = F.broadcast(edge) if is_small(edge) else edge  # one row a source at most
     at_edge = sharded.join(edge, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__k")))
     peers = Window.partitionBy("source", "shard")
     upto = F.sum("size").over(peers.orderBy("h")) + F.col("words_before")
@@ -153,5 +162,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it. The plan reaches the rows by a checked broadcast, so texts aren't shuffled."""
     columns = docs.columns
     _, sources, _ = plan_mix(docs, **options)
-    rows = _with_plan(docs.withColumn("__h", _order_hash(options.get("seed", SEED))), sources)
+    worded = docs.filter(F.coalesce(F.regexp(F.col("text"), F.lit(WORD)), F.lit(False)))
+    rows = _with_plan(worded.withColumn("__h", _order_hash(options.get("seed", SEED))), sources)
     return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select(*[F.col(f"`{c}`") for c in columns])

@@ -6,7 +6,8 @@ are then counted by host (a column), shrunk towards a beta prior fitted to the h
 hosts whose shrunken rate is over `max_rate` reject all their documents.
 
 Nulls: a null text has no words and fails; a null host is a host of its own. Empty texts have one empty line,
-which has no word and so isn't counted. An empty table gives an empty result. Other columns pass through; the
+which has no word and so isn't counted. A rate of exactly `max_rate` doesn't reject. Repeated rows count each. Texts of any length are
+measured whole. An empty table gives an empty result. Other columns pass `filtered`, whatever their names; the
 metrics of `measured` replace columns of the same names.
 """
 
@@ -89,19 +90,22 @@ def host_rates(flags: DataFrame, host: str, failed: str) -> DataFrame:
 
 
 def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source", keep=("doc_id",)) -> DataFrame:
-    """keep, host, the five metrics, base_failed, host_rate, kept. Texts are read once; metrics go through a slim table."""
+    """keep, host, the five metrics, base_failed, host_rate, host_failed, kept. Texts are read once; metrics go through a slim table."""
     slim = measured(df, text).withColumn("base_failed", base_failed(rules))
     slim = materialize(slim.select(*keep, host, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), "measured")
     rates = host_rates(slim, host, "base_failed").select(host, F.col("rate").alias("host_rate"))
-    return lookup_join(slim, rates, host).withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= rules.max_rate))
+    judged = lookup_join(slim, rates, host).withColumn("host_failed", F.col("host_rate") > rules.max_rate)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
 def filtered(df: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of df that pass, with df's columns. Rejected hosts reach the texts by a checked broadcast."""
+    """The rows of df that pass, with df's columns. Texts are measured once: those that pass on their own are written, beside a count of all
+    others by host; rejected hosts reach them by a checked broadcast."""
     flagged = _flag(df, rules, text)
-    rates = host_rates(flagged, host, "__failed")
+    passing = materialize(flagged.withColumn(text, F.when(~F.col("__failed"), F.col(text))), "passing")
+    rates = host_rates(passing.select(host, "__failed"), host, "__failed")
     rejected = materialize(rates.filter(F.col("rate") > rules.max_rate).select(host, F.lit(True).alias("__bad")), "rejected")
-    return lookup_join(flagged.filter(~F.col("__failed")), rejected, host).filter(F.col("__bad").isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    return lookup_join(passing.filter(~F.col("__failed")), rejected, host).filter(F.col("__bad").isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _flag(df: DataFrame, rules: Rules, text: str) -> DataFrame:

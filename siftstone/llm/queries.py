@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from siftstone.llm import chunk_bpe, html_blocks, lattice_neardup, mixing, pii, quality_rules, repair_ids, setsketch_dedup, sharding, url_graph
 from siftstone.llm.common import read_table
 
+#: Key of surrogates where the session sets none: for trials only, as it is no secret.
+TRIAL_KEY = b"surrogates of the trial queries"
+#: Rounds of propagation, in the query and in its SQL.
+URL_ROUNDS = 25
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def op1_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"), "host_failed")
 
 
 def op2_sharding(spark, sf_dir):
@@ -23,8 +28,12 @@ def op3_embeddings(spark, sf_dir):
     return lattice_neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def surrogate_key(spark) -> bytes:
+    return (spark.conf.get("spark.siftstone.surrogate.key", None) or "").encode() or TRIAL_KEY
+
+
 def op4_pii(spark, sf_dir):
-    return pii.anonymize(read_table(spark, sf_dir, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
+    return pii.anonymize(read_table(spark, sf_dir, "documents"), surrogate_key(spark), count="n_entities").select("doc_id", "text", "n_entities")
 
 
 def op5_minhash(spark, sf_dir):
@@ -32,13 +41,19 @@ def op5_minhash(spark, sf_dir):
 
 
 def op6_url_filters(spark, sf_dir):
-    return url_graph.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    judged = url_graph.judge_urls(read_table(spark, sf_dir, "pages"), tolerance=0.0, max_rounds=URL_ROUNDS)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
 
 
 def op7_mixing(spark, sf_dir):
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark, sf_dir):
+    """What of the mix SQL can express: all but the seeded choice of documents."""
+    return mixing.taken_words(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def op8_html(spark, sf_dir):
     return html_blocks.extract(read_table(spark, sf_dir, "pages"))
 
@@ -61,6 +76,7 @@ def queries():
         "op5_minhash": op5_minhash,
         "op6_url_filters": op6_url_filters,
         "op7_mixing": op7_mixing,
+        "mixing_targets": mixing_targets,
         "op8_html": op8_html,
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
@@ -96,16 +112,23 @@ WITH words AS (
 ), strength AS (
   SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 0.01), 1e6) ELSE 1e6 END AS s FROM prior
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (f + m * s) / (n + s) <= 0.8 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (f + m * s) / (n + s) <= 0.8 AS kept,
+  round((f + m * s) / (n + s), 9) AS host_rate, (f + m * s) / (n + s) > 0.8 AS host_failed
 FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, strength
 """
 
-#: Without links between hosts, as in the pages at hand, scores are the seeds' shares: (1 - damping) cancels out.
-OP6_SQL = r"""
+#: Forward trust and backward distrust over the links between hosts, as many rounds as the query has.
+OP6_ROUND = """, r{k} AS MATERIALIZED (
+  SELECT s.host, 0.15 * s.trust0 + 0.85 * coalesce(f.x, 0) AS trust, 0.15 * s.distrust0 + 0.85 * coalesce(b.x, 0) AS distrust
+  FROM seeds s LEFT JOIN (SELECT dst AS host, sum(forward * trust) AS x FROM edges JOIN r{j} ON src = r{j}.host GROUP BY dst) f ON s.host = f.host
+    LEFT JOIN (SELECT src AS host, sum(back * distrust) AS x FROM edges JOIN r{j} ON dst = r{j}.host GROUP BY src) b ON s.host = b.host
+)"""
+OP6_SQL = (
+    r"""
 WITH split AS (
-  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM split
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM split
 ), rules(rule, name, start, verdict) AS (
   VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
 ), fits AS (
@@ -113,13 +136,84 @@ WITH split AS (
   FROM parts JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
 ), ruled AS (
   SELECT p.page_id, p.host, p.path, f.rule, f.verdict FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.place = 1
+), found AS (
+  SELECT host AS src, regexp_replace(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')), '(?i)^href\s*=\s*["'']?|["'']$', '', 'g') AS u FROM parts
+), absolute AS (
+  SELECT src, CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END AS u FROM found
+), links AS (
+  SELECT src, translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM absolute WHERE strpos(u, '://') > 0
+), counted AS (
+  SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst
+), edges AS MATERIALIZED (
+  SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forward, n / sum(n) OVER (PARTITION BY dst) AS back FROM counted
 ), hosts AS (
-  SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM ruled WHERE host <> '' GROUP BY host
+  SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS trust0, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS distrust0 FROM ruled WHERE host <> '' GROUP BY host
+), seeds AS MATERIALIZED (
+  SELECT a.host, coalesce(trust0, 0) AS trust0, coalesce(distrust0, 0) AS distrust0 FROM (SELECT src AS host FROM edges UNION SELECT dst FROM edges UNION SELECT host FROM hosts) a LEFT JOIN hosts h ON a.host = h.host
+), r0 AS MATERIALIZED (SELECT host, 0.15 * trust0 AS trust, 0.15 * distrust0 AS distrust FROM seeds)"""
+    + "".join(OP6_ROUND.format(k=k, j=k - 1) for k in range(1, URL_ROUNDS + 1))
+    + f"""
+SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN distrust > 2 * trust THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 6) AS trust, round(distrust, 6) AS distrust
+FROM ruled LEFT JOIN r{URL_ROUNDS} r ON ruled.host = r.host
+"""
+)
+
+#: All pairs; components by the smallest id that links reach.
+REACHED = """reached(a, b) AS (
+  SELECT a, b FROM ways UNION SELECT r.a, l.b FROM reached r JOIN ways l ON r.b = l.a
+), smallest AS (
+  SELECT a, min(b) AS b FROM reached GROUP BY a
+)"""
+OP3_SQL = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), sound AS (
+  SELECT vec_id, v, len(v) AS n FROM vectors WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), ways AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.n = y.n AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), {REACHED}, counted AS (
+  SELECT a, count(*) AS n FROM ways GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+FROM vectors LEFT JOIN counted ON vec_id = counted.a LEFT JOIN smallest ON vec_id = smallest.a
+"""
+OP5_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), {REACHED}
+SELECT words.doc_id, coalesce(n, 0) AS n_shingles, least(words.doc_id, coalesce(b, words.doc_id)) AS component_id, words.doc_id = least(words.doc_id, coalesce(b, words.doc_id)) AS kept
+FROM words LEFT JOIN sizes ON words.doc_id = sizes.doc_id LEFT JOIN smallest ON words.doc_id = smallest.a
+"""
+#: Sources that are capped are those with the fewest words for their weight: the first of this order, as many as leave the next one below its cap.
+TARGETS_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sizes GROUP BY source
+), weighed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM sources
+), ordered AS (
+  SELECT *, row_number() OVER o AS k, 1.5 * sum(n) OVER () AS total, coalesce(sum(2 * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM weighed WINDOW o AS (ORDER BY 2 * n / w, rank)
+), level AS (
+  SELECT arg_min((total - capped) / open, k) AS level FROM ordered WHERE (total - capped) / open * w <= 2 * n
 )
-SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN distrust > 2 * trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled LEFT JOIN hosts ON ruled.host = hosts.host
+SELECT doc_id, size, source_size, round(least(2 * n, w * level), 3) AS target
+FROM sizes JOIN ordered ON sizes.source IS NOT DISTINCT FROM ordered.source, level
 """
 
 
 def oracle_sql():
-    return {"op1_quality_rules": OP1_SQL, "op6_url_filters": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_embeddings": OP3_SQL, "op5_minhash": OP5_SQL, "op6_url_filters": OP6_SQL, "mixing_targets": TARGETS_SQL}

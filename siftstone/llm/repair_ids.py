@@ -3,16 +3,17 @@
 Documents are range-partitioned in ascending order of doc_id, encoded by a byte-level BPE, and cut into shards of
 whole documents. In a shard the most frequent neighbouring ids are replaced by nonterminals, round after round:
 each round takes frequent pairs that can't overlap each other, and replaces every occurrence (of overlapping ones in a
-run of equal ids every second), until no pair is frequent.
-A shard file holds the rules, the length of each nonterminal's expansion, the compressed sequence and the
-documents' ids and lengths. With the expansion lengths any range of tokens is decoded without the rest.
+run of equal ids every second), until no pair is found often enough for its rule to pay.
+A shard file holds the ids in use, the rules, the length of each nonterminal's expansion, the compressed sequence and the
+documents' ids and lengths, all as numbers of just as many bits as their largest needs. With the expansion lengths any range of tokens
+is decoded without the rest. A shard whose ids don't repeat is written as it is, so that no file is larger than its ids.
 
 Files are rows of binary payloads that Spark's writers place in the shared folder, so any store works and a lost
 executor costs only its tasks.
 
 Nulls: a null text is empty, so its document has the end id alone; a null doc_id sorts first. Repeated doc_ids are
 ordered by a hash of their text and then the text. Empty tables give no files. A document longer than a shard's
-target makes a shard of its own.
+target makes a shard of its own. Extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,17 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_batches, is_small, released, shared_dir
+from siftstone.llm.common import is_small, pieces, released, shared_dir
 from siftstone.llm.hashing import U, range_hashes, slices
 from siftstone.llm.word_table import STEMS_KEPT, TRAILING, Encoder, WordTable, stem_shown
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 SHARD_TOKENS = 1 << 18
-#: Pairs found less often in a shard are left; rounds end when no pair is as frequent.
-MIN_COUNT, RULES_PER_ROUND = 12, 4096
+#: Pairs found less often are left; rounds end when no pair is as frequent. A rule costs two symbols and a length, some 2.7 symbols
+#: together, saves one symbol at each place, and widens all; files of text are smallest with rules for pairs found MIN_COUNT times.
+MIN_COUNT, RULES_PER_ROUND = 6, 8192
 #: Ids are below; nonterminals begin here.
 FIRST_FREE = 1 << 16
-#: Symbols of the sequence have 24 bits.
+#: Symbols have 24 bits in memory.
 SYMBOL_BITS = np.uint64(24)
 SYMBOLS = 1 << 24
 SYMBOL = np.uint64(SYMBOLS - 1)
@@ -283,43 +285,106 @@ def expand(symbols: np.ndarray, rounds: list[np.ndarray], first_free: int = FIRS
     return symbols
 
 
+def to_bits(values: np.ndarray, width: int) -> bytes:
+    """Unsigned values of `width` bits each, one after the other."""
+    out = []
+    for at in range(0, len(values), 1 << 16):  # a multiple of 8 values, so that pieces end at bytes
+        part = values[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        out.append(np.packbits(np.unpackbits(part, axis=1)[:, 64 - width :]).tobytes())
+    return b"".join(out)
+
+
+def from_bits(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    for at in range(0, n, 1 << 16):
+        k = min(n - at, 1 << 16)
+        bits = np.zeros((k, 64), np.uint8)
+        bits[:, 64 - width :] = np.unpackbits(raw[at * width // 8 : (at + k) * width // 8 + 1], count=k * width).reshape(k, width)
+        out[at : at + k] = np.packbits(bits).view(">u8")
+    return out
+
+
+class Writer:
+    """Arrays of unsigned numbers, each with its length and width."""
+
+    def __init__(self) -> None:
+        self.parts = [MAGIC]
+
+    def put(self, values) -> None:
+        values = np.asarray(values, np.uint64)
+        width = int(values.max()).bit_length() if len(values) else 0
+        self.parts += [struct.pack("<IB", len(values), width), to_bits(values, width) if width else b""]
+
+    def rising(self, values: np.ndarray) -> None:
+        """Rising 64-bit values (signed or not) as a first one and steps."""
+        values = np.asarray(values).astype(np.uint64)
+        self.put(values[:1])
+        self.put(np.diff(values))
+
+
+class Reader:
+    def __init__(self, payload: bytes) -> None:
+        if payload[:4] != MAGIC:
+            raise ValueError("not a shard file")
+        self.raw, self.at = np.frombuffer(payload, np.uint8), 4
+
+    def get(self) -> np.ndarray:
+        n, width = struct.unpack_from("<IB", self.raw, self.at)
+        size = -(-n * width // 8)
+        start, self.at = self.at + 5, self.at + 5 + size
+        return from_bits(self.raw[start : start + size], n, width) if width else np.zeros(n, np.uint64)
+
+    def rising(self) -> np.ndarray:
+        first = self.get()
+        return np.cumsum(np.concatenate([first, self.get()]), dtype=np.uint64)
+
+
 def pack(doc_ids: list[int | None], doc_tokens: list[bytes]) -> bytes:
-    """A shard file: header, documents' ids and lengths, rules by round, expansion lengths of rules, sequence of 24-bit symbols."""
-    n_tokens = np.array([len(x) // 2 for x in doc_tokens], "<u4")
-    seq, rounds = compress(np.frombuffer(b"".join(doc_tokens), "<u2"))
-    lengths = expansion_lengths(rounds)[FIRST_FREE:]
-    null = np.array([x is None for x in doc_ids], np.uint8)
-    symbols = seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    head = MAGIC + struct.pack(f"<III{len(rounds)}I", len(doc_ids), len(seq), len(rounds), *map(len, rounds))
-    rules = b"".join([x.astype("<u4").tobytes() for x in rounds])
-    return b"".join([head, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), n_tokens.tobytes(), rules, lengths.astype("<u4").tobytes(), np.ascontiguousarray(symbols).tobytes()])
+    """A shard file: documents without an id, ids and lengths of documents, sizes of rounds, ids in use, rules by round (first and
+    second symbols), expansion lengths of rules, sequence. In rules and sequence, ids in use are numbered from 0 on and rules after them."""
+    ids = np.frombuffer(b"".join(doc_tokens), "<u2")
+    seq, rounds = compress(ids)
+    pairs = np.concatenate(rounds) if rounds else np.empty((0, 2), np.uint32)
+    both = np.concatenate([pairs.reshape(-1), seq])
+    used = np.unique(both[both < FIRST_FREE])
+    dense = np.where(both < FIRST_FREE, np.searchsorted(used, both), both.astype(np.int64) - FIRST_FREE + len(used))
+    n_null = sum(x is None for x in doc_ids)
+
+    def file(rules, sizes, terminals, symbols) -> bytes:
+        out = Writer()
+        out.put([n_null])
+        out.rising(np.array(doc_ids[n_null:], np.int64))
+        out.put([len(x) // 2 for x in doc_tokens])
+        out.put(sizes)
+        out.rising(terminals)
+        out.put(rules[0::2])
+        out.put(rules[1::2])
+        out.put(expansion_lengths(rounds if len(sizes) else [])[FIRST_FREE:])
+        out.put(symbols)
+        return b"".join(out.parts)
+
+    made = file(dense[: 2 * len(pairs)], [len(x) for x in rounds], used, dense[2 * len(pairs) :])
+    return made if len(made) < 2 * len(ids) else min(made, file(both[:0], [], used[:0], ids), key=len)
 
 
 class Shard:
     """Random access to a shard file."""
 
     def __init__(self, payload: bytes) -> None:
-        if payload[:4] != MAGIC:
-            raise ValueError("not a shard file")
-        docs, symbols, n_rounds = struct.unpack_from("<III", payload, 4)
-        sizes = struct.unpack_from(f"<{n_rounds}I", payload, 16)
-        at = 16 + 4 * n_rounds
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(payload, kind, n, at)
-            at += out.nbytes
-            return out
-
-        ids, null = take("<i8", docs), take("u1", docs)
-        self.doc_ids = [None if z else x for x, z in zip(ids.tolist(), null.tolist(), strict=True)]
-        self.n_tokens = take("<u4", docs).astype(np.int64)
+        file = Reader(payload)
+        n_null = int(file.get()[0])
+        self.doc_ids = [None] * n_null + file.rising().astype(np.int64).tolist()
+        self.n_tokens = file.get().astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n_tokens)])
-        self.rounds = [take("<u4", 2 * n).reshape(-1, 2) for n in sizes]
-        self.lengths = np.concatenate([np.ones(FIRST_FREE, np.uint32), take("<u4", sum(sizes))])
-        packed = np.zeros((symbols, 4), np.uint8)
-        packed[:, :3] = take("u1", 3 * symbols).reshape(-1, 3)
-        self.seq = packed.view("<u4").reshape(-1)
+        sizes, used = file.get().astype(np.int64), file.rising().astype(np.uint32)
+        pairs = np.stack([file.get(), file.get()], 1)
+        lengths, seq = file.get(), file.get()
+        if len(used):  # without, numbers are ids
+            names = np.concatenate([used, np.arange(FIRST_FREE, FIRST_FREE + len(pairs), dtype=np.uint32)])
+            pairs, seq = names[pairs.astype(np.int64)], names[seq.astype(np.int64)]
+        self.rounds = np.split(pairs.astype(np.uint32), np.cumsum(sizes)[:-1]) if len(sizes) else []
+        self.lengths = np.concatenate([np.ones(FIRST_FREE, np.uint32), lengths.astype(np.uint32)])
+        self.seq = seq.astype(np.uint32)
         self.ends = np.cumsum(self.lengths[self.seq], dtype=np.int64)
 
     def all_tokens(self) -> np.ndarray:
@@ -343,7 +408,6 @@ def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 0, shard_tok
     A hot doc_id is dealt over several ranges by the hash of its texts. Rows of the table: part and seq give the
     order of shards; n_docs, n_tokens, payload.
     """
-    arrow_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").withColumn("part", F.spark_partition_id())
     end = np.array([end_id], "<u2").tobytes()
@@ -354,7 +418,7 @@ def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 0, shard_tok
         def shard():
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([pack(ids, tokens)], pa.binary())})
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, own, part in zip(batch.column("doc_id").to_pylist(), table.batch(batch.column("text")), batch.column("part").to_pylist(), strict=True):
                 own += end
                 ids.append(doc_id)
@@ -374,7 +438,6 @@ def read_shards(spark, path: str) -> DataFrame:
 
     Starts of shards come from sums by part (as many as write tasks) and running sums within parts.
     """
-    arrow_batches(spark, 8)
     files = spark.read.schema("part int, seq int, n_docs bigint, n_tokens bigint, payload binary").parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -383,7 +446,7 @@ def read_shards(spark, path: str) -> DataFrame:
     bases = F.broadcast(bases) if is_small(files.select("part")) else bases
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 8):
             for base, payload in zip(batch.column("base").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 shard = Shard(payload)
                 whole = shard.all_tokens().astype("<u4")

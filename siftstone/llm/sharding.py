@@ -4,8 +4,9 @@ Each shard has its own preference order over the slots of a prime-sized table (o
 slots exactly once). The shards take turns in claiming their next free preferred slot, weights giving more
 turns. Placement is then one hash, one remainder and one lookup, and removing a shard moves few other slots.
 
-Nulls: a null key is hashed like any other value and so has one fixed shard. Repeated keys share a shard.
-An empty table gives an empty result; other columns pass through.
+Nulls: a null key is hashed like any other value and so has one fixed shard. Repeated keys share a shard, as do keys
+whose hashes are tied by the remainder. Keys of any type that Spark hashes and of any length are hashed whole.
+An empty table gives an empty result; other columns pass through, but those with the names of the two results are replaced.
 """
 
 from __future__ import annotations
@@ -59,8 +60,11 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, weights: dict[str, int] | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
-    """df with slot_col and shard_col. The lookup table has exactly `size` rows, so it is always broadcast."""
+    """df with slot_col and shard_col, which replace columns of these names. The lookup table has exactly `size` rows, so it is always broadcast."""
+    if len({key, slot_col, shard_col}) < 3:
+        raise ValueError("the key and the two results must have different names")
     table = build_table(shards, size, weights)
-    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], f"__slot int, `{shard_col}` string")
-    placed = df.withColumn(slot_col, slot_of(F.col(key), size))
-    return placed.join(F.broadcast(lookup), placed[slot_col] == F.col("__slot"), "left").drop("__slot")
+    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], "__slot int, __shard string")
+    placed = df.withColumn("__at", slot_of(F.col(f"`{key}`"), size)).join(F.broadcast(lookup), F.col("__at") == F.col("__slot"), "left")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]
+    return placed.select(*kept, F.col("__at").alias(slot_col), F.col("__shard").alias(shard_col))

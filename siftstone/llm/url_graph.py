@@ -5,8 +5,12 @@ and distrust (the share that a rule blocks). Trust flows along the links between
 (a page that links to a blocked host is suspect), both as personalised PageRank. Pages that no rule fits get the
 verdict of their host: block if its distrust is over `block_ratio` times its trust, else allow.
 
+Rounds end when all scores together move by less than `tolerance` (the rest of the sum is then below tolerance * damping /
+(1 - damping), far less than a host's score that could turn a verdict), or after `max_rounds`.
+
 Nulls: a null url, or one without ://, has an empty host and path; a null html has no links. Urls without any
-rule or links are allowed. Repeated pages count again. An empty table gives an empty result. Extra columns don't matter.
+rule or links are allowed. Of rules of equal length only equal ones can fit one url, of which the last stands. Repeated pages count
+again, urls of any length are read whole. An empty table gives an empty result. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import lookup_join, materialize
+from siftstone.llm.common import lookup_join, materialize, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -53,7 +57,7 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return links.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 60) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
     """host, trust, distrust. seeds: host, trust0, distrust0. Each round is two joins at host level and ends in a table."""
     out = edges.groupBy("src").agg(F.sum("links").alias("__out"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("__in"))
@@ -73,21 +77,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
             ((1 - damping) * F.col("distrust0") + damping * F.coalesce("__d", F.lit(0.0))).alias("distrust"),
             F.col("trust").alias("__t0"), F.col("distrust").alias("__d0"),
         )
-        step = materialize(step, "ranks")
+        step, former = materialize(step, "ranks"), now
         moved = step.agg(F.sum(F.abs(F.col("trust") - F.col("__t0")) + F.abs(F.col("distrust") - F.col("__d0")))).first()[0] or 0.0
         now = step.drop("__t0", "__d0")
+        now.table_path = step.table_path
+        release(former)
         if moved < tolerance:
             break
     return now.select("host", "trust", "distrust")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, block_ratio: float = 2.0, damping: float = 0.85) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, block_ratio: float = 2.0, damping: float = 0.85, **limits) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages (page_id, url, html)."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = split.withColumn("__m", matched_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.when(F.col("__m.verdict") == v, 1.0).otherwise(0.0))
     seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust0"), share("block").alias("distrust0"))
-    scores = propagate(materialize(host_edges(split), "links"), materialize(seeds, "host-seeds"), damping)
+    scores = propagate(materialize(host_edges(split), "links"), materialize(seeds, "host-seeds"), damping, **limits)
     known = materialize(scores, "scores")
     blocked = F.coalesce(F.col("distrust") > block_ratio * F.col("trust"), F.lit(False))
     return lookup_join(ruled.drop("html"), known, "host").select("page_id", "host", "path", F.col("__m.rule").alias("rule"), F.coalesce(F.col("__m.verdict"), F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

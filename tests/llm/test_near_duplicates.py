@@ -87,11 +87,69 @@ def test_documents_edges(spark):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in setsketch_dedup.near_duplicates(df, Shingles(2)).collect())
     assert len(got) == len(rows)
     assert [x for x in got if x[0] == 5] == [(5, 0, 5, True)] and [x[2] for x in got if x[0] == 2] == [1]
+    # row 3 has both texts, so all of 1, 2, 3 and 4 are one group
+    assert {(x[0], x[2]) for x in got if x[0]} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
     left = setsketch_dedup.deduplicated(df.selectExpr("*", "'y' AS kept")).collect()
-    assert sorted(r["doc_id"] or 0 for r in left).count(1) == 1 and {r["doc_id"] for r in left} >= {1, 5}
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (0, a), (1, a), (5, "")]
     assert setsketch_dedup.near_duplicates(df.limit(0)).count() == 0 and setsketch_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_against_brute_force(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefghij"] + [None, ""]
+    rows = [(rng.randrange(30), rng.choice(texts)) for _ in range(60)] + [(1, texts[0]), (3, texts[1]), (3, texts[0]), (4, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = sorted({i for i, _ in rows})
+    parent = {i: i for i in ids}
+    for i, t in rows:
+        for j, u in rows:
+            if t and t == u:
+                p, q = sorted((brute_top(parent, i), brute_top(parent, j)))
+                parent[q] = p
+    want = {i: brute_top(parent, i) for i in ids}
+    got = setsketch_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want and all(r["kept"] == (want[r["doc_id"]] == r["doc_id"]) for r in got)
+    left = [tuple(r) for r in setsketch_dedup.deduplicated(df).collect()]
+    assert sorted(i for i, _ in left) == sorted(set(want.values())) and set(left) <= set(rows)
+    assert sorted(left, key=str) == sorted((tuple(r) for r in setsketch_dedup.deduplicated(df.repartition(2)).collect()), key=str)
+
+
+def brute_top(parent, v):
+    while parent[v] != v:
+        v = parent[v]
+    return v
+
+
+def test_crowded_buckets_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(setsketch_dedup, "CROWD", 2)
+    texts = [t for t in corpus() if t and len(t) < 1000][:90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(list(range(len(texts))), brute_sets(texts, 2), jaccard)
+    assert {r["doc_id"]: r["component_id"] for r in setsketch_dedup.near_duplicates(df, Shingles(2)).collect()} == want
+
+
+def test_signs_leave_room_for_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    apart = lambda y: np.bitwise_count(lattice_neardup.signs(x) ^ lattice_neardup.signs(y)).sum(1)
+    assert apart(0.95 * x + math.sqrt(1 - 0.95**2) * z).max() <= lattice_neardup.most_apart(0.95) < 40 < apart(z).min()
+
+
+def test_bands_keep_their_recall():
+    for rows in (0, 1, 10**6, 10**8, 10**10):
+        plan = setsketch_dedup.Bands.of(rows, 0.8)
+        assert (1 - 0.8**plan.width) ** plan.n <= setsketch_dedup.MISS and rows * 0.1**plan.width <= max(setsketch_dedup.STRANGERS, rows / 10**4)
+    x = np.random.default_rng(3).integers(0, 9, (5, 64)).astype(np.uint16)
+    plan = setsketch_dedup.Bands(4, 16)
+    plain, other = setsketch_dedup.band_keys(x, plan), setsketch_dedup.band_keys(x, plan, regrouped=True)
+    x[0, 5] += 1
+    assert (setsketch_dedup.band_keys(x, plan)[0] != plain[0]).nonzero()[0].tolist() == [1] and (setsketch_dedup.band_keys(x, plan, True)[0] != other[0]).nonzero()[0].tolist() == [5]
+
+
 def test_word_hashes_follow_words():
     texts = pa.array(["Ab c", None, "", "c ab", "x" * 70_000, "ab C"])
     found = dict((i, set(s.tolist())) for i, s in setsketch_dedup.shingle_sets(texts, 1))
@@ -114,6 +172,16 @@ def test_sketches_merge_and_estimate():
         assert bool(verdict[0]) == ok
 
 
+def test_components_of_odd_edges(spark, monkeypatch):
+    rows = [(1, None), (None, 2), (None, None), (3, 3), (5, 4), (5, 4)]
+    assert {tuple(r) for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()} == {(4, 4), (5, 4)}
+    assert components.components(spark.createDataFrame(rows[:4], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), max_rounds=1)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    assert {r["component"] for r in components.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")).collect()} == {0}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

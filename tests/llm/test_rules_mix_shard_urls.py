@@ -41,6 +41,8 @@ def test_hosts(spark):
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS n_words", "'x' AS rate")
     got = {(r["doc_id"], r["source"]): r["kept"] for r in quality_rules.judge(df).collect()}
     assert got[0, "clean"] and not got[200, "junk"] and got[300, None] and not got[301, None]
+    failed = {(r["doc_id"], r["source"]): r["host_failed"] for r in quality_rules.judge(df).collect()}
+    assert failed[200, "junk"] and not failed[0, "clean"] and not failed[301, None]
     kept = quality_rules.filtered(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(40), 300]
@@ -69,6 +71,17 @@ def test_sharding(spark):
     out = sharding.place(df, "doc_id", names, 211, slot_col="place").collect()
     assert len(out) == 3 and all(r["shard"] == names[table[r["place"]]] for r in out)
     assert sharding.place(df.limit(0), "doc_id", names, 211, slot_col="place").count() == 0
+    clash = spark.createDataFrame([(1, "x", 5), (2, None, None), (1, "y", 6)], "doc_id long, slot string, shard int")
+    placed = sharding.place(clash, "doc_id", names, 211)
+    assert placed.columns == ["doc_id", "slot", "shard"] and {r["shard"] for r in placed.collect()} <= set(names)
+    # the hash of a key, by hand: a slot is the key's hash modulo the slots
+    hashes = [tuple(r) for r in spark.range(200).selectExpr("id AS doc_id", "pmod(xxhash64(id), 211) AS want").collect()]
+    slots = {r["doc_id"]: (r["slot"], r["shard"]) for r in sharding.place(spark.range(200).withColumnRenamed("id", "doc_id"), "doc_id", names, 211).collect()}
+    assert all(slots[i] == (w, names[table[w]]) for i, w in hashes)
+    long = spark.createDataFrame([("k" * 1_000_000,), (None,), (None,)], "key string")
+    assert len({r["shard"] for r in sharding.place(long, "key", names, 211).filter("key is null").collect()}) == 1
+    with pytest.raises(ValueError):
+        sharding.place(clash, "slot", names, 211)
     for wrong in ((["a", "a"], 211), ([], 211), (["a"], 212)):
         with pytest.raises(ValueError):
             sharding.build_table(*wrong)
@@ -140,6 +153,13 @@ def test_mix(spark):
     assert mixing.taken_words(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_equal_sources_share_seats_by_rank(spark):
+    df = spark.createDataFrame([(f"s{i:03d}", 100.0, i) for i in range(300)], "source string, target double, rank long")
+    got = [r["blocks"] for r in mixing.with_quotas(df, 64).orderBy("rank").collect()]
+    seats = round(300 * 100 / 64)
+    assert got == [seats // 300 + (i < seats % 300) for i in range(300)]
+
+
 @pytest.mark.parametrize("targets", [[100.0, 100.0, 100.0, 100.0], [640.0, 64.0, 0.0, 1000.0], [33.0, 31.0, 32.0, 95.0], [1e6, 3.0, 7.0, 64.0 * 5]])
 def test_sainte_lague(spark, targets):
     df = spark.createDataFrame([(f"s{i}", t, i) for i, t in enumerate(targets)], "source string, target double, rank long")
