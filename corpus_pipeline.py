@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on, with the columns of documents; the last adds
 the encoding. run() applies them in one plan each; a caller that writes each stage's result and rereads it gets
-the same rows.
+the same rows. Each stage takes an empty table, null in any column, repeated rows and ids, ties and extra columns as its operator's
+module says; what this means for the rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -11,30 +12,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftstone.llm import chunk_bpe, mixing, pii, quality_rules, setsketch_dedup
+from siftstone.llm.queries import surrogate_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, and whose host does."""
+    """Documents that pass the quality rules, and whose host does. A null text fails; a null source is a host; repeated rows stay or go together."""
     return quality_rules.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, on shingles of five words."""
+    """One row of each group of near-duplicates, on shingles of five words: that of the smallest doc_id (rows of one id are one document,
+    of which that with the smallest hash of its text stays). Rows without words are nobody's duplicate; rows without an id stay."""
     return setsketch_dedup.deduplicated(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets replaced by surrogates."""
-    return pii.anonymize(docs)
+    """Personal data and secrets replaced by surrogates, in all rows alike. A null text stays null; no row goes."""
+    return pii.anonymize(docs, surrogate_key(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: not at all, once or twice. Texts without words are taken by none; a null source is one of its own."""
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids and digests of ids and decoded text."""
+    """Documents with their ids and digests of ids and decoded text. A null text has no ids; columns with the results' names are replaced."""
     return chunk_bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
