@@ -22,7 +22,6 @@ import functools
 import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import is_small, pieces, released, shared_dir
 from siftstone.llm.hashing import U, range_hashes, slices
-from siftstone.llm.word_table import STEMS_KEPT, TRAILING, Encoder, WordTable, stem_shown
+from siftstone.llm.word_table import Encoder, WordTable
 
 MAGIC = b"RPG2"
 SHARD_TOKENS = 1 << 18
@@ -48,6 +47,8 @@ BIN_BITS = 18
 BINS = 1 << BIN_BITS
 #: Words of the table of a worker.
 WORDS_KEPT = 2_000_000
+#: New words that are encoded together.
+WORDS_TOGETHER = 4096
 #: A single space between characters that aren't white space: a pre-token ends before it and one begins with it.
 ODD_CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -68,25 +69,25 @@ class ShardEncoder:
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(path, lower=False)
+        tokenizer, lead = self.encoder.tokenizer, self.encoder.shown_lead
+        #: Whether an id's token begins with a space.
+        self.begins = np.array([(tokenizer.id_to_token(i) or "").startswith(lead) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))])
         self.table = WordTable(self._words, WORDS_KEPT)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of new words. Most are a space, letters and perhaps punctuation: these are done here, without further calls."""
-        out, encoder = [], self.encoder
-        stems, kept, model, lead, alphabet = encoder.stems, encoder.kept, encoder.model, encoder.shown_lead, encoder.alphabet
-        if len(stems) > STEMS_KEPT:
-            stems.clear()
-        for word in words:
-            body = word.rstrip(TRAILING)
-            stem = body[1:]
-            if stem.isalpha() and word[0] == " " and (stem.isascii() or max(stem) < "\u0250"):
-                own = stems.get(body)
-                if own is None:
-                    stems[body] = own = array("H", [t.id for t in model(lead + stem_shown(stem, alphabet))]).tobytes()
-                out.append(own if len(body) == len(word) else own + kept(word[len(body):]))
-            else:
-                out.append(self._word(word))
-        return out
+        """Ids of new words. Those after a space, nearly all, are encoded together as a text: a pre-token begins at each space, and only its first token with one."""
+        out: list[bytes | None] = [None] * len(words)
+        after = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1]
+        for at in range(0, len(after), WORDS_TOGETHER):
+            part = after[at : at + WORDS_TOGETHER]
+            text = "".join([words[i] for i in part])
+            raw = np.array(self.encoder.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+            starts = np.flatnonzero(self.begins[np.frombuffer(raw, "<u2")])
+            if len(starts) == len(part):
+                ends = [*(2 * starts[1:]).tolist(), len(raw)]
+                for i, s, e in zip(part, (2 * starts).tolist(), ends, strict=True):
+                    out[i] = raw[s:e]
+        return [self._word(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
 
     def _word(self, word: str) -> bytes:
         """A space, line feed or nothing, and a word."""
@@ -270,19 +271,34 @@ def expansion_lengths(rounds: list[np.ndarray], first_free: int = FIRST_FREE) ->
     return lengths
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size], one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+class Expansions:
+    """What each symbol stands for, one after the other: ids themselves, then rules, of which each round's are put together from those before."""
+
+    def __init__(self, rounds: list[np.ndarray], first_free: int = FIRST_FREE) -> None:
+        self.sizes = expansion_lengths(rounds, first_free).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.empty(int(self.sizes.sum()), np.uint32)
+        self.flat[:first_free] = np.arange(first_free)
+        at = first_free
+        for pairs in rounds:
+            both = pairs.reshape(-1)
+            start = self.starts[at]
+            made = _gathered(self.flat, self.starts[both], self.sizes[both])
+            self.flat[start : start + len(made)] = made
+            at += len(pairs)
+
+    def of(self, symbols: np.ndarray) -> np.ndarray:
+        return _gathered(self.flat, self.starts[symbols], self.sizes[symbols])
+
+
 def expand(symbols: np.ndarray, rounds: list[np.ndarray], first_free: int = FIRST_FREE) -> np.ndarray:
-    at = first_free + sum(map(len, rounds))
-    for pairs in reversed(rounds):
-        at -= len(pairs)
-        rule = symbols >= at
-        if rule.any():
-            ends = np.cumsum(1 + rule)
-            out = np.empty(ends[-1], np.uint32)
-            left, right = pairs[symbols[rule] - at].T
-            out[ends[~rule] - 1] = symbols[~rule]
-            out[ends[rule] - 2], out[ends[rule] - 1] = left, right
-            symbols = out
-    return symbols
+    return Expansions(rounds, first_free).of(symbols)
 
 
 def to_bits(values: np.ndarray, width: int) -> bytes:
@@ -383,12 +399,13 @@ class Shard:
             names = np.concatenate([used, np.arange(FIRST_FREE, FIRST_FREE + len(pairs), dtype=np.uint32)])
             pairs, seq = names[pairs.astype(np.int64)], names[seq.astype(np.int64)]
         self.rounds = np.split(pairs.astype(np.uint32), np.cumsum(sizes)[:-1]) if len(sizes) else []
+        self.expansions = Expansions(self.rounds)
         self.lengths = np.concatenate([np.ones(FIRST_FREE, np.uint32), lengths.astype(np.uint32)])
         self.seq = seq.astype(np.uint32)
         self.ends = np.cumsum(self.lengths[self.seq], dtype=np.int64)
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.seq, self.rounds)
+        return self.expansions.of(self.seq)
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         """Tokens start..end of the shard, expanding only the symbols that cover them, found by the lengths of expansions."""
@@ -396,7 +413,7 @@ class Shard:
             return np.empty(0, np.uint32)
         i, j = int(np.searchsorted(self.ends, start, "right")), int(np.searchsorted(self.ends, end, "left")) + 1
         skipped = start - (int(self.ends[i - 1]) if i else 0)
-        return expand(self.seq[i:j], self.rounds)[skipped : skipped + end - start]
+        return self.expansions.of(self.seq[i:j])[skipped : skipped + end - start]
 
     def document(self, k: int) -> np.ndarray:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
