@@ -50,6 +50,7 @@ ACCESS_KEY = re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0
 #: What must be in a text for the patterns to be tried.
 KEY_STARTS, SECRET_WORDS, CALL_WORDS = ("AKIA", "ASIA", "_", "sk-", "xox"), ("passw", "pwd", "secret", "token", "key"), ("phone", "tel", "call", "mobile", "cell", "fax", "ring", "dial", "sms")
 DIGITS_AT = re.compile(r"\d+")
+GOES_ON = re.compile(r"[-.]\d")
 AFTER_CARD = re.compile(r"[\w-]")
 #: A value after a secret's name: with a digit after any sign; without one if it is quoted, or follows an equals sign and isn't code.
 SECRET = re.compile(
@@ -146,15 +147,15 @@ def _accepted(text: str, m: re.Match) -> tuple[int, int]:
         return (m.start(), m.start() + size) if size else (0, 0)
     if kind == "ip" and any(int(x) > 255 or (x[0] == "0" and x != "0") for x in value.split(".")):
         return 0, 0
-    if kind == "phone":  # as many groups as have 15 digits at most; what follows is another number
+    if kind == "phone":  # as many groups as have 15 digits at most, not up to within another number
+        runs = list(DIGITS_AT.finditer(text, *m.span()))
+        if sum(map(str.isdigit, value)) > 15 and value[0] == "+" and text[runs[1].start() - 1] in " -" and _card(text, runs[1].start())[0]:
+            return 0, 0  # a card, after another number
         n = end = 0
-        if sum(map(str.isdigit, value)) > 15 and any(_card(text, run.start())[0] for run in DIGITS_AT.finditer(text, *m.span())):
-            return 0, 0
-        for run in DIGITS_AT.finditer(text, *m.span()):
+        for run in runs:
             n += run.end() - run.start()
-            if n > 15:
-                break
-            end = run.end() if n > 7 else 0
+            if 7 < n < 16 and not GOES_ON.match(text, run.end()):
+                end = run.end()
         return (m.start(), end) if end else (0, 0)
     return m.span()
 

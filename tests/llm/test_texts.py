@@ -125,6 +125,22 @@ def test_grammar_round_trip(kind):
         assert lengths == shard.lengths[1 << 16 : (1 << 16) + 40].tolist()
 
 
+def test_files_are_smaller_than_ids():
+    rng = np.random.default_rng(12)
+    words = [rng.integers(0, 50_000, rng.integers(1, 5)).tolist() for _ in range(3000)]
+    for size in (300, 3000, 30_000, 300_000):
+        text = np.array([i for w in (rng.pareto(0.8, size) * 5).clip(0, 2999).astype(int).tolist() for i in words[w]][:size], "<u2")
+        docs = np.array_split(text, max(1, size // 500))
+        file = repair_ids.pack(list(range(len(docs))), [d.tobytes() for d in docs])
+        assert len(file) < 2 * size * (1 if size < 3000 else 0.7) and (repair_ids.Shard(file).all_tokens() == text).all()
+        noise = rng.integers(0, 50_000, size).astype("<u2")
+        assert len(repair_ids.pack([7], [noise.tobytes()])) <= 2 * size + 100
+    values = rng.integers(0, 2**40, 70_000).astype(np.uint64)
+    assert (repair_ids.from_bits(np.frombuffer(repair_ids.to_bits(values, 41), np.uint8), len(values), 41) == values).all()
+    odd = [None, None, -(2**63), -5, 0, 0, 2**63 - 1]
+    assert repair_ids.Shard(repair_ids.pack(odd, [b"\1\0"] * 7)).doc_ids == odd
+
+
 def left_over(seq):
     """Pairs found MIN_COUNT times without overlaps."""
     count, last = Counter(), {}
