@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Line separators of the scanner.
 NEWLINE = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
+#: White space of all scripts, as a regex class.
+SPACE = r"[\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def norm_text(c: Column) -> Column:
-    """Trimmed lower case; null as the empty string, which means any or unknown."""
-    return F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    """Stripped lower case; null as the empty string, which means any or unknown."""
+    return F.coalesce(F.lower(strip(c)), F.lit(""))
 
 
 def norm_path(c: Column) -> Column:
@@ -113,7 +122,7 @@ def last_segment(c: Column) -> Column:
 
 def parameter_name(c: Column) -> Column:
     """A parameter without its default, type, sigils and brackets."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(c, "=.*$", ""), ":.*$", ""))
+    bare = strip(F.regexp_replace(F.regexp_replace(c, "=.*$", ""), ":.*$", ""))
     return F.regexp_replace(F.element_at(F.split(bare, r"\s+"), -1), r"^[&*$.]+|\[\]$", "")
 
 
@@ -140,12 +149,12 @@ def valid_path(c: Column, most: int = 255) -> Column:
 
 
 def truncated(c: Column, most: int = 300, kept: int = 75) -> Column:
-    return F.trim(F.when(F.length(c) > most, F.concat(F.substring(c, 1, kept), F.lit(".."))).otherwise(c))
+    return strip(F.when(F.length(c) > most, F.concat(F.substring(c, 1, kept), F.lit(".."))).otherwise(c))
 
 
 def ordered_distinct(c: Column) -> Column:
     """A comma list with each name once, in order of first sight."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), strip), lambda x: x != ""))
 
 
 def named_counts(c: Column) -> Column:
@@ -166,6 +175,11 @@ def elapsed(ms: Column) -> Column:
     return F.concat(part(whole(ms / 3_600_000), 2), F.lit("Hr:"), part(whole(ms / 60_000) % 60, 2), F.lit("Min:"), part(whole(ms / 1000) % 60, 2), F.lit("s:"), part(ms % 1000, 3), F.lit("ms"))
 
 
+def java_pattern(pattern: str) -> str:
+    """Named groups as Java has them."""
+    return re.sub(r"\(\?P<([A-Za-z]\w*)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+
+
 def safe_pattern(pattern: str | None) -> str | None:
     """None, which means no constraint, for an empty or invalid pattern. Spark fails a whole query on an invalid one."""
     if not pattern:
@@ -174,4 +188,18 @@ def safe_pattern(pattern: str | None) -> str | None:
         re.compile(pattern)
     except re.error:
         return None
-    return re.sub(r"\(\?P<([A-Za-z]\w*)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    return java_pattern(pattern)
+
+
+def with_safe_patterns(df: DataFrame, *columns: str) -> DataFrame:
+    """df with invalid patterns in its columns as null: no constraint. Patterns are tried on the driver, one distinct one at a time; only invalid ones are kept."""
+    compiler = df.sparkSession._jvm.java.util.regex.Pattern
+    for name in columns:
+        wrong = []
+        for row in df.select(name).filter(F.col(name) != "").distinct().toLocalIterator():
+            try:
+                compiler.compile(java_pattern(row[0]))
+            except Exception:  # what the compiler throws comes as an error of the bridge
+                wrong.append(row[0])
+        df = df.withColumn(name, F.when(~F.col(name).isin(wrong), F.col(name)) if wrong else F.col(name))
+    return df

@@ -6,13 +6,14 @@ exploded. Nothing is shuffled until hits are aggregated.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.functions import scoring
-from siftstone.functions.text import lines_of, truncated
+from siftstone.functions import classify, scoring
+from siftstone.functions.text import lines_of, strip, truncated
 from siftstone.plans import gates
 
 MAX_LINE = 500
@@ -20,6 +21,8 @@ MAX_LINE = 500
 
 @dataclass(frozen=True)
 class Rule:
+    """mode: line or file. context: none, lines, named_groups or backward. aggregate: none or file (a file's matches are one entry of evidence)."""
+
     seq: int
     category: str
     name: str
@@ -29,6 +32,17 @@ class Rule:
     has_text: bool = True
     before: int = 0
     after: int = 0
+    platform: str = ""
+    mode: str = "line"
+    context: str = "none"
+    label: str = ""
+    depth: int = 10
+    aggregate: str = "none"
+
+    @property
+    def anchor(self) -> str:
+        """What lines are searched for: the pattern, or that of the gate if there is none."""
+        return self.regex or (gates.parse(self.gate).anchor or "" if self.gate else "")
 
 
 def scanned(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -44,7 +58,7 @@ def gate_verdicts(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def _hit(rule: Rule, line: Column, flags: str = "") -> Column:
-    found = line.rlike(flags + rule.regex)
+    found = line.rlike(flags + rule.anchor)
     return found & ~line.rlike("(?i)" + rule.exclude) if rule.exclude else found
 
 
@@ -58,16 +72,33 @@ def evidence(files: DataFrame, rules: list[Rule]) -> DataFrame:
     code = F.col("code")
     hits = []
     for r in rules:
-        first = _hit(r, code)
+        first = _hit(r, code) if r.regex else F.lit(False)
         kind = F.when(first, 0).when(_hit(r, code, "(?i)"), 1) if r.gate else F.when(first, 0)
         hits.append(F.when(F.array_contains("passed", r.seq), F.when(kind.isNotNull(), F.struct(F.lit(r.seq).alias("rule_seq"), kind.alias("pass_no")))))
     hit = lines.select("path", "platform", "file_seq", (F.col("pos") + 1).alias("line"), "code", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
     return hit.select("path", "platform", "file_seq", "hit.rule_seq", "line", "code", "hit.pass_no")
 
 
+def gate_suppressed(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """path, platform, file_seq, rule_seq, line, code, pass_no, reason, gate of what gated rules find (without case too) in files whose gate fails."""
+    gated = [r for r in rules if r.gate and r.anchor]
+    verdicts = {r.seq: gates.verdict(gates.parse(r.gate), F.col("content"), F.col("path")) for r in gated}
+    failed = F.array_compact(F.array(*[F.when(~v["passed"], F.struct(F.lit(seq).alias("rule_seq"), v["reason"].alias("reason"))) for seq, v in verdicts.items()]))
+    rows = files.withColumn("failed", failed).filter(F.size("failed") > 0)
+    lines = rows.select("path", "platform", "file_seq", "failed", F.posexplode(lines_of(F.col("content"))).alias("pos", "code")).filter(F.length("code") <= MAX_LINE)
+    hits = []
+    of_rule = lambda seq: F.filter("failed", lambda x: x["rule_seq"] == seq)
+    for r in gated:
+        own = of_rule(r.seq)
+        kind = F.when(_hit(r, F.col("code")) if r.regex else F.lit(False), 0).when(_hit(r, F.col("code"), "(?i)"), 1)
+        hits.append(F.when((F.size(own) > 0) & kind.isNotNull(), F.struct(F.lit(r.seq).alias("rule_seq"), kind.alias("pass_no"), F.get(own, F.lit(0))["reason"].alias("reason"), F.lit(r.gate).alias("gate"))))
+    hit = lines.select("path", "platform", "file_seq", (F.col("pos") + 1).alias("line"), truncated(F.col("code")).alias("code"), F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    return hit.select("path", "platform", "file_seq", "h.rule_seq", "line", "code", "h.pass_no", "h.reason", "h.gate")
+
+
 def placeholders(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """path, rule_seq, line, code for gated rules without a pattern: the gate itself is the evidence of a file that isn't empty."""
-    bare = [r for r in rules if r.gate and not r.regex]
+    """path, rule_seq, line, code for gated rules without any pattern: the gate itself is the evidence of a file that isn't empty."""
+    bare = [r for r in rules if r.gate and not r.anchor]
     each = [F.when(gates.verdict(gates.parse(r.gate), F.col("content"), F.col("path"))["passed"], F.lit(r.seq)) for r in bare]
     found = files.filter("content <> ''").select("path", F.explode(F.array_compact(F.array(*each))).alias("rule_seq"))
     return found.withColumn("line", F.lit(1)).withColumn("code", F.lit("[condition holds]"))
@@ -79,34 +110,67 @@ PLAIN_CALL = r"\([^)]*\$[a-z_]"
 
 
 def findings(hits: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row per rule with hits: counts, files, score and level. Counts are sums of flags, so partial sums do the work."""
-    low = F.lower("code")
+    """One row per rule with hits: counts, files, score and level. Counts are sums of flags, so partial sums do the work.
+
+    n counts entries of evidence. Entries of rules that aggregate by file are files, and have no code that could be a signal.
+    """
+    low = F.lower(strip(F.col("code")))
+    alone = ~F.col("rule_seq").isin([r.seq for r in rules if r.aggregate == "file"]) if any(r.aggregate == "file" for r in rules) else F.lit(True)
     held = F.col("code") == "[condition holds]"
     taint, sink, dynamic = low.rlike(TAINT), low.rlike(SINK), low.rlike(DYNAMIC)
+    flag = lambda c: F.count_if(c & ~held & alone)
     counts = hits.groupBy("rule_seq").agg(
-        F.count("*").alias("n"), F.count_distinct("path").alias("files"), F.count_if(~held).alias("direct"), F.count_if(taint & ~held).alias("taint"), F.count_if(sink & ~held).alias("sink"),
-        F.count_if(sink & dynamic & ~held).alias("both"), F.count_if(held).alias("placeholder"), F.count_if(sink & ~taint & low.rlike(PLAIN_CALL) & ~held).alias("sink_only"),
+        F.count("*").alias("matches"), F.count_distinct("path").alias("files"), flag(taint & sink).alias("direct"), flag(taint).alias("taint"), flag(sink).alias("sink"),
+        flag(sink & dynamic).alias("both"), F.count_if(held & alone).alias("placeholder"), flag(sink & ~taint & low.rlike(PLAIN_CALL)).alias("sink_only"),
     )
-    facts = hits.sparkSession.createDataFrame([(r.seq, r.category, r.name, bool(r.regex), bool(r.gate), r.has_text) for r in rules], "rule_seq int, category string, rule string, has_regex boolean, has_gate boolean, has_text boolean")
+    facts = hits.sparkSession.createDataFrame(
+        [(r.seq, r.category, r.name, r.platform, r.aggregate == "file", bool(r.regex), bool(r.gate), r.has_text) for r in rules],
+        "rule_seq int, category string, rule string, pack string, whole boolean, has_regex boolean, has_gate boolean, has_text boolean",
+    )
     scored = counts.join(F.broadcast(facts), "rule_seq")  # as many rows as rules
+    scored = scored.withColumn("n", F.when(F.col("whole"), F.col("files")).otherwise(F.col("matches")))
     score = scoring.source_confidence(*[F.col(c) for c in ("n", "files", "direct", "taint", "sink", "both", "placeholder", "sink_only", "has_regex", "has_gate", "has_text")])
-    return scored.withColumn("score", score).withColumn("level", scoring.confidence_level(F.col("score")))
-
-
-def by_file(hits: DataFrame, most: int = 50) -> DataFrame:
-    """One entry per rule and file: number of matches and the first lines, in order of pass and line."""
-    order = Window.partitionBy("rule_seq", "path").orderBy("pass_no", "line")
-    first = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    shown = first.groupBy("rule_seq", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("lines"))
-    return hits.groupBy("rule_seq", "path").agg(F.count("*").alias("matches")).join(shown, ["rule_seq", "path"])
-
-
-def with_context(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """path, rule_seq, line, code, before, after: lines around each hit, clipped at the file's ends, from the file's own row."""
+    scored = scored.withColumn("score", score).withColumn("level", scoring.confidence_level(F.col("score")))
+    # a number in the pack for each rule with hits, in order of the rules; as many rows as rules
+    number = F.row_number().over(Window.partitionBy("pack").orderBy("rule_seq"))
+    return scored.withColumn("rule_id", F.concat_ws("-", F.nullif("pack", F.lit("")), number.cast("string"))).withColumn("issue_scope", classify.issue_scope(F.col("category"), F.col("pack")))
+
+
+def nested(hits: DataFrame, most: int = 1000) -> DataFrame:
+    """rule_seq, part, evidence: array of (file, line, code), in order of files, passes and lines. Long lists go on in further parts of `most`
+    entries, so that no row holds all of a hot rule. Places come from ranges of files, so no task orders all hits of a rule."""
+    placed = hits.repartitionByRange("rule_seq", "file_seq", "path").sortWithinPartitions("rule_seq", "file_seq", "path", "pass_no", "line")
+    placed = placed.withColumn("range", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    first = placed.groupBy("range", "rule_seq").agg(F.min("row").alias("first"))
+    whole = placed.join(F.broadcast(first), ["range", "rule_seq"])  # a row for each range and rule
+    part = F.struct("range", F.floor((F.col("row") - F.col("first")) / most).cast("int").alias("chunk"))
+    entry = F.struct("row", F.col("path").alias("file"), "line", truncated(F.col("code")).alias("code"))
+    lists = whole.groupBy("rule_seq", part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("evidence"))
+    return lists.withColumn("evidence", F.transform("evidence", lambda e: F.struct(e["file"].alias("file"), e["line"].alias("line"), e["code"].alias("code"))))
+
+
+def merged_metadata(verdicts: DataFrame) -> DataFrame:
+    """rule_seq, reason, trace: of the verdicts of all files the first reason, and the lines of all traces once, in order of files."""
+    reason = verdicts.filter("reason is not null").groupBy("rule_seq").agg(F.min_by("reason", "path").alias("reason"))
+    told = verdicts.select("rule_seq", "path", F.posexplode("trace").alias("place", "told")).groupBy("rule_seq", "told").agg(F.min(F.struct("path", "place")).alias("at"))
+    lists = told.groupBy("rule_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "told"))), lambda x: x["told"]).alias("trace"))  # as many as programs have lines
+    return verdicts.select("rule_seq").distinct().join(reason, "rule_seq", "left").join(lists, "rule_seq", "left")
+
+
+def by_file(hits: DataFrame) -> DataFrame:
+    """One entry per rule and file: all its matches, in order of pass and line. A file's matches are bounded by its lines."""
+    listed = F.array_sort(F.collect_list(F.struct("pass_no", "line", "code")))
+    found = hits.groupBy("rule_seq", "path").agg(F.count("*").alias("matches"), listed.alias("entries"))
+    return found.withColumn("lines", F.transform("entries", lambda x: x["line"])).withColumn("codes", F.transform("entries", lambda x: truncated(x["code"]))).drop("entries")
+
+
+def with_context(files: DataFrame, rules: list[Rule], whole: bool = False) -> DataFrame:
+    """path, rule_seq, line, code (cut short if long, unless whole), before, after: lines around each hit, clipped at the file's ends, from the file's own row."""
     rows = scanned(files, rules)
 
     def around(r: Rule) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (F.length(F.element_at("lines", i)) <= MAX_LINE) & _hit(r, F.element_at("lines", i)))
+        found = lambda line: _hit(r, line, "(?i)") if r.gate else _hit(r, line)  # noqa: E731  with a gate also without case
+        at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (F.length(F.element_at("lines", i)) <= MAX_LINE) & found(F.element_at("lines", i)))
 
         def take(i: Column) -> Column:
             before = F.slice("lines", F.greatest(i - r.before, F.lit(1)), F.least(F.lit(r.before), i - 1))
@@ -115,12 +179,13 @@ def with_context(files: DataFrame, rules: list[Rule]) -> DataFrame:
         return F.when(F.array_contains("passed", r.seq) & (F.size("lines") > 0), F.transform(at, take)).otherwise(F.array())
 
     hits = [around(r) for r in rules]
-    return rows.select("path", F.explode(F.flatten(F.array(*hits))).alias("h")).select("path", "h.*").withColumn("code", truncated(F.col("code")))
+    return rows.select("path", F.explode(F.flatten(F.array(*hits))).alias("h")).select("path", "h.*").withColumn("code", F.col("code") if whole else truncated(F.col("code")))
 
 
 def backward_label(rows: DataFrame, key: str, order: str, text: str, pattern: str, depth: int, start: str) -> DataFrame:
     """rows where `start` matches, with label: what `pattern` found last among the `depth` rows before."""
-    found = F.when(F.col(text).rlike(pattern), F.regexp_extract(text, pattern, 0))
+    groups = 1 if re.compile(pattern).groups else 0  # the first group, if there is one
+    found = F.when(F.col(text).rlike(pattern), F.regexp_extract(text, pattern, groups))
     label = F.last(found, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(-depth, -1))
     return rows.withColumn("label", label).filter(F.col(text).rlike(start))
 
@@ -130,16 +195,28 @@ def unmatched(rules: list[Rule], hits: DataFrame) -> DataFrame:
     return every.join(hits.select("rule_seq").distinct(), "rule_seq", "left_anti")
 
 
-def path_matches(paths: DataFrame, rules: list[Rule]) -> DataFrame:
-    """path_seq, path, rule_seq of paths ("/" before them) that a rule's pattern fits without case and no exclusion."""
+def _path_tests(paths: DataFrame, rules: list[Rule]) -> list[Column]:
+    """For each rule whether a path ("/" before it) isn't excluded, and its gate holds or, without a gate, its pattern fits without case."""
     p = F.concat(F.lit("/"), F.ltrim(F.col("path"), F.lit("/")))
-    each = []
+    tests = []
     for r in rules:
-        ok = p.rlike("(?i)" + r.regex)
-        each.append(F.when(ok & ~F.col("path").rlike("(?i)" + r.exclude) if r.exclude else ok, F.lit(r.seq)))
+        ok = gates.verdict(gates.parse(r.gate), p, p)["passed"] if r.gate else p.rlike("(?i)" + r.regex) if r.regex else F.lit(False)
+        tests.append(ok & ~F.col("path").rlike("(?i)" + r.exclude) if r.exclude else ok)
+    return tests
+
+
+def path_matches(paths: DataFrame, rules: list[Rule]) -> DataFrame:
+    """path_seq, path, rule_seq of the paths that a rule fits."""
+    each = [F.when(ok, F.lit(r.seq)) for r, ok in zip(rules, _path_tests(paths, rules), strict=True)]
     return paths.select(*paths.columns, F.explode(F.array_compact(F.array(*each))).alias("rule_seq"))
 
 
+def path_misses(paths: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule_seq of the rules that some path doesn't fit: so a rule can be among these and among those that match."""
+    each = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(r.seq)) for r, ok in zip(rules, _path_tests(paths, rules), strict=True)]
+    return paths.select(F.explode(F.array_compact(F.array(*each))).alias("rule_seq")).distinct()
+
+
 def path_findings(matches: DataFrame) -> DataFrame:
     counts = matches.groupBy("rule_seq").agg(F.count("*").alias("n"))
     return counts.withColumn("score", scoring.path_confidence(F.col("n"))).withColumn("level", scoring.confidence_level(F.col("score")))
@@ -157,5 +234,6 @@ def file_matches(files: DataFrame, regex: str, names: tuple[str, ...] = (), excl
     placed = rows.select("path", F.posexplode("found").alias("k", "match"), "found", "between")
     upto = F.aggregate(F.slice("between", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, x: a + breaks(x)) + F.aggregate(F.slice("found", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + breaks(x))
     groups = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.regexp_extract("match", pattern, i + 1) for i in range(len(names))])) if names else F.create_map().cast("map<string,string>")
+    groups = F.map_filter(groups, lambda _, v: v != "") if names else groups  # groups that took no part
     out = placed.select("path", (upto + 1).cast("int").alias("line"), F.regexp_extract("match", r"^[^\n]*", 0).alias("code"), groups.alias("groups"))
     return out.filter(~F.col("code").rlike("(?i)" + exclude)) if exclude else out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import scoring
 from siftstone.functions import text as T
-from siftstone.operators import extract, flows
+from siftstone.operators import extract, flows, match
 from siftstone.plans import scan_queries as S
 from siftstone.sources.tables import files, page_files, small, table
 from siftstone.streaming import scan
@@ -37,15 +39,18 @@ def flow_confidence(spark, sf_dir):
 
 
 def _interval(spark, sf_dir):
-    h = S.hits_of(spark, sf_dir)
+    """Hits of some rules as findings, those on every fifth line with any line; those of others as flows of two points, every seventh line unknown."""
+    h = S.written_hits(spark, sf_dir)
     kinds = lambda c: F.when(F.col("line") % 2 == 0, F.array(F.lit(c))).otherwise(F.array().cast("array<string>"))
-    found = h.filter("rule_seq in (1, 2, 5)").select("path", "line", "rule", kinds("a").alias("kinds"))
-    other = h.filter("rule_seq in (3, 6)").select("path", "line", kinds("b").alias("kinds"), (F.col("line") * 10 + F.col("rule_seq")).alias("rank"))
-    return flows.nearest_flow(found, other)
+    at = lambda c: F.struct(F.col("path").alias("path"), c.cast("int").alias("line"))
+    finding = F.concat_ws("|", "path", F.col("line").cast("string"), "rule")
+    found = h.filter("rule_seq in (1, 2, 5)").select("path", "line", "rule", finding.alias("finding"), kinds("a").alias("kinds"), F.array(at(F.when(F.col("line") % 5 == 0, 0).otherwise(F.col("line")))).alias("places"))
+    other = h.filter("rule_seq in (3, 6)").select(kinds("b").alias("kinds"), (F.col("line") * 10 + F.col("rule_seq")).alias("rank"), F.array(at(F.when(F.col("line") % 7 != 0, F.col("line"))), at(F.col("line") + 40)).alias("points"))
+    return found.join(flows.nearest_flow(found, other), "finding", "left")
 
 
 def finding_flow_interval_join(spark, sf_dir):
-    return _interval(spark, sf_dir).select("path", "line", "rule", F.coalesce("flow_line", F.lit(0)).alias("flow_line"), F.when(F.col("flow_line").isNotNull(), "confirmed").otherwise("manual_review").alias("verdict"))
+    return _interval(spark, sf_dir).select("path", "line", "rule", F.coalesce("rank", F.lit(0)).alias("rank"), F.when(F.col("rank").isNotNull(), "confirmed").otherwise("manual_review").alias("verdict"))
 
 
 def inventory_summary(spark, sf_dir):
@@ -65,16 +70,17 @@ def mitigation_suffix_anti(spark, sf_dir):
     return flows.not_mitigated(p, known, "kind").select("file_seq", "kind")
 
 
+MITIGATIONS = [flows.Mitigation("en", "contact", "number beside mail", "mail", ("[0-9]{3}-[0-9]{4}",)), flows.Mitigation("fr", "secret", "named token", "token", ("=",)), flows.Mitigation("en", "secret", "kept token", "token")]
+
+
 def mitigation_discovery(spark, sf_dir):
     """Files that hold all patterns of a mitigation, the line of its main one and the text around it."""
-    f = files(spark, sf_dir).filter(F.col("content").rlike("mail") & F.col("content").rlike("[0-9]{3}-[0-9]{4}"))
-    at = F.expr("instr(content, 'mail')")
-    return f.select("path", T.line_of_offset(F.col("content"), at - 1).alias("line"), F.substring(F.col("content"), F.greatest(at - 20, F.lit(1)), F.lit(40)).alias("snippet"))
+    return flows.mitigations(files(spark, sf_dir), MITIGATIONS)
 
 
 def cross_kind_filter(spark, sf_dir):
     """Findings of one kind go where their file also has the other kind or is plain."""
-    h = S.hits_of(spark, sf_dir).select("path", "rule_seq", "line")
+    h = S.written_hits(spark, sf_dir).select("path", "rule_seq", "line")
     other = h.filter("rule_seq = 3").select("path").distinct()
     plain = files(spark, sf_dir).filter(F.col("content").startswith("A")).select("path")
     return h.filter("rule_seq = 6").join(other, "path", "left_anti").join(plain, "path", "left_anti").select("path", "line")
@@ -83,7 +89,8 @@ def cross_kind_filter(spark, sf_dir):
 def first_key_lookup(spark, sf_dir):
     """The first of a customer's keys that the lookup holds: own name, nation, segment."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("nation"), "c_mktsegment")
-    known = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("k"), F.col("n_nationkey").cast("string").alias("v")).unionByName(small(spark, [("Customer#000000007", "seven"), ("BUILDING", "segment")], "k string, v string"))
+    home = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    known = table(spark, sf_dir, "nation").join(home, "n_nationkey", "left_semi").select(F.col("n_name").alias("k"), F.col("n_nationkey").cast("string").alias("v")).unionByName(small(spark, [("Customer#000000007", "seven"), ("BUILDING", "segment")], "k string, v string"))
     return flows.first_key(c, ["c_name", "nation", "c_mktsegment"], known, "k", "v", "c_custkey").select("c_custkey", F.coalesce("v", F.lit("none")).alias("v"))
 
 
@@ -127,7 +134,7 @@ def _edges(spark, sf_dir):
 
 
 def taint_reachability(spark, sf_dir):
-    sources = table(spark, sf_dir, "supplier").filter("s_suppkey < 3").select(F.col("s_suppkey").alias("node"))
+    sources = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
     return flows.reachable(_edges(spark, sf_dir), sources)
 
 
@@ -137,22 +144,21 @@ def flow_graph(spark, sf_dir):
 
 def path_step_context(spark, sf_dir):
     """Each hit's line with the lines before and after."""
-    lines = files(spark, sf_dir).select("path", F.posexplode(T.lines_of(F.col("content"))).alias("pos", "code"))
-    w = Window.partitionBy("path").orderBy("pos")
-    around = lines.select("path", (F.col("pos") + 1).alias("line"), F.substring(F.coalesce(F.lag("code").over(w), F.lit("")), 1, 20).alias("before"), F.substring(F.coalesce(F.lead("code").over(w), F.lit("")), 1, 20).alias("after"))
-    return S.hits_of(spark, sf_dir).filter("rule_seq in (3, 5)").select("path", "line", "rule").join(around, ["path", "line"])
+    rules = [replace(r, before=1, after=1) for r in S.RULES if r.seq in (3, 5)]
+    near = match.with_context(files(spark, sf_dir), rules)
+    one = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    return near.select("path", "line", "rule_seq", one("before").alias("before"), one("after").alias("after"))
 
 
 def enclosing_label(spark, sf_dir):
     """The nearest heading (a turn of the user) within 32 rows above, with itself."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-31, 0)
     t = table(spark, sf_dir, "conversations")
-    return t.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.substring("text", 1, 12)), ignorenulls=True).over(w).alias("heading"))
+    return t.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w).alias("heading"))
 
 
 def block_depth(spark, sf_dir):
-    lines = page_files(spark, sf_dir).select("file_seq", F.posexplode(F.split("content", ";")).alias("pos", "code"))
-    return flows.block_ends(lines, "file_seq", "pos", "code").groupBy("file_seq").agg(F.max("depth").alias("deepest"), F.min(F.when(F.col("depth") <= 0, F.col("pos"))).alias("first_closed"))
+    return page_files(spark, sf_dir).select("file_seq", flows.block_depth(F.split("content", ";")).alias("d")).select("file_seq", "d.deepest", "d.first_closed")
 
 
 def variable_use(spark, sf_dir):
@@ -237,8 +243,9 @@ def oracle_sql():
     fl = "f AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_suppkey AS file, l_returnflag AS sink, l_linestatus AS status, CAST(trunc(l_quantity) AS INTEGER) AS risk, l_linenumber AS line FROM lineitem)"
     pages = "p AS (SELECT page_id AS file_seq, regexp_replace(url, '^[a-z]+://', '') AS path, html AS content FROM pages)"
     docs = "d AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content, doc_id AS file_seq FROM documents)"
-    near = f"""{H}, a AS (SELECT path, line, rule, CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END AS known FROM hits WHERE rule_seq IN (1, 2, 5)), b AS (SELECT path, line, CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END AS known, line * 10 + rule_seq AS rank FROM hits WHERE rule_seq IN (3, 6)),
-v AS (SELECT a.path, a.line, a.rule, (SELECT arg_min(b.line, b.rank) FROM b WHERE b.path = a.path AND abs(b.line - a.line) <= 12 AND NOT (a.known = 1 AND b.known = 1)) AS flow_line FROM a)"""
+    near = f"""{H}, a AS (SELECT path, line, rule, CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END AS known, CASE WHEN line % 5 = 0 THEN 0 ELSE line END AS fl FROM hits WHERE rule_seq IN (1, 2, 5)),
+b AS (SELECT path, CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END AS known, line * 10 + rule_seq AS rank, unnest([CASE WHEN line % 7 = 0 THEN 0 ELSE line END, line + 40]) AS pl FROM hits WHERE rule_seq IN (3, 6)),
+v AS (SELECT a.path, a.line, a.rule, min(b.rank) AS rank FROM a LEFT JOIN b ON b.path = a.path AND (fl = 0 OR pl = 0 OR abs(fl - pl) <= 12) AND NOT (a.known = 1 AND b.known = 1) GROUP BY ALL)"""
     assign = "CASE WHEN l_returnflag = 'R' THEN 'low' WHEN l_linestatus = 'F' AND l_linenumber >= 3 AND l_quantity > 20 THEN 'high' WHEN l_linestatus = 'F' AND l_linenumber >= 2 THEN 'medium' WHEN l_linestatus <> 'F' AND l_linenumber >= 2 AND l_quantity > 20 THEN 'medium' ELSE 'low' END"
     return {
         "flow_rank_dedupe": f"WITH {fl}, k AS (SELECT *, row_number() OVER (PARTITION BY file, sink, status ORDER BY risk DESC, seq) AS i FROM f), b AS (SELECT * FROM k WHERE i = 1), l AS (SELECT * FROM b WHERE status <> 'O' OR NOT EXISTS (SELECT 1 FROM b c WHERE c.status <> 'O' AND c.file = b.file AND c.sink = b.sink)) SELECT file, sink, status, risk, seq, CAST(row_number() OVER (ORDER BY risk DESC, file, sink, status, seq) AS INTEGER) AS rank FROM l",
@@ -246,22 +253,25 @@ v AS (SELECT a.path, a.line, a.rule, (SELECT arg_min(b.line, b.rank) FROM b WHER
 r AS (SELECT path, CAST(least(100, 35 + CASE WHEN regexp_matches(c, 'idiot|stupid') THEN 40 WHEN regexp_matches(c, 'password|akia') THEN 28 WHEN regexp_matches(c, 'licen') THEN 16 ELSE 8 END + CASE WHEN file_seq % 3 > 1 THEN 15 ELSE 0 END + CASE WHEN contains(c, 'token') THEN 8 ELSE 0 END + CASE WHEN contains(c, 'mail') THEN 5 ELSE 0 END + 2 * least(n, 5)) AS INTEGER) AS risk FROM s)
 SELECT path, risk, CASE WHEN risk >= 85 THEN 'Critical' WHEN risk >= 70 THEN 'High' WHEN risk >= 50 THEN 'Medium' ELSE 'Low' END AS severity FROM r""",
         "flow_confidence": f"SELECT CASE WHEN l_returnflag = 'R' THEN 'low' WHEN l_linestatus = 'F' AND l_linenumber >= 2 THEN 'medium' ELSE 'low' END AS parity, {assign} AS \"full\", count(*) AS n FROM lineitem GROUP BY ALL",
-        "finding_flow_interval_join": f"{near} SELECT path, CAST(line AS INTEGER) AS line, rule, CAST(coalesce(flow_line, 0) AS INTEGER) AS flow_line, CASE WHEN flow_line IS NOT NULL THEN 'confirmed' ELSE 'manual_review' END AS verdict FROM v",
-        "inventory_summary": f"{near} SELECT rule, count(*) FILTER (flow_line IS NOT NULL) AS confirmed, count(*) FILTER (flow_line IS NULL) AS manual FROM v GROUP BY rule",
+        "finding_flow_interval_join": f"{near} SELECT path, CAST(line AS INTEGER) AS line, rule, CAST(coalesce(rank, 0) AS INTEGER) AS rank, CASE WHEN rank IS NOT NULL THEN 'confirmed' ELSE 'manual_review' END AS verdict FROM v",
+        "inventory_summary": f"{near} SELECT rule, count(*) FILTER (rank IS NOT NULL) AS confirmed, count(*) FILTER (rank IS NULL) AS manual FROM v GROUP BY rule",
         "vulnerability_first_rule": "SELECT CASE event_type WHEN 'error' THEN 'failed run' WHEN 'click' THEN 'pressed' ELSE 'seen' END AS title, count(*) AS n FROM events WHERE (event_type = 'error' AND NOT contains(props, '\"k\": 1')) OR (event_type = 'click' AND NOT contains(props, '\"k\": 2}') AND NOT contains(props, '\"k\": 3}')) OR event_type = 'view' GROUP BY 1",
-        "mitigation_suffix_anti": f"WITH {pages}, q AS (SELECT file_seq, path, CASE WHEN contains(path, '/en/') THEN 'x' ELSE 'y' END AS kind FROM p) SELECT file_seq, kind FROM q WHERE NOT EXISTS (SELECT 1 FROM q k WHERE k.file_seq % 5 = 0 AND k.kind = q.kind AND (k.path = q.path OR ends_with(k.path, '/' || q.path) OR ends_with(q.path, '/' || k.path) OR string_split(k.path, '/')[-1] = string_split(q.path, '/')[-1]))",
-        "mitigation_discovery": f"WITH {docs} SELECT path, CAST(1 + length(substr(content, 1, strpos(content, 'mail') - 1)) - length(replace(substr(content, 1, strpos(content, 'mail') - 1), chr(10), '')) AS INTEGER) AS line, substr(content, greatest(strpos(content, 'mail') - 20, 1), 40) AS snippet FROM d WHERE contains(content, 'mail') AND regexp_matches(content, '[0-9]{{3}}-[0-9]{{4}}')",
+        "mitigation_suffix_anti": f"WITH {pages}, q AS (SELECT file_seq, path, CASE WHEN contains(path, '/en/') THEN 'x' ELSE 'y' END AS kind FROM p) SELECT file_seq, kind FROM q WHERE NOT EXISTS (SELECT 1 FROM q k WHERE k.file_seq % 5 = 0 AND k.kind = q.kind AND (k.path = q.path OR ends_with(k.path, q.path) OR ends_with(q.path, k.path) OR string_split(k.path, '/')[-1] = string_split(q.path, '/')[-1]))",
+        "mitigation_discovery": """WITH d AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content, lang AS platform FROM documents),
+r AS (SELECT path, content, 'contact' AS kind, 'number beside mail' AS title, strpos(content, 'mail') - 1 AS w, 4 AS n FROM d WHERE platform = 'en' AND contains(content, 'mail') AND regexp_matches(content, '[0-9]{3}-[0-9]{4}')
+  UNION ALL SELECT path, content, 'secret', 'named token', strpos(content, 'token') - 1, 5 FROM d WHERE platform = 'fr' AND contains(content, 'token') AND contains(content, '=') UNION ALL SELECT path, content, 'secret', 'kept token', strpos(content, 'token') - 1, 5 FROM d WHERE platform = 'en' AND contains(content, 'token'))
+SELECT kind, title, path, CAST(1 + length(substr(content, 1, w)) - length(replace(substr(content, 1, w), chr(10), '')) AS INTEGER) AS line, substr(regexp_replace(replace(substr(content, greatest(w - 80, 0) + 1, w - greatest(w - 80, 0) + n + 80), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), 1, 240) AS evidence FROM r""",
         "cross_kind_filter": f"{H} SELECT h.path, CAST(line AS INTEGER) AS line FROM hits h WHERE rule_seq = 6 AND NOT EXISTS (SELECT 1 FROM hits o WHERE o.rule_seq = 3 AND o.path = h.path) AND NOT EXISTS (SELECT 1 FROM files f WHERE f.path = h.path AND starts_with(f.content, 'A'))",
-        "first_key_lookup": "SELECT c_custkey, CASE WHEN c_name = 'Customer#000000007' THEN 'seven' WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) WHEN c_mktsegment = 'BUILDING' THEN 'segment' ELSE 'none' END AS v FROM customer",
+        "first_key_lookup": "SELECT c_custkey, CASE WHEN c_name = 'Customer#000000007' THEN 'seven' WHEN c_nationkey IN (SELECT s_nationkey FROM supplier) THEN CAST(c_nationkey AS VARCHAR) WHEN c_mktsegment = 'BUILDING' THEN 'segment' ELSE 'none' END AS v FROM customer",
         "analyzer_review_last": "SELECT event_type || '::' || (user_id % 10) AS key, arg_max(CASE WHEN value > 20 THEN 'confirmed' ELSE 'pending' END, event_id) AS status FROM events GROUP BY 1",
         "xref_capped": """WITH d AS (SELECT l_partkey, l_suppkey AS definer, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS i FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)), s AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem),
 m AS (SELECT l_suppkey, s.l_partkey, definer, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY s.l_partkey, definer, l_orderkey, l_linenumber) AS j FROM s JOIN d ON s.l_partkey = d.l_partkey WHERE s.i <= 4 AND d.i <= 2 AND l_suppkey <> definer) SELECT l_suppkey, l_partkey, definer, l_orderkey, l_linenumber FROM m WHERE j <= 40""",
-        "form_field_lookup": f"WITH {pages} SELECT file_seq, CASE WHEN path = 'blog.ththan.example.net/en/960' THEN 'whole' WHEN string_split(path, '/')[-1] = '853' THEN 'early' ELSE 'base' END AS v FROM p WHERE file_seq < 60 AND (path = 'blog.ththan.example.net/en/960' OR string_split(path, '/')[-1] IN ('853', '960'))",
+        "form_field_lookup": f"WITH {pages} SELECT file_seq, CASE WHEN path = 'blog.ththan.example.net/en/960' THEN 'whole' WHEN string_split(path, '/')[-1] = '853' THEN 'early' ELSE 'base' END AS v FROM p WHERE (path = 'blog.ththan.example.net/en/960' OR string_split(path, '/')[-1] IN ('853', '960'))",
         "framework_inherit": f"{H}, k AS (SELECT platform, file_seq, row_number() OVER (PARTITION BY platform ORDER BY file_seq, line, rule_seq) AS i FROM hits), g AS (SELECT platform, count(*) AS n, max(file_seq) AS last FROM k WHERE i <= 20 GROUP BY platform) SELECT framework, coalesce(n, 0) AS n, coalesce(last, -1) AS last FROM (VALUES ('nav', 'en'), ('fr-kit', 'fr'), ('none', 'xx')) AS t(framework, platform) LEFT JOIN g ON t.platform = g.platform",
-        "taint_reachability": "WITH RECURSIVE e AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_suppkey <> y.l_suppkey AND (x.l_suppkey + y.l_suppkey) % 7 = 0), r(node, depth) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey < 3 UNION SELECT b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 7) SELECT node, min(depth) AS depth FROM r GROUP BY node",
+        "taint_reachability": "WITH RECURSIVE e AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_suppkey <> y.l_suppkey), r(node, depth) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal < 0 UNION SELECT b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 7) SELECT node, min(depth) AS depth FROM r GROUP BY node",
         "flow_graph": "WITH w AS (SELECT conv_id, turn AS src, lead(turn) OVER o AS dst, CASE WHEN role = lead(role) OVER o THEN 'same' ELSE 'handoff' END AS kind FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) SELECT * FROM w WHERE dst IS NOT NULL",
-        "path_step_context": f"{H}, w AS (SELECT path, line, substr(coalesce(lag(code) OVER o, ''), 1, 20) AS before, substr(coalesce(lead(code) OVER o, ''), 1, 20) AS after FROM lines WINDOW o AS (PARTITION BY path ORDER BY line)) SELECT h.path, CAST(h.line AS INTEGER) AS line, rule, before, after FROM hits h JOIN w ON h.path = w.path AND h.line = w.line WHERE rule_seq IN (3, 5)",
-        "enclosing_label": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 12) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS heading FROM conversations",
+        "path_step_context": f"{H} SELECT h.path, CAST(line AS INTEGER) AS line, rule_seq, coalesce(l[line - 1], '') AS before, coalesce(l[line + 1], '') AS after FROM hits h JOIN listed s ON h.path = s.path WHERE rule_seq IN (3, 5)",
+        "enclosing_label": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS heading FROM conversations",
         "block_depth": "WITH s AS (SELECT page_id AS file_seq, string_split(html, ';') AS l FROM pages), u AS (SELECT file_seq, unnest(range(0, len(l))) AS pos, unnest(l) AS c FROM s), w AS (SELECT file_seq, pos, CAST(sum(length(replace(c, '}', '')) - length(replace(c, '{', ''))) OVER (PARTITION BY file_seq ORDER BY pos) AS BIGINT) AS depth FROM u) SELECT file_seq, max(depth) AS deepest, CAST(min(pos) FILTER (depth <= 0) AS INTEGER) AS first_closed FROM w GROUP BY file_seq",
         "variable_use": "WITH u AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda t: length(t) >= 3))) AS token FROM conversations), d AS (SELECT conv_id, turn + 1 AS turn, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,}'))) AS token FROM conversations) SELECT conv_id, turn, count(*) AS n FROM u JOIN d USING (conv_id, turn, token) GROUP BY conv_id, turn",
         "family_rollup": f"WITH {fl} SELECT sink || '|' || status AS family, CASE WHEN 2 * max(risk) >= 85 THEN 'Critical' WHEN 2 * max(risk) >= 70 THEN 'High' WHEN 2 * max(risk) >= 50 THEN 'Medium' ELSE 'Low' END AS worst, count(DISTINCT file) AS files, count(*) FILTER (line > 3) AS complete, max(risk) AS max_risk FROM f GROUP BY sink, status",
@@ -269,9 +279,6 @@ m AS (SELECT l_suppkey, s.l_partkey, definer, l_orderkey, l_linenumber, row_numb
 x AS (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i FROM u), xx AS (SELECT host, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS examples FROM x WHERE i <= 4 GROUP BY host) SELECT u.host, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, count(*) AS flows, coalesce(any_value(args), '') AS args, any_value(examples) AS examples FROM u LEFT JOIN aa ON u.host = aa.host JOIN xx ON u.host = xx.host GROUP BY u.host""",
         "flow_stats": f"WITH {fl} SELECT count(*) AS flows, count(*) FILTER (status = 'O') AS partial, count(*) FILTER (status = 'F' AND risk > 40) AS high, count(DISTINCT file) AS files, count(DISTINCT sink) AS sinks FROM f",
         "summary_merge": "SELECT o_custkey AS alias, 'sink' AS kind, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey UNION ALL SELECT o_custkey, 'return', count(DISTINCT o_orderpriority[1]) FROM orders GROUP BY o_custkey",
-        "extract_functions": "SELECT path, name, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", params FROM (VALUES ('a.py', 'handle', 1, 5, 'request,n'), ('a.py', 'other', 7, 8, ''), ('b.js', 'send', 1, 5, 'req'), ('c.txt', '<file>', 1, 2, ''), ('d.txt', '<file>', 1, 1, '')) AS t(path, name, s, e, params)",
-        "extract_calls": "SELECT path, CAST(line AS INTEGER) AS line, name, CAST(args AS INTEGER) AS args FROM (VALUES ('a.py', 3, 'run', 1), ('a.py', 4, 'clean', 1), ('a.py', 5, 'run', 1), ('a.py', 8, 'run', 1), ('b.js', 4, 'exec', 2), ('c.txt', 2, 'exec', 2), ('c.txt', 2, 'fmt', 2)) AS t(path, line, name, args)",
-        "trace_flows": "SELECT * FROM (VALUES ('a.py', 'handle', 'run', 3, 'q'), ('b.js', 'send', 'exec', 4, 'w'), ('c.txt', '<file>', 'exec', 2, 'x')) AS t(path, function, sink, line, variable)",
         "streaming_scan": f"{H} SELECT rule_seq, pass_no, count(*) AS n FROM hits GROUP BY rule_seq, pass_no",
         "streaming_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
         "streaming_last_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS runs FROM events GROUP BY user_id",

@@ -87,8 +87,9 @@ def token_pattern(token: str) -> str | None:
     return (f"(?{flags})" if flags else "") + token
 
 
-def split_top(expr: str, op: str, strict: bool = True) -> list[str]:
-    """Parts between top-level operators. strict: parentheses that are escaped or in a class don't count."""
+def split_top(expr: str, op: str, strict: bool = False) -> list[str]:
+    """Parts between top-level operators. All parentheses count, in patterns too, so an unbalanced one there swallows what follows, as
+    programs rely on; strict: those that are escaped or in a class don't count."""
     parts, depth, at, i, in_class = [], 0, 0, 0, False
     while i < len(expr):
         c = expr[i]
@@ -136,7 +137,7 @@ def _tree(expr: str, strict: bool):
     return None if pattern is None else ("missing" if m[1].upper() == "MISSING" else "present", pattern)
 
 
-def expression(expr: str, text: Column, strict: bool = True) -> Column:
+def expression(expr: str, text: Column, strict: bool = False) -> Column:
     def build(node) -> Column:
         if node is None:
             return F.lit(False)
@@ -153,7 +154,7 @@ def expression(expr: str, text: Column, strict: bool = True) -> Column:
     return build(_tree(expr, strict)) if expr.strip() else F.lit(False)
 
 
-def interpret(expr: str, text: str, strict: bool = True) -> bool:
+def interpret(expr: str, text: str, strict: bool = False) -> bool:
     """The same on a Python string; for tests."""
 
     def run(node) -> bool:
@@ -171,7 +172,7 @@ def interpret(expr: str, text: str, strict: bool = True) -> bool:
     return run(_tree(expr, strict)) if expr.strip() else False
 
 
-def gate_column(kind: str, arg: str, text: Column, path: Column, strict: bool = True) -> Column:
+def gate_column(kind: str, arg: str, text: Column, path: Column, strict: bool = False) -> Column:
     if kind == "WHEN EXPR":
         return expression(arg, text, strict)
     if kind == "WHEN FILE_NAME_IS":
@@ -183,14 +184,29 @@ def gate_column(kind: str, arg: str, text: Column, path: Column, strict: bool =
     return ~found if kind in ("WHEN MISSING", "UNLESS CURRENT_FILE_MATCHES") else found
 
 
-def verdict(program: Program, text: Column, path: Column, strict: bool = True) -> Column:
-    """struct(passed, failed_at, reason): failed_at is the place of the first gate that fails, from 1, or null."""
-    failed_at, reason = F.lit(None).cast("int"), F.lit(None).cast("string")
+def verdict(program: Program, text: Column, path: Column, strict: bool = False) -> Column:
+    """struct(passed, failed_at, reason): failed_at is the place of the first gate that fails, from 1, or null. Each gate is evaluated once, up to the first that fails."""
+    failed_at, reasons = F.lit(None).cast("int"), [program.fail_reason or DEFAULTS[kind] for kind, _ in program.gates]
     for i, (kind, arg) in reversed(list(enumerate(program.gates, 1))):
-        ok = F.coalesce(gate_column(kind, arg, text, path, strict), F.lit(False))
-        failed_at = F.when(~ok, i).otherwise(failed_at)
-        reason = F.when(~ok, program.fail_reason or DEFAULTS[kind]).otherwise(reason)
-    return F.struct(failed_at.isNull().alias("passed"), failed_at.alias("failed_at"), F.coalesce(reason, F.lit(program.reason)).alias("reason"))
+        failed_at = F.when(~F.coalesce(gate_column(kind, arg, text, path, strict), F.lit(False)), i).otherwise(failed_at)
+
+    def told(at: Column) -> Column:
+        reason = F.get(F.array(*[F.lit(r) for r in reasons]), at - 1) if reasons else F.lit(None).cast("string")
+        return F.struct(at.isNull().alias("passed"), at.alias("failed_at"), F.coalesce(reason, F.lit(program.reason)).alias("reason"))
+
+    return F.transform(F.array(failed_at), told)[0]
+
+
+def trace(program: Program, failed_at: Column) -> Column:
+    """What is told of each gate, in order: those before the first that fails hold, later ones aren't tried; then notes of the program, if all hold."""
+    told = F.array(*[F.lit(f"{kind} {arg}: holds") for kind, arg in program.gates]).cast("array<string>")
+    failed = F.get(F.array(*[F.lit(f"{kind} {arg}: {program.fail_reason or DEFAULTS[kind]}") for kind, arg in program.gates]).cast("array<string>"), failed_at - 1)
+    whole = F.concat(told, F.array(*[F.lit(t) for t in program.trace]).cast("array<string>"))
+    return F.when(failed_at.isNull(), whole).otherwise(F.concat(F.slice(told, F.lit(1), failed_at - 1), F.array(failed)))
+
+
+def metadata(program: Program) -> dict[str, str | None]:
+    return {"title": program.title, "reason": program.reason, "fail_reason": program.fail_reason}
 
 
 def observed(files: DataFrame, program: Program, kept: int = 8) -> DataFrame:

@@ -48,6 +48,10 @@ def recon_summary(spark, sf_dir):
     return recon.summary(_found(spark, sf_dir))
 
 
+def recon_totals(spark, sf_dir):
+    return recon.totals(_found(spark, sf_dir))
+
+
 def recon_folders(spark, sf_dir):
     return recon.by_folder(_found(spark, sf_dir))
 
@@ -123,8 +127,7 @@ def effort_totals(spark, sf_dir):
 
 
 def loc_effective(spark, sf_dir):
-    lines = page_files(spark, sf_dir).select("file_seq", F.posexplode(T.lines_of(F.col("content"))).alias("pos", "code"))
-    return recon.effective_lines(lines, "file_seq", "pos", "code")
+    return page_files(spark, sf_dir).select("file_seq", recon.effective_lines(F.col("content")).alias("loc"))
 
 
 def loc_page(spark, sf_dir):
@@ -148,13 +151,13 @@ def engine_resolution(spark, sf_dir):
 def rule_counts(spark, sf_dir):
     """Rules and categories of each pack; packs without rules count zero."""
     packs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pack"), "r_name")
-    rules = table(spark, sf_dir, "nation").filter("n_nationkey > 4").select(F.col("n_regionkey").alias("pack"), F.substring("n_name", 1, 1).alias("category"))
+    rules = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("pack"), F.substring("n_name", 1, 1).alias("category"))
     per = rules.groupBy("pack").agg(F.count("*").alias("rules"), F.count_distinct("category").alias("categories"))
     return packs.join(per, "pack", "left").select("r_name", F.coalesce("rules", F.lit(0)).alias("rules"), F.coalesce("categories", F.lit(0)).alias("categories"))
 
 
 NAMES = (
-    recon_detections, recon_strict, recon_tuned, recon_summary, recon_folders, recon_first_files, commonest_folder, first_framework, marker_semi_join, marker_implications, framework_pack_dedupe,
+    recon_detections, recon_strict, recon_tuned, recon_summary, recon_totals, recon_folders, recon_first_files, commonest_folder, first_framework, marker_semi_join, marker_implications, framework_pack_dedupe,
     platform_extensions, framework_target_filter, discover_files, effort_estimate, effort_totals, loc_effective, loc_page, manifest_dependency_keys, engine_resolution, rule_counts,
 )
 
@@ -184,16 +187,17 @@ x AS (SELECT path, content, lower(regexp_extract(string_split(path, '/')[-1], '^
     summary = """SELECT category, name, count(*) AS files, count(*) FILTER (rank = 3) AS high, count(*) FILTER (rank = 2) AS medium, count(*) FILTER (rank = 1) AS low,
 CASE WHEN count(*) FILTER (rank = 3) >= greatest(count(*) FILTER (rank = 2), count(*) FILTER (rank = 1)) THEN 'high' WHEN count(*) FILTER (rank = 2) >= count(*) FILTER (rank = 1) THEN 'medium' ELSE 'low' END AS dominant"""
     effort = """c AS (SELECT lang AS tech, count(*) AS files FROM documents GROUP BY lang), e AS (SELECT tech, files, CASE WHEN files <= 10 THEN 0.5::DOUBLE WHEN files <= 40 THEN 1.0 WHEN files <= 200 THEN 2.0 ELSE 5.0 END AS min_days, CASE WHEN files <= 10 THEN 1.0::DOUBLE WHEN files <= 40 THEN 2.0 WHEN files <= 200 THEN 5.0 ELSE 12.5 END AS max_days FROM c)"""
-    loc = """p AS (SELECT page_id AS file_seq, string_split(html, chr(10)) AS l0 FROM pages), q AS (SELECT file_seq, CASE WHEN l0[len(l0)] = '' THEN l0[1:len(l0) - 1] ELSE l0 END AS l FROM p),
-ln AS (SELECT file_seq, unnest(range(1, len(l) + 1)) AS i, trim(unnest(l), ' ') AS c FROM q),
+    loc = """p AS (SELECT page_id AS file_seq, string_split(html, chr(10)) AS l FROM pages),
+ln AS (SELECT file_seq, unnest(range(1, len(l) + 1)) AS i, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS c FROM p),
 ev AS (SELECT *, regexp_matches(c, '\\*/|-->|"\"\"|''''''') AS closes, regexp_matches(c, '/\\*|<!--|"\"\"|''''''') AS opens FROM ln),
 st AS (SELECT *, coalesce(last_value(CASE WHEN closes THEN 0 WHEN opens THEN 1 END IGNORE NULLS) OVER (PARTITION BY file_seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM ev),
-loc AS (SELECT file_seq, count(*) FILTER (NOT (inside = 1 OR opens OR closes OR starts_with(c, '//') OR starts_with(c, '#') OR starts_with(c, '--') OR c = '')) AS loc FROM st GROUP BY file_seq)"""
+loc AS (SELECT file_seq, count(*) FILTER (NOT (inside = 1 OR opens OR starts_with(c, '//') OR starts_with(c, '#') OR starts_with(c, '--') OR starts_with(c, '*') OR c = '')) AS loc FROM st GROUP BY file_seq)"""
     return {
         "recon_detections": f"WITH {found} SELECT category, name, path, {recon.LABEL} AS confidence FROM found",
-        "recon_strict": f"WITH {found} SELECT category, name, count(*) AS files FROM found WHERE CASE WHEN category IN ('Framework', 'Mobile', 'Frontend', 'Backend') THEN rank = 3 ELSE rank >= 2 END GROUP BY category, name",
+        "recon_strict": f"WITH {found} SELECT category, name, count(*) AS files FROM found WHERE CASE WHEN category IN ('Framework', 'Mobile Platforms', 'Frontend', 'Backend') THEN rank = 3 ELSE rank >= 2 END GROUP BY category, name",
         "recon_tuned": f"WITH {found}, t AS (SELECT category, name, path, CASE WHEN name = 'plain text' THEN 3 WHEN name = 'token kit' THEN 1 ELSE rank END AS rank FROM found WHERE NOT regexp_matches(lower(path), '^src1.*/fr/.*$') AND name <> 'mail') {summary} FROM t GROUP BY category, name",
         "recon_summary": f"WITH {found} {summary} FROM found GROUP BY category, name",
+        "recon_totals": f"WITH {found} SELECT count(DISTINCT path) AS files, count(DISTINCT (category, name)) AS technologies, count(DISTINCT category) AS categories FROM found",
         "recon_folders": f"WITH {found} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(DISTINCT path) AS files, count(DISTINCT name) AS names FROM found GROUP BY 1",
         "recon_first_files": f"WITH {found}, k AS (SELECT category, name, path, CAST(row_number() OVER (PARTITION BY category, name ORDER BY path) AS INTEGER) AS place FROM found) SELECT category, name, place, path FROM k WHERE place <= 5",
         "commonest_folder": "SELECT source || '/' || lang AS folder, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, folder LIMIT 1",
@@ -212,5 +216,5 @@ SELECT project, platform FROM d UNION SELECT project, 'latin' FROM d WHERE platf
         "loc_page": f"WITH {loc} SELECT file_seq, loc FROM loc ORDER BY loc DESC, file_seq LIMIT 10 OFFSET 10",
         "manifest_dependency_keys": "SELECT lower(k) AS dependency, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1",
         "engine_resolution": "WITH per AS (SELECT source AS project, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de FROM documents GROUP BY source) SELECT project, CASE WHEN fr + de = 0 THEN 'none' WHEN fr >= de THEN 'first' ELSE 'second' END AS engine FROM per",
-        "rule_counts": "SELECT r_name, count(n_nationkey) AS rules, count(DISTINCT n_name[1]) AS categories FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 4 GROUP BY r_name",
+        "rule_counts": "SELECT r_name, count(n_nationkey) AS rules, count(DISTINCT n_name[1]) AS categories FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
     }

@@ -5,12 +5,13 @@ Events stand for scan runs: user_id is the project, event_type the status, value
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from siftstone.functions import scoring
 from siftstone.functions import text as T
-from siftstone.operators import reports
+from siftstone.operators import flows, match, reports
 from siftstone.plans import scan_queries as S
 from siftstone.sources.tables import files, page_files, small, table
 
@@ -34,10 +35,11 @@ def file_heat(spark, sf_dir):
 
 def code_viewer_rows(spark, sf_dir):
     """Lines to show of each file: matches and the lines beside them, each once, a match first."""
-    lines = files(spark, sf_dir).select("path", F.posexplode(T.lines_of(F.col("content"))).alias("pos", "code"))
-    marks = S.hits_of(spark, sf_dir).filter("rule_seq in (1, 4)").select("path", F.explode(F.array(*[F.struct((F.col("line") + d).alias("line"), F.lit(int(d != 0)).alias("beside")) for d in (0, -1, 1)])).alias("m"))
-    shown = marks.groupBy("path", F.col("m.line").alias("line")).agg(F.min("m.beside").alias("beside"))
-    return shown.join(lines.withColumn("line", F.col("pos") + 1), ["path", "line"]).select("path", "line", "beside", F.substring("code", 1, 240).alias("code"))
+    near = match.with_context(files(spark, sf_dir), [replace(r, before=1, after=1) for r in S.RULES], whole=True)
+    row = lambda line, beside, code: F.struct(line.alias("line"), F.lit(beside).alias("beside"), code.alias("code"))
+    shown = F.array_compact(F.array(row(F.col("line"), 0, F.col("code")), *[F.when(F.size(c) > 0, row(F.col("line") + d, 1, F.get(c, F.lit(0)))) for c, d in (("before", -1), ("after", 1))]))
+    lines = near.select("path", F.explode(shown).alias("m")).groupBy("path", "m.line").agg(F.min("m.beside").alias("beside"), F.first("m.code").alias("code"))
+    return lines.select("path", "line", "beside", F.substring("code", 1, 240).alias("code"))
 
 
 def hot_tokens(spark, sf_dir):
@@ -49,8 +51,8 @@ def hot_tokens(spark, sf_dir):
 def report_order(spark, sf_dir):
     """Findings in report order: noise last, then platform, then the lower-cased title."""
     per = S.hits_of(spark, sf_dir).groupBy("platform", "category", "rule").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.when(F.col("category") == "noise", 1).otherwise(0), "platform", F.lower("rule")))
-    return per.select(place.cast("long").alias("place"), "platform", "rule", "n")
+    placed = flows.numbered(per, [F.when(F.col("category") == "noise", 1).otherwise(0), F.col("platform"), F.lower("rule")], "place")
+    return placed.select(F.col("place").cast("long").alias("place"), "platform", "rule", "n")
 
 
 def dashboard_metrics(spark, sf_dir):
@@ -66,7 +68,7 @@ def daily_activity(spark, sf_dir):
 def project_rollup(spark, sf_dir):
     """Projects and runs: both sides kept."""
     runs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("runs"), F.count_if(F.col("event_type").isin("click", "view")).alias("running"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_status"))
-    projects = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), "c_name")
+    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return projects.join(runs, "id", "full").select("id", "c_name", zero("runs"), zero("running"), zero("failed"), "last_status")
 
@@ -84,7 +86,7 @@ def run_detail(spark, sf_dir):
 
 def promote_upsert(spark, sf_dir):
     """Suppressed findings promoted: evidence added to a finding that is there, unless it has it, else a new finding."""
-    hits = S.hits_of(spark, sf_dir)
+    hits = S.written_hits(spark, sf_dir)
     there = hits.filter("rule_seq <> 6 and pass_no = 0").select("platform", "rule", "path", "line").distinct()
     promoted = hits.filter("rule_seq in (3, 6) and line <= 5").select("platform", "rule", "path", "line").distinct()
     merged = there.unionByName(promoted.join(there, ["platform", "rule", "path", "line"], "left_anti"))
@@ -123,10 +125,11 @@ def suppressed_update(spark, sf_dir):
 def set_operations(spark, sf_dir):
     """Union, intersection and differences of the words of sources and hosts, with bag counts."""
     a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
-    b = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    poor = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_acctbal").alias("least")).filter("least < -900").select("k")
     tag = lambda df, name: df.groupBy("k").agg(F.count("*").alias("n")).select(F.lit(name).alias("operation"), "k", "n")
     out = tag(a.unionByName(b), "union all")
-    for df, name in ((a.unionByName(b).distinct(), "union"), (a.intersect(b), "intersect"), (a.exceptAll(b), "except all"), (a.subtract(b), "except"), (b.distinct().join(a.filter("k < 10"), "k", "left_anti"), "anti")):
+    for df, name in ((a.unionByName(b).distinct(), "union"), (a.intersect(b), "intersect"), (a.exceptAll(b), "except all"), (a.subtract(b), "except"), (b.distinct().join(poor, "k", "left_anti"), "anti")):
         out = out.unionByName(tag(df, name))
     return out
 
@@ -249,12 +252,12 @@ def oracle_sql():
         "chart_bars": f"{H}, c AS (SELECT rule, count(*) AS n FROM hits GROUP BY rule ORDER BY n DESC, rule LIMIT 4) SELECT rule, n, {even('n / (SELECT max(n) FROM c) * 100', 2)} AS width, {even('n / (SELECT sum(n) FROM c) * 100', 1)} AS share FROM c",
         "top_files": f"{H}, g AS (SELECT rule_seq, path, min(file_seq) AS file_seq FROM hits GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY rule_seq ORDER BY file_seq, path) AS i FROM g) SELECT path, count(*) AS hits FROM k WHERE i <= 8 GROUP BY path ORDER BY hits DESC, path LIMIT 15",
         "file_heat": f"{H} SELECT path, count(*) AS n FROM hits GROUP BY path ORDER BY n DESC, path LIMIT 15",
-        "code_viewer_rows": f"{H}, m AS (SELECT path, line + d AS line, CASE WHEN d = 0 THEN 0 ELSE 1 END AS beside FROM hits, (VALUES (0), (-1), (1)) AS x(d) WHERE rule_seq IN (1, 4)), s AS (SELECT path, line, min(beside) AS beside FROM m GROUP BY path, line) SELECT s.path, CAST(s.line AS INTEGER) AS line, beside, code[1:240] AS code FROM s JOIN lines l ON s.path = l.path AND s.line = l.line",
+        "code_viewer_rows": f"{H}, m AS (SELECT path, line + d AS line, CASE WHEN d = 0 THEN 0 ELSE 1 END AS beside FROM hits, (VALUES (0), (-1), (1)) AS x(d) ), s AS (SELECT path, line, min(beside) AS beside FROM m GROUP BY path, line) SELECT s.path, CAST(s.line AS INTEGER) AS line, beside, code[1:240] AS code FROM s JOIN lines l ON s.path = l.path AND s.line = l.line",
         "hot_tokens": f"WITH {docs}, w AS (SELECT platform, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM d) SELECT token, count(*) AS n, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms FROM w WHERE length(token) >= 4 AND lower(token) NOT IN ('the', 'and', 'der', 'les') GROUP BY token ORDER BY n DESC, token LIMIT 12",
         "report_order": f"{H}, per AS (SELECT platform, category, rule, count(*) AS n FROM hits GROUP BY ALL) SELECT row_number() OVER (ORDER BY CASE WHEN category = 'noise' THEN 1 ELSE 0 END, platform, lower(rule)) AS place, platform, rule, n FROM per",
         "dashboard_metrics": "SELECT count(*) AS runs, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / count(*), 2) AS success_percent, round(avg(value) FILTER (value > 0), 2) AS mean_duration, count(DISTINCT user_id) AS projects FROM events",
         "daily_activity": "WITH c AS (SELECT CAST(max(ts) AS DATE) - CAST(i AS INTEGER) AS day FROM events, range(7) AS r(i) GROUP BY i), n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT CAST(c.day AS VARCHAR) AS day, coalesce(n, 0) AS runs FROM c LEFT JOIN n ON c.day = n.day",
-        "project_rollup": "WITH r AS (SELECT user_id AS id, count(*) AS runs, count(*) FILTER (event_type IN ('click', 'view')) AS running, count(*) FILTER (event_type = 'error') AS failed, arg_max(event_type, (ts, event_id)) AS last_status FROM events GROUP BY user_id), p AS (SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey % 3 <> 0) SELECT coalesce(p.id, r.id) AS id, c_name, coalesce(runs, 0) AS runs, coalesce(running, 0) AS running, coalesce(failed, 0) AS failed, last_status FROM p FULL JOIN r ON p.id = r.id",
+        "project_rollup": "WITH r AS (SELECT user_id AS id, count(*) AS runs, count(*) FILTER (event_type IN ('click', 'view')) AS running, count(*) FILTER (event_type = 'error') AS failed, arg_max(event_type, (ts, event_id)) AS last_status FROM events GROUP BY user_id), p AS (SELECT c_custkey AS id, c_name FROM customer) SELECT coalesce(p.id, r.id) AS id, c_name, coalesce(runs, 0) AS runs, coalesce(running, 0) AS running, coalesce(failed, 0) AS failed, last_status FROM p FULL JOIN r ON p.id = r.id",
         "latest_runs": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
         "run_detail": "SELECT event_id, event_type IN ('purchase', 'error') AS finished, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS even FROM events",
         "promote_upsert": f"{H}, a AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq <> 6 AND pass_no = 0), b AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq IN (3, 6) AND line <= 5) SELECT platform, rule, count(*) AS evidence FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY platform, rule",
@@ -262,9 +265,9 @@ def oracle_sql():
         "project_delete": "WITH last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS s FROM events GROUP BY user_id) SELECT e.user_id, count(*) AS runs FROM events e JOIN last USING (user_id) WHERE NOT (e.user_id % 4 = 0 AND s NOT IN ('click', 'view')) GROUP BY e.user_id",
         "schema_evolution": "SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'legacy-' || n_nationkey END AS project_key, 0 AS version FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, 1 FROM region",
         "suppressed_update": f"{H} SELECT rule_seq, count(*) AS n, CASE WHEN rule_seq = 3 THEN 'checked' ELSE 'suppressed' END AS status, CASE WHEN rule_seq = 4 THEN 'legal' ELSE 'nobody' END AS owner FROM hits WHERE {covered} GROUP BY rule_seq",
-        "set_operations": """WITH a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)
+        "set_operations": """WITH a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier)
 SELECT 'union all' AS operation, k, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k UNION ALL SELECT 'union', k, count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY k UNION ALL SELECT 'intersect', k, count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY k
-UNION ALL SELECT 'except all', k, count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY k UNION ALL SELECT 'except', k, count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY k UNION ALL SELECT 'anti', k, count(*) FROM (SELECT DISTINCT k FROM b WHERE k NOT IN (SELECT k FROM a WHERE k < 10)) GROUP BY k""",
+UNION ALL SELECT 'except all', k, count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY k UNION ALL SELECT 'except', k, count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY k UNION ALL SELECT 'anti', k, count(*) FROM (SELECT DISTINCT k FROM b WHERE k NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900)) GROUP BY k""",
         "ordered_distinct": "WITH f AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS i FROM orders GROUP BY 1, 2) SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY i) AS statuses FROM f GROUP BY o_custkey",
         "scalar_text": """WITH c AS (SELECT *, ' ' || p_name || '/A-' || p_type || '<b>&"x'' ' AS c FROM part)
 SELECT p_partkey, lower(trim(c, ' ')) AS norm, regexp_replace(regexp_replace(lower(c), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:80] AS slug, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS pascal,
@@ -274,12 +277,12 @@ p_name AS segment, array_to_string(list_filter(regexp_extract_all(p_name, '[A-Za
 CASE WHEN regexp_matches(string_split(path, '/')[-1], '^.+\\.[^.]*$') THEN regexp_extract(string_split(path, '/')[-1], '^(.+)\\.[^.]*$', 1) ELSE string_split(path, '/')[-1] END AS stem, array_to_string(string_split(path, '/')[-2:], '/') AS short,
 CASE WHEN strpos(path, '/en/') > 0 THEN substr(path, strpos(path, '/en/')) ELSE path END AS relative, '/host/c/src/' || path AS host, path = 'blog.tionsh.example.net' OR starts_with(path, 'blog.tionsh.example.net/') OR path = 'm.ththth.example.net/en' OR starts_with(path, 'm.ththth.example.net/en/') AS inside,
 regexp_matches(path, '^.*\\.example\\..../[de][en]/.*$') AS fits, CAST(CASE WHEN file_seq % 6 < 2 THEN 1 WHEN file_seq % 6 < 4 THEN 2 ELSE 3 END AS INTEGER) AS line FROM p""",
-        "scalar_math": """WITH i AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS n, CAST(trunc(l_extendedprice * 100) AS BIGINT) AS ms FROM lineitem WHERE l_orderkey < 3000)
+        "scalar_math": """WITH i AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS n, CAST(trunc(l_extendedprice * 100) AS BIGINT) AS ms FROM lineitem)
 SELECT DISTINCT l_orderkey, l_linenumber, greatest(least(n, 40), 10) AS clamped, CAST(round_even(n / 2, 0) AS INTEGER) AS half, CASE WHEN 2 * n >= 80 THEN 'high' WHEN 2 * n >= 60 THEN 'medium' ELSE 'low' END AS level,
 CASE WHEN 2 * n >= 85 THEN 'Critical' WHEN 2 * n >= 70 THEN 'High' WHEN 2 * n >= 50 THEN 'Medium' ELSE 'Low' END AS severity, CASE WHEN 2 * n >= 85 THEN 'critical' WHEN 2 * n >= 65 THEN 'high' WHEN 2 * n >= 40 THEN 'medium' WHEN 2 * n >= 20 THEN 'low' ELSE 'info' END AS flow,
 CAST(CASE WHEN n % 9 > 0 THEN greatest(35, least(96, 50 + least(36, 6 * (n % 9)))) ELSE 50 END AS INTEGER) AS path_score, CAST(greatest(20, least(74, 35 + least(14, 2 * (n % 15)) + least(8, 2 * (n % 4)) - CASE WHEN n % 15 >= 12 THEN 4 ELSE 0 END)) AS INTEGER) AS fallback,
 lpad(CAST(ms // 3600000 AS VARCHAR), 2, '0') || 'Hr:' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || 'Min:' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || 's:' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') || 'ms' AS elapsed FROM i""",
-        "scalar_json": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, 2 AS n, CAST(user_id + 2 AS INTEGER) AS total FROM events WHERE event_id % 2 = 0",
+        "scalar_json": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, 2 AS n, CAST(user_id + 2 AS INTEGER) AS total FROM events",
         "classify_scope": f"{H} SELECT CASE WHEN regexp_matches(lower(category || ' ' || rule), 'secret|token') THEN 'credentials' WHEN regexp_matches(lower(category || ' ' || rule), 'network|address') THEN 'network' WHEN regexp_matches(lower(category || ' ' || rule), 'licen') THEN 'legal' ELSE 'general' END AS scope, CASE WHEN regexp_matches(path, '/(de|fr)/') AND category <> 'noise' THEN 'configuration' ELSE 'source' END AS label, count(*) AS n FROM hits GROUP BY ALL",
         "classify_kinds": f"WITH {docs} SELECT path, array_to_string(list_filter([CASE WHEN regexp_matches(content, 'token') THEN 'secret' END, CASE WHEN regexp_matches(content, 'idiot|stupid') THEN 'tone' END, CASE WHEN regexp_matches(content, '[0-9]{{3}}-[0-9]{{4}}') THEN 'phone' END, CASE WHEN regexp_matches(content, 'licen', 'i') THEN 'licence' END, CASE WHEN contains(content, '@') THEN 'mail' END], lambda x: x IS NOT NULL), ',') AS kinds FROM d",
         "input_surface": "SELECT page_id, CASE WHEN regexp_matches(url, '[?&]ref=') THEN 'referral' WHEN contains(url, 'utm_') THEN 'campaign' WHEN contains(url, '#') THEN 'anchor' ELSE 'direct' END AS channel, CASE WHEN starts_with(url, 'https') THEN 'secure' ELSE 'plain' END AS method, array_to_string(regexp_extract_all(url, '[?&]([a-z_]+)=', 1), ',') AS parameters FROM pages",

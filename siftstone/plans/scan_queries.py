@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.operators import match, review
 from siftstone.operators.match import Rule
 from siftstone.plans import gates
+from siftstone.plans.lineage import materialize
 from siftstone.sources.tables import files, page_files, small, table
 
 RULES = [
@@ -53,15 +56,18 @@ hits AS (
 )
 SCORED = """counts AS (
   SELECT rule_seq, any_value(rule) AS rule, any_value(category) AS category, count(*) AS n, count(DISTINCT path) AS files,
+    count(*) FILTER (regexp_matches(lower(code), 'input|param|request|user') AND regexp_matches(lower(code), 'token|password|exec|query')) AS direct,
     count(*) FILTER (regexp_matches(lower(code), 'input|param|request|user')) AS taint, count(*) FILTER (regexp_matches(lower(code), 'token|password|exec|query')) AS sink,
     count(*) FILTER (regexp_matches(lower(code), 'token|password|exec|query') AND regexp_matches(lower(code), '[$+%]|\\{')) AS both_,
     count(*) FILTER (regexp_matches(lower(code), 'token|password|exec|query') AND NOT regexp_matches(lower(code), 'input|param|request|user') AND regexp_matches(lower(code), '\\([^)]*\\$[a-z_]')) AS sink_only
   FROM hits GROUP BY rule_seq
 ), raw AS (
   SELECT *, 28 + least(10, 2 * n) + least(6, 2 * files) + 8 + CASE WHEN rule_seq IN (1, 4, 5) THEN 6 ELSE 0 END + CASE WHEN rule_seq = 5 THEN 0 ELSE 2 END
-    + least(28, 12 * n) + least(16, 4 * taint) + least(12, 4 * both_) - least(18, 4 * sink_only) - CASE WHEN sink > 0 AND sink_only >= sink THEN 8 ELSE 0 END AS s FROM counts
+    + least(28, 12 * direct) + least(16, 4 * taint) + least(12, 4 * both_) - least(18, 4 * sink_only) AS s FROM counts
+), capped AS (
+  SELECT *, CASE WHEN direct = 0 THEN least(s - 10, 74) - CASE WHEN n >= 12 THEN 6 ELSE 0 END ELSE s END - CASE WHEN sink > 0 AND sink_only >= sink THEN 8 ELSE 0 END AS t FROM raw
 ), scored AS (
-  SELECT rule_seq, category, rule, n, files, CAST(greatest(10, least(96, s)) AS INTEGER) AS score FROM raw
+  SELECT rule_seq, category, rule, n, files, CAST(greatest(10, least(96, t)) AS INTEGER) AS score FROM capped
 )"""
 LEVEL = "CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS level"
 
@@ -71,6 +77,11 @@ def hits_of(spark, sf_dir):
     return match.evidence(files(spark, sf_dir), RULES).join(F.broadcast(facts), "rule_seq")
 
 
+def written_hits(spark, sf_dir):
+    """hits_of for a plan that reads them more than once: files are scanned once."""
+    return materialize(hits_of(spark, sf_dir), "hits")
+
+
 def line_explode_stats(spark, sf_dir):
     lines = files(spark, sf_dir).select("path", F.explode(T.lines_of(F.col("content"))).alias("code"))
     return lines.groupBy("path").agg(F.count("*").alias("n_lines"), F.count_if(F.length("code") > 500).alias("n_long"), F.max(F.length("code")).alias("longest"))
@@ -104,12 +115,14 @@ def gate_project_observation(spark, sf_dir):
 
 
 def rule_reference_lint(spark, sf_dir):
-    rules = small(spark, [(1, "a", "token", "t"), (2, "b", "licen", None), (3, None, None, "t"), (4, "d", "x", "gone")], "seq int, rule string, regex string, logic string")
-    logic = small(spark, [("t", "token", "escape|quote"), ("u", "unused", "")], "logic string, anchor string, tokens string")
+    """Parts stand for rules (type: pattern, brand: logic file), large ones for logic files (their maker: anchor, type: tokens)."""
+    part = table(spark, sf_dir, "part")
+    rules = part.select(F.col("p_partkey").alias("seq"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_type")).alias("regex"), F.concat_ws("/", "p_brand", (F.col("p_size") % 5).cast("string")).alias("logic"))
+    logic = part.filter("p_size > 40").groupBy(F.concat_ws("/", "p_brand", (F.col("p_size") % 5).cast("string")).alias("logic")).agg(F.min("p_type").alias("anchor"), F.max("p_name").alias("tokens"))
     joined = rules.join(logic, "logic", "left")
     problems = F.array_compact(F.array(
         F.when(F.coalesce("regex", F.lit("")) == "", "missing pattern"), F.when(F.col("logic").isNotNull() & F.col("anchor").isNull(), "missing logic"),
-        F.when(F.col("anchor").isNotNull() & (F.coalesce("regex", F.lit("")) != F.col("anchor")), "anchor differs"), F.when(F.col("tokens").rlike("(?i)escape|sanit"), "names a mitigation"),
+        F.when(F.col("anchor").isNotNull() & (F.coalesce("regex", F.lit("")) != F.col("anchor")), "anchor differs"), F.when(F.col("tokens").rlike("(?i)ring|bolt"), "names a mitigation"),
     ))
     return joined.select("seq", F.explode(problems).alias("problem"))
 
@@ -119,6 +132,46 @@ def findings_scored(spark, sf_dir):
     return found.select("rule_seq", "category", "rule", "n", "files", "score", "level")
 
 
+#: Rules of packs, one of which has its evidence by file.
+PACKED = [replace(r, platform="office" if r.seq < 4 else "prose", aggregate="file" if r.seq == 6 else "none") for r in RULES]
+
+
+def findings_numbered(spark, sf_dir):
+    """Findings with their number in the pack and scope, evidence of one rule by file."""
+    found = match.findings(match.evidence(files(spark, sf_dir), PACKED), PACKED)
+    return found.select("rule_id", "rule", "issue_scope", F.col("n").cast("long").alias("n"), "score")
+
+
+def findings_nested(spark, sf_dir):
+    """Evidence lists in parts of 50: entries of each rule and the first and last of all, by file and line."""
+    parts = match.nested(hits_of(spark, sf_dir), 50).select("rule_seq", F.explode("evidence").alias("e"), (F.size("evidence") <= 50).alias("bounded"))
+    at = F.struct("e.file", "e.line")
+    return parts.groupBy("rule_seq").agg(F.count("*").alias("n"), F.min("bounded").alias("bounded"), F.min(at).alias("a"), F.max(at).alias("z")).select("rule_seq", "n", "bounded", F.col("a.file").alias("first_file"), F.col("a.line").alias("first_line"), F.col("z.file").alias("last_file"), F.col("z.line").alias("last_line"))
+
+
+def gate_suppressed_rows(spark, sf_dir):
+    """What rules find in files that their gates reject."""
+    return match.gate_suppressed(files(spark, sf_dir), RULES).select("path", "rule_seq", "line", "pass_no", "reason")
+
+
+MODES = r"PRESENT:/the\(/ && PRESENT:/e/ || PRESENT:/le /"
+
+
+def gate_expression_modes(spark, sf_dir):
+    """An expression with an unbalanced parenthesis in a pattern, where all parentheses count and where only those of the expression do."""
+    text = F.col("content")
+    parity, strict = (gates.expression(MODES, text, mode) for mode in (False, True))
+    return files(spark, sf_dir).select("path", parity.alias("parity"), strict.alias("strict"))
+
+
+def gate_traces(spark, sf_dir):
+    """What is told of each gate of a program, and merged over all files."""
+    program = gates.parse(GATES[0][1] + "\nTRACE read as licence")
+    v = gates.verdict(program, F.col("content"), F.col("path"))
+    told = files(spark, sf_dir).select("path", F.lit(1).alias("rule_seq"), v.alias("v")).select("path", "rule_seq", "v.reason", gates.trace(program, F.col("v.failed_at")).alias("trace"))
+    return match.merged_metadata(materialize(told, "traces")).select("rule_seq", "reason", F.array_join("trace", " | ").alias("trace"))
+
+
 def findings_aggregate_file(spark, sf_dir):
     return match.by_file(hits_of(spark, sf_dir)).select("rule_seq", "path", "matches", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
@@ -135,7 +188,7 @@ def context_window(spark, sf_dir):
 
 def backward_label(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
-    return match.backward_label(t, "conv_id", "turn", "text", "[A-Z][a-z]+", 2, "[.]").select("conv_id", "turn", "label")
+    return match.backward_label(t, "conv_id", "turn", "text", "([A-Z])[a-z]+", 2, "[.]").select("conv_id", "turn", "label")
 
 
 def path_rules(spark, sf_dir):
@@ -143,6 +196,19 @@ def path_rules(spark, sf_dir):
     return match.path_findings(m).select("rule_seq", "n", "score", "level")
 
 
+GATED_PATHS = [Rule(1, "paths", "gated", "never used", gate="WHEN PRESENT /spam|blog/\nWHEN MISSING /page=/"), Rule(2, "paths", "plain", "/en/", exclude="ref=")]
+
+
+def path_rules_gated(spark, sf_dir):
+    """Path rules whose gates read the path instead of a pattern."""
+    return match.path_findings(match.path_matches(page_files(spark, sf_dir), GATED_PATHS)).select("rule_seq", "n", "score")
+
+
+def path_rule_misses(spark, sf_dir):
+    """Rules that some path doesn't fit: all of them, though some also match."""
+    return match.path_misses(page_files(spark, sf_dir), PATH_RULES)
+
+
 def path_rules_unmatched(spark, sf_dir):
     return match.unmatched(PATH_RULES, match.path_matches(page_files(spark, sf_dir), PATH_RULES))
 
@@ -171,7 +237,7 @@ def baseline_entries(spark, sf_dir):
 
 def baseline_idempotent(spark, sf_dir):
     """Nothing is left when findings are suppressed by their own baseline."""
-    hits = hits_of(spark, sf_dir).filter("rule_seq in (1, 2, 4)")
+    hits = written_hits(spark, sf_dir)
     left = review.active(hits, review.as_entries(review.baseline(hits)))
     return left.agg(F.count("*").alias("left_over"))
 
@@ -211,7 +277,7 @@ def finding_search(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        line_explode_stats, rule_line_matches, rule_rescan_counts, gate_verdicts, gate_verdict_metadata, gate_project_observation, rule_reference_lint, findings_scored, findings_aggregate_file, placeholder_evidence,
+        line_explode_stats, rule_line_matches, rule_rescan_counts, gate_verdicts, gate_verdict_metadata, gate_project_observation, rule_reference_lint, findings_scored, findings_numbered, findings_nested, gate_suppressed_rows, gate_expression_modes, gate_traces, path_rules_gated, path_rule_misses, findings_aggregate_file, placeholder_evidence,
         context_window, backward_label, path_rules, path_rules_unmatched, file_mode_groups, active_findings, suppressed_findings, suppressed_summary, baseline_entries, baseline_idempotent,
         review_first_match, review_breakdown, review_filtered, review_rules_from_findings, finding_search,
     )}
@@ -243,13 +309,26 @@ reviewed AS (SELECT key, n, CASE WHEN platform = 'fr' THEN 'false_positive' WHEN
         "gate_project_observation": f"""WITH {FILES}, entries AS (SELECT DISTINCT e FROM (SELECT path AS e FROM files UNION ALL SELECT source || '/' || lang FROM documents UNION ALL SELECT source FROM documents)),
 t AS (SELECT 'french' AS label, e FROM entries WHERE regexp_matches(e, '^.*1/fr$') UNION ALL SELECT '*9.txt', e FROM entries WHERE regexp_matches(e, '^.*9\\.txt$') UNION ALL SELECT 'tens', e FROM entries WHERE regexp_matches(e, '^src0/.*/1.\\.txt$')),
 k AS (SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY e) AS i FROM t) SELECT label, count(*) AS n, string_agg(e, ',' ORDER BY e) FILTER (i <= 8) AS entries FROM k GROUP BY label""",
-        "rule_reference_lint": "SELECT * FROM (VALUES (1, 'names a mitigation'), (3, 'missing pattern'), (3, 'anchor differs'), (3, 'names a mitigation'), (4, 'missing logic')) AS x(seq, problem)",
+        "rule_reference_lint": """WITH r AS (SELECT p_partkey AS seq, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END AS regex, p_brand || '/' || (p_size % 5) AS logic FROM part), l AS (SELECT p_brand || '/' || (p_size % 5) AS logic, min(p_type) AS anchor, max(p_name) AS tokens FROM part WHERE p_size > 40 GROUP BY 1), j AS (SELECT seq, regex, anchor, tokens FROM r LEFT JOIN l ON r.logic = l.logic)
+SELECT seq, 'missing pattern' AS problem FROM j WHERE regex = '' UNION ALL SELECT seq, 'missing logic' FROM j WHERE anchor IS NULL UNION ALL SELECT seq, 'anchor differs' FROM j WHERE anchor IS NOT NULL AND regex <> anchor UNION ALL SELECT seq, 'names a mitigation' FROM j WHERE regexp_matches(tokens, 'ring|bolt', 'i')""",
+        "findings_numbered": f"""WITH {HITS}, {SCORED}, whole AS (SELECT rule_seq, CAST(files AS BIGINT) AS n, 28 + least(10, 2 * files) + least(6, 2 * files) + 10 - 10 - CASE WHEN files >= 12 THEN 6 ELSE 0 END AS score FROM counts WHERE rule_seq = 6),
+k AS (SELECT *, CASE WHEN rule_seq < 4 THEN 'office' ELSE 'prose' END AS pack FROM scored)
+SELECT pack || '-' || row_number() OVER (PARTITION BY pack ORDER BY k.rule_seq) AS rule_id, rule, 'source' AS issue_scope, CASE WHEN k.rule_seq = 6 THEN w.n ELSE k.n END AS n, CAST(CASE WHEN k.rule_seq = 6 THEN greatest(10, least(74, w.score)) ELSE k.score END AS INTEGER) AS score FROM k LEFT JOIN whole w ON k.rule_seq = w.rule_seq""",
+        "findings_nested": f"WITH {HITS} SELECT rule_seq, count(*) AS n, true AS bounded, min((path, line)).path AS first_file, CAST(arg_min(line, (path, line)) AS INTEGER) AS first_line, max(path) AS last_file, CAST(arg_max(line, (path, line)) AS INTEGER) AS last_line FROM hits GROUP BY rule_seq".replace("min((path, line)).path", "min(path)"),
+        "gate_suppressed_rows": f"""WITH {FILES}, t AS (SELECT *, regexp_matches(content, 'token') AS g1, regexp_matches(content, '[Ll]icen') AND NOT regexp_matches(content, 'GNU') AS g4, regexp_matches(content, 'Apache') AS apache, NOT regexp_matches(content, 'Apache') AND NOT regexp_matches(content, 'password') AS g5 FROM lines WHERE length(code) <= 500)
+SELECT path, 1 AS rule_seq, CAST(line AS INTEGER) AS line, CASE WHEN regexp_matches(code, 'token\\s*=\\s*"[0-9a-f]{{8,}}') THEN 0 ELSE 1 END AS pass_no, 'required pattern is absent' AS reason FROM t WHERE NOT g1 AND regexp_matches(code, 'token\\s*=\\s*"[0-9a-f]{{8,}}', 'i')
+UNION ALL SELECT path, 4, CAST(line AS INTEGER), CASE WHEN regexp_matches(code, 'license') THEN 0 ELSE 1 END, 'condition does not hold' FROM t WHERE NOT g4 AND regexp_matches(code, 'license', 'i')
+UNION ALL SELECT path, 5, CAST(line AS INTEGER), CASE WHEN regexp_matches(code, '(stupid|idiot)') THEN 0 ELSE 1 END, CASE WHEN apache THEN 'forbidden pattern is there' ELSE 'file matches an exemption' END FROM t WHERE NOT g5 AND regexp_matches(code, '(stupid|idiot)', 'i')""",
+        "gate_expression_modes": f"WITH {FILES} SELECT path, true AS parity, (contains(content, 'the(') AND contains(content, 'e')) OR contains(content, 'le ') AS strict FROM files",
+        "gate_traces": f"WITH {verdicts}, p AS (SELECT * FROM verdicts WHERE gate = 'plain'), t AS (SELECT path, 0 AS place, 'WHEN PRESENT /licen[cs]e/i: holds' AS told FROM p WHERE failed_at <> 1 UNION ALL SELECT path, 0, 'WHEN PRESENT /licen[cs]e/i: required pattern is absent' FROM p WHERE failed_at = 1 UNION ALL SELECT path, 1, 'WHEN MISSING /GNU/: holds' FROM p WHERE failed_at = 0 UNION ALL SELECT path, 1, 'WHEN MISSING /GNU/: forbidden pattern is there' FROM p WHERE failed_at = 2 UNION ALL SELECT path, 2, 'read as licence' FROM p WHERE failed_at = 0), m AS (SELECT told, min(path || '#' || place) AS w FROM t GROUP BY told) SELECT 1 AS rule_seq, (SELECT arg_min(reason, path) FROM p WHERE reason IS NOT NULL) AS reason, (SELECT string_agg(told, ' | ' ORDER BY w) FROM m) AS trace",
+        "path_rules_gated": "WITH p AS (SELECT '/' || regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), m AS (SELECT 1 AS rule_seq FROM p WHERE regexp_matches(path, 'spam|blog') AND NOT contains(path, 'page=') UNION ALL SELECT 2 FROM p WHERE regexp_matches(path, '/en/', 'i') AND NOT regexp_matches(path, 'ref=', 'i')), c AS (SELECT rule_seq, count(*) AS n FROM m GROUP BY rule_seq) SELECT rule_seq, n, CAST(greatest(35, least(96, 50 + least(36, 6 * n))) AS INTEGER) AS score FROM c",
+        "path_rule_misses": "SELECT * FROM (VALUES (1), (2), (3), (4)) AS x(rule_seq)",
         "findings_scored": f"WITH {HITS}, {SCORED} SELECT rule_seq, category, rule, n, files, score, {LEVEL} FROM scored",
-        "findings_aggregate_file": f"WITH {HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY rule_seq, path ORDER BY pass_no, line) AS i FROM hits) SELECT rule_seq, path, count(*) AS matches, string_agg(CAST(line AS VARCHAR), ',' ORDER BY i) FILTER (i <= 50) AS lines FROM k GROUP BY rule_seq, path",
-        "placeholder_evidence": f"WITH {verdicts} SELECT v.path, CASE gate WHEN 'plain' THEN 1 ELSE 2 END AS rule_seq, 1 AS line, '[condition holds]' AS code FROM verdicts v JOIN files f ON v.path = f.path WHERE gate IN ('plain', 'logic') AND passed AND content <> ''",
+        "findings_aggregate_file": f"WITH {HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY rule_seq, path ORDER BY pass_no, line) AS i FROM hits) SELECT rule_seq, path, count(*) AS matches, string_agg(CAST(line AS VARCHAR), ',' ORDER BY i) AS lines FROM k GROUP BY rule_seq, path",
+        "placeholder_evidence": f"WITH {verdicts} SELECT v.path, 2 AS rule_seq, 1 AS line, '[condition holds]' AS code FROM verdicts v JOIN files f ON v.path = f.path WHERE gate = 'logic' AND passed AND content <> ''",
         "context_window": f"""WITH {HITS} SELECT h.path, rule_seq, CAST(line AS INTEGER) AS line, trim(CASE WHEN length(code) > 300 THEN code[1:75] || '..' ELSE code END, ' ') AS code,
-array_to_string(l[greatest(line - CASE rule_seq WHEN 3 THEN 1 ELSE 2 END, 1):line - 1], '|') AS before, array_to_string(l[line + 1:least(line + CASE rule_seq WHEN 3 THEN 2 ELSE 1 END, len(l))], '|') AS after FROM hits h JOIN listed s ON h.path = s.path WHERE rule_seq IN (3, 4) AND pass_no = 0""",
-        "backward_label": """WITH t AS (SELECT *, CASE WHEN regexp_matches(text, '[A-Z][a-z]+') THEN regexp_extract(text, '[A-Z][a-z]+') END AS f FROM conversations), w AS (SELECT *, coalesce(lag(f, 1) OVER o, lag(f, 2) OVER o) AS label FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, label FROM w WHERE regexp_matches(text, '[.]')""",
+array_to_string(l[greatest(line - CASE rule_seq WHEN 3 THEN 1 ELSE 2 END, 1):line - 1], '|') AS before, array_to_string(l[line + 1:least(line + CASE rule_seq WHEN 3 THEN 2 ELSE 1 END, len(l))], '|') AS after FROM hits h JOIN listed s ON h.path = s.path WHERE rule_seq IN (3, 4)""",
+        "backward_label": """WITH t AS (SELECT *, CASE WHEN regexp_matches(text, '[A-Z][a-z]+') THEN regexp_extract(text, '([A-Z])[a-z]+', 1) END AS f FROM conversations), w AS (SELECT *, coalesce(lag(f, 1) OVER o, lag(f, 2) OVER o) AS label FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, label FROM w WHERE regexp_matches(text, '[.]')""",
         "path_rules": f"WITH {path_hits}, c AS (SELECT rule_seq, count(*) AS n FROM m GROUP BY rule_seq), s AS (SELECT *, CAST(greatest(35, least(96, 50 + least(36, 6 * n))) AS INTEGER) AS score FROM c) SELECT rule_seq, n, score, {LEVEL} FROM s",
         "path_rules_unmatched": f"WITH {path_hits} SELECT * FROM (VALUES (1, 'spam hosts'), (2, 'language folder'), (3, 'page suffix'), (4, 'never')) AS r(rule_seq, rule) WHERE rule_seq NOT IN (SELECT rule_seq FROM m)",
         "file_mode_groups": """WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, html, regexp_extract_all(html, '<a href="/([a-z]+)">([a-z]+)</a>') AS m, regexp_split_to_array(html, '<a href="/[a-z]+">[a-z]+</a>') AS s FROM pages),
@@ -259,7 +338,7 @@ SELECT path, CAST(1 + length(array_to_string(s[1:i], '')) - length(replace(array
         "suppressed_findings": f"WITH {HITS} SELECT path, rule_seq, CAST(line AS INTEGER) AS line FROM hits WHERE {covered}",
         "suppressed_summary": f"WITH {HITS} SELECT count(*) AS total, count(DISTINCT rule) AS conditions, count(*) FILTER (pass_no = 1) AS promoted FROM hits WHERE {covered}",
         "baseline_entries": f"WITH {HITS} SELECT DISTINCT platform, rule, category, path AS file, CAST(line AS INTEGER) AS line FROM hits",
-        "baseline_idempotent": "SELECT CAST(0 AS BIGINT) AS left_over",
+        "baseline_idempotent": f"WITH {HITS}, b AS (SELECT DISTINCT platform, rule, category, path, line FROM hits) SELECT count(*) AS left_over FROM hits h WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.platform = h.platform AND b.rule = h.rule AND b.category = h.category AND b.path = h.path AND b.line = h.line)",
         "review_first_match": f"WITH {HITS}{per_rule} SELECT key, n, status FROM reviewed",
         "review_breakdown": f"WITH {HITS}{per_rule} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'false_positive') AS false_positive, count(*) FILTER (status = 'suppressed') AS suppressed FROM reviewed",
         "review_filtered": f"WITH {HITS}{per_rule} SELECT key, n FROM reviewed WHERE status NOT IN ('false_positive', 'suppressed')",
