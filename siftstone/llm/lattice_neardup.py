@@ -46,7 +46,7 @@ CELL = 256
 #: Signs of random projections, and the share of pairs at the threshold that they may lose.
 SIGNS, LOST = 128, 1e-6
 #: Rows of a block; a unit of work holds two. Rows of a strip, which is compared at a time.
-BLOCK, STRIP = 2048, 256
+BLOCK, STRIP = 768, 256
 #: Single-precision cosines nearer to the threshold than this are checked again.
 MARGIN = 4e-6
 

@@ -47,7 +47,7 @@ MISS = 2.2e-4
 #: Bands are as wide as keeps strangers of this similarity that share a bucket below this number.
 STRANGE, STRANGERS = 0.1, 2000
 #: Rows of a block; a unit of work holds two.
-BLOCK = 512
+BLOCK = 256
 #: Members of a bucket, beside its largest component, from which on it is cut into smaller ones.
 CROWD = 4096
 #: A pair is dropped if a similarity of the threshold or more is e**SLACK times less likely than the best one.
