@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from siftstone.functions.text import norm_path, norm_text, with_safe_patterns
 
@@ -15,15 +16,17 @@ HIDING = ("false_positive", "suppressed")
 ENTRY_FIELDS = ("platform", "rule", "category", "file", "line", "path_regex", "code_regex")
 
 
+ENTRY_SCHEMA = "platform string, rule_title string, category string, file string, line int, path_regex string, code_regex string"
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a suppression file: JSON objects, or one object with a list of them. What can't be read is empty."""
-    schema = "platform string, rule_title string, category string, file string, line int, path_regex string, code_regex string"
+    """Entries of a suppression file: an object with a list of them, or an object a line. What can't be read is empty."""
+    fields = ENTRY_SCHEMA.replace(" string", ":string").replace(" int", ":int")
     try:
-        raw = spark.read.option("multiLine", True).schema(f"suppressions array<struct<{schema.replace(' string', ': string').replace(' int', ': int')}>>, {schema}").json(path)
-        entries = raw.select(F.explode(F.coalesce("suppressions", F.array(F.struct(*[F.col(x.split()[0]) for x in schema.split(", ")])))).alias("e")).select("e.*")
-        entries.limit(1).count()
-    except Exception:  # no such file
-        return spark.createDataFrame([], schema).withColumnRenamed("rule_title", "rule")
+        listed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<suppressions:array<struct<{fields}>>>")["suppressions"]).alias("e")).select("e.*")
+        entries = spark.read.schema(ENTRY_SCHEMA).json(path) if listed.isEmpty() else listed
+    except AnalysisException:  # no such file
+        entries = spark.createDataFrame([], ENTRY_SCHEMA)
     return entries.withColumnRenamed("rule_title", "rule")
 
 

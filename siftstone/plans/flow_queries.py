@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import scoring
 from siftstone.functions import text as T
-from siftstone.operators import extract, flows, match
+from siftstone.operators import dataflow, extract, flows, match
 from siftstone.plans import scan_queries as S
 from siftstone.sources.tables import files, page_files, small, table
 from siftstone.streaming import scan
@@ -211,8 +211,36 @@ def extract_calls(spark, sf_dir):
     return extract.extract_calls(_code(spark, sf_dir)).select("path", "line", "name", F.size("args").alias("args"))
 
 
+TAINT = dataflow.Settings(r"request\.|req\.|\$_(?:GET|POST|REQUEST|COOKIE|FILES)\b|input\(", ("run", "exec", "query", "system"), ("clean", "escape"))
+
+
 def trace_flows(spark, sf_dir):
-    return extract.trace_flows(_code(spark, sf_dir), r"request\.|req\.", {"run", "exec"}, {"clean"})
+    """Flows from sources to sinks, through functions and files, and to calls whose definition isn't known."""
+    found = dataflow.traced(dataflow.graph(_code(spark, sf_dir), TAINT), TAINT)
+    return found.select(F.col("file").alias("path"), "function", "sink", "line", "variable", "trace_status", F.size("path").alias("steps"))
+
+
+def function_aliases(spark, sf_dir):
+    return dataflow.function_aliases(extract.extract_functions(_code(spark, sf_dir)))
+
+
+def function_summaries(spark, sf_dir):
+    """What parameters reach: sinks, and what their function returns."""
+    return dataflow.summaries(dataflow.graph(_code(spark, sf_dir), TAINT))
+
+
+def flow_inventory(spark, sf_dir):
+    """Ranked flows of all files, and those of them that are vulnerabilities."""
+    found = dataflow.traced(dataflow.graph(_code(spark, sf_dir), TAINT), TAINT).withColumn("platform", F.lit("any"))
+    rules = small(spark, [(1, "any", "run", "command_injection", "runs input", "CWE-78"), (2, "any", "query", "sql_injection", "queries with input", "CWE-89")], "seq int, platform string, sink string, kind string, title string, cwe string")
+    ranked = flows.ranked_flows(found)
+    listed = flows.inventory(ranked, rules, small(spark, [], "kind string, path string"), _code(spark, sf_dir))
+    return listed.select("rank", "kind", "title", "severity", "risk", "sink_file", "line")
+
+
+def form_declarations(spark, sf_dir):
+    """Fields of the forms of all pages."""
+    return dataflow.forms(page_files(spark, sf_dir)).select("path", "target", "method", "field", "seq")
 
 
 def streaming_scan(spark, sf_dir):
@@ -230,7 +258,7 @@ def streaming_last_status(spark, sf_dir):
 NAMES = (
     flow_rank_dedupe, flow_risk, flow_confidence, finding_flow_interval_join, inventory_summary, vulnerability_first_rule, mitigation_suffix_anti, mitigation_discovery, cross_kind_filter, first_key_lookup, analyzer_review_last,
     xref_capped, form_field_lookup, framework_inherit, taint_reachability, flow_graph, path_step_context, enclosing_label, block_depth, variable_use, family_rollup, endpoint_targets, flow_stats, summary_merge,
-    extract_functions, extract_calls, trace_flows, streaming_scan, streaming_windows, streaming_last_status,
+    extract_functions, extract_calls, trace_flows, function_aliases, function_summaries, flow_inventory, form_declarations, streaming_scan, streaming_windows, streaming_last_status,
 )
 
 

@@ -22,7 +22,7 @@ def test_taint_reachability_follows_every_edge(run):
     want = {s: 0 for s in range(3)}
     for depth in range(1, 8):
         want |= {b: depth for a, b in edges if want.get(a) == depth - 1 and b not in want}
-    got = run("taint_reachability", lineitem=(rows, "l_orderkey long, l_linenumber int, l_suppkey long"), supplier=([(s,) for s in range(110)], "s_suppkey long"))
+    got = run("taint_reachability", lineitem=(rows, "l_orderkey long, l_linenumber int, l_suppkey long"), supplier=([(s, -1.0 if s < 3 else 5.0) for s in range(110)], "s_suppkey long, s_acctbal double"))
     assert {r["node"]: r["depth"] for r in got.collect()} == want and want[106] == 7 and 107 not in want
 
 
@@ -70,4 +70,5 @@ def test_calls_of_documents_and_pages(sources):
 
 
 def test_flows_of_documents_and_pages(sources):
-    assert sources("trace_flows") == [("a.py", "handle", "run", 3, "q"), ("b.js", "send", "exec", 4, "w"), ("c.txt", "<file>", "exec", 2, "x")]
+    found = [x for x in sources("trace_flows") if x[5] == "complete"]
+    assert [x[:5] for x in found] == [("a.py", "handle", "run", 3, "q"), ("b.js", "send", "exec", 4, "w"), ("c.txt", "<file>", "exec", 2, "x")]
