@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftstone.plans import flow_queries, recon_queries, report_queries, scan_queries
+from siftstone.plans import catalog_queries, flow_queries, recon_queries, report_queries, scan_queries
 
-MODULES = [scan_queries, recon_queries, report_queries, flow_queries]
+MODULES = [scan_queries, recon_queries, report_queries, flow_queries, catalog_queries]
 
 
 def queries():

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.functions.text import strip_terminal
 from siftstone.operators import match
 from siftstone.plans.lineage import shared_dir
 
@@ -35,24 +36,36 @@ def scan_arriving(spark: SparkSession, path: str, rules: list[match.Rule], to: s
 
 
 def run_windows(spark: SparkSession, path: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Runs by status and window of time, with a watermark for late ones."""
+    """start, event_type, n: runs by status and window of time. The watermark ends the state of windows that no late run can change any more."""
     counts = arriving(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
-    return _all(spark, counts.select(F.col("window.start").alias("start"), "event_type", "n"), "complete")
+    return _updated(spark, counts.select(F.col("window.start").alias("start"), "event_type", "n"), ["start", "event_type"])
 
 
 def last_status(spark: SparkSession, path: str) -> DataFrame:
-    """The latest status of each project, kept as state."""
+    """The latest status of each project; the state is one row a project."""
     latest = arriving(spark, path).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("runs"))
-    return _all(spark, latest, "complete")
+    return _updated(spark, latest, ["user_id"])
 
 
-def _all(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Run to the end of what is there; each batch replaces the table of results."""
+def _updated(spark: SparkSession, df: DataFrame, keys: list[str]) -> DataFrame:
+    """Run to the end of what is there. A batch writes what it changed into a folder of its own, again if it is repeated; of a key the last batch's row counts."""
     to = folder(spark)
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{to}/out")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{to}/out/batch={number}")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
+    query = df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{to}/out")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch int").parquet(f"{to}/out")
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+
+
+def log_lines(spark: SparkSession, path: str, to: str | None = None) -> DataFrame:
+    """seq, line: the lines of arriving log files, without terminal codes, each once; a further call with the same folder goes on where the last one ended."""
+    to = to or folder(spark)
+    raw = spark.readStream.format("text").load(path)
+    lines = raw.select(strip_terminal(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"))
+    query = lines.writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("line string, file string").parquet(f"{to}/out")
