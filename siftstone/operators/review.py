@@ -123,7 +123,7 @@ def _first_rule(rows: DataFrame, rules: DataFrame, keys: list[str], key: str, ex
         found = f.join(F.broadcast(own) if row["n"] <= BROADCAST_ENTRIES or not given else own, on).select(key, "seq", "status", "note")
         met = found if met is None else met.unionByName(found)
     if met is None:
-        return rows.select(key).limit(0).withColumn("status", F.lit("")).withColumn("note", F.lit(""))
+        return rows.select(key).limit(0).withColumns({c: F.lit(None).cast("string") for c in ("status", "note")})
     first = met.groupBy(key).agg(F.min_by(F.struct("status", "note"), "seq").alias("x"))
     return first.select(key, "x.status", "x.note")
 

@@ -26,9 +26,9 @@ def test_token_patterns():
 
 def test_split_modes():
     expr = r"PRESENT:/f\(/ && PRESENT:/g/"
-    assert len(gates.split_top(expr, "&&")) == 2 and len(gates.split_top(expr, "&&", strict=False)) == 1
+    assert len(gates.split_top(expr, "&&", strict=True)) == 2 and len(gates.split_top(expr, "&&")) == 1
     assert len(gates.split_top("(a && b) || c", "&&")) == 1
-    assert len(gates.split_top("PRESENT:/[(]/ && PRESENT:/g/", "&&")) == 2
+    assert len(gates.split_top("PRESENT:/[(]/ && PRESENT:/g/", "&&", strict=True)) == 2 and len(gates.split_top("PRESENT:/[(]/ && PRESENT:/g/", "&&")) == 1
 
 
 leaf = st.sampled_from(["PRESENT:/a/", "MISSING:/b/i", "EXISTS:line", "PRESENT:/f\\(/", "PRESENT:/[/", "nonsense", "MISSING:/GNU/"])
