@@ -37,7 +37,7 @@ def test_flows(graph):
         ("multi.java", "go", "run", 7): [("source", "multi.java", 3), ("assign", "multi.java", 6), ("sink", "multi.java", 7)],
         ("kill.py", "f", "run", 7): [("source", "kill.py", 5), ("assign", "kill.py", 6), ("sink", "kill.py", 7)],
         ("kill.py", "f", "run", 8): [("source", "kill.py", 8), ("sink", "kill.py", 8)],
-    } or {k[3] for k in complete} == {7, 5, 8}
+    }
     partial = {k: r for k, r in found.items() if r["trace_status"] == "partial"}
     assert ("main.py", "<file>", "send", 5) in partial and not any(k[2] == "print" for k in partial)
     assert [tuple(e) for e in partial["main.py", "<file>", "send", 5]["ends"]] == [("main.py", 5, "unresolved_callee", "send(v)", "send")]
@@ -165,3 +165,11 @@ def test_mitigations_take_the_first_free_line(spark):
     long = spark.createDataFrame([("l", "py", "a" * 200 + "escape(" + "b" * 300)], "path string, platform string, content string")
     text = flows.mitigations(long, rules[1:2]).first()["evidence"]
     assert text == "a" * 80 + "escape" + ("(" + "b" * 300)[:80]
+
+
+def test_graph_nodes(spark):
+    f = spark.createDataFrame([flow(1, path=[SOURCE, SINK])], FLOW)
+    xref = spark.createDataFrame([(1, "call", f"c{i}", i) for i in range(6)] + [(1, "definition", f"d{i}", i) for i in range(9)], "flow_seq int, kind string, symbol string, seq int")
+    got = [(r["place"], r["kind"], r["label"]) for r in flows.graph_nodes(f, xref).orderBy("place").collect()]
+    assert got[:2] == [(0, "source", "v = request.x"), (1, "sink", "exec(v)")] and [g[2] for g in got[2:]] == ["c0", "c1", "c2", "c3", "d0", "d1", "d2", "d3", "d4", "d5"]
+    assert flows.graph_nodes(f, xref, most=5).count() == 7
