@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Lookup sides are broadcast up to this many rows and characters; larger ones are shuffle-joined.
 BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 32 << 20
 #: Rows and bytes that a Python task works on at a time.
-PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
+PIECE_ROWS, PIECE_BYTES = 1000, 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

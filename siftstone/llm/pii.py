@@ -63,7 +63,7 @@ FEMALE = {"mrs", "ms", "miss", "frau", "madame", "mme", "señora", "sra", "го
 LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0670\u0900-\u0dff\u0e31\u0e34-\u0e4e])"
 NAMED = rf"{LETTER}+(?:['’-]{LETTER}+)*"
 NAME = re.compile(rf"(?<!\w)({'|'.join(sorted({*TITLES, *map(str.upper, TITLES)}, key=len, reverse=True))})(?!\w)\.? ({NAMED})(?:((?: (?:von|van|de|der|den|del|di|da|la|le|bin|al|ten|zu))*) ({NAMED}))?")
-TITLE_PARTS = tuple(sorted({t[:2] for t in (*TITLES, *map(str.upper, TITLES))}))
+ALL_TITLES = tuple(sorted({*TITLES, *map(str.upper, TITLES)}))
 LOCAL, DOMAIN = re.compile(r"[\w.+%-]+\Z"), re.compile(r"[^\W_][\w-]*(?:\.[^\W_][\w-]*)+")
 #: Consonants and vowels that make syllables, by the script's name in Unicode.
 SYLLABLES = {
@@ -238,7 +238,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(next(g for g in (1, 3, 4) if m[g])), "secret") for m in SECRET.finditer(text)]
     if any([x in low for x in CALL_WORDS]):
         found += [(*m.span(1), "phone") for m in CALLED.finditer(text)]
-    if any([x in text for x in TITLE_PARTS]):
+    if any([x in text for x in ALL_TITLES]):
         found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
