@@ -44,11 +44,12 @@ NUMBER = re.compile(
     rf"|(?<!\w)(?P<iban>[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?!\w)"
 )
 #: Ten digits alone are a phone number where a word before them says so.
-CALLED = re.compile(r"(?i)(?<![a-z])(?:phone|tel|telephone|call|mobile|cell|fax|ring|dial|sms)\b[^\w+]{0,3}(?:(?:me|us|at|on|is|number|no)\b[^\w+]{0,3}){0,3}(\d{10})(?![\w-])")
+TEN_DIGITS = re.compile(r"(?<![\w.+-])\d{10}(?![\w-])")
+CALLED = re.compile(r"(?i)(?<![a-z])(?:phone|tel|telephone|call|mobile|cell|fax|ring|dial|sms)\b[^\w+]{0,3}(?:(?:me|us|at|on|is|number|no)\b[^\w+]{0,3}){0,3}\Z")
 IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:])")
 ACCESS_KEY = re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?!\w)")
 #: What must be in a text for the patterns to be tried.
-KEY_STARTS, SECRET_WORDS, CALL_WORDS = ("AKIA", "ASIA", "_", "sk-", "xox"), ("passw", "pwd", "secret", "token", "key"), ("phone", "tel", "call", "mobile", "cell", "fax", "ring", "dial", "sms")
+KEY_STARTS, SECRET_WORDS = ("AKIA", "ASIA", "_", "sk-", "xox"), ("passw", "pwd", "secret", "token", "key")
 DIGITS_AT = re.compile(r"\d+")
 GOES_ON = re.compile(r"[-.]\d")
 AFTER_CARD = re.compile(r"[\w-]")
@@ -160,11 +161,10 @@ def _accepted(text: str, m: re.Match) -> tuple[int, int]:
     return m.span()
 
 
-def _numbers(text: str):
-    """(start, end, kind) of numbers. They begin at a run of digits, or one or two characters before it, so only there NUMBER is tried."""
+def _numbers(text: str, runs: list[tuple[int, int]]):
+    """(start, end, kind) of numbers, runs: where digits stand. They begin at a run of digits, or one or two characters before it, so only there NUMBER is tried."""
     end = tried = 0
-    for run in DIGITS_AT.finditer(text):
-        at = run.start()
+    for at, _ in runs:
         for start in (at - 1, at - 2, at):
             if start < end or (m := NUMBER.match(text, start)) is None or (m.lastgroup == "card" and start < tried):
                 continue
@@ -228,7 +228,8 @@ def _names(text: str):
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, without overlaps."""
     found: list[tuple[int, int, str]] = list(_emails(text))
-    found += _numbers(text)
+    runs = [m.span() for m in DIGITS_AT.finditer(text)]
+    found += _numbers(text, runs)
     if text.find(":") >= 0:
         found += [(*m.span(), "ipv6") for m in IPV6.finditer(text) if _is_ipv6(m.group())]
     if any([x in text for x in KEY_STARTS]):
@@ -236,8 +237,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if any([x in low for x in SECRET_WORDS]):
         found += [(*m.span(next(g for g in (1, 3, 4) if m[g])), "secret") for m in SECRET.finditer(text)]
-    if any([x in low for x in CALL_WORDS]):
-        found += [(*m.span(1), "phone") for m in CALLED.finditer(text)]
+    found += [(s, e, "phone") for s, e in runs if e - s == 10 and TEN_DIGITS.match(text, s) and CALLED.search(text, max(0, s - 60), s)]
     if any([x in text for x in ALL_TITLES]):
         found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
