@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftstone.llm import chunk_bpe, html_blocks, lattice_neardup, mixing, pii, quality_rules, repair_ids, setsketch_dedup, sharding, url_graph
+from siftstone.llm import chunk_bpe, html_blocks, lattice_neardup, manifest, mixing, packing, pii, quality_rules, repair_ids, setsketch_dedup, sharding, spelling, url_graph
 from siftstone.llm.common import read_table
 
 #: Key of surrogates where the session sets none: for trials only, as it is no secret.
@@ -67,6 +67,24 @@ def op10_token_files(spark, sf_dir):
     return repair_ids.token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_packing(spark, sf_dir):
+    packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_manifest(spark, sf_dir):
+    """Each fifth document, by the crc32 of its id, is found with its text's A-Z lowered."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    now = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    checked = manifest.verified(read_table(spark, sf_dir, "documents"), now)
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_spelling(spark, sf_dir):
+    words = spelling.word_counts(read_table(spark, sf_dir, "documents"), typo_every=31)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -80,6 +98,9 @@ def queries():
         "op8_html": op8_html,
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
+        "op11_packing": op11_packing,
+        "op12_manifest": op12_manifest,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -215,5 +236,75 @@ FROM sizes JOIN ordered ON sizes.source IS NOT DISTINCT FROM ordered.source, lev
 """
 
 
+#: crc32 of strings as bytes: eight shifts for each of 256 table entries, then one step a byte.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)
+)"""
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda y: CAST('0x' || y AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+#: One level of runs of 16 nodes: parents of groups that have several, members in order; groups with one node are done.
+OP12_LEVEL = """, {p}{k} AS MATERIALIZED (
+  SELECT g, r // 16 AS r, sha256(string_agg(d, '' ORDER BY r)) AS d, list(d ORDER BY r) AS members FROM {p}{j} WHERE g IN (SELECT g FROM {p}{j} GROUP BY g HAVING count(*) > 1) GROUP BY g, r // 16
+)"""
+#: A step up: the siblings are those of the parent's members that the row isn't; the fold has the row's digest among them. Groups at their root stay.
+OP12_STEP = """, s{t} AS (
+  SELECT s.* EXCLUDE (r, d, proof), s.r // 16 AS r, CASE WHEN n.g IS NULL THEN s.d ELSE sha256(array_to_string(list_concat(n.members[:s.r % 16], [s.d], n.members[s.r % 16 + 2:]), '')) END AS d,
+    CASE WHEN n.g IS NULL THEN s.proof ELSE s.proof || array_to_string(list_concat(n.members[:s.r % 16], n.members[s.r % 16 + 2:]), '') END AS proof
+  FROM s{u} s LEFT JOIN {p}{k} n ON n.g = s.g AND n.r = s.r // 16
+)"""
+OP12_FIELDS = "||".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in manifest.FIELDS)
+#: Five levels: up to a million rows a source and a million sources.
+OP12_LEVELS = 5
+OP12_SQL = (
+    f"""
+WITH {CRC_TABLE}, hashed AS (
+  SELECT doc_id, coalesce('s' || source, '') AS g, source, sha256({OP12_FIELDS}) AS leaf,
+    CASE WHEN {CRC.format(x="CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN sha256({OP12_FIELDS.replace("(text ", "(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ")}) END AS other
+  FROM documents, crc_table
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM hashed
+), a0 AS MATERIALIZED (SELECT g, r, leaf AS d FROM leaves)"""
+    + "".join(OP12_LEVEL.format(p="a", k=k, j=k - 1) for k in range(1, OP12_LEVELS + 1))
+    + ", subroots AS MATERIALIZED (SELECT g, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS r FROM ("
+    + " UNION ALL ".join(f"SELECT g, d FROM a{k} WHERE g IN (SELECT g FROM a{k} GROUP BY g HAVING count(*) = 1)" for k in range(OP12_LEVELS + 1))
+    + ")), b0 AS MATERIALIZED (SELECT '' AS g, r, subroot AS d FROM subroots)"
+    + "".join(OP12_LEVEL.format(p="b", k=k, j=k - 1) for k in range(1, OP12_LEVELS + 1))
+    + ", whole AS (SELECT d AS root FROM ("
+    + " UNION ALL ".join(f"SELECT d FROM b{k} WHERE (SELECT count(*) FROM b{k}) = 1" for k in range(OP12_LEVELS + 1))
+    + """)), s0 AS (
+  SELECT doc_id, leaf, subroot, subroots.r AS place, leaves.g, leaves.r, coalesce(other, leaf) AS d, '' AS proof FROM leaves JOIN subroots ON leaves.g = subroots.g
+)"""
+    + "".join(OP12_STEP.format(t=k, u=k - 1, p="a", k=k) for k in range(1, OP12_LEVELS + 1))
+    + f", s{OP12_LEVELS + 1} AS (SELECT * EXCLUDE (g, r, place), '' AS g, place AS r FROM s{OP12_LEVELS})"
+    + "".join(OP12_STEP.format(t=OP12_LEVELS + 1 + k, u=OP12_LEVELS + k, p="b", k=k) for k in range(1, OP12_LEVELS + 1))
+    + f" SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified FROM s{2 * OP12_LEVELS + 1}, whole"
+)
+#: Distances count bytes, so letters from U+00C0 on stand as single characters of ASCII that no word has.
+LATIN, ASCII = "".join(map(chr, range(0xC0, 0x100))), "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.islower() and c not in "\'\\")[:64]
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), counted AS (
+  SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, n, {CRC.format(x="CAST(doc_id AS VARCHAR) || ':' || w")} AS h FROM counted, crc_table
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{LATIN}', '{ASCII}') AS x
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), halves AS (
+  SELECT word, n, x, side, CASE side WHEN 0 THEN left(x, 3) ELSE right(x, 3) END AS k FROM words, (VALUES (0), (1)) AS s(side)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM halves a JOIN halves b ON a.side = b.side AND a.k = b.k AND a.word <> b.word AND abs(length(a.x) - length(b.x)) <= 1 WHERE levenshtein(a.x, b.x) = 1
+), best AS (
+  SELECT word, CAST(count(*) AS BIGINT) AS n_near, arg_max(near, (n, -rank)) AS form, max(n) AS form_n FROM (SELECT *, row_number() OVER (ORDER BY near) AS rank FROM near) GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * words.n THEN form END AS form, CASE WHEN form_n >= 10 * words.n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word
+), ways(word, place, steps) AS (
+  SELECT word, word, 0 FROM forms UNION ALL SELECT ways.word, forms.form, steps + 1 FROM ways JOIN forms ON ways.place = forms.word WHERE form IS NOT NULL
+)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(place, steps) AS root FROM ways GROUP BY word) r ON forms.word = r.word
+"""
+
+
 def oracle_sql():
-    return {"op1_quality_rules": OP1_SQL, "op3_embeddings": OP3_SQL, "op5_minhash": OP5_SQL, "op6_url_filters": OP6_SQL, "mixing_targets": TARGETS_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_embeddings": OP3_SQL, "op5_minhash": OP5_SQL, "op6_url_filters": OP6_SQL, "mixing_targets": TARGETS_SQL, "op12_manifest": OP12_SQL, "op13_spelling": OP13_SQL}
