@@ -30,7 +30,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 #: Letters that the words of a part have in common at first: before the differing position, or after it.
 HEAD = 3
 #: Words of a part that one acceptor holds; larger parts are split.
-PART_WORDS = 20_000
+PART_WORDS = 4000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
 #: A form is so many times as frequent as its word.
