@@ -87,54 +87,73 @@ def token_pattern(token: str) -> str | None:
     return (f"(?{flags})" if flags else "") + token
 
 
-def split_top(expr: str, op: str, strict: bool = False) -> list[str]:
-    """Parts between top-level operators. All parentheses count, in patterns too, so an unbalanced one there swallows what follows, as
-    programs rely on; strict: those that are escaped or in a class don't count."""
-    parts, depth, at, i, in_class = [], 0, 0, 0, False
-    while i < len(expr):
-        c = expr[i]
-        if strict and c == "\\":
-            i += 2
+MARKS = re.compile(r"\|\||&&|[()]")
+STRICT_MARKS = re.compile(r"\\.|\|\||&&|[()\[\]]")
+PREDICATE = re.compile(r"(PRESENT|EXISTS|MISSING)\s*:(.*)", re.I | re.S)
+
+
+def marks(expr: str, strict: bool = False) -> list[tuple[str, int, int]]:
+    """(mark, where it begins, depth around it) of operators and parentheses. All parentheses count, those in patterns too, so that an unbalanced one
+    swallows what follows, as programs rely on; one too many closes nothing. strict: those that are escaped or in a class don't count, nor operators there."""
+    out, depth, in_class = [], 0, False
+    for m in (STRICT_MARKS if strict else MARKS).finditer(expr):
+        mark = m[0]
+        if mark[0] == "\\" or (in_class and mark != "]"):
             continue
-        if strict and (in_class or c == "["):
-            in_class = c != "]"
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            depth = max(0, depth - 1)
-        elif depth == 0 and expr.startswith(op, i):
-            parts.append(expr[at:i])
-            i += len(op)
-            at = i
+        if mark in "[]":
+            in_class = mark == "["
             continue
-        i += 1
-    return [*parts, expr[at:]]
+        if mark == ")":
+            if depth:
+                depth -= 1
+                out.append((mark, m.start(), depth))
+            continue
+        out.append((mark, m.start(), depth))
+        depth += mark == "("
+    return out
 
 
-def _bare(expr: str) -> str:
-    expr = expr.strip()
-    while expr.startswith("(") and expr.endswith(")"):
-        depth = 0
-        for i, c in enumerate(expr):
-            depth += (c == "(") - (c == ")")
-            if depth == 0 and i < len(expr) - 1:
-                return expr
-        expr = expr[1:-1].strip()
-    return expr
+class _Parser:
+    """Precedence over the marks of an expression: || below && below !; a term is a parenthesis with an expression, or a predicate up to the next operator."""
+
+    def __init__(self, expr: str, strict: bool) -> None:
+        self.expr, self.marks = expr, marks(expr, strict)
+
+    def binary(self, start: int, end: int, depth: int, ops=(("||", "or"), ("&&", "and"))):
+        if not ops:
+            return self.term(start, end, depth)
+        (op, name), rest = ops[0], ops[1:]
+        cuts = [at for mark, at, d in self.marks if mark == op and d == depth and start <= at < end]
+        bounds = [start, *[x for at in cuts for x in (at, at + 2)], end]
+        parts = [self.binary(i, j, depth, rest) for i, j in zip(bounds[::2], bounds[1::2], strict=True)]
+        return parts[0] if len(parts) == 1 else (name, parts)
+
+    def term(self, start: int, end: int, depth: int):
+        text = self.expr[start:end]
+        start, end = start + len(text) - len(text.lstrip()), start + len(text.rstrip())
+        if self.expr.startswith("!", start, end):
+            return "not", self.term(start + 1, end, depth)
+        if self.expr.startswith("(", start, end):
+            closing = next((at for mark, at, d in self.marks if mark == ")" and d == depth and at > start), None)
+            return self.binary(start + 1, closing, depth + 1) if closing == end - 1 else None
+        m = PREDICATE.fullmatch(self.expr[start:end])
+        pattern = raw_pattern(m[2]) if m else None
+        return None if pattern is None else ("missing" if m[1].upper() == "MISSING" else "present", pattern)
+
+
+def raw_pattern(text: str) -> str | None:
+    """A Java pattern of an expression's predicate: the text as it stands, slashes too, case-insensitive and multi-line. None if empty or invalid."""
+    text = text.strip()
+    try:
+        re.compile(text)
+    except re.error:
+        return None
+    return "(?im)" + text if text else None
 
 
 def _tree(expr: str, strict: bool):
     """('or'|'and', parts), ('not', part), ('present'|'missing', pattern) or None for what never holds."""
-    expr = _bare(expr)
-    for op, name in (("||", "or"), ("&&", "and")):
-        parts = split_top(expr, op, strict)
-        if len(parts) > 1:
-            return name, [_tree(p, strict) for p in parts]
-    if expr.startswith("!"):
-        return "not", _tree(expr[1:], strict)
-    m = re.match(r"(PRESENT|EXISTS|MISSING)\s*:(.*)$", expr, re.I | re.S)
-    pattern = token_pattern(m[2]) if m else None
-    return None if pattern is None else ("missing" if m[1].upper() == "MISSING" else "present", pattern)
+    return _Parser(expr, strict).binary(0, len(expr), 0)
 
 
 def expression(expr: str, text: Column, strict: bool = False) -> Column:

@@ -25,13 +25,28 @@ def test_token_patterns():
 
 
 def test_split_modes():
-    expr = r"PRESENT:/f\(/ && PRESENT:/g/"
-    assert len(gates.split_top(expr, "&&", strict=True)) == 2 and len(gates.split_top(expr, "&&")) == 1
-    assert len(gates.split_top("(a && b) || c", "&&")) == 1
-    assert len(gates.split_top("PRESENT:/[(]/ && PRESENT:/g/", "&&", strict=True)) == 2 and len(gates.split_top("PRESENT:/[(]/ && PRESENT:/g/", "&&")) == 1
+    operators = lambda expr, strict: [(m, d) for m, _, d in gates.marks(expr, strict) if m in ("||", "&&")]
+    expr = r"PRESENT:f\( && PRESENT:g"
+    assert operators(expr, True) == [("&&", 0)] and operators(expr, False) == [("&&", 1)]
+    assert operators("(a && b) || c", False) == [("&&", 1), ("||", 0)]
+    assert operators("PRESENT:[(] && PRESENT:g", True) == [("&&", 0)] and operators("PRESENT:[(] && PRESENT:g", False) == [("&&", 1)]
+    assert operators("PRESENT:a\\) && (b || c)", False) == [("&&", 0), ("||", 1)]
 
 
-leaf = st.sampled_from(["PRESENT:/a/", "MISSING:/b/i", "EXISTS:line", "PRESENT:/f\\(/", "PRESENT:/[/", "nonsense", "MISSING:/GNU/"])
+@pytest.mark.parametrize(
+    ("expr", "text", "want"),
+    [
+        (r"MISSING://\s*safe", "x = 1", True), (r"MISSING://\s*safe", "x = 1 // SAFE", False), ("PRESENT:/api/", "an api", False), ("PRESENT:/api/", "GET /API/x", True), ("PRESENT:/a/i", "a", False),
+        ("PRESENT:^b$", "a\nb", True), ("(PRESENT:a)", "a", True), ("((PRESENT:a) && !(PRESENT:b))", "a", True), ("(PRESENT:a) PRESENT:b", "ab", False), ("!PRESENT:a || PRESENT:b", "a", False),
+        ("PRESENT:a && PRESENT:b || PRESENT:c", "c", True), ("PRESENT:a && (PRESENT:b || PRESENT:c)", "c", False), ("!!PRESENT:a", "a", True), ("PRESENT:", "a", False), ("", "a", False), ("(PRESENT:a", "a", False), ("exists : A", "a", True), (r"PRESENT:f\( && PRESENT:zzz", "f(", False),
+    ],
+)
+def test_raw_patterns(spark, expr, text, want):
+    assert gates.interpret(expr, text) is want
+    assert spark.createDataFrame([(text,)], "t string").select(gates.expression(expr, F.col("t")).alias("x")).first()["x"] is want
+
+
+leaf = st.sampled_from(["PRESENT:a", "MISSING:b$", "EXISTS:line", "PRESENT:f\\(", "PRESENT:[", "nonsense", "MISSING:gnu", "PRESENT:/a/"])
 exprs = st.recursive(leaf, lambda e: st.one_of(st.tuples(e, st.sampled_from([" && ", " || "]), e).map("".join), e.map(lambda x: f"({x})"), e.map(lambda x: f"!({x})")), max_leaves=6)
 
 
