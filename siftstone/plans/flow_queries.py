@@ -216,7 +216,7 @@ TAINT = dataflow.Settings(r"request\.|req\.|\$_(?:GET|POST|REQUEST|COOKIE|FILES)
 
 def trace_flows(spark, sf_dir):
     """Flows from sources to sinks, through functions and files, and to calls whose definition isn't known."""
-    found = dataflow.traced(dataflow.graph(_code(spark, sf_dir), TAINT), TAINT)
+    found = dataflow.traced(dataflow.graph(_code(spark, sf_dir), TAINT))
     return found.select(F.col("file").alias("path"), "function", "sink", "line", "variable", "trace_status", F.size("path").alias("steps"))
 
 
@@ -231,7 +231,7 @@ def function_summaries(spark, sf_dir):
 
 def flow_inventory(spark, sf_dir):
     """Ranked flows of all files, and those of them that are vulnerabilities."""
-    found = dataflow.traced(dataflow.graph(_code(spark, sf_dir), TAINT), TAINT).withColumn("platform", F.lit("any"))
+    found = dataflow.traced(dataflow.graph(_code(spark, sf_dir), TAINT)).withColumn("platform", F.lit("any"))
     rules = small(spark, [(1, "any", "run", "command_injection", "runs input", "CWE-78"), (2, "any", "query", "sql_injection", "queries with input", "CWE-89")], "seq int, platform string, sink string, kind string, title string, cwe string")
     ranked = flows.ranked_flows(found)
     listed = flows.inventory(ranked, rules, small(spark, [], "kind string, path string"), _code(spark, sf_dir))
