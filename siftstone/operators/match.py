@@ -1,7 +1,7 @@
 """Rules against lines: one scan of the files for all rules, patterns as literals.
 
-Gates are evaluated once per file and rule before lines are made; each line then tests every rule in one expression, and only hits are
-exploded. Nothing is shuffled until hits are aggregated.
+What a pattern requires (`functions.literals`) and its gate are tested once per file and rule, before lines are made; each line then tries the rules that are
+left, again after the literals, in one expression, and only hits are exploded. Nothing is shuffled until hits are aggregated.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.functions import classify, scoring
+from siftstone.functions import classify, literals, scoring
 from siftstone.functions.text import lines_of, strip, truncated
 from siftstone.plans import gates
 
@@ -46,9 +46,18 @@ class Rule:
 
 
 def scanned(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """files with passed (seqs of rules whose gate holds, or that have none) and lines."""
-    ok = [F.when(gates.verdict(gates.parse(r.gate), F.col("content"), F.col("path"))["passed"] if r.gate else F.lit(True), F.lit(r.seq)) for r in rules]
-    return files.withColumn("passed", F.array_compact(F.array(*ok))).withColumn("lines", lines_of(F.col("content")))
+    """files with passed (seqs of rules that may find something: their gate holds, or they have none, and the literals that their pattern requires are there) and lines.
+
+    Literals are looked for once a file, before gates are tried or lines are made; files without rules that may find something are left out.
+    """
+    low = F.lower("content")
+    ok = []
+    for r in rules:
+        may = literals.may_match(low, r.anchor)
+        gate = gates.verdict(gates.parse(r.gate), F.col("content"), F.col("path"))["passed"] if r.gate else None
+        told = F.lit(True) if may is None and gate is None else gate if may is None else may if gate is None else may & gate
+        ok.append(F.when(told, F.lit(r.seq)))
+    return files.withColumn("passed", F.array_compact(F.array(*ok))).filter(F.size("passed") > 0).withColumn("lines", lines_of(F.col("content")))
 
 
 def gate_verdicts(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -62,20 +71,27 @@ def _hit(rule: Rule, line: Column, flags: str = "") -> Column:
     return found & ~line.rlike("(?i)" + rule.exclude) if rule.exclude else found
 
 
+def _pass(rule: Rule, line: Column, low: Column, twice: bool) -> Column:
+    """0 for a line that a rule hits, 1 (only if tried twice) for one that it hits without case alone, else null. Patterns are tried on lines that hold their literals;
+    a line that isn't hit without case isn't hit with it, and so is tried once."""
+    exact = F.when(_hit(rule, line), 0)
+    kind = F.when(_hit(rule, line, "(?i)"), F.coalesce(exact, F.lit(1)) if rule.regex else F.lit(1)) if twice else exact
+    may = literals.may_match(low, rule.anchor)
+    return kind if may is None else F.when(may, kind)
+
+
 def evidence(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """path, platform, file_seq, rule_seq, line, code, pass_no of each line that a rule hits, once, in files whose gate holds.
 
-    pass 0 is case-sensitive; rules with a gate are tried again without case, which adds lines as pass 1.
+    pass 0 is case-sensitive; rules with a gate are tried again without case, which adds lines as pass 1. Each pattern stands once in the plan.
     """
     lines = scanned(files, rules).select("path", "platform", "file_seq", "passed", F.posexplode("lines").alias("pos", "code"))
     lines = lines.filter(F.length("code") <= MAX_LINE)
-    code = F.col("code")
-    hits = []
-    for r in rules:
-        first = _hit(r, code) if r.regex else F.lit(False)
-        kind = F.when(first, 0).when(_hit(r, code, "(?i)"), 1) if r.gate else F.when(first, 0)
-        hits.append(F.when(F.array_contains("passed", r.seq), F.when(kind.isNotNull(), F.struct(F.lit(r.seq).alias("rule_seq"), kind.alias("pass_no")))))
-    hit = lines.select("path", "platform", "file_seq", (F.col("pos") + 1).alias("line"), "code", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    code, low = F.col("code"), F.lower("code")
+    kinds = F.array(*[F.when(F.array_contains("passed", r.seq), _pass(r, code, low, bool(r.gate))) for r in rules])
+    seqs = F.array(*[F.lit(r.seq) for r in rules])
+    hits = F.filter(F.transform(kinds, lambda k, i: F.struct(F.get(seqs, i).alias("rule_seq"), k.alias("pass_no"))), lambda h: h["pass_no"].isNotNull())
+    hit = lines.select("path", "platform", "file_seq", (F.col("pos") + 1).alias("line"), "code", F.explode(hits).alias("hit"))
     return hit.select("path", "platform", "file_seq", "hit.rule_seq", "line", "code", "hit.pass_no")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftstone.functions.text import norm_path, norm_text, with_safe_patterns
+from siftstone.plans.lineage import materialize
 
 #: Entries up to this number are broadcast.
 BROADCAST_ENTRIES = 10_000
@@ -57,6 +58,8 @@ def _split(hits: DataFrame, entries: DataFrame, how: str) -> DataFrame:
     counts = {(r["x"], r["y"]): r["n"] for r in e.groupBy((F.col("s_rule") != "").alias("x"), (F.col("s_file") != "").alias("y")).agg(F.count("*").alias("n")).collect()}  # four rows at most
     if counts.get((False, False), 0) > BROADCAST_ENTRIES:
         raise ValueError("too many suppression entries name neither a rule nor a file")
+    if how == "left_semi" and len(counts) > 1:
+        hits = materialize(hits, "hits")  # each way reads them
     named = {"__platform": norm_text(F.col("platform")), "__rule": norm_text(F.col("rule")), "__category": norm_text(F.col("category")), "__file": norm_path(F.col("path"))}
     left, met = hits.withColumns(named), None
     for way, key in ways.items():

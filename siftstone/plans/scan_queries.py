@@ -17,7 +17,7 @@ RULES = [
     Rule(1, "secrets", "token assignment", r'token\s*=\s*"[0-9a-f]{8,}', gate="WHEN PRESENT /token/"),
     Rule(2, "contact", "mail address", r"[a-z]+\.[0-9]+@mail[0-9]", exclude="mail0"),
     Rule(3, "network", "address literal", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", before=1, after=2),
-    Rule(4, "licensing", "licence notice", r"license", gate="WHEN EXPR PRESENT:/[Ll]icen/ && !PRESENT:/GNU/", before=2, after=1),
+    Rule(4, "licensing", "licence notice", r"license", gate="WHEN EXPR PRESENT:licen[cs]e && !PRESENT:GNU", before=2, after=1),
     Rule(5, "wording", "insult", r"(stupid|idiot)", gate="WHEN MISSING /Apache/\nUNLESS CURRENT_FILE_MATCHES /password/", has_text=False),
     Rule(6, "noise", "symbols", r"[#*$%&]{3}"),
 ]
@@ -25,7 +25,7 @@ PATH_RULES = [Rule(1, "paths", "spam hosts", "spam|pills"), Rule(2, "paths", "la
 GATES = [
     ("plain", "report as Licence\nWHEN PRESENT /licen[cs]e/i\nWHEN MISSING /GNU/\nREASON looks free"),
     ("mixed", "WHEN FILE_PATH_MATCHES src1*/en/*\nWHEN CURRENT_FILE_MATCHES the\nUNLESS CURRENT_FILE_MATCHES /token/\nFAIL_REASON out of scope"),
-    ("logic", "WHEN EXPR (PRESENT:/stupid/ || EXISTS:/idiot/) && MISSING:/Apache/ || !PRESENT:/e/"),
+    ("logic", r"WHEN EXPR (PRESENT:stupid || EXISTS:idiot) && MISSING://[a-z]+\.example || !PRESENT:e"),
     ("name", "WHEN FILE_NAME_IS 7.txt\n# comment\nNOSUCH command"),
 ]
 ENTRIES = [
@@ -44,7 +44,7 @@ lines AS (SELECT path, platform, content, file_seq, unnest(range(1, len(l) + 1))
 HITS = (
     FILES
     + """,
-passed AS (SELECT *, regexp_matches(content, 'token') AS g1, regexp_matches(content, '[Ll]icen') AND NOT regexp_matches(content, 'GNU') AS g4, NOT regexp_matches(content, 'Apache') AND NOT regexp_matches(content, 'password') AS g5 FROM lines WHERE length(code) <= 500),
+passed AS (SELECT *, regexp_matches(content, 'token') AS g1, regexp_matches(content, 'licen[cs]e', 'i') AND NOT regexp_matches(content, 'GNU', 'i') AS g4, NOT regexp_matches(content, 'Apache') AND NOT regexp_matches(content, 'password') AS g5 FROM lines WHERE length(code) <= 500),
 hits AS (
   SELECT path, platform, file_seq, 1 AS rule_seq, 'token assignment' AS rule, 'secrets' AS category, line, code, CASE WHEN regexp_matches(code, 'token\\s*=\\s*"[0-9a-f]{8,}') THEN 0 ELSE 1 END AS pass_no FROM passed WHERE g1 AND regexp_matches(code, 'token\\s*=\\s*"[0-9a-f]{8,}', 'i')
   UNION ALL SELECT path, platform, file_seq, 2, 'mail address', 'contact', line, code, 0 FROM passed WHERE regexp_matches(code, '[a-z]+\\.[0-9]+@mail[0-9]') AND NOT regexp_matches(code, 'mail0', 'i')
@@ -154,7 +154,7 @@ def gate_suppressed_rows(spark, sf_dir):
     return match.gate_suppressed(files(spark, sf_dir), RULES).select("path", "rule_seq", "line", "pass_no", "reason")
 
 
-MODES = r"PRESENT:/the\(/ && PRESENT:/e/ || PRESENT:/le /"
+MODES = r"PRESENT:the\( && PRESENT:e || PRESENT:le\s"
 
 
 def gate_expression_modes(spark, sf_dir):
@@ -292,7 +292,7 @@ m AS (SELECT path, 1 AS rule_seq FROM paths WHERE regexp_matches('/' || path, 's
         + """, v AS (
   SELECT path, 'plain' AS gate, CASE WHEN NOT regexp_matches(content, 'licen[cs]e', 'i') THEN 1 WHEN regexp_matches(content, 'GNU') THEN 2 END AS failed_at, CASE WHEN NOT regexp_matches(content, 'licen[cs]e', 'i') THEN 'required pattern is absent' WHEN regexp_matches(content, 'GNU') THEN 'forbidden pattern is there' ELSE 'looks free' END AS reason FROM files
   UNION ALL SELECT path, 'mixed', CASE WHEN NOT regexp_matches(path, '^src1.*/en/.*$') THEN 1 WHEN NOT regexp_matches(content, 'the', 'i') THEN 2 WHEN regexp_matches(content, 'token') THEN 3 END, NULL FROM files
-  UNION ALL SELECT path, 'logic', CASE WHEN ((regexp_matches(content, 'stupid') OR regexp_matches(content, 'idiot')) AND NOT regexp_matches(content, 'Apache')) OR NOT regexp_matches(content, 'e') THEN NULL ELSE 1 END, NULL FROM files
+  UNION ALL SELECT path, 'logic', CASE WHEN ((regexp_matches(content, 'stupid', 'i') OR regexp_matches(content, 'idiot', 'i')) AND NOT regexp_matches(content, '//[a-z]+[.]example', 'i')) OR NOT regexp_matches(content, 'e', 'i') THEN NULL ELSE 1 END, NULL FROM files
   UNION ALL SELECT path, 'name', CASE WHEN string_split(path, '/')[3] = '7.txt' THEN NULL ELSE 1 END, NULL FROM files
 ), verdicts AS (SELECT path, gate, failed_at IS NULL AS passed, CAST(coalesce(failed_at, 0) AS INTEGER) AS failed_at,
   CASE gate WHEN 'plain' THEN reason WHEN 'mixed' THEN CASE WHEN failed_at IS NOT NULL THEN 'out of scope' END WHEN 'logic' THEN CASE WHEN failed_at IS NOT NULL THEN 'condition does not hold' END ELSE CASE WHEN failed_at IS NOT NULL THEN 'file has another name' END END AS reason FROM v)"""
@@ -315,11 +315,11 @@ SELECT seq, 'missing pattern' AS problem FROM j WHERE regex = '' UNION ALL SELEC
 k AS (SELECT *, CASE WHEN rule_seq < 4 THEN 'office' ELSE 'prose' END AS pack FROM scored)
 SELECT pack || '-' || row_number() OVER (PARTITION BY pack ORDER BY k.rule_seq) AS rule_id, rule, 'source' AS issue_scope, CASE WHEN k.rule_seq = 6 THEN w.n ELSE k.n END AS n, CAST(CASE WHEN k.rule_seq = 6 THEN greatest(10, least(74, w.score)) ELSE k.score END AS INTEGER) AS score FROM k LEFT JOIN whole w ON k.rule_seq = w.rule_seq""",
         "findings_nested": f"WITH {HITS} SELECT rule_seq, count(*) AS n, true AS bounded, min((path, line)).path AS first_file, CAST(arg_min(line, (path, line)) AS INTEGER) AS first_line, max(path) AS last_file, CAST(arg_max(line, (path, line)) AS INTEGER) AS last_line FROM hits GROUP BY rule_seq".replace("min((path, line)).path", "min(path)"),
-        "gate_suppressed_rows": f"""WITH {FILES}, t AS (SELECT *, regexp_matches(content, 'token') AS g1, regexp_matches(content, '[Ll]icen') AND NOT regexp_matches(content, 'GNU') AS g4, regexp_matches(content, 'Apache') AS apache, NOT regexp_matches(content, 'Apache') AND NOT regexp_matches(content, 'password') AS g5 FROM lines WHERE length(code) <= 500)
+        "gate_suppressed_rows": f"""WITH {FILES}, t AS (SELECT *, regexp_matches(content, 'token') AS g1, regexp_matches(content, 'licen[cs]e', 'i') AND NOT regexp_matches(content, 'GNU', 'i') AS g4, regexp_matches(content, 'Apache') AS apache, NOT regexp_matches(content, 'Apache') AND NOT regexp_matches(content, 'password') AS g5 FROM lines WHERE length(code) <= 500)
 SELECT path, 1 AS rule_seq, CAST(line AS INTEGER) AS line, CASE WHEN regexp_matches(code, 'token\\s*=\\s*"[0-9a-f]{{8,}}') THEN 0 ELSE 1 END AS pass_no, 'required pattern is absent' AS reason FROM t WHERE NOT g1 AND regexp_matches(code, 'token\\s*=\\s*"[0-9a-f]{{8,}}', 'i')
 UNION ALL SELECT path, 4, CAST(line AS INTEGER), CASE WHEN regexp_matches(code, 'license') THEN 0 ELSE 1 END, 'condition does not hold' FROM t WHERE NOT g4 AND regexp_matches(code, 'license', 'i')
 UNION ALL SELECT path, 5, CAST(line AS INTEGER), CASE WHEN regexp_matches(code, '(stupid|idiot)') THEN 0 ELSE 1 END, CASE WHEN apache THEN 'forbidden pattern is there' ELSE 'file matches an exemption' END FROM t WHERE NOT g5 AND regexp_matches(code, '(stupid|idiot)', 'i')""",
-        "gate_expression_modes": f"WITH {FILES} SELECT path, true AS parity, (contains(content, 'the(') AND contains(content, 'e')) OR contains(content, 'le ') AS strict FROM files",
+        "gate_expression_modes": f"WITH {FILES} SELECT path, true AS parity, (regexp_matches(content, 'the[(]', 'i') AND regexp_matches(content, 'e', 'i')) OR regexp_matches(content, 'le\\s', 'i') AS strict FROM files",
         "gate_traces": f"WITH {verdicts}, p AS (SELECT * FROM verdicts WHERE gate = 'plain'), t AS (SELECT path, 0 AS place, 'WHEN PRESENT /licen[cs]e/i: holds' AS told FROM p WHERE failed_at <> 1 UNION ALL SELECT path, 0, 'WHEN PRESENT /licen[cs]e/i: required pattern is absent' FROM p WHERE failed_at = 1 UNION ALL SELECT path, 1, 'WHEN MISSING /GNU/: holds' FROM p WHERE failed_at = 0 UNION ALL SELECT path, 1, 'WHEN MISSING /GNU/: forbidden pattern is there' FROM p WHERE failed_at = 2 UNION ALL SELECT path, 2, 'read as licence' FROM p WHERE failed_at = 0), m AS (SELECT told, min(path || '#' || place) AS w FROM t GROUP BY told) SELECT 1 AS rule_seq, (SELECT arg_min(reason, path) FROM p WHERE reason IS NOT NULL) AS reason, (SELECT string_agg(told, ' | ' ORDER BY w) FROM m) AS trace",
         "path_rules_gated": "WITH p AS (SELECT '/' || regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), m AS (SELECT 1 AS rule_seq FROM p WHERE regexp_matches(path, 'spam|blog') AND NOT contains(path, 'page=') UNION ALL SELECT 2 FROM p WHERE regexp_matches(path, '/en/', 'i') AND NOT regexp_matches(path, 'ref=', 'i')), c AS (SELECT rule_seq, count(*) AS n FROM m GROUP BY rule_seq) SELECT rule_seq, n, CAST(greatest(35, least(96, 50 + least(36, 6 * n))) AS INTEGER) AS score FROM c",
         "path_rule_misses": "SELECT * FROM (VALUES (1), (2), (3), (4)) AS x(rule_seq)",
