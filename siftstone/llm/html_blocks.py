@@ -2,12 +2,10 @@
 
 A page is cut into blocks at block-level tags. What stands in menus, headers, footers, sidebars, dialogs, forms, hidden elements, scripts or
 styles, and in containers named as reader comments, is no block at all. Pass one decides blocks by length, stop-word density
-and link density: long ones with stop words are in, those mostly of links are out, the rest is ambiguous. Structure
-is a prior of this: an article or main element whose text is dense is the page's, so what stands outside it is out, and its lists of
-links are ambiguous instead of out; if its text isn't, but other text is, it counts as nothing. Blocks in containers named as adverts, notices or the
-like are out too, unless no other block can be in. Pass two gives ambiguous blocks the label of their nearest decided
-neighbours (in an article all of which are in). Kept blocks, their character references decoded and
-white space made single spaces, are joined in page order by blank lines.
+and link density: long ones with stop words are in, those mostly of links are out, the rest is ambiguous. Structure is a prior that shifts the limits of
+this: in an article or main element whose text is dense, fewer words will do and links alone don't put a block out; outside of it, and in containers named as
+adverts, notices or the like, only long blocks of prose are in, and short ones are out. Pass two gives ambiguous blocks the label of their nearest decided
+neighbours. Kept blocks, their character references decoded and white space made single spaces, are joined in page order by blank lines.
 
 Nulls: a null html is an empty page and gives an empty text. Broken markup is read as far as it can be: unclosed
 tags end with their parents, stray end tags are ignored, an unclosed script hides the rest. Long pages are read
@@ -63,9 +61,22 @@ STOP_WORDS = frozenset(
     "der die das und ist von zu den mit ein eine im nicht auf für dem des sich auch es "
     "el los las y que en un una por con para se del no es al lo como".split()
 )
-#: Words of long and of short blocks; shares of links and stop words.
-LONG, SHORT = 25, 8
-MAX_LINKS, MIN_STOPS = 0.5, 0.15
+
+
+class Limits(NamedTuple):
+    """What decides a block, by the place where it stands. A block with over max_links of its characters in links is out; one of at least `long` words, or of
+    `short` words of which min_stops are stop words, is in, but if half of it is links; others are ambiguous, or out where `few_out` is set."""
+
+    long: int
+    short: int
+    min_stops: float
+    max_links: float
+    few_out: bool
+
+
+HALF_LINKS = 0.5
+#: No article is known; in the page's article; outside of it, or in containers named as adverts, notices or the like.
+PLAIN, FAVOURED, DISFAVOURED = Limits(25, 8, 0.15, HALF_LINKS, False), Limits(10, 4, 0.1, 1.0, False), Limits(150, 100, 0.3, 0.1, True)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -191,37 +202,41 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def density(block: Block) -> bool | None:
+def density(block: Block, limits: Limits = PLAIN) -> bool | None:
     """In, out, or ambiguous by length, link density and stop-word density."""
-    if block.links > MAX_LINKS:
+    if block.links > limits.max_links:
         return False
     words = block.text.lower().split()
-    if len(words) < SHORT:
-        return None
-    if len(words) >= LONG:
-        return True
-    stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-    return True if stops >= MIN_STOPS else None
+    if len(words) >= limits.short and block.links <= HALF_LINKS:
+        if len(words) >= limits.long:
+            return True
+        stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+        if stops >= limits.min_stops:
+            return True
+    return False if limits.few_out else None
+
+
+def _limits(found: list[Block]) -> list[Limits]:
+    """Structure as a prior: it shifts limits, and decides nothing by itself. An article counts if it has a block that is in by the plain limits, or if nothing outside has."""
+    inside = [b.inside and not b.named for b in found]
+    dense = [density(b) for b in found]
+    outside = [x for x, b in zip(dense, found, strict=True) if not b.inside and not b.named]
+    if any(inside) and (any(x for x, i in zip(dense, inside, strict=True) if i) or not any(outside)):
+        return [FAVOURED if i else DISFAVOURED for i in inside]
+    if all(b.named for b in found):
+        return [PLAIN] * len(found)
+    return [DISFAVOURED if b.named else PLAIN for b in found]
 
 
 def main_text(page: str | None) -> str:
+    """Pass one decides blocks by density and the limits of their place; in pass two ambiguous ones inherit from their nearest decided neighbours in such a place."""
     found = blocks(page or "")
-    labels = [density(b) for b in found]
-    inside = [b.inside and not b.named for b in found]
-    outside = [x for x, b in zip(labels, found, strict=True) if not b.inside and not b.named]
-    # an article is the page's if its text is dense, or if no other is
-    article = any(inside) and (any(x for x, i in zip(labels, inside, strict=True) if i) or not any(outside))
-    if article:
-        labels = [(x or None) if i else False for x, i in zip(labels, inside, strict=True)]
-        if True not in labels:  # short blocks alone
-            labels = inside
-    elif any(x is not False for x in outside):
-        labels = [False if b.named else x for x, b in zip(labels, found, strict=True)]
-    if article:
-        kept = [b for b, i in zip(found, inside, strict=True) if i]
-        own = _inherited([x for x, i in zip(labels, inside, strict=True) if i], [b.tag for b in kept])
-        return "\n\n".join(b.text for b, keep in zip(kept, own, strict=True) if keep)
-    return "\n\n".join(b.text for b, keep in zip(found, _inherited(labels, [b.tag for b in found]), strict=True) if keep)
+    limits = _limits(found)
+    labels = [density(b, l) for b, l in zip(found, limits, strict=True)]
+    open_ = [i for i, l in enumerate(limits) if not l.few_out]
+    for i, label in zip(open_, _inherited([labels[i] for i in open_], [found[i].tag for i in open_]), strict=True):
+        labels[i] = label
+    return "\n\n".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
 
 
 def _inherited(labels: list[bool | None], tags: list[str]) -> list[bool]:

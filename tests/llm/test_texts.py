@@ -388,3 +388,33 @@ def test_pii_table(spark):
     assert not any(v in everything for v in PRIVATE)
     assert got == {r["doc_id"]: r["text"] for r in pii.anonymize(df.repartition(3), KEY).collect()}
     assert pii.anonymize(df.limit(0), KEY).count() == 0
+
+
+ADVERT = "<div class='ad'>Buy the best of all of these now</div>"
+PAGE = f"<html><body><article><h1>A title of few words</h1>{ADVERT}<p>{'The text of the page is here and it is long. ' * 4}</p><p>Short.</p>{ADVERT}<ul><li><a href='/x'>a link in the text</a></li></ul></article></body></html>"
+
+
+@pytest.mark.parametrize("constant", [True, False])
+def test_density_decides(monkeypatch, constant):
+    text = html_blocks.main_text(PAGE)
+    assert text.startswith("A title") and "Short." in text and "a link in the text" in text and "Buy" not in text
+    monkeypatch.setattr(html_blocks, "density", lambda *a: constant)
+    assert html_blocks.main_text(PAGE) != text
+
+
+def test_structure_shifts_limits():
+    block = lambda words, links=0.0: html_blocks.Block(" ".join(["the", "stone"] * (words // 2)), False, links, "p", False)
+    plain, favoured, disfavoured = html_blocks.PLAIN, html_blocks.FAVOURED, html_blocks.DISFAVOURED
+    label = html_blocks.density
+    assert [label(block(4), x) for x in (plain, favoured, disfavoured)] == [None, True, False]
+    assert [label(block(40), x) for x in (plain, favoured, disfavoured)] == [True, True, False] and label(block(160), disfavoured) is True
+    assert [label(block(40, 0.8), x) for x in (plain, favoured, disfavoured)] == [False, None, False]
+    # long prose beside an article of short blocks: the article isn't borne out, and the prose is the text
+    prose = "It is the text of this page and it goes on. " * 6
+    assert html_blocks.main_text(f"<article><p>Short one.</p></article><div><p>{prose}</p></div>").endswith(prose.strip())
+
+
+def test_ambiguous_blocks_look_past_adverts():
+    long = "The text of the page is here and it is long. " * 3
+    page = f"<article><p>{long}</p><p>One.</p>{ADVERT}<p>Two.</p>{ADVERT}{ADVERT}<p>Three.</p></article>"
+    assert html_blocks.main_text(page).split("\n\n")[1:] == ["One.", "Two.", "Three."]
