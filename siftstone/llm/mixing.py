@@ -4,11 +4,11 @@
    words, and the excess is reshared by weight until no target is above (water-filling by a few aggregates).
 2. The total is cut into blocks of `block_words`; seats go to sources by highest quotients target / (2k - 1).
    The divisor is found by a search whose every step is one aggregate over the sources, so no seat is listed.
-3. A source's documents are put in a seeded order, dealt out over ranges of that order (shards). A quota is
-   spent on whole passes over the source, then on the first blocks of the seeded order: shards before the
-   cut are taken whole, the one at the cut in part, the others not. A document is taken whole or not, by the
-   middle of its words, so a source misses its quota by half a document at most; then the one document that
-   comes nearest to closing this gap changes sides.
+3. A source's documents are put in a seeded order, dealt out over ranges of that order (shards). A source's seats are
+   spent on whole passes over the source, then on the first blocks of the seeded order, which gives each shard an integer quota
+   of blocks: all that it has before the cut, some at the cut, none behind it. The quotas select the documents: a shard whose quota covers its words is
+   taken whole, one with a smaller quota up to the document whose middle lies within its blocks, one without a quota not at all. So a source misses
+   its seats by half a document and a block at most; then the one document that comes nearest to closing this gap changes sides.
 
 Nulls: a null text has no words and takes none, like any text without words: `mix` leaves it out. A null source is a source of
 its own and comes last; null ids share one place in the order, as repeated ids do (all or none of them are taken). Ties of
@@ -111,14 +111,15 @@ def shard_quotas(sizes: DataFrame, sources: DataFrame, block_words: int, range_r
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quotas = materialize(lookup_join(sums.withColumn("words_before", before), plan.select("source", "rest"), "source").withColumn("blocks", F.ceil(F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("words_before"))) / F.lit(block_words)).cast("long")), "quotas")
 
-    whole = quotas.filter("words_before + words <= rest").groupBy("source").agg(F.max("last_h").alias("cut"))
-    edge = materialize(quotas.filter("words_before < rest and words_before + words > rest").select(F.col("source").alias("__s"), F.col("shard").alias("__k"), "words_before", "rest"), "edge")
+    allotted = F.col("blocks") * F.lit(block_words)
+    whole = quotas.filter((F.col("words") > 0) & (allotted >= F.col("words"))).groupBy("source").agg(F.max("last_h").alias("cut"))
+    some = quotas.filter((F.col("blocks") > 0) & (allotted < F.col("words")))
+    edge = materialize(some.select(F.col("source").alias("__s"), F.col("shard").alias("__k"), allotted.alias("__allotted")), "edge")
     edge = F.broadcast(edge) if is_small(edge) else edge  # one row a source at most
     at_edge = sharded.join(edge, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__k")))
-    peers = Window.partitionBy("source", "shard")
-    upto = F.sum("size").over(peers.orderBy("h")) + F.col("words_before")
+    upto = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("h"))
     own = F.sum("size").over(Window.partitionBy("source", "shard", "h"))
-    partly = at_edge.withColumn("middle", upto - own / 2).filter("middle < rest").groupBy("source").agg(F.max("h").alias("cut"))
+    partly = at_edge.withColumn("middle", upto - own / 2).filter("middle < __allotted").groupBy("source").agg(F.max("h").alias("cut"))
     cuts = materialize(whole.unionByName(partly).groupBy("source").agg(F.max("cut").alias("cut")), "cuts")
     return _swapped(sizes, materialize(lookup_join(plan, cuts, "source"), "cut-plan")), quotas
 
