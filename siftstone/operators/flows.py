@@ -282,16 +282,26 @@ def mitigations(files: DataFrame, rules: list[Mitigation]) -> DataFrame:
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
     def places(r: Mitigation) -> Column:
-        """(line, evidence) of the first match on each line, in order."""
-        found, between = F.regexp_extract_all(text, F.lit(r.primary), F.lit(0)), F.split(text, r.primary)
-
-        def at(m: Column, k: Column) -> Column:
-            start = F.aggregate(F.slice(between, F.lit(1), k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
-            low = F.greatest(start - 80, F.lit(0))
-            near = F.substring(text, low + 1, start - low + F.length(m) + 80)
-            return F.struct((breaks(F.substring(text, F.lit(1), start)) + 1).cast("int").alias("line"), F.substring(strip(F.replace(near, F.lit("\n"), F.lit(" "))), 1, 240).alias("evidence"))
-
-        return F.transform(F.slice(found, 1, 64), at)
+        """(line, evidence) of the first match on each line, in order: of as many lines as the kind has rules, since earlier ones take a line each at most."""
+        found, between = F.regexp_extract_all(text, F.lit(r.primary), F.lit(0)), F.split(text, r.primary, -1)
+        enough = sum(x.kind == r.kind for x in rules)
+        none = F.array().cast("array<struct<line:int,start:int,size:int>>")
+        begun = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
+
+        def step(state: Column, k: Column) -> Column:
+            gap, match = F.get(between, k), F.get(found, k)
+            start, line = state["at"] + F.length(gap), state["line"] + breaks(gap)
+            new = (F.size(state["out"]) < enough) & (F.coalesce(F.try_element_at(state["out"], F.lit(-1))["line"], F.lit(0)) != line)
+            out = F.when(new, F.array_append(state["out"], F.struct(line.alias("line"), start.alias("start"), F.length(match).alias("size")))).otherwise(state["out"])
+            return F.struct((start + F.length(match)).alias("at"), (line + breaks(match)).alias("line"), out.alias("out"))
+
+        def told(p: Column) -> Column:
+            low = F.greatest(p["start"] - 80, F.lit(0))
+            near = F.substring(text, low + 1, p["start"] - low + p["size"] + 80)
+            return F.struct(p["line"].alias("line"), F.substring(strip(F.replace(near, F.lit("\n"), F.lit(" "))), 1, 240).alias("evidence"))
+
+        walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begun, step)["out"]
+        return F.transform(F.when(F.size(found) > 0, walked).otherwise(none), told)
 
     each = []
     for i, r in enumerate(rules):

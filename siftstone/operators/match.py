@@ -245,11 +245,11 @@ def file_matches(files: DataFrame, regex: str, names: tuple[str, ...] = (), excl
     """
     pattern = "(?ms)" + regex
     # the pieces between matches; the k-th match begins after the first k pieces and k - 1 matches
-    rows = files.select("path", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("found"), F.split("content", pattern).alias("between"))
+    each = [F.regexp_extract_all("content", F.lit(pattern), F.lit(i + 1)) for i in range(len(names))]  # with what stands around a match, and in the matches' order
+    rows = files.select("path", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("found"), F.split("content", pattern).alias("between"), F.array(*each).cast("array<array<string>>").alias("each"))
     breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    placed = rows.select("path", F.posexplode("found").alias("k", "match"), "found", "between")
+    placed = rows.select("path", F.posexplode("found").alias("k", "match"), "found", "between", "each")
     upto = F.aggregate(F.slice("between", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, x: a + breaks(x)) + F.aggregate(F.slice("found", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + breaks(x))
-    groups = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.regexp_extract("match", pattern, i + 1) for i in range(len(names))])) if names else F.create_map().cast("map<string,string>")
-    groups = F.map_filter(groups, lambda _, v: v != "") if names else groups  # groups that took no part
+    groups = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.transform("each", lambda g: F.get(g, F.col("k")))) if names else F.create_map().cast("map<string,string>")
     out = placed.select("path", (upto + 1).cast("int").alias("line"), F.regexp_extract("match", r"^[^\n]*", 0).alias("code"), groups.alias("groups"))
     return out.filter(~F.col("code").rlike("(?i)" + exclude)) if exclude else out

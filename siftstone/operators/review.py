@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftstone.functions.text import norm_path, norm_text, with_safe_patterns
-from siftstone.plans.lineage import materialize
+from siftstone.plans.lineage import materialize, only_missing
 
 #: Entries up to this number are broadcast.
 BROADCAST_ENTRIES = 10_000
@@ -26,7 +26,8 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     try:
         listed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<suppressions:array<struct<{fields}>>>")["suppressions"]).alias("e")).select("e.*")
         entries = spark.read.schema(ENTRY_SCHEMA).json(path) if listed.isEmpty() else listed
-    except AnalysisException:  # no such file
+    except AnalysisException as error:  # no such file
+        only_missing(error)
         entries = spark.createDataFrame([], ENTRY_SCHEMA)
     return entries.withColumnRenamed("rule_title", "rule")
 

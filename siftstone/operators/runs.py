@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from siftstone.plans.lineage import only_missing
+
 #: Statuses of a run that can go on, and the stages in their order.
 RESUMABLE = ("running", "failed", "interrupted")
 STAGES = ("discovery", "pattern_matching", "path_analysis", "reporting")
@@ -80,7 +83,8 @@ def bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     for name in BUNDLE:
         try:
             found[name] = spark.read.json(f"{folder}/{name}")
-        except Exception:  # not written
+        except AnalysisException as error:  # not written
+            only_missing(error)
             found[name] = spark.createDataFrame([], "missing string")
     return found
 

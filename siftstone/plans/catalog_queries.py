@@ -34,7 +34,7 @@ def flows_blocked(spark, sf_dir):
 def flow_groups(spark, sf_dir):
     """Group, source profile and changes of values of a text as code."""
     c = F.col("content")
-    return files(spark, sf_dir).select("path", classify.flow_group(F.col("path"), F.substring("content", 1, 200)).alias("group"), classify.source_profile(F.substring("content", 1, 200)).alias("profile"), F.array_join(classify.transformations(F.array(c)), ",").alias("changes"))
+    return files(spark, sf_dir).select("path", classify.flow_group(F.col("path"), F.col("content")).alias("group"), classify.source_profile(F.col("content")).alias("profile"), F.array_join(classify.transformations(F.array(c)), ",").alias("changes"))
 
 
 def flow_vectors(spark, sf_dir):
@@ -173,9 +173,9 @@ def file_index(spark, sf_dir):
 
 
 def vulnerability_order(spark, sf_dir):
-    """The first of a thousand findings in report order."""
+    """Findings with their place in report order."""
     i = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("risk"), F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("line"), "l_linenumber")
-    return flows.numbered(i, [*runs.vulnerability_order(), F.asc("l_linenumber")], "place").filter("place <= 1000").select("place", "risk", "kind", "file", "line")
+    return flows.numbered(i, [*runs.vulnerability_order(), F.asc("l_linenumber")], "place").select("place", "risk", "kind", "file", "line")
 
 
 def mitigation_families(spark, sf_dir):
@@ -286,7 +286,7 @@ def oracle_sql():
     return {
         "finding_kinds": f"WITH {docs} SELECT path, {_labels(classify.KINDS, 'content', ', ' + chr(39) + 'i' + chr(39))} AS kinds FROM d",
         "flows_blocked": f"WITH {docs}, k AS (SELECT path, {kind} AS kind, lower(content) || CASE WHEN file_seq % 4 = 0 THEN ' escape_filter( realpath system( ' ELSE '' END AS c FROM d) SELECT path, kind, {hints} AS blocked FROM k",
-        "flow_groups": f"WITH {docs}, k AS (SELECT path, content, lower(path || ' ' || content[1:200]) AS g, lower(content[1:200]) AS s FROM d) SELECT path, {_first(classify.GROUPS, 'g', 'other')} AS \"group\", {_first(classify.PROFILES, 's', 'unknown')} AS profile, {_labels(classify.CHANGES, 'content')} AS changes FROM k",
+        "flow_groups": f"WITH {docs}, k AS (SELECT path, content, lower(path || ' ' || content) AS g, lower(content) AS s FROM d) SELECT path, {_first(classify.GROUPS, 'g', 'other')} AS \"group\", {_first(classify.PROFILES, 's', 'unknown')} AS profile, {_labels(classify.CHANGES, 'content')} AS changes FROM k",
         "display_names": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '.NET' WHEN n_nationkey % 5 = 1 THEN 'iOS' ELSE 'Nation ' || string_split(n_name, '_')[2] END AS shown FROM nation",
         "artifact_listing": f"WITH {paths} SELECT DISTINCT path, CASE WHEN regexp_matches(lower(path), '\\.html?$') THEN 'report' WHEN ends_with(lower(path), '.pdf') THEN 'document' WHEN ends_with(lower(path), '.json') THEN 'data' ELSE 'log' END AS type FROM p WHERE regexp_matches(lower(path), '\\.(html|pdf|json|log|txt)$') ORDER BY path",
         "log_tails": "SELECT doc_id, CAST(length(right(text, 5000)) AS INTEGER) AS shown, md5(right(text, 5000)) AS digest FROM documents",
@@ -304,7 +304,7 @@ a AS (SELECT * FROM m UNION SELECT project, 'kept' FROM m WHERE platform IN ('se
         "review_normalised": "SELECT doc_id, CASE WHEN toxic = 1 THEN 'false_positive' WHEN quality = 1 THEN 'confirmed' ELSE 'pending' END AS status, 'x' AS note, '' AS updated_at FROM labels",
         "rule_index": f"{H} SELECT rule, count(*) AS n FROM hits GROUP BY rule",
         "file_index": f"{H} SELECT path, count(*) AS n, count(DISTINCT rule_seq) AS rules FROM hits GROUP BY path",
-        "vulnerability_order": "WITH k AS (SELECT CAST(trunc(l_quantity) AS INTEGER) AS risk, l_returnflag AS kind, l_suppkey AS file, l_orderkey AS line, l_linenumber FROM lineitem), n AS (SELECT CAST(row_number() OVER (ORDER BY risk DESC, kind, file, line, l_linenumber) AS INTEGER) AS place, risk, kind, file, line FROM k) SELECT * FROM n WHERE place <= 1000",
+        "vulnerability_order": "WITH k AS (SELECT CAST(trunc(l_quantity) AS INTEGER) AS risk, l_returnflag AS kind, l_suppkey AS file, l_orderkey AS line, l_linenumber FROM lineitem), n AS (SELECT CAST(row_number() OVER (ORDER BY risk DESC, kind, file, line, l_linenumber) AS INTEGER) AS place, risk, kind, file, line FROM k) SELECT * FROM n",
         "mitigation_families": f"WITH {docs}, m AS (SELECT platform, path, 1 + length(substr(content, 1, strpos(content, 'mail') - 1)) - length(replace(substr(content, 1, strpos(content, 'mail') - 1), chr(10), '')) AS line FROM d WHERE platform IN ('en', 'fr', 'de') AND contains(content, 'mail')) SELECT 'contact' AS kind, 'mail' AS title, platform, count(*) AS places, count(DISTINCT path) AS files, min(path) AS path, CAST(arg_min(line, path) AS INTEGER) AS line FROM m GROUP BY platform",
         "summary_merged": "WITH a AS (SELECT 'identified_extensions.' || (n_nationkey % 5) AS key, n_name AS v FROM nation UNION SELECT 'identified_extensions.' || (n_regionkey % 5), n_name FROM nation) SELECT key, string_agg(v, ',' ORDER BY v) AS value FROM a GROUP BY key UNION ALL SELECT 'run.' || r_regionkey, CASE WHEN r_regionkey > 2 THEN CAST(r_regionkey + 5 AS VARCHAR) ELSE CAST(r_regionkey AS VARCHAR) END FROM region",
         "summary_tree": "WITH k AS (SELECT DISTINCT event_type AS e, user_id % 3 AS u FROM events) SELECT 1 AS depth, '' AS parent, 'runs' AS key UNION SELECT 2, 'runs', 'runs.' || e FROM k UNION SELECT 3, 'runs.' || e, 'runs.' || e || '.' || u FROM k",

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
@@ -39,6 +40,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def only_missing(error: AnalysisException) -> None:
+    """Raise an error again unless it says that a path isn't there: what can't be read isn't empty."""
+    if "PATH_NOT_FOUND" not in (error.getCondition() or "") and "Path does not exist" not in str(error):
+        raise error
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back. Cuts the lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"

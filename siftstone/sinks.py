@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.operators import match, recon, review
-from siftstone.plans.lineage import materialize
+from siftstone.plans.lineage import materialize, only_missing
 
 
 def append_findings(rows: DataFrame, path: str, fmt: str = "json") -> None:
@@ -69,7 +70,8 @@ def upsert_summary(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     try:
         all_ = spark.read.schema("key string, value array<string>, version int").parquet(path)
         last = all_.agg(F.max("version")).first()[0]
-    except Exception:  # the first
+    except AnalysisException as error:  # the first
+        only_missing(error)
         last = None
     old = spark.createDataFrame([], "key string, value array<string>") if last is None else all_.filter(F.col("version") == last).drop("version")
     merged_summary(old, new).coalesce(1).write.mode("overwrite").parquet(f"{versions}{(last or 0) + 1}")

@@ -6,13 +6,17 @@ stops a scan. Catalogs are what people write, so plans may hold them as literals
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftstone.functions.text import basename, dirname, strip, with_safe_patterns
+from siftstone.operators import dataflow
 from siftstone.operators.match import Rule
 from siftstone.operators.recon import Spec, normalised_extensions
+from siftstone.plans.lineage import only_missing
 
 #: Rules or specs that a plan may hold as literals.
 MOST_LITERALS = 20_000
@@ -31,7 +35,8 @@ def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame | N
         rows = spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED").schema(schema).load(path)
         rows.limit(1).count()
         return rows
-    except Exception:  # no such file, or not XML
+    except AnalysisException as error:  # no such file
+        only_missing(error)
         return None
 
 
@@ -160,7 +165,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     try:
         raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{ENTRY}>").alias("m"))
         raw.limit(1).count()
-    except Exception:  # no such file
+    except AnalysisException as error:  # no such file
+        only_missing(error)
         raw = spark.createDataFrame([], f"m map<string,{ENTRY}>")
     rows = raw.select(F.explode("m").alias("group", "entries")).select("group", F.explode("entries").alias("e")).filter(_text(F.col("e.name")) != "")
     extensions = F.coalesce(normalised_extensions(F.col("e.fileExtensions")), F.array().cast("array<string>"))
@@ -200,7 +206,8 @@ def read_taint_settings(spark: SparkSession, path: str) -> DataFrame:
     try:
         raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TAINT_SCHEMA)).alias("p")).select("p.*")
         raw.limit(1).count()
-    except Exception:  # no such file
+    except AnalysisException as error:  # no such file
+        only_missing(error)
         raw = spark.createDataFrame([], TAINT_SCHEMA[len("array<struct<") : -2])
     row = lambda kind, name, description, pattern: F.struct(F.lit(kind).alias("kind"), name.alias("name"), description.alias("description"), pattern.alias("pattern"))
     none = lambda c, kind="array<string>": F.coalesce(F.col(c), F.array().cast(kind))
@@ -213,13 +220,25 @@ def read_taint_settings(spark: SparkSession, path: str) -> DataFrame:
     return with_safe_patterns(found, "pattern").filter("pattern is not null")
 
 
+def as_settings(rows: DataFrame, platform: str, base: dataflow.Settings | None = None) -> dataflow.Settings:
+    """A platform's rows of read_taint_settings as settings of the flow analysis; base (without it the defaults) gives what rows don't say."""
+    own = rows.filter(F.lower("platform") == platform.lower()).limit(MOST_LITERALS + 1).collect()  # what people write
+    if len(own) > MOST_LITERALS:
+        raise ValueError(f"more than {MOST_LITERALS} rows of settings for {platform}")
+    patterns = {kind: "|".join(f"(?:{p})" for p in sorted({r["pattern"] for r in own if r["kind"] == kind and r["pattern"]})) for kind in ("source", "sink", "sanitizer")}
+    base = base or dataflow.Settings(r"(?!)", ())
+    safe = tuple(sorted({r["name"] for r in own if r["kind"] == "safe"}))
+    return replace(base, sources=patterns["source"] or base.sources, sink_pattern=patterns["sink"] or base.sink_pattern, cleaner_pattern=patterns["sanitizer"] or base.cleaner_pattern, safe=safe or base.safe)
+
+
 def platform_specs(spark: SparkSession, path: str, built_in: list[tuple[str, list[str], str]]) -> DataFrame:
     """platform, globs, mode: the built-in ones, and those that only the settings name."""
     own = spark.createDataFrame(built_in, "platform string, globs array<string>, mode string")
     try:
         given = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TAINT_SCHEMA)).alias("p")).select(F.lower("p.platform").alias("platform"), "p.globs", F.coalesce("p.mode", F.lit("brace")).alias("mode")).filter("globs is not null")
         given.limit(1).count()
-    except Exception:  # no such file
+    except AnalysisException as error:  # no such file
+        only_missing(error)
         return own
     return own.unionByName(given.join(own, "platform", "left_anti"))
 
@@ -234,7 +253,8 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
     try:
         raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<rules:struct<{lists}>>").alias("c"))
         raw.limit(1).count()
-    except Exception:  # no such file
+    except AnalysisException as error:  # no such file
+        only_missing(error)
         raw = spark.createDataFrame([], f"c struct<rules:struct<{lists}>>")
     rows = None
     for k in kinds:

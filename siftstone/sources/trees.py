@@ -30,7 +30,7 @@ def recon_text(raw: Column) -> Column:
     """The first mebibyte as UTF-8 if it is valid, else as Latin-1; null if it is empty or holds a zero byte."""
     head = F.substring(raw, 1, RECON_BYTES)
     text = F.when(F.is_valid_utf8(head.cast("string")), head.cast("string")).otherwise(F.decode(head, "ISO-8859-1"))
-    return F.when((F.length(head) > 0) & (F.locate("00", F.regexp_replace(F.hex(head), "(..)", "$1 ")) == 0), text)
+    return F.when((F.length(head) > 0) & ~F.contains(head, F.lit(bytearray(1))), text)
 
 
 def marker_text(raw: Column) -> Column:

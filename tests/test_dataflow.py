@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftstone.operators import dataflow, extract, flows
 from siftstone.operators.dataflow import Settings
+from siftstone.sources import catalogs
 
 OURS = Settings(r"request\.|\$_(?:GET|POST|REQUEST)\b", ("run", "query"), ("clean",), safe=("print",))
 SOURCES = {
@@ -344,3 +345,45 @@ def test_spans_branches_and_aliases(spark):
     assert got == {("inside.py", 1), ("one_cleaned.py", 1), ("long.py", 1), ("early.py", 6), ("one.java", 5), ("loop.go", 4), ("param.go", 5), ("switch.js", 5), ("lib/b.py", 2)}
     facts = {(r["alias"], r["start"], r["kind"]) for r in dataflow.summaries(g).collect()}
     assert {("save", "0", "sink"), ("give", "0", "return"), ("inner", "0", "sink")} <= facts and ("second", "source", "sink") not in facts
+
+
+FORMS = {
+    "site/pages/form.html": '<html>\n<form action="../save.php"\n  method="post">\n  <input type=text name="name">\n  <input type="text"\n    name="mail">\n</form>',
+    "site/save.php": "<?php\n$n = $_POST['name'];\nrun($n);\nrun($_POST['mail']);\nrun($_POST['other']);\nrun(clean($_POST['name']));\n",
+    "other/save.php": "<?php\nrun($_POST['name']);\n",
+}
+
+
+def test_form_fields_in_flows(spark):
+    files = spark.createDataFrame(list(FORMS.items()), "path string, content string")
+    found = {(r["file"], r["line"]): [(s["role"], s["file"], s["line"]) for s in r["path"]] for r in dataflow.traced(dataflow.graph(files, OURS)).filter("trace_status = 'complete'").collect()}
+    form = "site/pages/form.html"
+    assert found == {
+        ("site/save.php", 3): [("source", form, 4), ("assign", "site/save.php", 2), ("sink", "site/save.php", 3)],
+        ("site/save.php", 4): [("source", form, 5), ("read", "site/save.php", 4), ("sink", "site/save.php", 4)],
+        ("site/save.php", 5): [("source", "site/save.php", 5), ("sink", "site/save.php", 5)],
+        # by its base name alone: no form names this file
+        ("other/save.php", 2): [("source", form, 4), ("read", "other/save.php", 2), ("sink", "other/save.php", 2)],
+    }
+
+
+def test_resolved_paths(spark):
+    rows = [("site/pages", "../save.php", "site/save.php"), ("site", "save.php", "site/save.php"), ("a/b", "/c/./d", "c/d"), ("", "x", "x"), ("a", "../../x", "x"), ("a/b", "../../c/../d", "d")]
+    df = spark.createDataFrame(rows, "f string, t string, w string")
+    assert all(r["x"] == r["w"] for r in df.select("w", dataflow.resolved_path(F.col("f"), F.col("t")).alias("x")).collect())
+
+
+def test_settings_of_a_catalog(spark, tmp_path):
+    (tmp_path / "taint.json").write_text('[{"platform": "Py", "sources": ["request\\\\."], "sinks": [{"name": "db", "description": "d", "pattern": "\\\\bexecute\\\\("}], "sanitizers": ["\\\\bescape\\\\("], "safe_callees": ["note"]}]')
+    settings = catalogs.as_settings(catalogs.read_taint_settings(spark, str(tmp_path / "taint.json")), "py")
+    files = spark.createDataFrame([("a.py", "q = request.args\ndb.execute(q)\ndb.execute(escape(q))\nnote(q)\nsend(q)\n")], "path string, content string")
+    assert {(r["line"], r["trace_status"]) for r in dataflow.traced(dataflow.graph(files, settings)).collect()} == {(2, "complete"), (5, "partial")}
+    assert catalogs.as_settings(catalogs.read_taint_settings(spark, str(tmp_path / "none.json")), "py").sink_pattern == ""
+
+
+def test_more_rules_than_lines_of_a_block(spark):
+    """Rules of one kind take a line each, however many; lines with many matches count once."""
+    text = "escape(a); escape(b)\n" * 90
+    rules = [flows.Mitigation("py", "k", f"r{i}", r"escape\(") for i in range(70)]
+    found = flows.mitigations(spark.createDataFrame([("a", "py", text), ("b", "py", "escape(x)"), ("c", "py", "")], "path string, platform string, content string"), rules).collect()
+    assert sorted((r["path"], r["line"], r["title"]) for r in found) == sorted([("a", i + 1, f"r{i}") for i in range(70)] + [("b", 1, "r0")])

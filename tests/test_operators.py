@@ -75,10 +75,10 @@ def test_evidence_of_a_file_is_whole(spark):
 
 
 def test_gates_without_patterns(spark):
-    rules = [Rule(1, "c", "anchored", "", gate="WHEN PRESENT run"), Rule(2, "c", "bare", "", gate="WHEN EXPR PRESENT:/run/"), Rule(3, "c", "failing", "x", gate="WHEN PRESENT nothing")]
+    rules = [Rule(1, "c", "anchored", "", gate="WHEN PRESENT run"), Rule(2, "c", "bare", "", gate="WHEN EXPR PRESENT:run"), Rule(3, "c", "failing", "x", gate="WHEN PRESENT nothing")]
     f = spark.createDataFrame([("a", "p", "RUN\nx\nX", 1), ("e", "p", "", 2)], FILES)
     assert sorted((r["rule_seq"], r["line"], r["pass_no"]) for r in match.evidence(f, rules[:1]).collect()) == [(1, 1, 1)]
-    assert [tuple(r) for r in match.placeholders(f, [Rule(2, "c", "bare", "", gate="WHEN EXPR PRESENT:/RUN/"), rules[0]]).collect()] == [("a", 2, 1, "[condition holds]")]
+    assert [tuple(r) for r in match.placeholders(f, [Rule(2, "c", "bare", "", gate="WHEN EXPR PRESENT:RUN"), rules[0]]).collect()] == [("a", 2, 1, "[condition holds]")]
     assert sorted((r["rule_seq"], r["line"], r["pass_no"], r["reason"]) for r in match.gate_suppressed(f, rules).collect()) == [(3, 2, 0, "required pattern is absent"), (3, 3, 1, "required pattern is absent")]
 
 
