@@ -57,7 +57,9 @@ def scanned(files: DataFrame, rules: list[Rule]) -> DataFrame:
         gate = gates.verdict(gates.parse(r.gate), F.col("content"), F.col("path"))["passed"] if r.gate else None
         told = F.lit(True) if may is None and gate is None else gate if may is None else may if gate is None else may & gate
         ok.append(F.when(told, F.lit(r.seq)))
-    return files.withColumn("passed", F.array_compact(F.array(*ok))).filter(F.size("passed") > 0).withColumn("lines", lines_of(F.col("content")))
+    passed = F.array_compact(F.array(*ok))
+    passed = F.array_intersect(passed, "only") if "only" in files.columns else passed
+    return files.withColumn("passed", passed).filter(F.size("passed") > 0).withColumn("lines", lines_of(F.col("content")))
 
 
 def gate_verdicts(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -80,19 +82,20 @@ def _pass(rule: Rule, line: Column, low: Column, twice: bool) -> Column:
     return kind if may is None else F.when(may, kind)
 
 
-def evidence(files: DataFrame, rules: list[Rule]) -> DataFrame:
+def evidence(files: DataFrame, rules: list[Rule], also: tuple[str, ...] = ()) -> DataFrame:
     """path, platform, file_seq, rule_seq, line, code, pass_no of each line that a rule hits, once, in files whose gate holds.
 
+    A column `only` of files, if there is one, names the rules (seqs) that are tried on each; also: further columns of files to keep.
     pass 0 is case-sensitive; rules with a gate are tried again without case, which adds lines as pass 1. Each pattern stands once in the plan.
     """
-    lines = scanned(files, rules).select("path", "platform", "file_seq", "passed", F.posexplode("lines").alias("pos", "code"))
+    lines = scanned(files, rules).select("path", "platform", "file_seq", *also, "passed", F.posexplode("lines").alias("pos", "code"))
     lines = lines.filter(F.length("code") <= MAX_LINE)
     code, low = F.col("code"), F.lower("code")
     kinds = F.array(*[F.when(F.array_contains("passed", r.seq), _pass(r, code, low, bool(r.gate))) for r in rules])
     seqs = F.array(*[F.lit(r.seq) for r in rules])
     hits = F.filter(F.transform(kinds, lambda k, i: F.struct(F.get(seqs, i).alias("rule_seq"), k.alias("pass_no"))), lambda h: h["pass_no"].isNotNull())
-    hit = lines.select("path", "platform", "file_seq", (F.col("pos") + 1).alias("line"), "code", F.explode(hits).alias("hit"))
-    return hit.select("path", "platform", "file_seq", "hit.rule_seq", "line", "code", "hit.pass_no")
+    hit = lines.select("path", "platform", "file_seq", *also, (F.col("pos") + 1).alias("line"), "code", F.explode(hits).alias("hit"))
+    return hit.select("path", "platform", "file_seq", *also, "hit.rule_seq", "line", "code", "hit.pass_no")
 
 
 def gate_suppressed(files: DataFrame, rules: list[Rule]) -> DataFrame:
