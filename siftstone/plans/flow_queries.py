@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import scoring
 from siftstone.functions import text as T
-from siftstone.operators import dataflow, extract, flows, match
+from siftstone.operators import dataflow, extract, flows, match, staged
 from siftstone.plans import scan_queries as S
 from siftstone.sources.tables import files, page_files, small, table
-from siftstone.streaming import scan
+from siftstone.streaming import scan, status
+
 
 def _flows(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem")
@@ -243,6 +245,82 @@ def form_declarations(spark, sf_dir):
     return dataflow.forms(page_files(spark, sf_dir)).select("path", "target", "method", "field", "seq")
 
 
+def order_code(spark, sf_dir):
+    """Source files made of the tables: an order is a function whose variable its line items set, clear or leave, in a branch or not, and hand to a sink
+    by the functions of their suppliers, of which some give back what they are given. A line item has four lines."""
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
+    branch = F.col("l_quantity") > 25
+    value = F.when(F.col("l_returnflag") == "R", "v = request.q").when(F.col("l_returnflag") == "N", "v = 1").otherwise("c = 2")
+    handed = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("w = give"), F.col("l_suppkey").cast("string"), F.lit("(v)"))).otherwise("w = v")
+    lines = F.concat(F.when(branch, "    if c:\n        ").otherwise("    c = 1\n    "), value, F.lit("\n    "), handed, F.when(F.col("l_linestatus") == "F", "\n    run(w)\n").otherwise("\n    print(w)\n"))
+    items = i.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", lines.alias("code")))), lambda x: x["code"]), "").alias("code"))  # an order's
+    of_orders = items.select(F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def order():\n"), "code").alias("content"))
+    s = i.filter("l_suppkey % 2 = 0").select("l_suppkey").distinct()
+    body = F.when(F.col("l_suppkey") % 4 == 0, "(x):\n    return x\n").otherwise("(x):\n    return clean(x)\n")
+    return of_orders.unionByName(s.select(F.concat(F.lit("suppliers/"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def give"), F.col("l_suppkey").cast("string"), body).alias("content")))
+
+
+def order_flows(spark, sf_dir):
+    """Sinks of order_code that a source reaches."""
+    found = dataflow.traced(dataflow.graph(order_code(spark, sf_dir), TAINT)).filter("trace_status = 'complete'")
+    return found.select(F.col("file").alias("path"), "line", "sink", "variable")
+
+
+def order_summaries(spark, sf_dir):
+    """What the suppliers' functions of order_code do with what they are given."""
+    found = dataflow.summaries(dataflow.graph(order_code(spark, sf_dir), TAINT))
+    return found.filter("startswith(alias, 'give')").select("alias", "start", "kind", "target")
+
+
+def order_statements(spark, sf_dir):
+    """Statements of order_code by kind and target: assignments and calls, in branches or not."""
+    read = extract.read_files(order_code(spark, sf_dir)).select("path", F.explode("statements").alias("s"))
+    return read.groupBy("s.kind", "s.target", (F.size("s.blocks") > 0).alias("in_branch")).agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"), F.sum("s.line").alias("lines"))
+
+
+#: Statuses that events stand for.
+STATUSES = {"signup": "queued", "view": "running", "click": "running", "purchase": "success", "error": "failed"}
+
+
+def run_transitions(spark, sf_dir):
+    """Transitions of runs (the events of a user and day) by the status machine, timeouts of two hours among them."""
+    e = table(spark, sf_dir, "events")
+    word = F.create_map(*[F.lit(x) for pair in STATUSES.items() for x in pair])[F.col("event_type")]
+    rows = e.select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "dd")).alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), word.alias("status"))
+    # time goes on, so that the last runs end too
+    after = rows.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit("").alias("run"), "ts", F.lit(0).cast("long").alias("id"), F.lit("queued").alias("status"))
+    place = scan.folder(spark)
+    rows.unionByName(after).write.parquet(f"{place}/events")
+    return status.finished(spark, spark.readStream.schema(rows.schema).parquet(f"{place}/events"), timedelta(hours=2), "45 days", place).filter("run <> ''").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def staged_scan(spark, sf_dir):
+    """A scan in parts that is killed in its second part, goes on as the same run, and is then repeated."""
+    place, every = scan.folder(spark), sorted(r["lang"] for r in table(spark, sf_dir, "documents").select("lang").distinct().collect())  # languages
+
+    def kill(platform):
+        if platform == every[1]:
+            raise KeyboardInterrupt
+
+    first = staged.Stages.resume(spark, place, "query")
+    try:
+        staged.scan(first, files(spark, sf_dir), S.RULES, every, kill)
+    except KeyboardInterrupt:
+        first.fail(interrupted=True)
+    again = staged.Stages.resume(spark, place, "query")
+    staged.scan(again, files(spark, sf_dir), S.RULES, every)
+    return staged.scan(again, files(spark, sf_dir), S.RULES, every).select("path", "rule_seq", "line", "pass_no")
+
+
+def incremental_rescan(spark, sf_dir):
+    """Evidence after rules have changed, come and gone, and files, too: only what changed is scanned."""
+    place = scan.folder(spark)
+    before = [replace(r, regex="x" if r.seq == 2 else r.regex) for r in S.RULES if r.seq != 3]
+    was = files(spark, sf_dir).filter("file_seq % 3 <> 0").withColumn("content", F.when(F.col("file_seq") % 7 == 0, F.concat("content", F.lit("\ntoken"))).otherwise(F.col("content")))
+    staged.rescan(spark, was, before, place)
+    return staged.rescan(spark, files(spark, sf_dir), S.RULES, place).select("path", "rule_seq", "line", "pass_no")
+
+
 def streaming_scan(spark, sf_dir):
     return scan.scan_arriving(spark, f"{sf_dir}/documents.parquet", S.RULES).groupBy("rule_seq", "pass_no").agg(F.count("*").alias("n"))
 
@@ -259,6 +337,7 @@ NAMES = (
     flow_rank_dedupe, flow_risk, flow_confidence, finding_flow_interval_join, inventory_summary, vulnerability_first_rule, mitigation_suffix_anti, mitigation_discovery, cross_kind_filter, first_key_lookup, analyzer_review_last,
     xref_capped, form_field_lookup, framework_inherit, taint_reachability, flow_graph, path_step_context, enclosing_label, block_depth, variable_use, family_rollup, endpoint_targets, flow_stats, summary_merge,
     extract_functions, extract_calls, trace_flows, function_aliases, function_summaries, flow_inventory, form_declarations, streaming_scan, streaming_windows, streaming_last_status,
+    order_flows, order_summaries, order_statements, run_transitions, staged_scan, incremental_rescan,
 )
 
 
@@ -309,5 +388,25 @@ x AS (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_i
         "summary_merge": "SELECT o_custkey AS alias, 'sink' AS kind, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY o_custkey UNION ALL SELECT o_custkey, 'return', count(DISTINCT o_orderpriority[1]) FROM orders GROUP BY o_custkey",
         "streaming_scan": f"{H} SELECT rule_seq, pass_no, count(*) AS n FROM hits GROUP BY rule_seq, pass_no",
         "streaming_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "order_flows": """WITH d AS (SELECT *, last_value(CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'N' AND l_quantity <= 25 THEN 0 END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS held FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS k FROM d)
+SELECT 'orders/' || l_orderkey || '.py' AS path, CAST(1 + 4 * k AS INTEGER) AS line, 'run' AS sink, 'w' AS variable FROM n WHERE held = 1 AND l_linestatus = 'F' AND (l_suppkey % 2 = 1 OR l_suppkey % 4 = 0)""",
+        "order_summaries": "SELECT DISTINCT 'give' || l_suppkey AS alias, '0' AS start, 'return' AS kind, '' AS target FROM lineitem WHERE l_suppkey % 4 = 0",
+        "order_statements": """WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS k FROM lineitem), o AS (SELECT 'orders/' || l_orderkey AS path, l_suppkey AS supp, l_returnflag AS flag, l_quantity > 25 AS branch, 4 * k - 2 AS line FROM i),
+s AS (SELECT path, line, 'assign' AS kind, 'c' AS target, false AS in_branch FROM o WHERE NOT branch UNION ALL SELECT path, line + 1, 'assign', CASE WHEN flag IN ('R', 'N') THEN 'v' ELSE 'c' END, branch FROM o
+  UNION ALL SELECT path, line + 2, 'assign', 'w', false FROM o UNION ALL SELECT path, line + 3, 'call', '', false FROM o
+  UNION ALL SELECT DISTINCT 'suppliers/' || supp, k.line, k.kind, k.target, false FROM o, (VALUES (1, 'param', 'x'), (2, 'return', '')) k(line, kind, target) WHERE supp % 2 = 0)
+SELECT kind, target, in_branch, count(*) AS n, count(DISTINCT path) AS files, CAST(sum(line) AS BIGINT) AS lines FROM s GROUP BY ALL""",
+        "run_transitions": f"""WITH RECURSIVE e AS (SELECT user_id || '-' || strftime(ts, '%d') AS run, epoch_us(ts) AS moment, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUSES.items())} END AS status, row_number() OVER (PARTITION BY user_id || '-' || strftime(ts, '%d') ORDER BY ts, event_id) AS k FROM events),
+m AS (SELECT run, CAST(0 AS BIGINT) AS k, '' AS s, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS moment, '' AS was, '' AS status, false AS t, false AS legal, false AS told, CAST(0 AS BIGINT) AS prev, '' AS old FROM (SELECT DISTINCT run FROM e)
+  UNION ALL SELECT run, k, CASE WHEN legal THEN status ELSE was END, CASE WHEN legal THEN moment WHEN t THEN last + 7200000000 ELSE last END, n + CAST(t AS BIGINT) + CAST(NOT legal OR status <> was AS BIGINT), moment, was, status, t, legal, NOT legal OR status <> was, last, old
+  FROM (SELECT *, (was = '' AND status IN ('queued', 'running')) OR (was = 'queued' AND status IN ('running', 'stopped', 'failed')) OR (was = 'running' AND status IN ('running', 'success', 'failed', 'stopped')) AS legal
+    FROM (SELECT m.run, e.k, m.last, m.n, e.moment, e.status, m.s AS old, m.s IN ('queued', 'running') AND e.moment - m.last > 7200000000 AS t, CASE WHEN m.s IN ('queued', 'running') AND e.moment - m.last > 7200000000 THEN 'failed' ELSE m.s END AS was FROM m JOIN e ON e.run = m.run AND e.k = m.k + 1))),
+ends AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY run ORDER BY k DESC) = 1),
+out AS (SELECT run, n - CAST(told AS BIGINT) - 1 AS seq, prev + 7200000000 AS moment, old AS was, 'failed' AS status, true AS legal, true AS timed_out FROM m WHERE t UNION ALL SELECT run, n - 1, moment, was, status, legal, false FROM m WHERE told
+  UNION ALL SELECT run, n, last + 7200000000, s, 'failed', true, true FROM ends WHERE s IN ('queued', 'running'))
+SELECT run, seq, strftime(make_timestamp(moment), '%Y-%m-%d %H:%M:%S.%f') AS at, was, status, legal, timed_out FROM out""",
+        "staged_scan": f"{H} SELECT path, rule_seq, CAST(line AS INTEGER) AS line, pass_no FROM hits",
+        "incremental_rescan": f"{H} SELECT path, rule_seq, CAST(line AS INTEGER) AS line, pass_no FROM hits",
         "streaming_last_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS runs FROM events GROUP BY user_id",
     }

@@ -1,11 +1,13 @@
 """Growing logs and the status of runs, as streams that stop and start again."""
 
 import os
+import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.streaming import tail
+from siftstone.streaming import status, tail
 
 
 def run(spark, folder, to):
@@ -56,3 +58,62 @@ def test_done_is_the_end(spark, tmp_path):
     (tmp_path / "a.log.done").write_text("")
     assert run(spark, tmp_path, tmp_path / "to")[1] == ["a.log"]
     assert tail.growing(spark, str(tmp_path)).filter(F.col("done")).isStreaming
+
+
+HOUR = 3600.0
+
+
+def brute(events, timeout, until):
+    out = {}
+    for run_, rows in events.items():
+        state, told = ("", 0.0, 0), []
+        for at, _, s in sorted(set(rows)):
+            state, more = status.step(state, at, s, timeout)
+            told += more
+        if state[0] in status.GOING_ON and until - state[1] > timeout:
+            told.append((state[2], state[1] + timeout, state[0], "failed", True, True))
+        out[run_] = told
+    return out
+
+
+def test_steps():
+    walk = lambda *events: [t[2:] for t in brute({"r": [(h * HOUR, i, s) for i, (h, s) in enumerate(events)]}, 2 * HOUR, 0)["r"]]
+    assert walk((0, "queued"), (1, "running"), (2, "running"), (3, "success"), (4, "failed")) == [("", "queued", True, False), ("queued", "running", True, False), ("running", "success", True, False), ("success", "failed", False, False)]
+    assert walk((0, "running"), (3, "success")) == [("", "running", True, False), ("running", "failed", True, True), ("failed", "success", False, False)]
+    assert walk((0, "success"), (1, "queued"), (2, "stopped"), (3, "success")) == [("", "success", False, False), ("", "queued", True, False), ("queued", "stopped", True, False), ("stopped", "success", False, False)]
+
+
+def test_runs_out_of_order(spark, tmp_path):
+    rng = random.Random(3)
+    events = {f"r{k}": [(round(rng.uniform(0, 40), 2) * HOUR, i, rng.choice(["queued", "running", "running", "success", "failed", "stopped"])) for i in range(8)] for k in range(12)}
+    every = [(r, a, i, s) for r, rows in events.items() for a, i, s in rows]
+    every += rng.sample(every, 10)  # twice
+    rng.shuffle(every)
+    source, to = tmp_path / "events", tmp_path / "to"
+    schema = "run string, ts timestamp, id long, status string"
+    put = lambda rows, n: spark.createDataFrame([(r, a, i, s) for r, a, i, s in rows], "run string, at double, id long, status string").select("run", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"), "id", "status").coalesce(1).write.mode("append").parquet(str(source))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    status.with_state_store(spark)
+
+    def go():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        query = status.transitions(stream, timedelta(hours=6), "50 hours").writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    try:
+        put(every[:40], 0)
+        go()
+        put(every[40:], 1)
+        go()  # a restart
+        put([("end", 200 * HOUR, 0, "queued")], 2)  # time goes on for all
+        go()
+        put([("end", 400 * HOUR, 1, "running")], 3)
+        go()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {}
+    for r in spark.read.schema(status.TRANSITION).parquet(f"{to}/out").orderBy("seq").select("*", (F.unix_micros("at") / 1e6).alias("x")).collect():
+        got.setdefault(r["run"], []).append((r["seq"], round(r["x"], 3), r["was"], r["status"], r["legal"], r["timed_out"]))
+    wanted = brute(events, 6 * HOUR, 300 * HOUR)
+    assert {r: [(n, round(a, 3), *rest) for n, a, *rest in told] for r, told in wanted.items() if told} == {k: v for k, v in got.items() if k != "end"}
+    assert got["end"] == [(0, 200 * HOUR, "", "queued", True, False), (1, 206 * HOUR, "queued", "failed", True, True)]
