@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import classify
-from siftstone.functions.text import basename, norm_text, strip
+from siftstone.functions.text import basename, identifiers, norm_text, strip
 from siftstone.plans.lineage import cut
 
 
@@ -366,3 +366,103 @@ def graph_nodes(flows: DataFrame, xref: DataFrame, caps: dict[str, int] | None =
     few = xref.withColumn("i", F.row_number().over(Window.partitionBy("flow_seq", "kind").orderBy("seq"))).filter(F.col("i") <= cap)
     some = few.withColumn("j", F.row_number().over(Window.partitionBy("flow_seq").orderBy("kind", "i"))).filter(F.col("j") <= most)
     return steps.unionByName(some.select("flow_seq", (F.lit(999) + F.col("j")).alias("place"), "kind", F.col("symbol").alias("label")))
+
+
+#: References that a step of a graph may have, by kind, and a graph in all; references of no step that are shown beside the sink; steps at the end that share names.
+STEP_REFERENCES, OTHER_REFERENCES, MOST_REFERENCES, MOST_RELATED, TAIL = {"callsite": 6, "definition": 4}, 3, 18, 2, 5
+REFERENCE = "struct<kind:string,resolved:string,symbol:string,context:string,file:string,line:int>"
+#: Steps of references that are put into words.
+TOLD_REFERENCES = 8
+
+
+def path_graph(rows: DataFrame) -> DataFrame:
+    """flow_seq, edges (from, to, kind, label), narrative, steps of flows (flow_seq, path as PATH, xref as array of REFERENCE, in their order).
+
+    A step of the path is p0, p1, ...; a reference x0, x1, ... hangs on the first step, with room for its kind, that calls it by name, or else on the first of the last steps
+    that shares a name with it; up to two that hang nowhere are shown beside the sink. References are as few as `xref_capped` leaves, so that one
+    fold in the row goes over them.
+    """
+    called = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z_][\w.]*)\s*\("), F.lit(1)), lambda n: F.element_at(F.split(n, r"\."), -1))
+    base_of = lambda c: basename(c["file"])
+    place = lambda s: F.concat(base_of(s), F.lit(":"), F.coalesce(s["line"].cast("string"), F.lit("")))
+    n = F.size("path")
+    facts = rows.withColumns({
+        "__calls": F.transform("path", lambda s: F.when(s["role"] == "call", called(s["code"])).otherwise(F.array().cast("array<string>"))),
+        "__names": F.transform("path", lambda s: identifiers(s["code"])),
+        "__labels": F.transform("path", lambda s: F.upper(F.when((s["role"] == "call") & (F.size(called(s["code"])) > 0), F.concat(F.lit("call "), F.substring(F.get(called(s["code"]), F.lit(0)), 1, 20))).otherwise(s["role"]))),
+        "__places": F.transform("path", place),
+    })
+    every = lambda low: F.when(n > 0, F.sequence(low, n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def anchors(x: Column) -> Column:
+        own = F.filter(every(F.lit(0)), lambda i: F.array_contains(F.get("__calls", i), F.lower(x["resolved"])))
+        names = identifiers(F.concat_ws(" ", x["resolved"], x["symbol"], x["context"]))
+        near = F.filter(every(F.greatest(n - TAIL, F.lit(0))), lambda i: F.arrays_overlap(F.get("__names", i), names))
+        return F.when((x["resolved"] != "") & (F.size(own) > 0), own).otherwise(F.slice(near, 1, 1))
+
+    edge = "struct<at:int,x:int,kind:string,label:string,role:string>"
+    begun = F.array().cast(f"array<{edge}>")
+    cap = lambda role: F.when(role == "callsite", STEP_REFERENCES["callsite"]).when(role == "definition", STEP_REFERENCES["definition"]).otherwise(OTHER_REFERENCES)
+    free = lambda edges, at, role: (F.size(F.filter(edges, lambda e: (e["at"] == at) & (e["role"] == role))) < cap(role)) & (F.size(edges) < MOST_REFERENCES)
+
+    def take(edges: Column, i: Column) -> Column:
+        x = F.get("xref", i)
+        role = F.lower(F.coalesce(F.nullif(x["kind"], F.lit("")), F.lit("xref")))
+        first = F.get(F.filter(anchors(x), lambda a: free(edges, a, role)), F.lit(0))
+        beside = (n > 0) & (F.size(F.filter(edges, lambda e: e["kind"] == "xref_related")) < MOST_RELATED) & free(edges, n - 1, role)
+        made = lambda at, kind, label: F.array_append(edges, F.struct(at.cast("int").alias("at"), i.cast("int").alias("x"), F.lit(kind).alias("kind"), label.alias("label"), role.alias("role")))
+        return F.when(first.isNotNull(), made(first, "xref", role)).when(beside, made(n - 1, "xref_related", F.lit("related"))).otherwise(edges)
+
+    count = F.size(F.coalesce("xref", F.array().cast(f"array<{REFERENCE}>")))
+    hung = facts.withColumn("__hung", F.when(count > 0, F.aggregate(F.sequence(F.lit(0), count - 1), begun, take)).otherwise(begun))
+    between = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    step = lambda i: F.concat(F.lit("p"), i.cast("string"))
+    made = lambda a, b, kind, label: F.struct(a.alias("from"), b.alias("to"), kind.alias("kind"), label.alias("label"))
+    edges = F.concat(
+        F.transform(between, lambda i: made(step(i - 1), step(i), F.lit("path"), F.concat(F.lit("step "), i.cast("string")))),
+        F.transform("__hung", lambda e: made(step(e["at"]), F.concat(F.lit("x"), e["x"].cast("string")), e["kind"], e["label"])),
+    )
+    number = lambda kind: F.size(F.filter("__hung", kind)).cast("string")
+    chain = F.when(n > 0, F.array_join(F.transform("path", lambda s: F.upper(s["role"])), " -> ")).otherwise("NO PATH")
+    narrative = F.concat(
+        F.lit("Trace, from left to right: "), chain, F.lit(". References: "), F.size("__hung").cast("string"), F.lit(" (definitions: "), number(lambda e: e["role"] == "definition"), F.lit(", callsites: "), number(lambda e: e["role"] == "callsite"),
+        F.lit(", related: "), number(lambda e: e["kind"] == "xref_related"), F.lit(")."),
+    )
+    name = lambda x: F.coalesce(F.nullif(x["resolved"], F.lit("")), F.nullif(x["symbol"], F.lit("")), F.lit("xref"))
+
+    def told(e: Column) -> Column:
+        x, at = F.get("xref", e["x"]), e["at"]
+        there = F.concat(name(x), F.lit(" ("), place(x), F.lit(")"))
+        return F.when(e["kind"] == "xref_related", F.concat(F.lit("Beside "), F.get("__labels", at), F.lit(": "), there, F.lit("."))).otherwise(F.concat(F.get("__labels", at), F.lit(" ("), F.get("__places", at), F.lit(") has the "), e["label"], F.lit(" "), there, F.lit(".")))
+
+    moves = F.transform(between, lambda i: F.concat(F.lit("Data goes from "), F.get("__labels", i - 1), F.lit(" ("), F.get("__places", i - 1), F.lit(") to "), F.get("__labels", i), F.lit(" ("), F.get("__places", i), F.lit(").")))
+    return hung.select("flow_seq", edges.alias("edges"), narrative.alias("narrative"), F.concat(moves, F.transform(F.slice("__hung", 1, TOLD_REFERENCES), told)).alias("steps"))
+
+
+#: Severities from the worst.
+SEVERITIES = ("Critical", "High", "Medium", "Low")
+
+
+def families(rows: DataFrame) -> DataFrame:
+    """family, status, flows, complete, files, severity (the worst), risk (the highest), vectors (name -> flows): of flows with family, status, trace_status, file, severity, risk, vectors.
+
+    Counts are pre-aggregated; a family's files are counted, and listed by `family_files`, since they may be many.
+    """
+    place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity")), F.lit(0))
+    key = ["family", "status"]
+    rank = F.when(place > 0, place).otherwise(len(SEVERITIES))
+    whole = rows.groupBy(*key).agg(F.count("*").alias("flows"), F.count_if(F.lower("trace_status") == "complete").alias("complete"), F.count_distinct("file").alias("files"), F.min(rank).alias("worst"), F.max("risk").alias("risk"))
+    per = rows.select(*key, F.explode(F.array_distinct("vectors")).alias("vector")).groupBy(*key, "vector").agg(F.count("*").alias("n"))
+    mapped = per.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("vector", "n")))).alias("vectors"))  # as many as kinds of vectors
+    severity = F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("worst").cast("int") - 1)
+    return whole.join(mapped, key, "left").select(*key, "flows", "complete", "files", severity.alias("severity"), "risk", F.coalesce("vectors", F.create_map().cast("map<string,bigint>")).alias("vectors"))
+
+
+def family_files(rows: DataFrame) -> DataFrame:
+    """family, status, file, flows."""
+    return rows.groupBy("family", "status", "file").agg(F.count("*").alias("flows"))
+
+
+def vector_counts(rows: DataFrame) -> DataFrame:
+    """vector, flows, example (the flow of the lowest rank): of flows with rank and vectors; a flow counts once for each of its vectors."""
+    return rows.select("rank", F.explode(F.array_distinct("vectors")).alias("vector")).groupBy("vector").agg(F.count("*").alias("flows"), F.min("rank").alias("example"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,11 @@ def daily_activity(runs: DataFrame, time: str, days: int = 7) -> DataFrame:
     return F.broadcast(calendar).join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("runs"))
 
 
+def latest(runs: DataFrame, order: list, project: Column | None = None, most: int = 50) -> DataFrame:
+    """The last runs, of one project (a condition) if it is given."""
+    return (runs if project is None else runs.filter(project)).orderBy(*order).limit(most)
+
+
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """base with updates: new values where given, else the old ones; new keys added."""
     b, u = base.alias("b"), updates.alias("u")

@@ -229,3 +229,27 @@ def analyzer_rules_from(findings: DataFrame) -> DataFrame:
     return findings.select(
         *[text(c).alias(c) for c in ("target", "title", "sink", "source", "severity")], F.coalesce(F.nullif("file", F.lit("")), first["file"], F.lit("")).alias("file"), F.coalesce(F.nullif("line", F.lit(0)), first["line"]).alias("line"), F.lit("pending").alias("status")
     )
+
+
+EVIDENCE = ["platform", "rule", "file", "line", "code", "promoted"]
+FACTS = ["platform", "rule", "category", "score", "level", "severity", "rating", "note"]
+
+
+def promoted(evidence: DataFrame, facts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence, facts) of findings after hidden items are made findings again.
+
+    evidence: platform, rule, file, line, code; facts: a row for each platform and rule with FACTS; items: seq and both (file, line, code of what was hidden, and what a person
+    says of it, null for nothing). An item is evidence of the finding of its platform and rule, unless it has that file and line; without such a finding it makes one,
+    of medium level and 50 points where nothing else is said. Of what several items say the last counts.
+    """
+    spot = ["platform", "rule", "file", "line"]
+    own = items.groupBy(*spot).agg(F.min_by("code", "seq").alias("code")).join(evidence.select(*spot), spot, "left_anti")
+    grown = evidence.withColumn("promoted", F.lit(False)).select(*EVIDENCE).unionByName(own.withColumn("promoted", F.lit(True)).select(*EVIDENCE))
+    said = [c for c in FACTS if c not in ("platform", "rule", "category")]
+    last = items.groupBy("platform", "rule").agg(F.max_by("category", "seq").alias("category"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in said])
+    f, i = facts.alias("f"), last.alias("i")
+    default = {"score": F.lit(50), "level": F.lit("medium")}
+    there = F.col("f.platform").isNotNull()
+    both = f.join(i, (F.col("f.platform") == F.col("i.platform")) & (F.col("f.rule") == F.col("i.rule")), "full")
+    new = lambda c: F.coalesce(F.col(f"i.{c}"), F.when(there, F.col(f"f.{c}")).otherwise(default.get(c, F.lit(None))))
+    return grown, both.select(F.coalesce("f.platform", "i.platform").alias("platform"), F.coalesce("f.rule", "i.rule").alias("rule"), F.coalesce("f.category", "i.category").alias("category"), *[new(c).alias(c) for c in said])

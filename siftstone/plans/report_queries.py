@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import scoring
 from siftstone.functions import text as T
-from siftstone.operators import flows, match, reports
+from siftstone.operators import flows, match, reports, review
 from siftstone.plans import scan_queries as S
 from siftstone.sources.tables import files, page_files, small, table
 
@@ -74,7 +74,7 @@ def project_rollup(spark, sf_dir):
 
 
 def latest_runs(spark, sf_dir):
-    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
+    return reports.latest(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], F.col("user_id") % 3 == 1).select("event_id", "user_id", "event_type")
 
 
 def run_detail(spark, sf_dir):
@@ -86,11 +86,14 @@ def run_detail(spark, sf_dir):
 
 def promote_upsert(spark, sf_dir):
     """Suppressed findings promoted: evidence added to a finding that is there, unless it has it, else a new finding."""
-    hits = S.written_hits(spark, sf_dir)
-    there = hits.filter("rule_seq <> 6 and pass_no = 0").select("platform", "rule", "path", "line").distinct()
-    promoted = hits.filter("rule_seq in (3, 6) and line <= 5").select("platform", "rule", "path", "line").distinct()
-    merged = there.unionByName(promoted.join(there, ["platform", "rule", "path", "line"], "left_anti"))
-    return merged.groupBy("platform", "rule").agg(F.count("*").alias("evidence"))
+    hits = S.written_hits(spark, sf_dir).withColumnRenamed("path", "file")
+    there = hits.filter("rule_seq NOT IN (1, 6) AND pass_no = 0").select("platform", "rule", "category", "file", "line", "code")
+    facts = there.select("platform", "rule", "category").distinct().withColumns({"score": F.lit(70), "level": F.lit("high"), "severity": F.lit("High"), "rating": F.lit(None).cast("string"), "note": F.lit("seen")})
+    says = lambda kind, value: F.when(F.col("line") == 2, F.lit(value)).otherwise(F.lit(None).cast(kind))
+    items = hits.filter("rule_seq IN (1, 3, 6) AND line <= 5").withColumns({"seq": F.xxhash64("file", "line", "rule"), "score": says("int", 90), "level": F.lit(None).cast("string"), "severity": F.lit(None).cast("string"), "rating": says("string", "two"), "note": says("string", "looked at")})
+    evidence, after = review.promoted(there, facts, items)
+    counts = evidence.groupBy("platform", "rule").agg(F.count("*").alias("evidence"), F.count_if("promoted").alias("promoted"))
+    return counts.join(after, ["platform", "rule"]).select("platform", "rule", "evidence", "promoted", "score", "level", "severity", "rating", "note")
 
 
 def project_upsert(spark, sf_dir):
@@ -258,9 +261,13 @@ def oracle_sql():
         "dashboard_metrics": "SELECT count(*) AS runs, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / count(*), 2) AS success_percent, round(avg(value) FILTER (value > 0), 2) AS mean_duration, count(DISTINCT user_id) AS projects FROM events",
         "daily_activity": "WITH c AS (SELECT CAST(max(ts) AS DATE) - CAST(i AS INTEGER) AS day FROM events, range(7) AS r(i) GROUP BY i), n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT CAST(c.day AS VARCHAR) AS day, coalesce(n, 0) AS runs FROM c LEFT JOIN n ON c.day = n.day",
         "project_rollup": "WITH r AS (SELECT user_id AS id, count(*) AS runs, count(*) FILTER (event_type IN ('click', 'view')) AS running, count(*) FILTER (event_type = 'error') AS failed, arg_max(event_type, (ts, event_id)) AS last_status FROM events GROUP BY user_id), p AS (SELECT c_custkey AS id, c_name FROM customer) SELECT coalesce(p.id, r.id) AS id, c_name, coalesce(runs, 0) AS runs, coalesce(running, 0) AS running, coalesce(failed, 0) AS failed, last_status FROM p FULL JOIN r ON p.id = r.id",
-        "latest_runs": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+        "latest_runs": "SELECT event_id, user_id, event_type FROM events WHERE user_id % 3 = 1 ORDER BY ts DESC, event_id DESC LIMIT 50",
         "run_detail": "SELECT event_id, event_type IN ('purchase', 'error') AS finished, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS even FROM events",
-        "promote_upsert": f"{H}, a AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq <> 6 AND pass_no = 0), b AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq IN (3, 6) AND line <= 5) SELECT platform, rule, count(*) AS evidence FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY platform, rule",
+        "promote_upsert": f"""{H}, a AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq NOT IN (1, 6) AND pass_no = 0), b AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq IN (1, 3, 6) AND line <= 5),
+u AS (SELECT *, 0 AS promoted FROM a UNION ALL SELECT *, 1 FROM (SELECT * FROM b EXCEPT SELECT * FROM a)), said AS (SELECT platform, rule, bool_or(line = 2) AS two FROM b GROUP BY platform, rule), was AS (SELECT DISTINCT platform, rule FROM a)
+SELECT u.platform, u.rule, count(*) AS evidence, CAST(sum(promoted) AS BIGINT) AS promoted, CASE WHEN any_value(two) THEN 90 WHEN any_value(was.rule) IS NOT NULL THEN 70 ELSE 50 END AS score, CASE WHEN any_value(was.rule) IS NOT NULL THEN 'high' ELSE 'medium' END AS level,
+  CASE WHEN any_value(was.rule) IS NOT NULL THEN 'High' END AS severity, CASE WHEN any_value(two) THEN 'two' END AS rating, CASE WHEN any_value(two) THEN 'looked at' WHEN any_value(was.rule) IS NOT NULL THEN 'seen' END AS note
+FROM u LEFT JOIN said ON said.platform = u.platform AND said.rule = u.rule LEFT JOIN was ON was.platform = u.platform AND was.rule = u.rule GROUP BY u.platform, u.rule""",
         "project_upsert": "WITH u AS (SELECT 'NATION_' || (r_regionkey * 10) AS name, r_regionkey AS region, r_name AS note FROM region) SELECT coalesce(n_name, u.name) AS name, coalesce(u.region, n_regionkey) AS region, u.note FROM nation FULL JOIN u ON n_name = u.name",
         "project_delete": "WITH last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS s FROM events GROUP BY user_id) SELECT e.user_id, count(*) AS runs FROM events e JOIN last USING (user_id) WHERE NOT (e.user_id % 4 = 0 AND s NOT IN ('click', 'view')) GROUP BY e.user_id",
         "schema_evolution": "SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'legacy-' || n_nationkey END AS project_key, 0 AS version FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, 1 FROM region",

@@ -85,7 +85,7 @@ def test_tables_are_freed(spark):
 
 def test_classes(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
-    assert one(classify.kinds(F.lit("SQL in a shell"))) == ["sql_injection", "command_injection"] and len(classify.KINDS) == 26 and len(classify.HINTS) == 15
+    assert one(classify.kinds(F.lit("SQL in a command"))) == ["sql_injection", "command_injection"] and len(classify.KINDS) == 26 and len(classify.HINTS) == 15
     assert one(classify.blocked(F.lit("xss"), F.lit("x = shell_exec(y)"))) and not one(classify.blocked(F.lit("ssrf"), F.lit("shell_exec("))) and not one(classify.blocked(F.lit("odd"), F.lit("realpath")))
     s = one(classify.input_surface(F.array(F.lit("$x = $_POST['name']; call('/api/save')"))))
     assert (s["channel"], s["methods"], s["uris"], s["params"], s["examples"]) == ("api", ["POST"], ["/api/save"], ["name"], ["POST /api/save body: name"])
