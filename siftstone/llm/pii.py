@@ -58,7 +58,7 @@ SECRET = re.compile(
     r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?(?:"""
     r"""\s{0,3}[:=]\s{0,3}["']?(?=[^\s"']*\d)([A-Za-z0-9_+/=.~-]{8,})|\s{0,3}[:=]\s{0,3}(["'])([^\s"']{8,})\2|\s?=\s?([A-Za-z_+/~-]{8,})(?![\w.(\[]))"""
 )
-TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία")
+TITLES = ("Dr", "Doctor", "Docteur", "Doktor", "Prof", "Professor", "Professeur", "Доктор", "Профессор", "Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία")
 FEMALE = {"mrs", "ms", "miss", "frau", "madame", "mme", "señora", "sra", "госпожа", "κυρία"}
 #: A letter or a mark that belongs to one, and a word of them.
 LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0670\u0900-\u0dff\u0e31\u0e34-\u0e4e])"
@@ -344,9 +344,19 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         bare = out.replace(" ", "")
         return out[:2] + f"{98 - mod97(bare[:2] + '00' + bare[4:]):02d}" + out[4:]
     if kind == "phone":
+        # of the digits alone, whatever stands between them, so that a number in another format stays the same number; 555 of a made-up one stays
         country = re.match(r"\+\d{1,3}(?!\d)", value)
-        fixed = set(range(country.end() if country else 0)) | {i for m in re.finditer(r"(?<!\d)555(?!\d)", value) for i in range(*m.span())}
-        return _alike(value, key, tweak, fixed)
+        places = [i for i, c in enumerate(value) if c.isdecimal() and i >= (country.end() if country else 0)]
+        zeros = [ord(value[i]) - int(value[i]) for i in places]
+        digits = [int(value[i]) for i in places]
+        kept = range(3, 6) if len(digits) == 10 and digits[3:6] == [5, 5, 5] else range(0)
+        free = [k for k in range(len(digits)) if k not in kept]
+        for k, v in zip(free, permute([digits[k] for k in free], [10] * len(free), key, tweak), strict=True):
+            digits[k] = v
+        out = list(value)
+        for i, zero, v in zip(places, zeros, digits, strict=True):
+            out[i] = chr(zero + v)
+        return "".join(out)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")

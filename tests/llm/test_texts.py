@@ -391,15 +391,15 @@ def test_pii_table(spark):
 
 
 ADVERT = "<div class='ad'>Buy the best of all of these now</div>"
-PAGE = f"<html><body><article><h1>A title of few words</h1>{ADVERT}<p>{'The text of the page is here and it is long. ' * 4}</p><p>Short.</p>{ADVERT}<ul><li><a href='/x'>a link in the text</a></li></ul></article></body></html>"
+ADVERT_PAGE = f"<html><body><article><h1>A title of few words</h1>{ADVERT}<p>{'The text of the page is here and it is long. ' * 4}</p><p>Short.</p>{ADVERT}<ul><li><a href='/x'>a link in the text</a></li></ul></article></body></html>"
 
 
 @pytest.mark.parametrize("constant", [True, False])
 def test_density_decides(monkeypatch, constant):
-    text = html_blocks.main_text(PAGE)
+    text = html_blocks.main_text(ADVERT_PAGE)
     assert text.startswith("A title") and "Short." in text and "a link in the text" in text and "Buy" not in text
     monkeypatch.setattr(html_blocks, "density", lambda *a: constant)
-    assert html_blocks.main_text(PAGE) != text
+    assert html_blocks.main_text(ADVERT_PAGE) != text
 
 
 def test_structure_shifts_limits():
@@ -418,3 +418,18 @@ def test_ambiguous_blocks_look_past_adverts():
     long = "The text of the page is here and it is long. " * 3
     page = f"<article><p>{long}</p><p>One.</p>{ADVERT}<p>Two.</p>{ADVERT}{ADVERT}<p>Three.</p></article>"
     assert html_blocks.main_text(page).split("\n\n")[1:] == ["One.", "Two.", "Three."]
+
+
+def test_numbers_keep_their_identity_across_formats():
+    one = lambda value: pii.surrogate("phone", value, b"key")
+    digits = lambda value: "".join(filter(str.isdecimal, value))
+    same = {digits(one(v))[-10:] for v in ("415-555-2671", "4155552671", "(415) 555-2671", "415.555.2671", "+1 415-555-2671", "+1 (415) 555-2671")}
+    assert len(same) == 1 and same != {"4155552671"} and same.pop()[3:6] == "555"
+    assert re.fullmatch(r"\(\d{3}\) 555-\d{4}", one("(415) 555-2671")) and one("+44 20 7946 0958").startswith("+44 ")
+    assert digits(one("+49 30 123456"))[2:] == digits(one("+49 (30) 123-456"))[2:]
+
+
+def test_titles_of_doctors():
+    kinds = lambda text: [(text[s:e], kind.split("-")[0]) for s, e, kind in pii.find(text)]
+    assert kinds("Dr Jane Doe met Prof. Müller; Doe left.") == [("Jane", "given"), ("Doe", "family"), ("Müller", "family"), ("Doe", "family")]
+    assert kinds("the doctor said so, Dr. no one; professor emeritus") == []
