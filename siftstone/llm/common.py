@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.plans.lineage import materialize, release, shared_dir
 
-__all__ = ["WORD", "count_words", "is_small", "let", "lookup_join", "materialize", "pieces", "read_table", "release", "released", "shared_dir"]
+__all__ = ["WORD", "count_words", "is_small", "let", "lookup_join", "materialize", "pieces", "read_table", "release", "released", "shared_dir", "sheltering"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +48,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sheltering(operate):
+    """operate(rows, ...) for an operator whose result has the rows' columns: those that begin with two underscores, as the operators' own do, have other
+    names meanwhile, so that none is taken for another."""
+
+    @functools.wraps(operate)
+    def wrapped(rows: DataFrame, *args, **options) -> DataFrame:
+        names: dict[str, str] = {}
+        for c in rows.columns:
+            if c.startswith("__"):
+                name = f"sheltered{len(names)}"
+                while name in rows.columns:
+                    name += "_"
+                names[c] = name
+        if not names:
+            return operate(rows, *args, **options)
+        out = operate(rows.withColumnsRenamed(names), *args, **options)
+        return out.withColumnsRenamed({name: c for c, name in names.items()})
+
+    return wrapped
+
+
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

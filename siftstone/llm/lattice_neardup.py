@@ -14,7 +14,7 @@ a simulation of pairs at the threshold, for the wanted recall; groups per table
 input over CELL, so that cells hold some CELL strangers at every size, whose signs are compared for next to nothing.
 
 Nulls: a vector that is null, empty or zero, or that holds a null or non-finite component, links with nothing. Vectors
-of different lengths never link. A cosine of exactly the threshold links. Rows that share a vec_id are one node; rows without one
+of different lengths never link. A cosine of exactly the threshold links. Rows that share a vec_id are one node of components, and count as links by row; rows without one
 link with nothing and have no component. Vectors of any length are taken whole. Empty tables give empty results; extra
 columns are left out.
 """

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import WORD, count_words, is_small, lookup_join, materialize, release
+from siftstone.llm.common import WORD, count_words, is_small, lookup_join, materialize, release, sheltering
 
 SEED = 20_231
 BLOCK_WORDS = 64
@@ -159,6 +159,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", "size", F.col("__source_size").cast("long").alias("source_size"), F.col("__target").alias("target"), (_copies() * F.col("size")).cast("long").alias("taken"))
 
 
+@sheltering
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it. The plan reaches the rows by a checked broadcast, so texts aren't shuffled."""
     columns = docs.columns

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import is_small, materialize, pieces, release, released
+from siftstone.llm.common import is_small, materialize, pieces, release, released, sheltering
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Junk that may stand between the groups of a number.
@@ -414,6 +414,7 @@ def collisions(found: DataFrame, key: bytes, max_attempts: int = 24) -> DataFram
     raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
 
 
+@sheltering
 def anonymize(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with surrogates in text; key: a secret of the caller's; count: a column to add with the number of entities replaced."""
     if not key:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import WORD, let, lookup_join, materialize
+from siftstone.llm.common import WORD, let, lookup_join, materialize, sheltering
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -98,6 +98,7 @@ def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", host: str =
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
+@sheltering
 def filtered(df: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows of df that pass, with df's columns. Texts are measured once: those that pass on their own are written, beside a count of all
     others by host; rejected hosts reach them by a checked broadcast."""

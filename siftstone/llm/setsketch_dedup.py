@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import is_small, lookup_join, materialize, pieces, release, released
+from siftstone.llm.common import is_small, lookup_join, materialize, pieces, release, released, sheltering
 from siftstone.llm.components import components
 from siftstone.llm.hashing import U, mix, range_hashes, slices
 
@@ -413,6 +413,7 @@ def _shared_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame | None:
     return materialize(own.select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "shared-ids")
 
 
+@sheltering
 def deduplicated(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
     """The rows of docs that stay: one row of each group.
 
