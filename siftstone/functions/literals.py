@@ -12,7 +12,6 @@ from re import _constants as C
 from re import _parser
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: Literals of fewer characters are in most texts, and more alternatives cost more than they save.
 SHORTEST, MOST_ALTERNATIVES = 3, 12
