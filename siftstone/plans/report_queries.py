@@ -74,7 +74,7 @@ def project_rollup(spark, sf_dir):
 
 
 def latest_runs(spark, sf_dir):
-    return reports.latest(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], F.col("user_id") % 3 == 1).select("event_id", "user_id", "event_type")
+    return reports.latest(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")]).select("event_id", "user_id", "event_type")
 
 
 def run_detail(spark, sf_dir):
@@ -261,7 +261,7 @@ def oracle_sql():
         "dashboard_metrics": "SELECT count(*) AS runs, count(*) FILTER (event_type = 'purchase') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / count(*), 2) AS success_percent, round(avg(value) FILTER (value > 0), 2) AS mean_duration, count(DISTINCT user_id) AS projects FROM events",
         "daily_activity": "WITH c AS (SELECT CAST(max(ts) AS DATE) - CAST(i AS INTEGER) AS day FROM events, range(7) AS r(i) GROUP BY i), n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT CAST(c.day AS VARCHAR) AS day, coalesce(n, 0) AS runs FROM c LEFT JOIN n ON c.day = n.day",
         "project_rollup": "WITH r AS (SELECT user_id AS id, count(*) AS runs, count(*) FILTER (event_type IN ('click', 'view')) AS running, count(*) FILTER (event_type = 'error') AS failed, arg_max(event_type, (ts, event_id)) AS last_status FROM events GROUP BY user_id), p AS (SELECT c_custkey AS id, c_name FROM customer) SELECT coalesce(p.id, r.id) AS id, c_name, coalesce(runs, 0) AS runs, coalesce(running, 0) AS running, coalesce(failed, 0) AS failed, last_status FROM p FULL JOIN r ON p.id = r.id",
-        "latest_runs": "SELECT event_id, user_id, event_type FROM events WHERE user_id % 3 = 1 ORDER BY ts DESC, event_id DESC LIMIT 50",
+        "latest_runs": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
         "run_detail": "SELECT event_id, event_type IN ('purchase', 'error') AS finished, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS even FROM events",
         "promote_upsert": f"""{H}, a AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq NOT IN (1, 6) AND pass_no = 0), b AS (SELECT DISTINCT platform, rule, path, line FROM hits WHERE rule_seq IN (1, 3, 6) AND line <= 5),
 u AS (SELECT *, 0 AS promoted FROM a UNION ALL SELECT *, 1 FROM (SELECT * FROM b EXCEPT SELECT * FROM a)), said AS (SELECT platform, rule, bool_or(line = 2) AS two FROM b GROUP BY platform, rule), was AS (SELECT DISTINCT platform, rule FROM a)

@@ -38,6 +38,12 @@ def test_scalar_json_takes_every_event(run):
     assert sorted((r["event_id"], r["k"], r["n"], r["total"]) for r in got) == [(i, i if i % 10 else -1, 2, 102 + i) for i in range(25)]
 
 
+def test_latest_runs_takes_every_project(run):
+    rows = [(i, i % 7, "click", i // 4) for i in range(60)]
+    got = run("latest_runs", events=(rows, "event_id long, user_id long, event_type string, ts long")).collect()
+    assert [tuple(r) for r in got] == [(i, i % 7, "click") for i in range(59, 9, -1)]
+
+
 def test_form_field_lookup_takes_every_page(run):
     urls = {3: "https://a/853", 59: "https://b/x", 60: "https://b/853", 4000: "https://blog.ththan.example.net/en/960", 9000: "https://c/960"}
     got = run("form_field_lookup", pages=([(i, u, "") for i, u in urls.items()], "page_id long, url string, html string")).collect()
