@@ -22,6 +22,7 @@ import functools
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import is_small, pieces, released, shared_dir
 from siftstone.llm.hashing import U, range_hashes, slices
-from siftstone.llm.word_table import Encoder, WordTable
+from siftstone.llm.word_table import TRAILING, Encoder, WordTable
 
 MAGIC = b"RPG2"
 SHARD_TOKENS = 1 << 18
@@ -62,10 +63,26 @@ _WIDE = np.zeros(1 << 16, bool)
 _WIDE[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Second bytes in UTF-8 of the letters U+00C0 to U+00FF.
+_LATIN = np.zeros(256, bool)
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+_TRAILING = np.zeros(256, bool)
+_TRAILING[list(TRAILING.encode())] = True
+
+
+def after_letters(data: np.ndarray) -> np.ndarray:
+    """True where one of TRAILING follows a letter (ASCII or U+00C0 to U+00FF): a pre-token of letters ends there."""
+    found = np.zeros(len(data), bool)
+    at = np.flatnonzero(_TRAILING[data[1:]]) + 1
+    found[at] = _LETTER[data[at - 1]] | (_LATIN[data[at - 1]] & (data[np.maximum(at - 2, 0)] == 0xC3))
+    return found
 
 
 class ShardEncoder:
-    """Ids of whole batches of texts. Words are found with the space or line feed before them, where pre-tokens begin."""
+    """Ids of whole batches of texts. Words are found with the space or line feed before them, where pre-tokens begin, and end where
+    letters meet the marks after them, so that a word is encoded once whatever mark follows it."""
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(path, lower=False)
@@ -73,11 +90,24 @@ class ShardEncoder:
         #: Whether an id's token begins with a space.
         self.begins = np.array([(tokenizer.id_to_token(i) or "").startswith(lead) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))])
         self.table = WordTable(self._words, WORDS_KEPT)
+        #: The character that stands for each byte.
+        self.shown = dict(enumerate(self.encoder.alphabet))
+        # a mark within an added token doesn't end a word
+        self.marks_end = not any(after_letters(np.frombuffer(t.content.encode(), np.uint8)).any() for t in tokenizer.get_added_tokens_decoder().values())
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of new words. Those after a space, nearly all, are encoded together as a text: a pre-token begins at each space, and only its first token with one."""
+        """Ids of new words. Those of letters after a space, nearly all, are one pre-token each, which the model encodes. Others after a space
+        are encoded together as a text: a pre-token begins at each space, and only its first token with one."""
+        encoder = self.encoder
+        model, lead, shown = encoder.model, encoder.shown_lead, self.shown
         out: list[bytes | None] = [None] * len(words)
-        after = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1]
+        after = []
+        for i, w in enumerate(words):
+            if w[0] == " " and len(w) > 1:
+                if encoder.plain(body := w[1:]):
+                    out[i] = array("H", [t.id for t in model(lead + (body if body.isascii() else body.encode().decode("latin-1").translate(shown)))]).tobytes()
+                else:
+                    after.append(i)
         for at in range(0, len(after), WORDS_TOGETHER):
             part = after[at : at + WORDS_TOGETHER]
             text = "".join([words[i] for i in part])
@@ -125,6 +155,8 @@ class ShardEncoder:
 
         cut = gap
         cut[bounds[:-1][full]] = True
+        if self.marks_end:
+            cut |= after_letters(data)
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         edges = np.searchsorted(starts, bounds)

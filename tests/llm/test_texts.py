@@ -75,6 +75,17 @@ def test_chunks_save_encoding_and_joins_are_repaired():
     assert codec.counts["joins"] > 100 and 0 < codec.counts["repaired"] <= codec.counts["joins"]
 
 
+def test_marks_after_letters_end_words():
+    encoder, words, marks = repair_ids.ShardEncoder(BYTES), ["alpha", "Größe", "été", "ÿÀ"], [*".,!?;:%*&#$", "...", ".)"]
+    texts = [" ".join(w + m for w in words for m in marks), "a×. b÷, ɐ. 9. x.y ,z 中! <|endoftext|>. don't. O'LL, e.g. ÿ", ".", "é", "", None]
+    got = encoder.batch(pa.array(texts))
+    library = Tokenizer.from_file(BYTES)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    only = repair_ids.ShardEncoder(BYTES)
+    only.batch(pa.array(texts[:1]))
+    assert only.table.n <= len(words) + 1 + len(marks)  # each word once, whatever mark follows it
+
+
 def test_token_files(spark):
     t, tokenizer = texts(), Tokenizer.from_file(BYTES)
     ids = list(range(len(t)))
