@@ -198,8 +198,8 @@ def sketched(docs: DataFrame, shingles: Shingles, plan: Bands) -> DataFrame:
     return slim.mapInArrow(released(run), "doc_id bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, shingles: Shingles) -> DataFrame:
-    """node, hashes: the full sets of the documents in nodes (node), as bytes of sorted hashes."""
+def full_sets(docs: DataFrame, nodes: DataFrame, shingles: Shingles, rows: int) -> DataFrame:
+    """node, hashes: the full sets of the documents in nodes (node), as bytes of sorted hashes. rows: of docs."""
     k = shingles.words
 
     def run(batches):
@@ -208,7 +208,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingles: Shingles) -> DataFram
             ids = batch.column("node")
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([x[0] for x in found], pa.int64())), pa.array([x[1] for x in found], pa.binary())], names=["node", "hashes"])
 
-    nodes = materialize(nodes.select("node").distinct(), "wanted")
+    nodes = materialize(nodes.select("node").distinct(), "wanted", rows)
     side = F.broadcast(nodes) if is_small(nodes) else nodes
     wanted = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(side, "node", "left_semi")
     return materialize(wanted.mapInArrow(released(run), "node bigint, hashes binary"), "sets")
@@ -270,7 +270,7 @@ def _open_pairs(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(xs), np.concatenate(ys)) if xs else (empty, empty)
 
 
-def star_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, shingles: Shingles) -> DataFrame:
+def star_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, shingles: Shingles, rows: int) -> DataFrame:
     """a, b: confirmed links between documents and the leaders of their buckets."""
     threshold, percent = shingles.percent / 100, shingles.percent
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -285,8 +285,8 @@ def star_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, shingles:
                 ok = plausible((x > y).sum(1), (x < y).sum(1), batch.column("n_shingles").to_numpy(), batch.column("leader_n").to_numpy(), threshold, x.shape[1])
                 yield batch.select(["node", "leader"]).filter(pa.array(ok))
 
-    pairs = materialize(best.join(nodes, "node").join(theirs, "leader").select("node", "leader", "registers", "leader_registers", "n_shingles", "leader_n").mapInArrow(released(test), "node bigint, leader bigint").distinct(), "pairs")
-    sets = full_sets(docs, pairs.select("node").union(pairs.select(F.col("leader").alias("node"))), shingles)
+    pairs = materialize(best.join(nodes, "node").join(theirs, "leader").select("node", "leader", "registers", "leader_registers", "n_shingles", "leader_n").mapInArrow(released(test), "node bigint, leader bigint").distinct(), "pairs", rows)
+    sets = full_sets(docs, pairs.select("node").union(pairs.select(F.col("leader").alias("node"))), shingles, rows)
 
     def confirm(batches):
         for batch in pieces(batches, 200):
@@ -324,11 +324,11 @@ def _cut_buckets(labelled: DataFrame, nodes: DataFrame, plan: Bands) -> DataFram
     return materialize(labelled.join(crowded, "bucket", "left_anti").select("bucket", "node", "label").unionByName(smaller), "recut")
 
 
-def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, shingles: Shingles, plan: Bands) -> DataFrame | None:
+def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, shingles: Shingles, plan: Bands, rows: int) -> DataFrame | None:
     """a, b: links that join different components of `found` (id, component) within a bucket; None if no bucket is open."""
     threshold, percent = shingles.percent / 100, shingles.percent
     labels = nodes.select("node").distinct().join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-    labelled = _cut_buckets(materialize(buckets.join(labels, "node").select("bucket", "node", "label"), "labelled"), nodes, plan)
+    labelled = _cut_buckets(materialize(buckets.join(labels, "node").select("bucket", "node", "label"), "labelled", rows * plan.n), nodes, plan)
     # members of a bucket's largest component only meet the others; so its blocks cost what the rest is large, not their square
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
     mixed = _mixed(labelled).select("bucket", "main", blocks("mains"), blocks("rests"))
@@ -352,7 +352,7 @@ def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: Da
     flagged = materialize(wide.mapInArrow(released(screen), columns), "flagged")
     if flagged.isEmpty():
         return None
-    sets = full_sets(docs, flagged, shingles)
+    sets = full_sets(docs, flagged, shingles, rows)
 
     def confirm(batches):
         for group in _groups(pieces(batches, 2000), keys):
@@ -382,15 +382,16 @@ def other_links(buckets: DataFrame, nodes: DataFrame, found: DataFrame, docs: Da
 
 def near_duplicates(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    plan = Bands.of(docs.count(), shingles.percent / 100)
+    n = docs.count()
+    plan = Bands.of(n, shingles.percent / 100)
     rows = materialize(sketched(docs, shingles, plan), "sketches")
     classes = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
-    nodes = materialize(classes, "classes")
+    nodes = materialize(classes, "classes", n)
     named = nodes.filter(F.col("node").isNotNull())
     buckets = materialize(named.select("node", F.explode("bands").alias("bucket")), "buckets")
-    stars = materialize(star_links(buckets, named, docs, shingles), "stars")
-    met = components(stars)
-    others = other_links(buckets, named, met, docs, shingles, plan)
+    stars = materialize(star_links(buckets, named, docs, shingles, n), "stars", n)
+    met = components(stars, most=n)
+    others = other_links(buckets, named, met, docs, shingles, plan, n)
     links = stars if others is None else stars.unionByName(others)
     shared = _shared_ids(rows, nodes)
     found = components(materialize(links if shared is None else links.unionByName(shared), "found"))
@@ -421,9 +422,10 @@ def deduplicated(docs: DataFrame, shingles: Shingles = Shingles()) -> DataFrame:
     the whole row), so that reruns agree. Rows without a doc_id stay, as they can't be told apart by it.
     """
     verdicts = materialize(near_duplicates(docs, shingles).select("doc_id", "kept"), "verdicts")
-    gone = materialize(verdicts.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    rows = verdicts.count()
+    gone = materialize(verdicts.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct(), "gone", rows)
     left = docs.join(F.broadcast(gone) if is_small(gone) else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    repeated = materialize(verdicts.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    repeated = materialize(verdicts.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "repeated", rows)
     release(verdicts)
     if repeated.isEmpty():
         return left

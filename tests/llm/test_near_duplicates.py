@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from siftstone.llm import components, lattice_neardup, setsketch_dedup
+from siftstone.plans import lineage
 from siftstone.llm.setsketch_dedup import Shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,3 +239,27 @@ def test_e8_points_are_nearest():
     near = ((x - best / 2) ** 2).sum(1)
     around = ((x[:, None] - best[:, None] / 2 - steps[None]) ** 2).sum(2).min(1)
     assert (near <= around + 1e-9).all()
+
+
+def test_tables_of_few_rows_are_few_files(spark, monkeypatch):
+    rng, made = random.Random(4), {}
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(60)) for _ in range(150)]
+    texts += [f"{t} x y" for t in texts]
+
+    def counted(df, label, *rows):
+        out = lineage.materialize(df, label, *rows)
+        made.setdefault(label, len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(setsketch_dedup, "materialize", counted)
+    monkeypatch.setattr(components, "materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert setsketch_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("kept").count() == 150
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {made[x] for x in ("classes", "pairs", "wanted", "stars", "edges", "large", "small", "components", "labelled")} <= {1, 2}
