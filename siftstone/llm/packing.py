@@ -32,6 +32,8 @@ GROUP_PIECES = 1 << 15
 SEARCH_STEPS = 10_000
 #: Rounds end when one saves less than this part of the sequences with room.
 LEAST_GAIN = 0.001
+#: Rows for which a table of pieces has a file.
+FILE_PIECES = 1 << 14
 
 
 def cut_points(n: int, most: int) -> list[tuple[int, int]]:
@@ -216,10 +218,19 @@ def pack_group(frame: pd.DataFrame, most: int) -> pd.DataFrame:
     return out
 
 
-def pack(rows: DataFrame, most: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """rows (with a column length, 1..most, and whatever else) with sequence_id and offset, in as few sequences of at most `most` tokens as the search finds."""
+def _files(rows: int) -> int:
+    return max(1, -(-rows // FILE_PIECES))
+
+
+def pack(rows: DataFrame, most: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES, about: int | None = None) -> DataFrame:
+    """rows (with a column length, 1..most, and whatever else) with sequence_id and offset, in as few sequences of at most `most` tokens as the search finds.
+
+    about: how many rows there are, roughly, if they are narrow. They are then shuffled into as few files as that needs, which other tasks write than
+    those that encode texts: for each file on a local disk the JVM starts processes, and while one starts it counts as the JVM's memory again.
+    """
     others = [c for c in rows.columns if c != "row"]
-    numbered = materialize(rows.select(*others).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    named = rows.select(*others).withColumn("row", F.monotonically_increasing_id())
+    numbered = materialize(named if about is None else named.repartition("row").coalesce(_files(about)), "pieces")
     schema = "row bigint, bin bigint, length bigint, offset bigint, has_room boolean"
     done = [numbered.filter(F.col("length") == most).select("row", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"))]
     left = numbered.filter(F.col("length") < most).select("row", F.lit(None).cast("long").alias("bin"), F.col("length").cast("long").alias("length"))
@@ -242,12 +253,12 @@ def pack(rows: DataFrame, most: int = SEQUENCE_TOKENS, group_pieces: int = GROUP
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
-    return numbered.join(placed.withColumnRenamed("bin", "sequence_id"), "row").drop("row")
+    return numbered.join(placed.withColumnRenamed("bin", "sequence_id"), "row").drop("row").coalesce(_files(numbered.count()))
 
 
 def pack_documents(docs: DataFrame, path: str, most: int = SEQUENCE_TOKENS, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: the tokenizer's file, on every machine."""
-    return pack(encoded_pieces(docs, path, most, end_id), most)
+    return pack(encoded_pieces(docs, path, most, end_id), most, about=docs.count())
 
 
 def sequences(docs: DataFrame, path: str, most: int = SEQUENCE_TOKENS, end_id: int = 0) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm import manifest, packing, spelling
 from siftstone.llm.word_table import load
+from siftstone.plans import lineage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -89,6 +90,29 @@ def test_pack_documents(spark):
     assert packing.pack_documents(docs.limit(0), BYTE_BPE).count() == 0
 
 
+def test_pieces_are_few_files(spark, monkeypatch):
+    made = {}
+
+    def counted(df, label):
+        out = lineage.materialize(df, label)
+        made[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(packing, "materialize", counted)
+    docs = spark.createDataFrame([(i, f"a text of its own, {i} " * (i % 50)) for i in range(400)], "doc_id long, text string").repartition(16)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = lineage.materialize(packing.pack_documents(docs, BYTE_BPE), "packing")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.select("doc_id").distinct().count() == got.count() == 400
+    assert (made["pieces"], len(got.inputFiles())) == (1, 1)
+
+
 def test_rounds_join_groups(spark):
     rng = np.random.default_rng(1)
     rows = spark.createDataFrame([(int(n), i) for i, n in enumerate(rng.integers(1, 100, 900))], "length long, doc int")
