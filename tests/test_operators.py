@@ -253,3 +253,17 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 
 def test_patterns_are_safe_for_java():
     assert all(re.compile(r.regex) for r in RULES)
+
+
+def test_nested_lists_hold_all_hits_of_many_ranges(spark):
+    hits = spark.range(40_000).select(F.when(F.col("id") < 39_000, 1).otherwise(2).alias("rule_seq"), (F.col("id") % 4000).alias("file_seq"), F.concat(F.lit("p"), (F.col("id") % 4000).cast("string")).alias("path"), F.lit(0).alias("pass_no"), (F.col("id") / 4000).cast("int").alias("line"), F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 256) for k in range(3)]).alias("code"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        lists = match.nested(hits, 50).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for rule in (1, 2):
+        parts = [[(int(e["file"][1:]), e["line"]) for e in r["evidence"]] for r in sorted(lists, key=lambda r: r["part"]) if r["rule_seq"] == rule]
+        entries = [x for p in parts for x in p]
+        assert entries == sorted(entries) and len(entries) == (39_000, 1000)[rule - 1] and max(map(len, parts)) <= 50
