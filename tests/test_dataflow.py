@@ -387,3 +387,20 @@ def test_more_rules_than_lines_of_a_block(spark):
     rules = [flows.Mitigation("py", "k", f"r{i}", r"escape\(") for i in range(70)]
     found = flows.mitigations(spark.createDataFrame([("a", "py", text), ("b", "py", "escape(x)"), ("c", "py", "")], "path string, platform string, content string"), rules).collect()
     assert sorted((r["path"], r["line"], r["title"]) for r in found) == sorted([("a", i + 1, f"r{i}") for i in range(70)] + [("b", 1, "r0")])
+
+
+def test_lines_that_recur_are_read_once(monkeypatch):
+    read = []
+    spans = extract.call_spans
+    monkeypatch.setattr(extract, "call_spans", lambda code: read.append(code) or spans(code))
+    text = "def f(x):\n" + "".join(f"    if x:\n        v{k % 3} = recurring(x)\n    w = recurring_too(v{k % 3})\n" for k in range(200))
+    rows = [s for _ in range(5) for s in extract.statements(text, "a.py")]
+    assert len(rows) == 5 * 401 and len(read) <= 7  # the statements and the condition
+    assert [r["target"] for r in rows[:4]] == ["x", "v0", "w", "v1"] and rows[1]["calls"][0]["name"] == "recurring" and [r["name"] for r in rows[2]["reads"]] == ["v0"]
+
+
+def test_fields_of_statements(spark):
+    files = spark.createDataFrame([("a.py", "def f(x):\n    if x:\n        y = run(x)\n    return y\n"), ("b.js", "function g(a) { go(a); }")], "path string, content string")
+    whole = extract.read_files(files).selectExpr("path", "transform(statements, s -> struct(s.line, s.kind, s.blocks)) AS s").collect()
+    some = extract.read_files(files, ("line", "kind", "blocks"))
+    assert some.columns == ["path", "statements"] and [tuple(map(str, r)) for r in some.collect()] == [tuple(map(str, r)) for r in whole]
