@@ -117,3 +117,28 @@ def test_runs_out_of_order(spark, tmp_path):
     wanted = brute(events, 6 * HOUR, 300 * HOUR)
     assert {r: [(n, round(a, 3), *rest) for n, a, *rest in told] for r, told in wanted.items() if told} == {k: v for k, v in got.items() if k != "end"}
     assert got["end"] == [(0, 200 * HOUR, "", "queued", True, False), (1, 206 * HOUR, "queued", "failed", True, True)]
+
+
+def test_many_runs_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(status, "BUCKETS", 3)
+    rng = random.Random(7)
+    events = {f"r{k}": [(round(rng.uniform(0, 40), 2) * HOUR, i, rng.choice(["queued", "running", "running", "success", "stopped"])) for i in range(5)] for k in range(60)}
+    every = [(r, a, i, s) for r, rows in events.items() for a, i, s in rows]
+    rng.shuffle(every)
+    source, to = str(tmp_path / "events"), str(tmp_path / "to")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    status.with_state_store(spark)
+    try:
+        for rows in (every[:150], every[150:], [("end", 200 * HOUR, 0, "success")]):  # each in a start of its own
+            spark.createDataFrame(rows, "run string, at double, id long, status string").select("run", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"), "id", "status").write.mode("append").parquet(source)
+            stream = spark.readStream.schema("run string, ts timestamp, id long, status string").parquet(source)
+            query = status.transitions(stream, timedelta(hours=6), "50 hours").writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination()
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {}
+    for r in spark.read.schema(status.TRANSITION).parquet(f"{to}/out").orderBy("seq").select("*", (F.unix_micros("at") / 1e6).alias("x")).collect():
+        got.setdefault(r["run"], []).append((r["seq"], round(r["x"], 3), r["was"], r["status"], r["legal"], r["timed_out"]))
+    assert got == {r: [(n, round(a, 3), *rest) for n, a, *rest in told] for r, told in brute(events, 6 * HOUR, 150 * HOUR).items() if told}
+    assert held <= 3 * 6  # of buckets, not of 60 runs
