@@ -404,3 +404,33 @@ def test_fields_of_statements(spark):
     whole = extract.read_files(files).selectExpr("path", "transform(statements, s -> struct(s.line, s.kind, s.blocks)) AS s").collect()
     some = extract.read_files(files, ("line", "kind", "blocks"))
     assert some.columns == ["path", "statements"] and [tuple(map(str, r)) for r in some.collect()] == [tuple(map(str, r)) for r in whole]
+
+
+def test_what_is_in_a_file_is_contracted_there(spark, monkeypatch):
+    """No tables of doubled chains for chains within files; and the same is reached as by brute force where files lead to each other."""
+    written = []
+    materialize = dataflow.materialize
+    monkeypatch.setattr(dataflow, "materialize", lambda df, label, *rest: written.append(label) or materialize(df, label, *rest))
+    rng = random.Random(11)
+    inner = [(f"f{f}.py#{i}", f"f{f}.py#{i + 1}") for f in range(3) for i in range(40)]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    sources = [("f0.py#0",)]
+    left, gone = dataflow.contract(frame(inner, ("a", "b")), frame(sources, ("node",)))
+    assert "chains" not in written and left.count() == 0
+    assert {(r["node"], r["root"], r["pred"]) for r in gone.collect()} == {(b, b.split("#")[0] + "#0", a) for a, b in inner}
+    across = [(f"f{rng.randrange(3)}.py#{rng.randrange(41)}", rng.choice([f"f{rng.randrange(3)}.py#{rng.randrange(41)}", "d:alias#x#0", "session:k"])) for _ in range(9)] + [("d:alias#x#0", "f2.py#7"), ("session:k", "f1.py#0"), ("f1.py#0", "session:k")]
+    edges = [(a, b) for a, b in inner + across if not (a.startswith("f1") and b == "f1.py#20" and a.endswith("#19"))]
+    tree = {r["node"]: r["pred"] for r in dataflow.reached(frame(edges, ("a", "b")), frame(sources, ("node",))).collect()}
+    met, front = {"f0.py#0"}, ["f0.py#0"]
+    while front:
+        at = front.pop()
+        new = {b for a, b in edges if a == at} - met
+        met |= new
+        front += new
+    assert set(tree) == met and tree.pop("f0.py#0") is None and set((p, n) for n, p in tree.items()) <= set(edges)
+    for node in tree:  # each way leads back to the source
+        seen = set()
+        while node != "f0.py#0":
+            assert node not in seen
+            seen.add(node)
+            node = tree[node]
