@@ -434,3 +434,14 @@ def test_what_is_in_a_file_is_contracted_there(spark, monkeypatch):
             assert node not in seen
             seen.add(node)
             node = tree[node]
+
+
+def test_graphs_write_nodes_for_traces_alone(spark, monkeypatch):
+    written = []
+    materialize = dataflow.materialize
+    monkeypatch.setattr(dataflow, "materialize", lambda df, label, *rest: written.append(label) or materialize(df, label, *rest))
+    files = spark.createDataFrame([("a.py", "def give(x):\n    return x\n"), ("b.py", "def f():\n    v = give(request.q)\n    run(v)\n")], "path string, content string")
+    g = dataflow.graph(files, OURS)
+    assert ("give", "0", "return") in {(r["alias"], r["start"], r["kind"]) for r in dataflow.summaries(g).collect()} and "nodes" not in written
+    found = dataflow.traced(g).filter("trace_status = 'complete'").collect()
+    assert [(r["file"], r["line"], r["variable"]) for r in found] == [("b.py", 3, "v")] and written.count("nodes") == 1
